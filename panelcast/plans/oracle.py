@@ -198,3 +198,306 @@ ORACLE = {
     "fit_linear_price": sql_fit_linear_price(),
     "forecast_linear_price": sql_forecast_linear_price(),
 }
+
+
+# --- logistic_price -------------------------------------------------------------
+
+LP = K.LOGISTIC_PRICE_DEFAULTS
+
+
+def _lg_consts():
+    return (str(LP["distribution_a"]), str(LP["distribution_b"]), str(LP["k1"]), str(LP["k2"]),
+            str(LP["full_price_scale"]), str(LP["full_penetration"]))
+
+
+def logistic_fit_ctes() -> str:
+    a, b, c, d, scale, pen = _lg_consts()
+    pred = f"{pen} * population * {curve(f'{scale} * price / {gmax('gdp', '1e-10')}', a, b, c, d)}"
+    return f"""{panel_cte()},
+{ctx_cte()},
+lg_rows AS (SELECT *, {pred} AS pred FROM ctx),
+lg_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {recent_factor()} AS factor FROM lg_rows)),
+lg_fit AS (
+  SELECT series_id, 'logistic_price' AS model, {common_fit_cols()},
+         {c} AS k1, {d} AS k2, {a} AS a, {b} AS b, {scale} AS scale, {pen} AS penetration,
+         any_value(factor) AS continuity, stddev_samp(actual - adj) AS resid_std, {metric_cols()}
+  FROM lg_rows2 GROUP BY series_id)"""
+
+
+def logistic_forecast_ctes() -> str:
+    pred = (f"penetration * population * {curve(f'scale * price / {gmax('gdp', '1e-10')}', 'a', 'b', 'k1', 'k2')}"
+            " * continuity")
+    return f"""{logistic_fit_ctes()},
+{horizon_cte('lg_fit')},
+lg_p AS (SELECT *, {pred} AS pred FROM hz)"""
+
+
+def sql_fit_logistic_price() -> str:
+    return f"""WITH {logistic_fit_ctes()}
+SELECT {FIT_SELECT}, {r('k1', 'k1')}, {r('k2', 'k2')}, {FIT_TAIL} FROM lg_fit"""
+
+
+def sql_forecast_logistic_price() -> str:
+    return f"""WITH {logistic_forecast_ctes()}
+{forecast_select('lg_p', shared=False)}"""
+
+
+def sql_residual_band() -> str:
+    return f"""WITH {logistic_forecast_ctes()}
+{forecast_select('lg_p', shared=False, band='sigma')}"""
+
+
+def sql_anchor_columns() -> str:
+    w = "(PARTITION BY series_id, model, scenario_id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""WITH {logistic_forecast_ctes()},
+fp AS (SELECT *, first_value(pred) OVER {w} AS first_pred FROM lg_p),
+ok AS (SELECT *, (first_pred > 0 AND last_actual > 0) AS ok, last_actual / first_pred AS fac FROM fp)
+SELECT series_id, model, scenario_id, year, {r('pred', 'pred')},
+       {r('CASE WHEN ok THEN pred END', 'pred_raw')},
+       {r('CASE WHEN ok THEN pred * fac END', 'pred_adjusted')},
+       {r('CASE WHEN ok THEN pred * 0.8 * fac END', 'lower_adjusted')},
+       {r('CASE WHEN ok THEN pred * 1.2 * fac END', 'upper_adjusted')},
+       {r('CASE WHEN ok THEN fac END', 'anchor_factor')},
+       {r('CASE WHEN ok THEN last_actual END', 'anchor_reference')},
+       {r('CASE WHEN ok THEN first_pred - last_actual END', 'anchor_gap')},
+       {r('CASE WHEN ok THEN (first_pred - last_actual) / last_actual * 100.0 END', 'anchor_gap_pct')},
+       coalesce(ok, false) AS anchor_applied
+FROM ok"""
+
+
+# --- linear_income_index ----------------------------------------------------------
+
+def income_fit_ctes(c1: float = -0.5, c2: float = 0.5) -> str:
+    pn = clamp(f"ref_gdp / {gmax('gdp', '1e-8')}", "0.2", "3.0")
+    return f"""{panel_cte()},
+{ctx_cte()},
+ii_rows AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM ctx),
+ii_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM ii_rows)),
+ii_fit AS (
+  SELECT series_id, 'linear_income_index' AS model, {common_fit_cols()},
+         {c1} AS c1, {c2} AS c2, any_value(factor) AS continuity, {metric_cols()}
+  FROM ii_rows2 GROUP BY series_id)"""
+
+
+def sql_fit_income_index() -> str:
+    return f"""WITH {income_fit_ctes()}
+SELECT {FIT_SELECT}, round(c1, 6) AS c1, round(c2, 6) AS c2, {FIT_TAIL} FROM ii_fit"""
+
+
+def sql_forecast_income_index() -> str:
+    pred = f"greatest(0.0, c1 * (ref_gdp / {gmax('gdp', '1e-10')}) + c2) * population * continuity"
+    return f"""WITH {income_fit_ctes()},
+{horizon_cte('ii_fit', price_fallback=True)},
+ii_p AS (SELECT *, {pred} AS pred FROM hz)
+{forecast_select('ii_p', shared=True)}"""
+
+
+def income_ols_ctes() -> str:
+    """M4 + M5 with ``optimize_parameters``: C1, C2 by OLS on the clipped index."""
+    pn = clamp(f"ref_gdp / {gmax('gdp', '1e-8')}", "0.2", "3.0")
+    dn = f"actual / {gmax('population', '1e-8')}"
+    return f"""{panel_cte()},
+{ctx_cte()},
+io_a AS (SELECT *, {pn} AS pn, {dn} AS dn FROM ctx),
+io_b AS (SELECT *, regr_slope(dn, pn) OVER {WA} AS c1, regr_intercept(dn, pn) OVER {WA} AS c2 FROM io_a),
+io_c AS (SELECT *, greatest(0.0, c1 * pn + c2) * population AS pred FROM io_b),
+io_d AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM io_c)),
+io_fit AS (
+  SELECT series_id, 'linear_income_index' AS model,
+         {common_fit_cols("CASE WHEN any_value(c1) IS NULL THEN 'degenerate' END")},
+         any_value(c1) AS c1, any_value(c2) AS c2, any_value(factor) AS continuity, {metric_cols()}
+  FROM io_d GROUP BY series_id)"""
+
+
+def sql_fit_income_index_ols() -> str:
+    return f"""WITH {income_ols_ctes()}
+SELECT {FIT_SELECT}, round(c1, 6) AS c1, round(c2, 6) AS c2, {FIT_TAIL} FROM io_fit"""
+
+
+# --- trend_elasticity_blend -----------------------------------------------------------
+
+def _price_ok(p: str) -> str:
+    return f"({p} IS NOT NULL AND NOT isnan({p}) AND {p} > 0 AND {p} <> 'inf'::DOUBLE)"
+
+
+def blend_fit_ctes(weight: float = 0.5) -> str:
+    dn = f"actual / {gmax('population', '1e-10')}"
+    pn = f"(CASE WHEN {_price_ok('price')} THEN price ELSE ref_price END) / ref_price * (ref_gdp / {gmax('gdp', '1e-10')})"
+    wt = clamp(str(weight), "0.0", "1.0")
+    blend = f"{wt} * (ts * t + ti) + (1.0 - {wt}) * (es * pn + ei)"
+    return f"""{panel_cte()},
+{ctx_cte()},
+bl_a AS (SELECT *, {dn} AS dn, CAST(year - ref_year AS DOUBLE) AS t, {pn} AS pn FROM ctx),
+bl_b AS (SELECT *, regr_slope(dn, t) OVER {WA} AS ts, regr_intercept(dn, t) OVER {WA} AS ti,
+                regr_slope(dn, pn) OVER {WA} AS es, regr_intercept(dn, pn) OVER {WA} AS ei FROM bl_a),
+bl_c AS (SELECT *, greatest(0.0, {blend}) * population AS pred FROM bl_b),
+bl_d AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM bl_c)),
+bl_fit AS (
+  SELECT series_id, 'trend_elasticity_blend' AS model,
+         {common_fit_cols("CASE WHEN any_value(ts) IS NULL OR any_value(es) IS NULL THEN 'degenerate' END")},
+         {weight} AS trend_weight, any_value(ts) AS trend_slope, any_value(ti) AS trend_intercept,
+         any_value(es) AS elast_slope, any_value(ei) AS elast_intercept,
+         any_value(factor) AS continuity, {metric_cols()}
+  FROM bl_d GROUP BY series_id)"""
+
+
+def sql_fit_blend() -> str:
+    return f"""WITH {blend_fit_ctes()}
+SELECT {FIT_SELECT}, {r('trend_slope', 'trend_slope')}, {r('trend_intercept', 'trend_intercept')},
+       {r('elast_slope', 'elast_slope')}, {r('elast_intercept', 'elast_intercept')}, {FIT_TAIL} FROM bl_fit"""
+
+
+def blend_forecast_ctes() -> str:
+    pn = f"(CASE WHEN {_price_ok('price')} THEN price ELSE ref_price END) / ref_price * (ref_gdp / {gmax('gdp', '1e-10')})"
+    wt = clamp("trend_weight", "0.0", "1.0")
+    t = "CAST(year - ref_year AS DOUBLE)"
+    blend = f"{wt} * (trend_slope * {t} + trend_intercept) + (1.0 - {wt}) * (elast_slope * ({pn}) + elast_intercept)"
+    return f"""{blend_fit_ctes()},
+{horizon_cte('bl_fit', price_fallback=True)},
+bl_p AS (SELECT *, greatest(0.0, {blend}) * population * continuity AS pred FROM hz)"""
+
+
+def sql_forecast_blend() -> str:
+    return f"""WITH {blend_forecast_ctes()}
+{forecast_select('bl_p', shared=True)}"""
+
+
+# --- implied_price_logistic -------------------------------------------------------------
+
+IP = K.IMPLIED_PRICE_DEFAULTS
+
+
+def threshold_ctes(target: str, a: str, b: str, c: str, d: str, src: str | None = None,
+                   key: str = "series_id", prefix: str = "th") -> str:
+    """C4 as two recursive CTEs: bracket growth (60 steps) then bisection
+    (200 steps). With ``src`` the target varies per ``key`` row of ``src``;
+    otherwise a single constant row is solved. Result CTE: ``{prefix}_root(key, root)``."""
+    def f(x):
+        return f"({elast(x, a, b, c, d)} - ({target}))"
+    base = (f"SELECT {key}, CAST({target} AS DOUBLE) AS tgt FROM {src}" if src
+            else f"SELECT 0 AS {key}, CAST({target} AS DOUBLE) AS tgt")
+    fl = f(K.BISECT_LO)
+    return f"""{prefix}_in AS ({base}),
+{prefix}_grow AS (
+  SELECT {key}, tgt, 0 AS i, CAST({K.BISECT_HI} AS DOUBLE) AS hi, {f(K.BISECT_HI).replace(f'({target})', 'tgt')} AS fhi,
+         {fl.replace(f'({target})', 'tgt')} AS flo
+  FROM {prefix}_in
+  UNION ALL
+  SELECT {key}, tgt, i + 1,
+         CASE WHEN sign(flo) = sign(fhi) THEN hi * {K.BISECT_GROW} ELSE hi END,
+         CASE WHEN sign(flo) = sign(fhi) THEN {f(f'hi * {K.BISECT_GROW}').replace(f'({target})', 'tgt')} ELSE fhi END,
+         flo
+  FROM {prefix}_grow WHERE i < {K.BISECT_EXPAND_STEPS}),
+{prefix}_br AS (SELECT {key}, tgt, hi, fhi, flo FROM {prefix}_grow WHERE i = {K.BISECT_EXPAND_STEPS}),
+{prefix}_bis AS (
+  SELECT {key}, tgt, 0 AS i, CAST({K.BISECT_LO} AS DOUBLE) AS lo, hi, flo, CAST(NULL AS DOUBLE) AS res, false AS done,
+         sign(flo) <> sign(fhi) AS bracketed
+  FROM {prefix}_br
+  UNION ALL
+  SELECT {key}, tgt, i + 1,
+         CASE WHEN done OR stop OR NOT mv THEN lo ELSE mid END,
+         CASE WHEN done OR stop OR mv THEN hi ELSE mid END,
+         CASE WHEN done OR stop OR NOT mv THEN flo ELSE fm END,
+         CASE WHEN done THEN res WHEN stop THEN mid ELSE res END,
+         done OR stop, bracketed
+  FROM (SELECT *, (lo + hi) / 2.0 AS mid, {f('((lo + hi) / 2.0)').replace(f'({target})', 'tgt')} AS fm FROM {prefix}_bis) s0,
+       LATERAL (SELECT abs(fm) < {K.BISECT_TOL} OR (hi - lo) < {K.BISECT_TOL} AS stop, sign(fm) = sign(flo) AS mv) s1
+  WHERE i < {K.BISECT_MAX_STEPS}),
+{prefix}_root AS (
+  SELECT {key}, tgt, CASE WHEN bracketed THEN (CASE WHEN done THEN res ELSE (lo + hi) / 2.0 END) END AS root
+  FROM {prefix}_bis WHERE i = {K.BISECT_MAX_STEPS})"""
+
+
+def implied_fit_ctes() -> str:
+    a, b, c, d = str(IP["distribution_a"]), str(IP["distribution_b"]), str(IP["k1"]), str(IP["k2"])
+    s = f"(ref_gdp / {gmax('gdp', '1e-10')})"
+    pp = f"(actual / {gmax('population', '1e-10')})"
+    t = f"({inv_curve(f'{pp} / ck1', a, b, c, d)} / greatest(ck2 * {s}, 1e-12))"
+    return f"""{panel_cte()},
+{ctx_cte()},
+{threshold_ctes(str(IP['ref_elasticity']), a, b, c, d)},
+ip_k AS (SELECT root AS ck2, {curve('root', a, b, c, d)} AS fk2 FROM th_root),
+ip_a AS (SELECT ctx.*, ip_k.ck2,
+                (ref_actual / {gmax('ref_pop', '1e-10')}) / greatest(ip_k.fk2, 1e-12) AS ck1
+         FROM ctx CROSS JOIN ip_k),
+ip_b AS (SELECT *, {t} AS t_implied FROM ip_a),
+ip_c AS (SELECT *, ck1 * {curve(f'ck2 * t_implied * {s}', a, b, c, d)} * population AS adj FROM ip_b),
+ip_fit AS (
+  SELECT series_id, 'implied_price_logistic' AS model,
+         {common_fit_cols("CASE WHEN any_value(ck2) IS NULL THEN 'no_threshold' END")},
+         {a} AS a, {b} AS b, {c} AS k1, {d} AS k2, {IP['fare_growth_rate']} AS fare_growth,
+         any_value(ref_gdp) AS model_ref_gdp, any_value(ck1) AS calib_k1, any_value(ck2) AS calib_k2,
+         arg_max(t_implied, year) AS last_t, 1.0 AS continuity, {metric_cols()}
+  FROM ip_c GROUP BY series_id)"""
+
+
+def sql_fit_implied_price() -> str:
+    return f"""WITH RECURSIVE {implied_fit_ctes()}
+SELECT {FIT_SELECT}, {r('calib_k1', 'calib_k1')}, {r('calib_k2', 'calib_k2')}, {r('last_t', 'last_t')},
+       {FIT_TAIL} FROM ip_fit"""
+
+
+def implied_forecast_ctes() -> str:
+    s = f"(model_ref_gdp / {gmax('gdp', '1e-10')})"
+    t = "(last_t * pow(1.0 + coalesce(scenario_fare_growth, fare_growth), h))"
+    return f"""{implied_fit_ctes()},
+{horizon_cte('ip_fit', price_fallback=True)},
+ip_p AS (SELECT *, calib_k1 * population * {curve(f'calib_k2 * {t} * {s}', 'a', 'b', 'k1', 'k2')} AS pred FROM hz)"""
+
+
+def sql_forecast_implied_price() -> str:
+    return f"""WITH RECURSIVE {implied_forecast_ctes()}
+{forecast_select('ip_p', shared=True)}"""
+
+
+# --- curve functions ----------------------------------------------------------------------
+
+def curve_rows_cte() -> str:
+    a, b, c, d, scale, _ = _lg_consts()
+    return f"""{panel_cte(None)},
+cv AS (SELECT series_id, year, {scale} * price / {gmax('gdp', '1e-10')} AS rr FROM panel),
+cv2 AS (SELECT *, {curve('rr', a, b, c, d)} AS f, {elast('rr', a, b, c, d)} AS elasticity FROM cv)"""
+
+
+def sql_curve_values() -> str:
+    return f"""WITH {curve_rows_cte()}
+SELECT series_id, year, {r('rr', 'r')}, {r('f', 'f')} FROM cv2"""
+
+
+def sql_curve_elasticity() -> str:
+    return f"""WITH {curve_rows_cte()}
+SELECT series_id, year, {r('rr', 'r')}, {r('elasticity', 'elasticity')} FROM cv2"""
+
+
+def sql_curve_inverse() -> str:
+    a, b, c, d, _, _ = _lg_consts()
+    return f"""WITH {curve_rows_cte()}
+SELECT series_id, year, {r('rr', 'r')}, {r('f', 'f')}, {r(inv_curve('f', a, b, c, d), 'r_back')} FROM cv2"""
+
+
+def sql_elasticity_threshold() -> str:
+    a, b, c, d, _, _ = _lg_consts()
+    return f"""WITH RECURSIVE {curve_rows_cte()},
+tg AS (SELECT series_id, avg(elasticity) AS target FROM cv2 GROUP BY series_id),
+{threshold_ctes('target', a, b, c, d, src='tg')}
+SELECT series_id, {r('tgt', 'target')}, {r('root', 'threshold')},
+       {r(elast('root', a, b, c, d), 'elasticity_at_threshold')} FROM th_root"""
+
+
+ORACLE.update({
+    "fit_logistic_price": sql_fit_logistic_price(),
+    "forecast_logistic_price": sql_forecast_logistic_price(),
+    "residual_band": sql_residual_band(),
+    "anchor_columns": sql_anchor_columns(),
+    "fit_income_index": sql_fit_income_index(),
+    "fit_income_index_ols": sql_fit_income_index_ols(),
+    "forecast_income_index": sql_forecast_income_index(),
+    "fit_blend": sql_fit_blend(),
+    "forecast_blend": sql_forecast_blend(),
+    "fit_implied_price": sql_fit_implied_price(),
+    "forecast_implied_price": sql_forecast_implied_price(),
+    "curve_values": sql_curve_values(),
+    "curve_elasticity": sql_curve_elasticity(),
+    "curve_inverse": sql_curve_inverse(),
+    "elasticity_threshold": sql_elasticity_threshold(),
+})

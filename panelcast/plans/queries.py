@@ -30,8 +30,124 @@ def q_forecast_linear_price(spark, sf_dir):
     return rounded(H.predict_linear_price(fits, HORIZON).select(*FC_OUT))
 
 
+def _fit_out(fits, *middle):
+    return rounded(flat_metrics(fits).select(*FIT_OUT[:5], *middle, *FIT_OUT[5:]))
+
+
+def q_fit_logistic_price(spark, sf_dir):
+    return _fit_out(M.fit_logistic_price(train_panel(spark, sf_dir)), "k1", "k2")
+
+
+def q_forecast_logistic_price(spark, sf_dir):
+    fits = M.fit_logistic_price(train_panel(spark, sf_dir))
+    return rounded(H.predict_logistic_price(fits, HORIZON).select(*FC_OUT))
+
+
+def q_residual_band(spark, sf_dir):
+    """B2: the residual-sigma band of the saturation model."""
+    fits = M.fit_logistic_price(train_panel(spark, sf_dir))
+    return rounded(H.predict_logistic_price(fits, HORIZON, monte_carlo_simulations=1).select(*FC_OUT))
+
+
+def q_anchor_columns(spark, sf_dir):
+    """A3: continuity anchor columns of the saturation model's forecast."""
+    fits = M.fit_logistic_price(train_panel(spark, sf_dir))
+    fc = H.predict_logistic_price(fits, HORIZON, with_anchor=True)
+    return rounded(fc.select("series_id", "model", "scenario_id", "year", "pred", "pred_raw", "pred_adjusted",
+                             "lower_adjusted", "upper_adjusted", "anchor_factor", "anchor_reference",
+                             "anchor_gap", "anchor_gap_pct", "anchor_applied"))
+
+
+def q_fit_income_index(spark, sf_dir):
+    return _fit_out(M.fit_linear_income_index(train_panel(spark, sf_dir)), "c1", "c2")
+
+
+def q_fit_income_index_ols(spark, sf_dir):
+    """M4 + M5: C1, C2 by least squares per series."""
+    fits = M.fit_linear_income_index(train_panel(spark, sf_dir), {"optimize_parameters": True})
+    return _fit_out(fits, "c1", "c2")
+
+
+def q_forecast_income_index(spark, sf_dir):
+    fits = M.fit_linear_income_index(train_panel(spark, sf_dir))
+    return rounded(H.predict_linear_income_index(fits, HORIZON).select(*FC_OUT))
+
+
+def q_fit_blend(spark, sf_dir):
+    fits = M.fit_trend_elasticity_blend(train_panel(spark, sf_dir))
+    return _fit_out(fits, "trend_slope", "trend_intercept", "elast_slope", "elast_intercept")
+
+
+def q_forecast_blend(spark, sf_dir):
+    fits = M.fit_trend_elasticity_blend(train_panel(spark, sf_dir))
+    return rounded(H.predict_trend_elasticity_blend(fits, HORIZON).select(*FC_OUT))
+
+
+def q_fit_implied_price(spark, sf_dir):
+    fits = M.fit_implied_price_logistic(train_panel(spark, sf_dir))
+    return _fit_out(fits, "calib_k1", "calib_k2", "last_t")
+
+
+def q_forecast_implied_price(spark, sf_dir):
+    fits = M.fit_implied_price_logistic(train_panel(spark, sf_dir))
+    return rounded(H.predict_implied_price_logistic(fits, HORIZON).select(*FC_OUT))
+
+
+def _curve_rows(spark, sf_dir):
+    from ..constants import LOGISTIC_PRICE_DEFAULTS as LP
+    from ..functions import curve as C
+    p = demand_panel(spark, sf_dir)
+    a, b, c, d = LP["distribution_a"], LP["distribution_b"], LP["k1"], LP["k2"]
+    rr = C.relative_price_index(F.col("price"), F.col("gdp"), LP["full_price_scale"])
+    rows = p.select("series_id", "year", rr.alias("r"))
+    return rows.select("*", C.saturation(F.col("r"), a, b, c, d).alias("f"),
+                       C.elasticity(F.col("r"), a, b, c, d).alias("elasticity")), (a, b, c, d)
+
+
+def q_curve_values(spark, sf_dir):
+    rows, _ = _curve_rows(spark, sf_dir)
+    return rounded(rows.select("series_id", "year", "r", "f"))
+
+
+def q_curve_elasticity(spark, sf_dir):
+    rows, _ = _curve_rows(spark, sf_dir)
+    return rounded(rows.select("series_id", "year", "r", "elasticity"))
+
+
+def q_curve_inverse(spark, sf_dir):
+    from ..functions import curve as C
+    rows, (a, b, c, d) = _curve_rows(spark, sf_dir)
+    return rounded(rows.select("series_id", "year", "r", "f",
+                               C.inverse_saturation(F.col("f"), a, b, c, d).alias("r_back")))
+
+
+def q_elasticity_threshold(spark, sf_dir):
+    """C4: per series, the index at which the curve reaches the series' mean
+    observed elasticity (solved by the bisection fold, once per series)."""
+    from ..functions import curve as C
+    rows, (a, b, c, d) = _curve_rows(spark, sf_dir)
+    tg = rows.groupBy("series_id").agg(F.avg("elasticity").alias("target"))
+    th = tg.select("series_id", "target", C.elasticity_threshold(F.col("target"), a, b, c, d).alias("threshold"))
+    return rounded(th.select("*", C.elasticity(F.col("threshold"), a, b, c, d).alias("elasticity_at_threshold")))
+
+
 QUERIES = {
     "demand_panel": q_demand_panel,
     "fit_linear_price": q_fit_linear_price,
     "forecast_linear_price": q_forecast_linear_price,
+    "fit_logistic_price": q_fit_logistic_price,
+    "forecast_logistic_price": q_forecast_logistic_price,
+    "residual_band": q_residual_band,
+    "anchor_columns": q_anchor_columns,
+    "fit_income_index": q_fit_income_index,
+    "fit_income_index_ols": q_fit_income_index_ols,
+    "forecast_income_index": q_forecast_income_index,
+    "fit_blend": q_fit_blend,
+    "forecast_blend": q_forecast_blend,
+    "fit_implied_price": q_fit_implied_price,
+    "forecast_implied_price": q_forecast_implied_price,
+    "curve_values": q_curve_values,
+    "curve_elasticity": q_curve_elasticity,
+    "curve_inverse": q_curve_inverse,
+    "elasticity_threshold": q_elasticity_threshold,
 }
