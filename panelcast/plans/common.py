@@ -21,6 +21,16 @@ def train_panel(spark: SparkSession, sf_dir: str, end: int = TRAIN_END) -> DataF
     return demand_panel(spark, sf_dir, max_year=end)
 
 
+def round_col(c, digits: int = DIGITS):
+    """Round half away from zero on the binary value: ``round(x 10^d) / 10^d``.
+
+    Spark's ``round(x, d)`` rounds the shortest decimal string of ``x``, which
+    differs from SQL engines that round the binary double on exact-looking
+    ties (averages of cents); this form gives the same digits in both."""
+    scale = float(10 ** digits)
+    return F.round(c * F.lit(scale)) / F.lit(scale)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS, overrides: dict[str, int] | None = None) -> DataFrame:
     """Round every DOUBLE column (``overrides`` gives per-column digits)."""
     overrides = overrides or {}
@@ -28,7 +38,7 @@ def rounded(df: DataFrame, digits: int = DIGITS, overrides: dict[str, int] | Non
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            cols.append(F.round(c, overrides.get(f.name, digits)).alias(f.name))
+            cols.append(round_col(c, overrides.get(f.name, digits)).alias(f.name))
         else:
             cols.append(c)
     return df.select(*cols)

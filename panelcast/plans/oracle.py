@@ -49,10 +49,11 @@ def panel_cte(end: int | None = TRAIN_END, name: str = "panel") -> str:
          CAST(year(o.o_orderdate) AS INTEGER) AS year,
          CAST(count(*) AS DOUBLE) AS actual,
          CAST(count(DISTINCT o.o_custkey) AS DOUBLE) AS population,
-         avg(o.o_totalprice) AS gdp,
-         sum(li.ext) / sum(li.qty) AS price
+         CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
+         CAST(sum(li.ext) AS DOUBLE) / CAST(sum(li.qty) AS DOUBLE) AS price
   FROM (SELECT * FROM orders {where}) o
-  LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS ext, sum(l_quantity) AS qty
+  LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS ext,
+                    sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty
              FROM lineitem GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   GROUP BY 1, 2)"""
@@ -501,3 +502,179 @@ ORACLE.update({
     "curve_inverse": sql_curve_inverse(),
     "elasticity_threshold": sql_elasticity_threshold(),
 })
+
+
+# --- table preparation -----------------------------------------------------------------
+
+PANEL_NUM = ["year", "actual", "population", "gdp", "price"]
+CP_NUM = ["actual", "population", "gdp", "price"]
+
+
+def customer_panel_cte(name: str = "cpanel") -> str:
+    return f"""{name} AS (
+  SELECT CAST(o.o_custkey AS BIGINT) AS series_id, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+         CAST(count(*) AS DOUBLE) AS actual, CAST(coalesce(sum(li.lines), 0) AS DOUBLE) AS population,
+         CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
+         CAST(sum(li.ext) AS DOUBLE) / CAST(sum(li.qty) AS DOUBLE) AS price
+  FROM orders o
+  LEFT JOIN (SELECT l_orderkey, count(*) AS lines, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS ext,
+                    sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty
+             FROM lineitem GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey
+  GROUP BY 1, 2)"""
+
+
+def _quartiles(cols, src, name, extra=""):
+    qs = ", ".join(
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.25) OVER (PARTITION BY series_id) AS q1_{c}, "
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.75) OVER (PARTITION BY series_id) AS q3_{c}" for c in cols)
+    return f"{name} AS (SELECT *, {qs}{extra} FROM {src})"
+
+
+def _outside(c, k):
+    return f"({c} < q1_{c} - {k} * (q3_{c} - q1_{c}) OR {c} > q3_{c} + {k} * (q3_{c} - q1_{c}))"
+
+
+def sql_panel_validation() -> str:
+    dup = ", coalesce(lag(year) OVER (PARTITION BY series_id ORDER BY year) = year, false) AS dup"
+    rules = [("null_year", "error", "count_if(year IS NULL)"),
+             ("null_actual", "error", "count_if(actual IS NULL)"),
+             ("negative_actual", "error", "count_if(actual < 0)"),
+             ("duplicate_years", "error", "count_if(dup)"),
+             ("year_not_integer", "error", "0"),
+             ("year_converted", "warning", "0")]
+    rules += [(f"outliers_{c}", "warning", f"count_if(coalesce({_outside(c, 3.0)}, false))") for c in PANEL_NUM]
+    parts = " UNION ALL ".join(
+        f"SELECT series_id, '{r_}' AS rule, '{s}' AS severity, CAST({e} AS BIGINT) AS n FROM b GROUP BY series_id"
+        for r_, s, e in rules)
+    return f"""WITH {panel_cte(None, 'panel_all')},
+{_quartiles(PANEL_NUM, 'panel_all', 'b', dup)}
+{parts}"""
+
+
+def _profile_parts(src: str, cols, valid_only: bool = False) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT series_id, '{c}' AS column, 'numeric' AS type, count(*) AS n_rows, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing, "
+            f"round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, "
+            f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM {src} GROUP BY series_id")
+    return " UNION ALL ".join(parts)
+
+
+def sql_panel_profile() -> str:
+    return f"""WITH {panel_cte(None, 'panel_all')}
+{_profile_parts('panel_all', PANEL_NUM)}"""
+
+
+def sql_validation_summary() -> str:
+    # Every derived series passes the error rules (no nulls, negatives or
+    # duplicate years by construction of the panel); checked in the CTE.
+    return f"""WITH {panel_cte(None, 'panel_all')},
+bad AS (SELECT series_id FROM panel_all GROUP BY series_id
+        HAVING count_if(year IS NULL) + count_if(actual IS NULL) + count_if(actual < 0)
+               + count(*) - count(DISTINCT year) > 0),
+ok AS (SELECT * FROM panel_all WHERE series_id NOT IN (SELECT series_id FROM bad)),
+prof AS ({_profile_parts('ok', PANEL_NUM)})
+SELECT series_id, "column", min, max, mean, std, n_missing AS missing FROM prof"""
+
+
+def sql_panel_iqr_outliers() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT series_id, '{c}' AS column, round(any_value(q1_{c}), 8) AS q1, round(any_value(q3_{c}), 8) AS q3, "
+        f"round(any_value(q1_{c} - 3.0 * (q3_{c} - q1_{c})), 8) AS lower, "
+        f"round(any_value(q3_{c} + 3.0 * (q3_{c} - q1_{c})), 8) AS upper, "
+        f"CAST(count_if(coalesce({_outside(c, 3.0)}, false)) AS BIGINT) AS n_outliers FROM b GROUP BY series_id"
+        for c in CP_NUM)
+    return f"""WITH {customer_panel_cte()},
+{_quartiles(CP_NUM, 'cpanel', 'b')}
+{parts}"""
+
+
+def _complete_years_cte(src: str = "cpanel", name: str = "cy") -> str:
+    return f"""span AS (SELECT series_id, min(year) AS y0, max(year) AS y1 FROM {src} GROUP BY series_id),
+grid AS (SELECT series_id, CAST(unnest(range(y0, y1 + 1)) AS INTEGER) AS year FROM span),
+{name} AS (SELECT g.series_id, g.year, p.actual, p.population, p.gdp, p.price
+           FROM grid g LEFT JOIN {src} p ON g.series_id = p.series_id AND g.year = p.year)"""
+
+
+def _impute_cte(src: str, name: str) -> str:
+    cols = ", ".join(f"coalesce({c}, median({c}) OVER (PARTITION BY series_id)) AS {c}" for c in CP_NUM)
+    return f"{name} AS (SELECT series_id, year, {cols} FROM {src})"
+
+
+def _winsor_cte(src: str, name: str) -> str:
+    counts = ", " + ", ".join(f"count({c}) OVER (PARTITION BY series_id) AS n_{c}" for c in CP_NUM)
+    clipped = ", ".join(
+        f"CASE WHEN n_{c} >= 4 AND {c} IS NOT NULL THEN least(greatest({c}, q1_{c} - 1.5 * (q3_{c} - q1_{c})), "
+        f"q3_{c} + 1.5 * (q3_{c} - q1_{c})) ELSE {c} END AS {c}" for c in CP_NUM)
+    return f"""{_quartiles(CP_NUM, src, name + '_q', counts)},
+{name} AS (SELECT series_id, year, {clipped} FROM {name}_q)"""
+
+
+def _round_cp(src: str, d: int = 4) -> str:
+    return f"SELECT series_id, year, {', '.join(r(c, c, d) for c in CP_NUM)} FROM {src}"
+
+
+def sql_panel_impute() -> str:
+    return f"""WITH {customer_panel_cte()},
+{_complete_years_cte()},
+{_impute_cte('cy', 'imp')}
+{_round_cp('imp')}"""
+
+
+def sql_panel_winsorize() -> str:
+    return f"""WITH {customer_panel_cte()},
+{_winsor_cte('cpanel', 'win')}
+{_round_cp('win', 8)}"""
+
+
+def sql_panel_clean() -> str:
+    return f"""WITH {customer_panel_cte()},
+{_complete_years_cte()},
+{_impute_cte('cy', 'imp')},
+dd AS (SELECT DISTINCT * FROM imp),
+{_winsor_cte('dd', 'win')}
+{_round_cp('win', 8)}"""
+
+
+def sql_panel_dedup() -> str:
+    return """SELECT DISTINCT o_custkey AS series_id, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status
+FROM orders"""
+
+
+def sql_model_compatibility() -> str:
+    names = {"actual_passengers": "actual", "population": "population", "gdp_per_capita": "gdp",
+             "ticket_price": "price"}
+    flags = ", ".join(f"bool_or({v} IS NOT NULL) AS has_{k}" for k, v in names.items())
+    parts = []
+    for m in K.MODEL_NAMES:
+        req = K.MODEL_REQUIREMENTS[m]
+        miss = ", ".join(f"CASE WHEN NOT has_{c} THEN '{c}' END" for c in req)
+        nmiss = " + ".join(f"CASE WHEN NOT has_{c} THEN 1 ELSE 0 END" for c in req)
+        parts.append(
+            f"SELECT series_id, '{m}' AS model, concat_ws(',', {miss}) AS missing_columns, "
+            f"round(({len(req)} - ({nmiss})) / {len(req)} * 100.0, 6) AS compatibility_score, "
+            f"({nmiss}) = 0 AS is_compatible FROM g")
+    return f"""WITH {panel_cte(None, 'panel_all')},
+g AS (SELECT series_id, {flags} FROM panel_all GROUP BY series_id)
+{' UNION ALL '.join(parts)}"""
+
+
+def sql_year_range() -> str:
+    return f"""WITH {panel_cte(None, 'panel_all')}
+SELECT series_id, CAST(min(year) AS INTEGER) AS first_year, CAST(max(year) AS INTEGER) AS last_year
+FROM panel_all WHERE year IS NOT NULL GROUP BY series_id"""
+
+
+ORACLE.update({
+    "panel_validation": sql_panel_validation(),
+    "panel_profile": sql_panel_profile(),
+    "validation_summary": sql_validation_summary(),
+    "panel_iqr_outliers": sql_panel_iqr_outliers(),
+    "panel_impute": sql_panel_impute(),
+    "panel_winsorize": sql_panel_winsorize(),
+    "panel_clean": sql_panel_clean(),
+    "panel_dedup": sql_panel_dedup(),
+    "model_compatibility": sql_model_compatibility(),
+    "year_range": sql_year_range(),
+})

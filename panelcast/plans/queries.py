@@ -151,3 +151,81 @@ QUERIES = {
     "curve_inverse": q_curve_inverse,
     "elasticity_threshold": q_elasticity_threshold,
 }
+
+
+# --- table preparation (D3–D14) ---------------------------------------------------
+
+def q_panel_validation(spark, sf_dir):
+    from ..operators import prepare as P
+    return P.validate_panel(demand_panel(spark, sf_dir))
+
+
+def q_panel_profile(spark, sf_dir):
+    from ..operators import prepare as P
+    prof = P.profile(demand_panel(spark, sf_dir))
+    return rounded(prof.select("series_id", "column", "type", "n_rows", "n_missing", "min", "max", "mean", "std"),
+                   overrides={"min": 4, "max": 4, "mean": 4, "std": 4})
+
+
+def q_validation_summary(spark, sf_dir):
+    from ..operators import prepare as P
+    p = demand_panel(spark, sf_dir)
+    return rounded(P.validation_summary(p, P.validate_panel(p)), overrides={"min": 4, "max": 4, "mean": 4, "std": 4})
+
+
+def q_panel_iqr_outliers(spark, sf_dir):
+    from ..operators import prepare as P
+    from ..sources.panel import customer_panel
+    return rounded(P.iqr_outliers(customer_panel(spark, sf_dir), ["actual", "population", "gdp", "price"], k=3.0),
+                   digits=8)
+
+
+def q_panel_impute(spark, sf_dir):
+    from ..operators import prepare as P
+    from ..sources.panel import customer_panel
+    return rounded(P.impute(P.complete_years(customer_panel(spark, sf_dir))), digits=4)
+
+
+def q_panel_winsorize(spark, sf_dir):
+    from ..operators import prepare as P
+    from ..sources.panel import customer_panel
+    return rounded(P.winsorize(customer_panel(spark, sf_dir)), digits=8)
+
+
+def q_panel_clean(spark, sf_dir):
+    from ..operators import prepare as P
+    from ..sources.panel import customer_panel
+    return rounded(P.clean_panel(P.complete_years(customer_panel(spark, sf_dir))), digits=8)
+
+
+def q_panel_dedup(spark, sf_dir):
+    """Distinct (customer, year, order status) rows of the order table."""
+    from ..operators import prepare as P
+    from ..sources.panel import read_table
+    o = read_table(spark, sf_dir, "orders")
+    return P.dedup(o.select(F.col("o_custkey").alias("series_id"), F.year("o_orderdate").cast("int").alias("year"),
+                            F.col("o_orderstatus").alias("status")))
+
+
+def q_model_compatibility(spark, sf_dir):
+    from ..operators import prepare as P
+    return rounded(P.model_compatibility(demand_panel(spark, sf_dir)))
+
+
+def q_year_range(spark, sf_dir):
+    from ..operators import prepare as P
+    return P.year_range(demand_panel(spark, sf_dir))
+
+
+QUERIES.update({
+    "panel_validation": q_panel_validation,
+    "panel_profile": q_panel_profile,
+    "validation_summary": q_validation_summary,
+    "panel_iqr_outliers": q_panel_iqr_outliers,
+    "panel_impute": q_panel_impute,
+    "panel_winsorize": q_panel_winsorize,
+    "panel_clean": q_panel_clean,
+    "panel_dedup": q_panel_dedup,
+    "model_compatibility": q_model_compatibility,
+    "year_range": q_year_range,
+})

@@ -17,6 +17,16 @@ from ..functions.draws import uniform
 PANEL_COLUMNS = ["series_id", "year", "actual", "population", "gdp", "price"]
 
 
+MONEY = "decimal(18,2)"
+
+
+def money_sum(c):
+    """Exact sum of a cents-valued column (DECIMAL): the result does not depend
+    on partitioning or summation order, so reruns and recomputed tasks agree
+    bit for bit."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(MONEY))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -49,12 +59,12 @@ def demand_panel(spark: SparkSession, sf_dir: str, max_year: int | None = None,
 
     per_order = (read_table(spark, sf_dir, "lineitem")
                  .groupBy("l_orderkey")
-                 .agg(F.sum("l_extendedprice").alias("ext"), F.sum("l_quantity").alias("qty")))
+                 .agg(money_sum("l_extendedprice").alias("ext"), money_sum("l_quantity").alias("qty")))
 
     per_cust_year = (orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
                      .groupBy("o_custkey", F.year("o_orderdate").alias("year"))
                      .agg(F.count(F.lit(1)).alias("n_orders"),
-                          F.sum("o_totalprice").alias("tp_sum"),
+                          money_sum("o_totalprice").alias("tp_sum"),
                           F.count("o_totalprice").alias("tp_n"),
                           F.sum("ext").alias("ext"),
                           F.sum("qty").alias("qty")))
@@ -66,8 +76,26 @@ def demand_panel(spark: SparkSession, sf_dir: str, max_year: int | None = None,
                            F.col("year").cast("int").alias("year"))
             .agg(F.sum("n_orders").cast("double").alias("actual"),
                  F.count(F.lit(1)).cast("double").alias("population"),
-                 F.try_divide(F.sum("tp_sum"), F.sum("tp_n")).alias("gdp"),
-                 F.try_divide(F.sum("ext"), F.sum("qty")).alias("price")))
+                 F.try_divide(F.sum("tp_sum").cast("double"), F.sum("tp_n").cast("double")).alias("gdp"),
+                 F.try_divide(F.sum("ext").cast("double"), F.sum("qty").cast("double")).alias("price")))
+
+
+def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finer panel with one series per customer: orders per year, line items
+    per year, average order total and average unit price. Customers skip years,
+    so gaps, skew and outliers are real — the input of the cleaning queries.
+    Lineitem is pre-aggregated per order before its shuffle."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    per_order = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+                 .agg(F.count(F.lit(1)).alias("lines"), money_sum("l_extendedprice").alias("ext"),
+                      money_sum("l_quantity").alias("qty")))
+    j = orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
+    return (j.groupBy(F.col("o_custkey").cast("bigint").alias("series_id"),
+                      F.year("o_orderdate").cast("int").alias("year"))
+            .agg(F.count(F.lit(1)).cast("double").alias("actual"),
+                 F.coalesce(F.sum("lines"), F.lit(0)).cast("double").alias("population"),
+                 F.try_divide(money_sum("o_totalprice").cast("double"), F.count("o_totalprice").cast("double")).alias("gdp"),
+                 F.try_divide(F.sum("ext").cast("double"), F.sum("qty").cast("double")).alias("price")))
 
 
 def training_window(panel: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
