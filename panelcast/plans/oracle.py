@@ -113,13 +113,15 @@ def common_fit_cols(extra: str | None = None) -> str:
             "any_value(ref_year) AS ref_year, any_value(ref_gdp) AS ref_gdp, any_value(ref_price) AS ref_price")
 
 
+def _base(base: bool, end: int | None) -> str:
+    return f"{panel_cte(end)},\n{ctx_cte()},\n" if base else ""
+
+
 # --- linear_price ---------------------------------------------------------------
 
-def linear_price_fit_ctes(c1: float = -0.5, c2: float = 0.5) -> str:
+def linear_price_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, end: int | None = TRAIN_END) -> str:
     pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
-    return f"""{panel_cte()},
-{ctx_cte()},
-lp_rows AS (SELECT *, greatest(0.0, {c1} * pn + {c2}) * population AS pred
+    return f"""{_base(base, end)}lp_rows AS (SELECT *, greatest(0.0, {c1} * pn + {c2}) * population AS pred
             FROM (SELECT *, {pn} AS pn FROM ctx)),
 lp_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM lp_rows)),
 lp_fit AS (
@@ -211,12 +213,10 @@ def _lg_consts():
             str(LP["full_price_scale"]), str(LP["full_penetration"]))
 
 
-def logistic_fit_ctes() -> str:
+def logistic_fit_ctes(base: bool = True, end: int | None = TRAIN_END) -> str:
     a, b, c, d, scale, pen = _lg_consts()
     pred = f"{pen} * population * {curve(f'{scale} * price / {gmax('gdp', '1e-10')}', a, b, c, d)}"
-    return f"""{panel_cte()},
-{ctx_cte()},
-lg_rows AS (SELECT *, {pred} AS pred FROM ctx),
+    return f"""{_base(base, end)}lg_rows AS (SELECT *, {pred} AS pred FROM ctx),
 lg_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {recent_factor()} AS factor FROM lg_rows)),
 lg_fit AS (
   SELECT series_id, 'logistic_price' AS model, {common_fit_cols()},
@@ -268,11 +268,9 @@ FROM ok"""
 
 # --- linear_income_index ----------------------------------------------------------
 
-def income_fit_ctes(c1: float = -0.5, c2: float = 0.5) -> str:
+def income_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, end: int | None = TRAIN_END) -> str:
     pn = clamp(f"ref_gdp / {gmax('gdp', '1e-8')}", "0.2", "3.0")
-    return f"""{panel_cte()},
-{ctx_cte()},
-ii_rows AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM ctx),
+    return f"""{_base(base, end)}ii_rows AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM ctx),
 ii_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM ii_rows)),
 ii_fit AS (
   SELECT series_id, 'linear_income_index' AS model, {common_fit_cols()},
@@ -321,14 +319,12 @@ def _price_ok(p: str) -> str:
     return f"({p} IS NOT NULL AND NOT isnan({p}) AND {p} > 0 AND {p} <> 'inf'::DOUBLE)"
 
 
-def blend_fit_ctes(weight: float = 0.5) -> str:
+def blend_fit_ctes(weight: float = 0.5, base: bool = True, end: int | None = TRAIN_END) -> str:
     dn = f"actual / {gmax('population', '1e-10')}"
     pn = f"(CASE WHEN {_price_ok('price')} THEN price ELSE ref_price END) / ref_price * (ref_gdp / {gmax('gdp', '1e-10')})"
     wt = clamp(str(weight), "0.0", "1.0")
     blend = f"{wt} * (ts * t + ti) + (1.0 - {wt}) * (es * pn + ei)"
-    return f"""{panel_cte()},
-{ctx_cte()},
-bl_a AS (SELECT *, {dn} AS dn, CAST(year - ref_year AS DOUBLE) AS t, {pn} AS pn FROM ctx),
+    return f"""{_base(base, end)}bl_a AS (SELECT *, {dn} AS dn, CAST(year - ref_year AS DOUBLE) AS t, {pn} AS pn FROM ctx),
 bl_b AS (SELECT *, regr_slope(dn, t) OVER {WA} AS ts, regr_intercept(dn, t) OVER {WA} AS ti,
                 regr_slope(dn, pn) OVER {WA} AS es, regr_intercept(dn, pn) OVER {WA} AS ei FROM bl_a),
 bl_c AS (SELECT *, greatest(0.0, {blend}) * population AS pred FROM bl_b),
@@ -409,14 +405,12 @@ def threshold_ctes(target: str, a: str, b: str, c: str, d: str, src: str | None
   FROM {prefix}_bis WHERE i = {K.BISECT_MAX_STEPS})"""
 
 
-def implied_fit_ctes() -> str:
+def implied_fit_ctes(base: bool = True, end: int | None = TRAIN_END) -> str:
     a, b, c, d = str(IP["distribution_a"]), str(IP["distribution_b"]), str(IP["k1"]), str(IP["k2"])
     s = f"(ref_gdp / {gmax('gdp', '1e-10')})"
     pp = f"(actual / {gmax('population', '1e-10')})"
     t = f"({inv_curve(f'{pp} / ck1', a, b, c, d)} / greatest(ck2 * {s}, 1e-12))"
-    return f"""{panel_cte()},
-{ctx_cte()},
-{threshold_ctes(str(IP['ref_elasticity']), a, b, c, d)},
+    return f"""{_base(base, end)}{threshold_ctes(str(IP['ref_elasticity']), a, b, c, d)},
 ip_k AS (SELECT root AS ck2, {curve('root', a, b, c, d)} AS fk2 FROM th_root),
 ip_a AS (SELECT ctx.*, ip_k.ck2,
                 (ref_actual / {gmax('ref_pop', '1e-10')}) / greatest(ip_k.fk2, 1e-12) AS ck1
@@ -678,3 +672,226 @@ ORACLE.update({
     "model_compatibility": sql_model_compatibility(),
     "year_range": sql_year_range(),
 })
+
+
+# --- generic per-model forecast CTEs ------------------------------------------------------
+
+PREFIX = {"linear_price": "lp", "logistic_price": "lg", "linear_income_index": "ii",
+          "trend_elasticity_blend": "bl", "implied_price_logistic": "ip"}
+SHARED = {"linear_price": False, "logistic_price": False, "linear_income_index": True,
+          "trend_elasticity_blend": True, "implied_price_logistic": True}
+
+
+def _pred_expr(model: str) -> str:
+    if model == "linear_price":
+        pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+        return f"greatest(0.0, c1 * {pn} + c2) * population * continuity"
+    if model == "logistic_price":
+        return (f"penetration * population * {curve(f'scale * price / {gmax('gdp', '1e-10')}', 'a', 'b', 'k1', 'k2')}"
+                " * continuity")
+    if model == "linear_income_index":
+        return f"greatest(0.0, c1 * (ref_gdp / {gmax('gdp', '1e-10')}) + c2) * population * continuity"
+    if model == "trend_elasticity_blend":
+        pn = (f"(CASE WHEN {_price_ok('price')} THEN price ELSE ref_price END) / ref_price * "
+              f"(ref_gdp / {gmax('gdp', '1e-10')})")
+        wt = clamp("trend_weight", "0.0", "1.0")
+        t = "CAST(year - ref_year AS DOUBLE)"
+        blend = f"{wt} * (trend_slope * {t} + trend_intercept) + (1.0 - {wt}) * (elast_slope * ({pn}) + elast_intercept)"
+        return f"greatest(0.0, {blend}) * population * continuity"
+    s_ = f"(model_ref_gdp / {gmax('gdp', '1e-10')})"
+    t = "(last_t * pow(1.0 + coalesce(scenario_fare_growth, fare_growth), h))"
+    return f"calib_k1 * population * {curve(f'calib_k2 * {t} * {s_}', 'a', 'b', 'k1', 'k2')}"
+
+
+def _fit_ctes(model: str, base: bool, end: int | None) -> str:
+    return {"linear_price": lambda: linear_price_fit_ctes(base=base, end=end),
+            "logistic_price": lambda: logistic_fit_ctes(base=base, end=end),
+            "linear_income_index": lambda: income_fit_ctes(base=base, end=end),
+            "trend_elasticity_blend": lambda: blend_fit_ctes(base=base, end=end),
+            "implied_price_logistic": lambda: implied_fit_ctes(base=base, end=end)}[model]()
+
+
+def model_fc_ctes(model: str, h: int = HORIZON, base: bool = True, end: int | None = TRAIN_END,
+                  scenarios: list[tuple] | None = None, with_fit: bool = True) -> str:
+    """Fit + forecast CTEs of one model: ``{px}_fit``, ``{px}_hz``, ``{px}_p``, ``{px}_fc``."""
+    px = PREFIX[model]
+    shared = SHARED[model]
+    lower = "greatest(0.0, pred * 0.8)" if shared else "pred * 0.8"
+    w = "(PARTITION BY series_id, model, scenario_id ORDER BY year)"
+    fit = _fit_ctes(model, base, end) + ",\n" if with_fit else ""
+    return f"""{fit}{horizon_cte(f'{px}_fit', name=f'{px}_hz', price_fallback=shared, h=h, scenarios=scenarios)},
+{px}_p AS (SELECT *, {_pred_expr(model)} AS pred FROM {px}_hz),
+{px}_fc AS (SELECT series_id, model, scenario_id, year, h, population, gdp, price, pred, {lower} AS lower,
+                   pred * 1.2 AS upper, {growth(not shared)} AS growth_rate, last_actual FROM {px}_p)"""
+
+
+def needs_recursive(models) -> bool:
+    return "implied_price_logistic" in models
+
+
+FIVE = ["logistic_price", "linear_price", "linear_income_index", "implied_price_logistic", "trend_elasticity_blend"]
+
+
+def fits_union(models=FIVE) -> str:
+    cols = "series_id, model, status, {0}"
+    parts = []
+    for m in models:
+        px = PREFIX[m]
+        parts.append(f"SELECT series_id, model, status, rmse, mae, r2, mape FROM {px}_fit")
+    return " UNION ALL ".join(parts)
+
+
+# --- evaluation -----------------------------------------------------------------------------
+
+SCEN3 = [("base", K.DEFAULT_GDP_GROWTH, K.DEFAULT_POP_GROWTH, K.DEFAULT_PRICE_INFLATION, None),
+         ("high", 0.04, 0.015, 0.01, None),
+         ("low", 0.01, 0.005, 0.03, None)]
+
+
+def _wrap(models, body: str) -> str:
+    return ("WITH RECURSIVE " if needs_recursive(models) else "WITH ") + body
+
+
+def sql_holdout_accuracy() -> str:
+    return _wrap([], f"""{model_fc_ctes('linear_price', h=2, end=HOLDOUT_END)},
+{panel_cte(None, 'panel_all')},
+pairs AS (SELECT f.series_id, f.model, f.pred, a.actual FROM lp_fc f
+          JOIN panel_all a ON f.series_id = a.series_id AND f.year = a.year)
+SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred')} FROM pairs GROUP BY series_id, model""")
+
+
+def _compare_cte(model: str = "logistic_price") -> str:
+    px = PREFIX[model]
+    return f"""{model_fc_ctes(model, h=2, end=HOLDOUT_END)},
+{panel_cte(None, 'panel_all')},
+cmp AS (SELECT f.series_id, f.model, f.year, f.pred AS prediction, a.actual AS expected,
+               f.pred - a.actual AS error, abs(f.pred - a.actual) AS abs_error,
+               CASE WHEN a.actual <> 0 THEN 100.0 * (f.pred - a.actual) / a.actual END AS pct_error
+        FROM {px}_fc f JOIN panel_all a ON f.series_id = a.series_id AND f.year = a.year)"""
+
+
+def sql_forecast_vs_expected() -> str:
+    return _wrap([], f"""{_compare_cte()}
+SELECT series_id, model, year, {r('prediction', 'prediction')}, {r('expected', 'expected')}, {r('error', 'error')},
+       {r('abs_error', 'abs_error')}, {r('pct_error', 'pct_error')} FROM cmp""")
+
+
+def sql_comparison_summary() -> str:
+    return _wrap([], f"""{_compare_cte()}
+SELECT series_id, model, count(*) AS n, {r('avg(abs_error)', 'mae')}, {r('sqrt(avg(error * error))', 'rmse')},
+       {r('avg(abs(pct_error))', 'mape')}, {r('max(abs_error)', 'max_abs_error')}
+FROM cmp WHERE prediction IS NOT NULL AND NOT isnan(prediction) AND expected IS NOT NULL AND NOT isnan(expected)
+GROUP BY series_id, model""")
+
+
+def _report_cte() -> str:
+    return f"""{model_fc_ctes('linear_price', h=3, end=HOLDOUT_END)},
+{panel_cte(None, 'panel_all')},
+rep AS (SELECT a.series_id, a.year, a.actual AS expected, f.pred AS forecast, abs(f.pred - a.actual) AS abs_error
+        FROM panel_all a LEFT JOIN lp_fc f ON a.series_id = f.series_id AND a.year = f.year)"""
+
+
+def sql_left_join_report() -> str:
+    return _wrap([], f"""{_report_cte()}
+SELECT series_id, year, {r('expected', 'expected')}, {r('forecast', 'forecast')}, {r('abs_error', 'abs_error')} FROM rep""")
+
+
+def sql_report_summary() -> str:
+    return _wrap([], f"""{_report_cte()}
+SELECT series_id, {r('avg(abs_error)', 'mae')}, {r('sqrt(avg(abs_error * abs_error))', 'rmse')},
+       {r('avg(CASE WHEN expected <> 0 THEN 100.0 * abs_error / abs(expected) END)', 'mape')}, count(*) AS n
+FROM rep WHERE abs_error IS NOT NULL GROUP BY series_id""")
+
+
+def _five_fc() -> str:
+    parts = [model_fc_ctes(FIVE[0])]
+    parts += [model_fc_ctes(m, base=False) for m in FIVE[1:]]
+    fits = " UNION ALL ".join(
+        f"SELECT series_id, model, status, rmse, mae, r2, mape FROM {PREFIX[m]}_fit" for m in FIVE)
+    fcs = " UNION ALL ".join(f"SELECT series_id, model, scenario_id, year, pred, lower, upper FROM {PREFIX[m]}_fc"
+                             for m in FIVE)
+    return ",\n".join(parts) + f""",
+allfits AS ({fits}),
+allfc AS ({fcs}),
+width AS (SELECT series_id, model, avg(upper - lower) AS interval_width FROM allfc WHERE scenario_id = 'base'
+          GROUP BY series_id, model)"""
+
+
+def sql_leaderboard() -> str:
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT f.series_id, f.model, f.status, f.rmse, f.mae, f.r2, f.mape, {r('w.interval_width', 'interval_width')},
+       CAST(rank() OVER (PARTITION BY f.series_id ORDER BY f.status ASC, f.rmse ASC NULLS LAST, f.model ASC) AS INTEGER) AS rank
+FROM allfits f LEFT JOIN width w ON f.series_id = w.series_id AND f.model = w.model""")
+
+
+def sql_interval_width() -> str:
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT series_id, model, 'base' AS scenario_id, {r('interval_width', 'interval_width')} FROM width""")
+
+
+def sql_best_model_per_series() -> str:
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT series_id, arg_min(model, (rmse, model)) AS best_model, min(rmse) AS best_rmse, count(*) AS n_models
+FROM allfits WHERE status = 'ok' GROUP BY series_id""")
+
+
+BT_CUTOFFS = [1997, 1998, 1999]
+BT_H = 2
+
+
+def _backtest_cte() -> str:
+    c1, c2 = -0.5, 0.5
+    pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+    cut = ", ".join(f"({c})" for c in BT_CUTOFFS)
+    wa = "(PARTITION BY series_id, cutoff ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    wr = "(PARTITION BY series_id, cutoff ORDER BY year)"
+    return f"""{panel_cte(TRAIN_END)},
+folds AS (SELECT p.*, c.cutoff FROM panel p JOIN (VALUES {cut}) c(cutoff) ON p.year <= c.cutoff),
+bctx AS (SELECT *, first_value(gdp) OVER {wa} AS ref_gdp, first_value(price) OVER {wa} AS ref_price,
+                CAST(row_number() OVER {wr} AS INTEGER) AS w FROM folds),
+b1 AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM bctx),
+b2 AS (SELECT *, CASE WHEN sum(w * pred) OVER {wa} > 0 THEN sum(w * actual) OVER {wa} / sum(w * pred) OVER {wa}
+                 ELSE 1.0 END AS factor FROM b1),
+bfit AS (SELECT series_id, cutoff, max(year) AS last_year, arg_max(population, year) AS last_pop,
+                arg_max(gdp, year) AS last_gdp, arg_max(price, year) AS last_price,
+                any_value(ref_gdp) AS ref_gdp, any_value(ref_price) AS ref_price, any_value(factor) AS continuity,
+                count(*) AS n, max(CASE WHEN w > 1 AND 0 = 1 THEN 1 ELSE 0 END) AS dup
+         FROM b2 GROUP BY series_id, cutoff HAVING count(*) >= 3),
+bhz AS (SELECT f.*, hh.h, CAST(f.last_year + hh.h AS INTEGER) AS year,
+               f.last_pop * pow(1.01, hh.h) AS fpop, f.last_gdp * pow(1.03, hh.h) AS fgdp,
+               f.last_price * pow(1.02, hh.h) AS fprice
+        FROM bfit f CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(1, {BT_H + 1})) hh),
+bp AS (SELECT series_id, cutoff, year,
+              greatest(0.0, {c1} * {clamp('(fprice / fgdp) * (ref_gdp / ref_price)', '0.2', '3.0')} + {c2}) * fpop * continuity AS pred
+       FROM bhz),
+bt AS (SELECT p.series_id, 'linear_price' AS model, p.cutoff, p.year, a.actual, p.pred, a.actual - p.pred AS error,
+              CASE WHEN a.actual <> 0 THEN abs((a.actual - p.pred) / a.actual) * 100.0 END AS ape
+       FROM bp p JOIN panel a ON p.series_id = a.series_id AND p.year = a.year)"""
+
+
+def sql_rolling_backtest() -> str:
+    return f"""WITH {_backtest_cte()}
+SELECT series_id, model, cutoff, year, {r('actual', 'actual')}, {r('pred', 'pred')}, {r('error', 'error')},
+       {r('ape', 'ape')} FROM bt"""
+
+
+def sql_backtest_summary() -> str:
+    return f"""WITH {_backtest_cte()},
+pf AS (SELECT series_id, model, cutoff, sqrt(avg(error * error)) AS fold_rmse FROM bt GROUP BY 1, 2, 3),
+st AS (SELECT series_id, model, count(*) AS n_folds, stddev_samp(fold_rmse) AS stability FROM pf GROUP BY 1, 2),
+po AS (SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred')} FROM bt GROUP BY 1, 2)
+SELECT po.*, st.n_folds, {r('st.stability', 'stability')} FROM po JOIN st USING (series_id, model)"""
+
+
+ORACLE.update({
+    "holdout_accuracy": sql_holdout_accuracy(),
+    "forecast_vs_expected": sql_forecast_vs_expected(),
+    "comparison_summary": sql_comparison_summary(),
+    "left_join_report": sql_left_join_report(),
+    "report_summary": sql_report_summary(),
+    "leaderboard": sql_leaderboard(),
+    "interval_width": sql_interval_width(),
+    "best_model_per_series": sql_best_model_per_series(),
+    "rolling_backtest": sql_rolling_backtest(),
+    "backtest_summary": sql_backtest_summary(),
+})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import horizon as H
 from ..operators import models as M
-from .common import HORIZON, flat_metrics, rounded, train_panel
+from .common import HOLDOUT_END, HORIZON, flat_metrics, rounded, train_panel
 from ..sources.panel import demand_panel
 
 FIT_OUT = ["series_id", "model", "status", "n_years", "last_year", "continuity", "mae", "mse", "rmse", "mape", "r2"]
@@ -229,3 +229,105 @@ QUERIES.update({
     "model_compatibility": q_model_compatibility,
     "year_range": q_year_range,
 })
+
+
+# --- evaluation (E1–E13) -------------------------------------------------------------
+
+def _holdout_fc(spark, sf_dir, model, h):
+    from .forecast import forecast
+    return forecast(train_panel(spark, sf_dir, end=HOLDOUT_END), model, horizon=h)
+
+
+def q_holdout_accuracy(spark, sf_dir):
+    """E2 + E1: linear price model trained to 1998, scored on 1999–2000."""
+    from ..operators import evaluate as E
+    _, fc = _holdout_fc(spark, sf_dir, "linear_price", 2)
+    pairs = E.holdout_pairs(fc, demand_panel(spark, sf_dir))
+    return rounded(E.accuracy_metrics(pairs))
+
+
+def _compare(spark, sf_dir):
+    from ..operators import evaluate as E
+    _, fc = _holdout_fc(spark, sf_dir, "logistic_price", 2)
+    expected = demand_panel(spark, sf_dir).select("series_id", "year", F.col("actual").alias("expected"))
+    return E.compare_forecast(fc, expected)
+
+
+def q_forecast_vs_expected(spark, sf_dir):
+    """Forecast ⋈ expected on (series, year), shift 0."""
+    return rounded(_compare(spark, sf_dir))
+
+
+def q_comparison_summary(spark, sf_dir):
+    from ..operators import evaluate as E
+    return rounded(E.comparison_summary(_compare(spark, sf_dir)))
+
+
+def _report(spark, sf_dir):
+    from ..operators import evaluate as E
+    _, fc = _holdout_fc(spark, sf_dir, "linear_price", 3)
+    return E.left_join_report(demand_panel(spark, sf_dir), fc)
+
+
+def q_left_join_report(spark, sf_dir):
+    """E5: expected ⟕ forecast by (series, year)."""
+    return rounded(_report(spark, sf_dir))
+
+
+def q_report_summary(spark, sf_dir):
+    from ..operators import evaluate as E
+    return rounded(E.report_summary(_report(spark, sf_dir)))
+
+
+def _five(spark, sf_dir):
+    from .forecast import compare_models
+    return compare_models(train_panel(spark, sf_dir), horizon=HORIZON)
+
+
+def q_leaderboard(spark, sf_dir):
+    """Five models per series, ranked by (status, rmse, model)."""
+    from ..operators import evaluate as E
+    fits, fc = _five(spark, sf_dir)
+    lb = E.leaderboard(fits, fc)
+    return rounded(lb.select("series_id", "model", "status", "rmse", "mae", "r2", "mape", "interval_width", "rank"))
+
+
+def q_interval_width(spark, sf_dir):
+    from ..operators import evaluate as E
+    _, fc = _five(spark, sf_dir)
+    return rounded(E.interval_width(fc.where(F.col("scenario_id") == "base")))
+
+
+def q_best_model_per_series(spark, sf_dir):
+    from ..operators import evaluate as E
+    fits, _ = _five(spark, sf_dir)
+    return rounded(E.best_model_per_series(fits))
+
+
+BT_CUTOFFS = [1997, 1998, 1999]
+
+
+def q_rolling_backtest(spark, sf_dir):
+    """Rolling-origin backtest, all folds in one grouped job."""
+    from ..operators import evaluate as E
+    return rounded(E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", BT_CUTOFFS, 2))
+
+
+def q_backtest_summary(spark, sf_dir):
+    from ..operators import evaluate as E
+    folds = E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", BT_CUTOFFS, 2)
+    return rounded(E.backtest_summary(folds))
+
+
+QUERIES.update({
+    "holdout_accuracy": q_holdout_accuracy,
+    "forecast_vs_expected": q_forecast_vs_expected,
+    "comparison_summary": q_comparison_summary,
+    "left_join_report": q_left_join_report,
+    "report_summary": q_report_summary,
+    "leaderboard": q_leaderboard,
+    "interval_width": q_interval_width,
+    "best_model_per_series": q_best_model_per_series,
+    "rolling_backtest": q_rolling_backtest,
+    "backtest_summary": q_backtest_summary,
+})
