@@ -67,9 +67,11 @@ def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optim
     per_series = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("year", "rho", "population", "actual"))).alias("_rows"))
     # Squared error of every (cell, row), once per series: array<array<double>>.
-    e2 = F.transform(grid_col, lambda cell: F.transform(
-        F.col("_rows"), lambda x: F.pow(x["actual"] - x["population"] * C.saturation(x["rho"], a, b, cell["k1"], cell["k2"]),
-                                        F.lit(2.0))))
+    def sq_err(x, cell):
+        e = x["actual"] - x["population"] * C.saturation(x["rho"], a, b, cell["k1"], cell["k2"])
+        return e * e
+
+    e2 = F.transform(grid_col, lambda cell: F.transform(F.col("_rows"), lambda x: sq_err(x, cell)))
     matrix = per_series.select(*keys, e2.alias("_e2"))
     # Draws: one hash per (series, sim, slot), computed once and collected per
     # (series, block of simulations); groups are bounded by n and SIM_BLOCK.

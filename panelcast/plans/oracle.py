@@ -95,14 +95,15 @@ def status_expr(extra: str | None = None) -> str:
             f"WHEN count(*) < {K.RECENT_MIN_YEARS} THEN 'too_short'{mid} ELSE 'ok' END")
 
 
-def metric_cols(actual: str = "actual", pred: str = "adj") -> str:
+def metric_cols(actual: str = "actual", pred: str = "adj", rounding: bool = True) -> str:
     e = f"({actual} - {pred})"
     mse = f"avg({e} * {e})"
     sst = f"(var_pop({actual}) * count(*))"
+    rr = r if rounding else (lambda x, a: f"{x} AS {a}")
     return ", ".join([
-        r(f"avg(abs({e}))", "mae"), r(mse, "mse"), r(f"sqrt({mse})", "rmse"),
-        r(f"avg(abs({e} / ({actual} + {K.MAPE_EPS}))) * 100.0", "mape"),
-        r(f"CASE WHEN {sst} = 0 THEN 0.0 ELSE 1.0 - sum({e} * {e}) / {sst} END", "r2"),
+        rr(f"avg(abs({e}))", "mae"), rr(mse, "mse"), rr(f"sqrt({mse})", "rmse"),
+        rr(f"avg(abs({e} / ({actual} + {K.MAPE_EPS}))) * 100.0", "mape"),
+        rr(f"CASE WHEN {sst} = 0 THEN 0.0 ELSE 1.0 - sum({e} * {e}) / {sst} END", "r2"),
     ])
 
 
@@ -895,3 +896,289 @@ ORACLE.update({
     "rolling_backtest": sql_rolling_backtest(),
     "backtest_summary": sql_backtest_summary(),
 })
+
+
+# --- drivers, scenarios, growth ------------------------------------------------------------
+
+def _drivers_select(src: str) -> str:
+    return (f"SELECT series_id, scenario_id, year, {r('population', 'population')}, {r('gdp', 'gdp')}, "
+            f"{r('price', 'price')} FROM {src}")
+
+
+def sql_future_drivers() -> str:
+    return f"""WITH {linear_price_fit_ctes()},
+{horizon_cte('lp_fit')}
+{_drivers_select('hz')}"""
+
+
+def sql_scenario_drivers() -> str:
+    return f"""WITH {linear_price_fit_ctes()},
+{horizon_cte('lp_fit', scenarios=SCEN3)}
+{_drivers_select('hz')}"""
+
+
+def sql_driver_path_override() -> str:
+    return f"""WITH RECURSIVE {implied_fit_ctes()},
+{panel_cte(None, 'panel_all')},
+path AS (SELECT series_id, year, population, gdp FROM panel_all WHERE year >= 2001),
+{horizon_cte('ip_fit', name='hz0', price_fallback=True)},
+hz AS (SELECT hz0.* REPLACE (coalesce(path.population, hz0.population) AS population,
+                             coalesce(path.gdp, hz0.gdp) AS gdp)
+       FROM hz0 LEFT JOIN path ON hz0.series_id = path.series_id AND hz0.year = path.year),
+ip_p AS (SELECT *, {_pred_expr('implied_price_logistic')} AS pred FROM hz)
+{forecast_select('ip_p', shared=True)}"""
+
+
+def sql_growth_rates() -> str:
+    return f"""WITH {model_fc_ctes('linear_price')},
+{model_fc_ctes('trend_elasticity_blend', base=False)}
+SELECT series_id, model, year, {r('pred', 'pred')}, {r('growth_rate', 'growth_rate')} FROM lp_fc
+UNION ALL
+SELECT series_id, model, year, {r('pred', 'pred')}, {r('growth_rate', 'growth_rate')} FROM bl_fc"""
+
+
+def _tg_cte() -> str:
+    return f"""{model_fc_ctes('linear_price', scenarios=SCEN3)},
+tg AS (SELECT series_id, model, scenario_id, count(*) AS n_points, arg_min(pred, year) AS first_pred,
+              arg_max(pred, year) AS last_pred, min(year) AS first_year, max(year) AS last_year
+       FROM lp_fc GROUP BY series_id, model, scenario_id)"""
+
+
+def _tg_cols() -> str:
+    g = "CASE WHEN n_points >= 2 AND first_pred > 0 THEN 100.0 * (last_pred / first_pred - 1.0) END"
+    return (f"series_id, model, scenario_id, n_points, {r('first_pred', 'first_pred')}, {r('last_pred', 'last_pred')}, "
+            f"{r(g, 'total_growth_pct')}")
+
+
+def sql_total_growth() -> str:
+    return f"""WITH {_tg_cte()}
+SELECT {_tg_cols()} FROM tg"""
+
+
+def sql_scenario_summary() -> str:
+    return f"""WITH {_tg_cte()}
+SELECT first_year, last_year, {_tg_cols()} FROM tg"""
+
+
+SWEEP_VALUES = [-0.6, -0.5, -0.4, -0.3]
+
+
+def sql_sensitivity_sweep() -> str:
+    pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+    vals = ", ".join(f"({i}, CAST({v} AS DOUBLE))" for i, v in enumerate(SWEEP_VALUES))
+    part = "PARTITION BY series_id, vi ORDER BY year"
+    wa = f"({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""WITH {panel_cte()},
+fan AS (SELECT p.*, v.vi, v.value FROM panel p CROSS JOIN (VALUES {vals}) v(vi, value)),
+sx AS (SELECT *, first_value(gdp) OVER {wa} AS ref_gdp, first_value(price) OVER {wa} AS ref_price,
+              CAST(row_number() OVER ({part}) AS INTEGER) AS w FROM fan),
+s1 AS (SELECT *, greatest(0.0, value * {pn} + 0.5) * population AS pred FROM sx),
+s2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, CASE WHEN sum(w * pred) OVER {wa} > 0
+          THEN sum(w * actual) OVER {wa} / sum(w * pred) OVER {wa} ELSE 1.0 END AS factor FROM s1)),
+sfit AS (SELECT series_id, vi, any_value(value) AS value, max(year) AS last_year,
+                arg_max(population, year) AS last_pop, arg_max(gdp, year) AS last_gdp,
+                arg_max(price, year) AS last_price, any_value(ref_gdp) AS ref_gdp, any_value(ref_price) AS ref_price,
+                any_value(factor) AS continuity, {metric_cols(rounding=False)} FROM s2 GROUP BY series_id, vi),
+sh AS (SELECT f.*, CAST(f.last_year + hh.h AS INTEGER) AS year, f.last_pop * pow(1.01, hh.h) AS fpop,
+              f.last_gdp * pow(1.03, hh.h) AS fgdp, f.last_price * pow(1.02, hh.h) AS fprice
+       FROM sfit f CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(1, 11)) hh),
+sp AS (SELECT *, greatest(0.0, value * {clamp('(fprice / fgdp) * (ref_gdp / ref_price)', '0.2', '3.0')} + 0.5)
+                 * fpop * continuity AS pred FROM sh),
+fin AS (SELECT series_id, vi, any_value(value) AS value, arg_max(pred, year) AS final_prediction,
+               any_value(rmse) AS rmse FROM sp GROUP BY series_id, vi),
+imp AS (SELECT *, first_value(final_prediction) OVER (PARTITION BY series_id ORDER BY vi
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM fin)
+SELECT series_id, 'linear_price' AS model, 'C1' AS parameter, {r('value', 'value')},
+       {r('final_prediction', 'final_prediction')},
+       {r('CASE WHEN base <> 0 THEN 100.0 * (final_prediction - base) / base END', 'impact_pct')},
+       {r('rmse', 'rmse')} FROM imp"""
+
+
+# --- calibration and bootstrap --------------------------------------------------------------
+
+def _cal_rows_cte(src: str = "panel") -> str:
+    _, _, _, _, scale, _ = _lg_consts()
+    return f"""cr AS (SELECT series_id, {scale} * price / {gmax('gdp', '1e-10')} AS rr, population AS pop, actual AS act
+       FROM {src})"""
+
+
+def sql_grid_calibration() -> str:
+    a, b, c0, d0, _, _ = _lg_consts()
+    n1, n2 = 41, 30
+    k1 = f"({K.CALIB_K1_LO} + CAST(floor(i / {n2}) AS DOUBLE) * (({K.CALIB_K1_HI} - ({K.CALIB_K1_LO})) / {float(n1 - 1)}))"
+    k2 = f"({K.CALIB_K2_LO} + CAST(i % {n2} AS DOUBLE) * (({K.CALIB_K2_HI} - {K.CALIB_K2_LO}) / {float(n2 - 1)}))"
+    fexpr = curve("rr", a, b, "k1", "k2")
+    return f"""WITH {panel_cte()},
+{_cal_rows_cte()},
+cells AS (SELECT CAST({k1} AS DOUBLE) AS k1, CAST({k2} AS DOUBLE) AS k2 FROM range(0, {n1 * n2}) t(i)
+          UNION ALL SELECT CAST({c0} AS DOUBLE), CAST({d0} AS DOUBLE)),
+sse AS (SELECT series_id, k1, k2, sum((act - pop * {fexpr}) * (act - pop * {fexpr})) AS sse
+        FROM cr CROSS JOIN cells GROUP BY series_id, k1, k2),
+best AS (SELECT series_id, min((round(sse, 6), k1, k2)) AS b FROM sse GROUP BY series_id),
+st AS (SELECT series_id, sum((act - pop * {curve('rr', a, b, c0, d0)}) * (act - pop * {curve('rr', a, b, c0, d0)})) AS sse_start
+       FROM cr GROUP BY series_id)
+SELECT best.series_id, {r('b[2]', 'k1')}, {r('b[3]', 'k2')}, {r('b[1]', 'sse')}, {r('sse_start', 'sse_start')}
+FROM best JOIN st ON best.series_id = st.series_id"""
+
+
+BOOT_SIMS = 200
+BOOT_SEED = 42
+
+
+def _u(*parts: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def bootstrap_ctes() -> str:
+    BP = K.BOOTSTRAP_DEFAULTS
+    a, b = str(BP["distribution_a"]), str(BP["distribution_b"])
+    n1, n2 = K.BOOT_K1_N, K.BOOT_K2_N
+    k1 = (f"({K.BOOT_K1_LO} + (CAST(floor(i / {n2}) AS DOUBLE) * {K.BOOT_K1_HI - K.BOOT_K1_LO}) / {float(n1 - 1)})")
+    k2 = (f"({K.BOOT_K2_LO} + (CAST(i % {n2} AS DOUBLE) * {K.BOOT_K2_HI - K.BOOT_K2_LO}) / {float(n2 - 1)})")
+    rho = f"(price / ref_price) * (ref_gdp / {gmax('gdp', '1e-10')})"
+    fk = curve("rho", a, b, "g.k1", "g.k2")
+    return f"""{panel_cte()},
+{ctx_cte()},
+br AS (SELECT *, {rho} AS rho FROM ctx),
+grid AS (SELECT CAST(i AS INTEGER) AS ci, {k1} AS k1, {k2} AS k2 FROM range(0, {n1 * n2}) t(i)),
+e2 AS (SELECT br.series_id, br.w, g.ci, (actual - population * {fk}) * (actual - population * {fk}) AS e2
+       FROM br CROSS JOIN grid g),
+draws AS (SELECT s.series_id, s.n, sim.sim, slot.slot,
+                 CAST(floor({_u('s.series_id', 'sim.sim', 'slot.slot', str(BOOT_SEED))} * s.n) + 1 AS INTEGER) AS idx
+          FROM (SELECT series_id, count(*) AS n FROM panel GROUP BY series_id) s
+          CROSS JOIN (SELECT CAST(range AS INTEGER) AS sim FROM range(1, {BOOT_SIMS + 1})) sim
+          CROSS JOIN (SELECT CAST(range AS INTEGER) AS slot FROM range(1, 1000)) slot
+          WHERE slot.slot <= s.n),
+sse AS (SELECT d.series_id, d.sim, e.ci, round(sum(e.e2), 6) AS sse
+        FROM draws d JOIN e2 e ON d.series_id = e.series_id AND d.idx = e.w GROUP BY d.series_id, d.sim, e.ci),
+win AS (SELECT series_id, sim, arg_min(ci, (sse, ci)) AS ci FROM sse GROUP BY series_id, sim),
+samples AS (SELECT w.series_id, w.sim, g.k1, g.k2 FROM win w JOIN grid g ON w.ci = g.ci),
+dist AS (SELECT series_id, avg(k1) AS k1m, avg(k2) AS k2m, stddev_samp(k1) AS k1_std, stddev_samp(k2) AS k2_std
+         FROM samples GROUP BY series_id),
+bf1 AS (SELECT br.*, d.k1m, d.k2m, population * {curve('rho', a, b, 'd.k1m', 'd.k2m')} AS pred
+        FROM br JOIN dist d ON br.series_id = d.series_id),
+bf2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {recent_factor()} AS factor FROM bf1)),
+bf3 AS (SELECT *, (actual - adj) - avg(actual - adj) OVER (PARTITION BY series_id) AS resid FROM bf2),
+bfit AS (SELECT series_id, 'bootstrap_logistic' AS model, {common_fit_cols()},
+                any_value(k1m) AS k1, any_value(k2m) AS k2, any_value(factor) AS continuity, {metric_cols()}
+         FROM bf3 GROUP BY series_id)"""
+
+
+def sql_bootstrap_fit() -> str:
+    return f"""WITH {bootstrap_ctes()}
+SELECT {FIT_SELECT}, {r('k1', 'k1')}, {r('k2', 'k2')}, {r('d.k1_std', 'k1_std')}, {r('d.k2_std', 'k2_std')}, {FIT_TAIL}
+FROM bfit JOIN dist d USING (series_id)"""
+
+
+def sql_bootstrap_forecast() -> str:
+    BP = K.BOOTSTRAP_DEFAULTS
+    a, b = str(BP["distribution_a"]), str(BP["distribution_b"])
+    rho = f"(price / ref_price) * (ref_gdp / {gmax('gdp', '1e-10')})"
+    ridx = f"CAST(floor({_u('s.series_id', 's.sim', 'h', str(BOOT_SEED), chr(39) + 'resid' + chr(39))} * n_years) + 1 AS INTEGER)"
+    w = "(PARTITION BY series_id, model, scenario_id ORDER BY year)"
+    return f"""WITH {bootstrap_ctes()},
+{horizon_cte('bfit', name='bhz')},
+bs0 AS (SELECT hz.*, s.sim, s.k1 AS sk1, s.k2 AS sk2, {ridx} AS ridx
+        FROM bhz hz JOIN samples s ON hz.series_id = s.series_id),
+bs AS (SELECT series_id, model, scenario_id, year, population, gdp, price, sim, ridx,
+              population * {curve(rho, a, b, 'sk1', 'sk2')} * continuity AS base_pred FROM bs0),
+bsp AS (SELECT bs.*, greatest(0.0, bs.base_pred + r.resid) AS pred
+        FROM bs JOIN bf3 r ON bs.series_id = r.series_id AND bs.ridx = r.w),
+agg AS (SELECT series_id, model, scenario_id, year, any_value(population) AS population, any_value(gdp) AS gdp,
+               any_value(price) AS price, avg(pred) AS pred, quantile_cont(pred, 0.05) AS lower,
+               quantile_cont(pred, 0.95) AS upper, quantile_cont(pred, 0.25) AS q25, quantile_cont(pred, 0.75) AS q75
+        FROM bsp GROUP BY series_id, model, scenario_id, year)
+SELECT series_id, model, scenario_id, year, {r('population', 'population')}, {r('gdp', 'gdp')}, {r('price', 'price')},
+       {r('pred', 'pred')}, {r('lower', 'lower')}, {r('upper', 'upper')}, {r('q25', 'q25')}, {r('q75', 'q75')},
+       {r(f'CASE WHEN lag(pred) OVER {w} IS NULL THEN 0.0 WHEN lag(pred) OVER {w} = 0 THEN NULL ELSE (pred - lag(pred) OVER {w}) / lag(pred) OVER {w} * 100.0 END', 'growth_rate')},
+       'bootstrap_q05_q95' AS band_type
+FROM agg"""
+
+
+# --- parameter noise -------------------------------------------------------------------------
+
+NOISE_SIMS = 100
+
+
+def _noise_ctes() -> str:
+    LPD = K.LOGISTIC_PRICE_DEFAULTS
+    names = ["k1", "k2", "distribution_a", "distribution_b", "full_price_scale", "full_penetration"]
+    nz = ", ".join(
+        f"CAST({LPD[n]} AS DOUBLE) * (1.0 + 0.1 * (2.0 * {_u('p.series_id', 's.sim', chr(39) + n + chr(39), '42')} - 1.0)) AS {n}"
+        for n in names)
+    part = "PARTITION BY series_id, sim ORDER BY year"
+    wa = f"({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    k = f"greatest(3, CAST(floor(n * 0.2) AS INTEGER))"
+    rec = f"w > n - {k}"
+    fx = curve(f"full_price_scale * price / {gmax('gdp', '1e-10')}", "distribution_a", "distribution_b", "k1", "k2")
+    ffx = curve(f"full_price_scale * fprice / {gmax('fgdp', '1e-10')}", "distribution_a", "distribution_b", "k1", "k2")
+    return f"""{panel_cte()},
+fan AS (SELECT p.*, s.sim, {nz} FROM panel p CROSS JOIN (SELECT CAST(range AS INTEGER) AS sim FROM range(1, {NOISE_SIMS + 1})) s),
+nx AS (SELECT *, CAST(count(*) OVER {wa} AS INTEGER) AS n, CAST(row_number() OVER ({part}) AS INTEGER) AS w FROM fan),
+n1 AS (SELECT *, full_penetration * population * {fx} AS pred FROM nx),
+n2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, CASE WHEN sum(CASE WHEN {rec} THEN pred END) OVER {wa} > 0 THEN
+          sum(CASE WHEN {rec} THEN actual END) OVER {wa} / sum(CASE WHEN {rec} THEN pred END) OVER {wa} ELSE 1.0 END
+          AS factor FROM n1)),
+nfit AS (SELECT series_id, sim, CASE WHEN count(*) < 3 THEN 'too_short' ELSE 'ok' END AS status,
+                max(year) AS last_year, arg_max(population, year) AS last_pop, arg_max(gdp, year) AS last_gdp,
+                arg_max(price, year) AS last_price, any_value(k1) AS k1, any_value(k2) AS k2,
+                any_value(distribution_a) AS distribution_a, any_value(distribution_b) AS distribution_b,
+                any_value(full_price_scale) AS full_price_scale, any_value(full_penetration) AS full_penetration,
+                any_value(factor) AS continuity, {metric_cols(rounding=False)}
+         FROM n2 GROUP BY series_id, sim),
+nh AS (SELECT f.*, CAST(f.last_year + hh.h AS INTEGER) AS year, f.last_pop * pow(1.01, hh.h) AS fpop,
+              f.last_gdp * pow(1.03, hh.h) AS fgdp, f.last_price * pow(1.02, hh.h) AS fprice
+       FROM nfit f CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(1, {HORIZON + 1})) hh
+       WHERE f.status = 'ok'),
+np AS (SELECT *, full_penetration * fpop * {ffx} * continuity AS pred FROM nh)"""
+
+
+def sql_param_noise_mc() -> str:
+    return f"""WITH {_noise_ctes()}
+SELECT series_id, count(*) AS n_simulations, count_if(status = 'ok') AS n_ok, {r('avg(r2)', 'mean_r2')},
+       {r('avg(rmse)', 'mean_rmse')} FROM nfit GROUP BY series_id"""
+
+
+def sql_param_noise_forecast() -> str:
+    return f"""WITH {_noise_ctes()}
+SELECT series_id, 'logistic_price' AS model, 'base' AS scenario_id, year, count(*) AS n_sims,
+       {r('avg(pred)', 'mean_pred')}, {r('quantile_cont(pred, 0.05)', 'q05')}, {r('quantile_cont(pred, 0.5)', 'q50')},
+       {r('quantile_cont(pred, 0.95)', 'q95')}
+FROM np GROUP BY series_id, year"""
+
+
+# --- formatting and flattened results ------------------------------------------------------
+
+def sql_format_report() -> str:
+    g = "growth_rate / 100.0"
+    pct = f"CASE WHEN {g} >= 0 AND {g} <= 1 THEN {g} * 100.0 ELSE {g} END"
+    return f"""WITH {model_fc_ctes('linear_price')}
+SELECT series_id, year,
+       coalesce(replace(printf('%.2f', round(pred, 2)), '.', ','), '') AS pred,
+       coalesce(printf('%.2f', round({pct}, 2)) || '%', '') AS growth,
+       coalesce(replace(printf('%.2f', round(price, 2)), '.', ','), '') || ' EUR' AS price,
+       coalesce(strftime(make_date(year, 12, 31), '%d/%m/%Y'), '') AS period_end
+FROM lp_fc"""
+
+
+def sql_comparison_rows() -> str:
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT series_id, model, status, rmse, mae, mape, r2 FROM allfits""")
+
+
+ORACLE.update({
+    "future_drivers": sql_future_drivers(),
+    "scenario_drivers": sql_scenario_drivers(),
+    "driver_path_override": sql_driver_path_override(),
+    "growth_rates": sql_growth_rates(),
+    "total_growth": sql_total_growth(),
+    "scenario_summary": sql_scenario_summary(),
+    "sensitivity_sweep": sql_sensitivity_sweep(),
+    "grid_calibration": sql_grid_calibration(),
+    "bootstrap_fit": sql_bootstrap_fit(),
+    "bootstrap_forecast": sql_bootstrap_forecast(),
+    "param_noise_mc": sql_param_noise_mc(),
+    "param_noise_forecast": sql_param_noise_forecast(),
+    "format_report": sql_format_report(),
+    "comparison_rows": sql_comparison_rows(),
+})

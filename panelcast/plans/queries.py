@@ -331,3 +331,164 @@ QUERIES.update({
     "rolling_backtest": q_rolling_backtest,
     "backtest_summary": q_backtest_summary,
 })
+
+
+# --- prediction helpers, scenarios, sweeps (P1/P2, X1–X6, G1/G2) -----------------------
+
+SCENARIOS_3 = [
+    {"scenario_id": "base"},
+    {"scenario_id": "high", "gdp_growth": 0.04, "pop_growth": 0.015, "price_inflation": 0.01},
+    {"scenario_id": "low", "gdp_growth": 0.01, "pop_growth": 0.005, "price_inflation": 0.03},
+]
+DRIVERS = ["series_id", "scenario_id", "year", "population", "gdp", "price"]
+
+
+def q_future_drivers(spark, sf_dir):
+    """P1 + P2: horizon years and drivers grown at the base rates."""
+    fits = M.fit_linear_price(train_panel(spark, sf_dir))
+    return rounded(H.expand_horizon(fits, HORIZON).select(*DRIVERS))
+
+
+def q_scenario_drivers(spark, sf_dir):
+    """The same for three growth scenarios."""
+    fits = M.fit_linear_price(train_panel(spark, sf_dir))
+    return rounded(H.expand_horizon(fits, HORIZON, SCENARIOS_3).select(*DRIVERS))
+
+
+def q_driver_path_override(spark, sf_dir):
+    """Implied-price forecast whose first year takes the observed (partial)
+    2001 population and GDP from the data instead of the growth assumption."""
+    path = demand_panel(spark, sf_dir, min_year=2001).select("series_id", "year", "population", "gdp")
+    fits = M.fit_implied_price_logistic(train_panel(spark, sf_dir))
+    return rounded(H.predict_implied_price_logistic(fits, HORIZON, paths=path).select(*FC_OUT))
+
+
+def q_growth_rates(spark, sf_dir):
+    """G1 in both forms: plain division (linear price) and max(p, 1) (blend)."""
+    p = train_panel(spark, sf_dir)
+    a = H.predict_linear_price(M.fit_linear_price(p), HORIZON)
+    b = H.predict_trend_elasticity_blend(M.fit_trend_elasticity_blend(p), HORIZON)
+    cols = ["series_id", "model", "year", "pred", "growth_rate"]
+    return rounded(a.select(*cols).unionByName(b.select(*cols)))
+
+
+def q_total_growth(spark, sf_dir):
+    """G2 per (series, model, scenario)."""
+    fc = H.predict_linear_price(M.fit_linear_price(train_panel(spark, sf_dir)), HORIZON, SCENARIOS_3)
+    return rounded(H.total_growth(fc))
+
+
+def q_scenario_summary(spark, sf_dir):
+    from ..operators import scenarios as X
+    fc = H.predict_linear_price(M.fit_linear_price(train_panel(spark, sf_dir)), HORIZON, SCENARIOS_3)
+    return rounded(X.scenario_summary(fc))
+
+
+SWEEP_VALUES = [-0.6, -0.5, -0.4, -0.3]
+
+
+def q_sensitivity_sweep(spark, sf_dir):
+    """X1 + X2: the linear price slope C1 over four values, horizon 10."""
+    from ..operators import scenarios as X
+    fits, fc = X.sensitivity_sweep(train_panel(spark, sf_dir), "linear_price", "C1", SWEEP_VALUES, horizon=10)
+    rows = X.sensitivity_rows(fits, fc, "linear_price", "C1")
+    return rounded(rows.select("series_id", "model", "parameter", "value", "final_prediction", "impact_pct", "rmse"))
+
+
+def q_grid_calibration(spark, sf_dir):
+    """M2, first round: 41 x 30 grid over the box plus the start point."""
+    from ..operators.calibration import calibrate_saturation
+    return rounded(calibrate_saturation(train_panel(spark, sf_dir), rounds=1))
+
+
+def q_grid_calibration_zoom(spark, sf_dir):
+    """M2 with three zoom rounds (iterative; checked by SSE monotonicity in tests)."""
+    from ..operators.calibration import calibrate_saturation
+    return rounded(calibrate_saturation(train_panel(spark, sf_dir), rounds=4))
+
+
+BOOT_PARAMS = {"optimize_parameters": True, "n_simulations": 200, "seed": 42}
+
+
+def q_bootstrap_fit(spark, sf_dir):
+    """M8: 200 resamples per series, grid winner per resample."""
+    from ..operators import bootstrap as B
+    fits = B.fit_bootstrap_logistic(train_panel(spark, sf_dir), dict(BOOT_PARAMS))
+    return _fit_out(fits, "k1", "k2", "k1_std", "k2_std")
+
+
+def q_bootstrap_forecast(spark, sf_dir):
+    """P8 + B3: mean and q05/q25/q75/q95 over the simulated paths."""
+    from ..operators import bootstrap as B
+    fits = B.fit_bootstrap_logistic(train_panel(spark, sf_dir), dict(BOOT_PARAMS))
+    fc = B.predict_bootstrap_logistic(fits, HORIZON)
+    return rounded(fc.select(*FC_OUT[:10], "q25", "q75", "growth_rate", "band_type"))
+
+
+NOISE_SIMS = 100
+
+
+def q_param_noise_mc(spark, sf_dir):
+    """Saturation-model parameters with ±10 % noise, 100 simulations per series."""
+    from ..operators import scenarios as X
+    fits, _ = X.param_noise_mc(train_panel(spark, sf_dir), "logistic_price", {}, n_sims=NOISE_SIMS, horizon=HORIZON)
+    return rounded(X.noise_stats(fits))
+
+
+def q_param_noise_forecast(spark, sf_dir):
+    from ..operators import scenarios as X
+    _, fc = X.param_noise_mc(train_panel(spark, sf_dir), "logistic_price", {}, n_sims=NOISE_SIMS, horizon=HORIZON)
+    return rounded(X.noise_forecast_quantiles(fc))
+
+
+def q_format_report(spark, sf_dir):
+    """The linear price forecast formatted for a report."""
+    from ..functions import format as FM
+    fc = H.predict_linear_price(M.fit_linear_price(train_panel(spark, sf_dir)), HORIZON)
+    fc = fc.select("series_id", "year", "pred", (F.col("growth_rate") / F.lit(100.0)).alias("growth"), "price",
+                   F.make_date(F.col("year"), F.lit(12), F.lit(31)).alias("period_end"))
+    return FM.format_columns(fc, {"pred": {"type": "number", "decimals": 2},
+                                  "growth": {"type": "percentage", "decimals": 2},
+                                  "price": {"type": "currency", "currency": "EUR", "decimals": 2},
+                                  "period_end": {"type": "date"}})
+
+
+def q_comparison_rows(spark, sf_dir):
+    """E12 + E10: nested per-series results flattened back to rows."""
+    from ..operators import evaluate as E
+    fits, _ = _five(spark, sf_dir)
+    return rounded(E.comparison_rows(E.nest_results(fits)))
+
+
+def q_diagnostics_rows(spark, sf_dir):
+    """Per-series diagnostics JSON (validation results) flattened to
+    (section, metric, value) rows."""
+    from ..operators import evaluate as E
+    from ..operators import prepare as P
+    checks = P.validate_panel(demand_panel(spark, sf_dir))
+    per = checks.groupBy("series_id").agg(
+        F.to_json(F.struct(
+            F.map_from_entries(F.collect_list(F.struct("rule", F.col("n").cast("string")))).alias("counts"),
+            F.create_map(F.lit("failed_rules"), F.to_json(F.sort_array(F.collect_list(
+                F.when(F.col("n") > 0, F.col("rule")))))).alias("summary"))).alias("diagnostics"))
+    return E.diagnostics_rows(per)
+
+
+QUERIES.update({
+    "future_drivers": q_future_drivers,
+    "scenario_drivers": q_scenario_drivers,
+    "driver_path_override": q_driver_path_override,
+    "growth_rates": q_growth_rates,
+    "total_growth": q_total_growth,
+    "scenario_summary": q_scenario_summary,
+    "sensitivity_sweep": q_sensitivity_sweep,
+    "grid_calibration": q_grid_calibration,
+    "grid_calibration_zoom": q_grid_calibration_zoom,
+    "bootstrap_fit": q_bootstrap_fit,
+    "bootstrap_forecast": q_bootstrap_forecast,
+    "param_noise_mc": q_param_noise_mc,
+    "param_noise_forecast": q_param_noise_forecast,
+    "format_report": q_format_report,
+    "comparison_rows": q_comparison_rows,
+    "diagnostics_rows": q_diagnostics_rows,
+})
