@@ -127,7 +127,7 @@ def linear_price_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True,
 lp_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM lp_rows)),
 lp_fit AS (
   SELECT series_id, 'linear_price' AS model, {common_fit_cols()},
-         {c1} AS c1, {c2} AS c2, any_value(factor) AS continuity,
+         CAST({c1} AS DOUBLE) AS c1, CAST({c2} AS DOUBLE) AS c2, any_value(factor) AS continuity,
          stddev_samp(actual - adj) AS resid_std,
          {metric_cols()}
   FROM lp_rows2 GROUP BY series_id)"""
@@ -221,7 +221,8 @@ def logistic_fit_ctes(base: bool = True, end: int | None = TRAIN_END) -> str:
 lg_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {recent_factor()} AS factor FROM lg_rows)),
 lg_fit AS (
   SELECT series_id, 'logistic_price' AS model, {common_fit_cols()},
-         {c} AS k1, {d} AS k2, {a} AS a, {b} AS b, {scale} AS scale, {pen} AS penetration,
+         CAST({c} AS DOUBLE) AS k1, CAST({d} AS DOUBLE) AS k2, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b,
+         CAST({scale} AS DOUBLE) AS scale, CAST({pen} AS DOUBLE) AS penetration,
          any_value(factor) AS continuity, stddev_samp(actual - adj) AS resid_std, {metric_cols()}
   FROM lg_rows2 GROUP BY series_id)"""
 
@@ -275,7 +276,7 @@ def income_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, end: i
 ii_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM ii_rows)),
 ii_fit AS (
   SELECT series_id, 'linear_income_index' AS model, {common_fit_cols()},
-         {c1} AS c1, {c2} AS c2, any_value(factor) AS continuity, {metric_cols()}
+         CAST({c1} AS DOUBLE) AS c1, CAST({c2} AS DOUBLE) AS c2, any_value(factor) AS continuity, {metric_cols()}
   FROM ii_rows2 GROUP BY series_id)"""
 
 
@@ -333,7 +334,7 @@ bl_d AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS f
 bl_fit AS (
   SELECT series_id, 'trend_elasticity_blend' AS model,
          {common_fit_cols("CASE WHEN any_value(ts) IS NULL OR any_value(es) IS NULL THEN 'degenerate' END")},
-         {weight} AS trend_weight, any_value(ts) AS trend_slope, any_value(ti) AS trend_intercept,
+         CAST({weight} AS DOUBLE) AS trend_weight, any_value(ts) AS trend_slope, any_value(ti) AS trend_intercept,
          any_value(es) AS elast_slope, any_value(ei) AS elast_intercept,
          any_value(factor) AS continuity, {metric_cols()}
   FROM bl_d GROUP BY series_id)"""
@@ -421,9 +422,10 @@ ip_c AS (SELECT *, ck1 * {curve(f'ck2 * t_implied * {s}', a, b, c, d)} * populat
 ip_fit AS (
   SELECT series_id, 'implied_price_logistic' AS model,
          {common_fit_cols("CASE WHEN any_value(ck2) IS NULL THEN 'no_threshold' END")},
-         {a} AS a, {b} AS b, {c} AS k1, {d} AS k2, {IP['fare_growth_rate']} AS fare_growth,
+         CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b, CAST({c} AS DOUBLE) AS k1, CAST({d} AS DOUBLE) AS k2,
+         CAST({IP['fare_growth_rate']} AS DOUBLE) AS fare_growth,
          any_value(ref_gdp) AS model_ref_gdp, any_value(ck1) AS calib_k1, any_value(ck2) AS calib_k2,
-         arg_max(t_implied, year) AS last_t, 1.0 AS continuity, {metric_cols()}
+         arg_max(t_implied, year) AS last_t, CAST(1.0 AS DOUBLE) AS continuity, {metric_cols()}
   FROM ip_c GROUP BY series_id)"""
 
 
@@ -1135,7 +1137,7 @@ np AS (SELECT *, full_penetration * fpop * {ffx} * continuity AS pred FROM nh)""
 
 def sql_param_noise_mc() -> str:
     return f"""WITH {_noise_ctes()}
-SELECT series_id, count(*) AS n_simulations, count_if(status = 'ok') AS n_ok, {r('avg(r2)', 'mean_r2')},
+SELECT series_id, count(*) AS n_simulations, CAST(count_if(status = 'ok') AS BIGINT) AS n_ok, {r('avg(r2)', 'mean_r2')},
        {r('avg(rmse)', 'mean_rmse')} FROM nfit GROUP BY series_id"""
 
 
