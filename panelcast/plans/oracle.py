@@ -1184,3 +1184,53 @@ ORACLE.update({
     "format_report": sql_format_report(),
     "comparison_rows": sql_comparison_rows(),
 })
+
+
+def _cal_round_sql(src_best: str, name: str, n1: int, n2: int, w1: float, w2: float) -> str:
+    a, b, _, _, _, _ = _lg_consts()
+    lo1 = f"greatest({K.CALIB_K1_LO}, bb.b1 - {w1!r})"
+    hi1 = f"least({K.CALIB_K1_HI}, bb.b1 + {w1!r})"
+    lo2 = f"greatest({K.CALIB_K2_LO}, bb.b2 - {w2!r})"
+    hi2 = f"least({K.CALIB_K2_HI}, bb.b2 + {w2!r})"
+    k1 = f"(lo1 + CAST(floor(i / {n2}) AS DOUBLE) * ((hi1 - lo1) / {float(n1 - 1)}))"
+    k2 = f"(lo2 + CAST(i % {n2} AS DOUBLE) * ((hi2 - lo2) / {float(n2 - 1)}))"
+    fexpr = curve("rr", a, b, "k1", "k2")
+    return f"""{name}_box AS (SELECT series_id, b[2] AS b1, b[3] AS b2 FROM {src_best}),
+{name}_bx AS (SELECT bb.series_id, bb.b1, bb.b2, {lo1} AS lo1, {hi1} AS hi1, {lo2} AS lo2, {hi2} AS hi2 FROM {name}_box bb),
+{name}_cells AS (SELECT series_id, {k1} AS k1, {k2} AS k2 FROM {name}_bx CROSS JOIN range(0, {n1 * n2}) t(i)
+                 UNION ALL SELECT series_id, b1, b2 FROM {name}_bx),
+{name}_sse AS (SELECT cr.series_id, c.k1, c.k2, sum((act - pop * {fexpr}) * (act - pop * {fexpr})) AS sse
+               FROM cr JOIN {name}_cells c ON cr.series_id = c.series_id GROUP BY cr.series_id, c.k1, c.k2),
+{name} AS (SELECT series_id, min((round(sse, 6), k1, k2)) AS b FROM {name}_sse GROUP BY series_id)"""
+
+
+def sql_grid_calibration_zoom(rounds: int = 4, grid=(41, 30), zoom=(11, 11)) -> str:
+    base = sql_grid_calibration()
+    head, tail = base.split("\nSELECT best.series_id", 1)
+    w1 = (K.CALIB_K1_HI - K.CALIB_K1_LO) / (grid[0] - 1)
+    w2 = (K.CALIB_K2_HI - K.CALIB_K2_LO) / (grid[1] - 1)
+    ctes, prev = [], "best"
+    for k in range(1, rounds):
+        ctes.append(_cal_round_sql(prev, f"z{k}", zoom[0], zoom[1], w1, w2))
+        prev = f"z{k}"
+        w1 = 2 * w1 / (zoom[0] - 1)
+        w2 = 2 * w2 / (zoom[1] - 1)
+    return (head + ",\n" + ",\n".join(ctes) +
+            f"\nSELECT z.series_id, {r('b[2]', 'k1')}, {r('b[3]', 'k2')}, {r('b[1]', 'sse')}, {r('sse_start', 'sse_start')}"
+            f"\nFROM {prev} z JOIN st ON z.series_id = st.series_id")
+
+
+def sql_diagnostics_rows() -> str:
+    v = sql_panel_validation()
+    return f"""WITH chk AS ({v})
+SELECT series_id, 'counts' AS section, rule AS metric, CAST(n AS VARCHAR) AS value FROM chk
+UNION ALL
+SELECT series_id, 'summary' AS section, 'failed_rules' AS metric,
+       coalesce(string_agg(CASE WHEN n > 0 THEN rule END, '; ' ORDER BY rule), '') AS value
+FROM chk GROUP BY series_id"""
+
+
+ORACLE.update({
+    "grid_calibration_zoom": sql_grid_calibration_zoom(),
+    "diagnostics_rows": sql_diagnostics_rows(),
+})
