@@ -91,6 +91,13 @@ def interval_width(forecast: DataFrame, keys=("series_id",)) -> DataFrame:
     return forecast.groupBy(*keys, "model", "scenario_id").agg(F.avg(F.col("upper") - F.col("lower")).alias("interval_width"))
 
 
+def _rmse_key(c: Column) -> Column:
+    """RMSE compared at 1e-6 (half away from zero), so models whose errors are
+    equal up to summation order tie deterministically and fall back to the
+    model name, whatever the partitioning."""
+    return F.round(c * F.lit(1e6)) / F.lit(1e6)
+
+
 def leaderboard(fits: DataFrame, forecast: DataFrame, keys=("series_id",)) -> DataFrame:
     """Per (series, model): status, rmse, mae, r2, mape, mean interval
     width, and the rank within the series by (status, rmse, model)."""
@@ -99,7 +106,8 @@ def leaderboard(fits: DataFrame, forecast: DataFrame, keys=("series_id",)) -> Da
     m = fits.select(*keys, "model", "status", F.col("metrics.rmse").alias("rmse"), F.col("metrics.mae").alias("mae"),
                     F.col("metrics.r2").alias("r2"), F.col("metrics.mape").alias("mape"))
     lb = m.join(width, keys + ["model"], "left")
-    w = Window.partitionBy(*keys).orderBy(F.col("status").asc(), F.col("rmse").asc_nulls_last(), F.col("model").asc())
+    w = Window.partitionBy(*keys).orderBy(F.col("status").asc(), _rmse_key(F.col("rmse")).asc_nulls_last(),
+                                          F.col("model").asc())
     return lb.withColumn("rank", F.rank().over(w).cast("int"))
 
 
@@ -108,7 +116,7 @@ def best_model_per_series(fits: DataFrame, keys=("series_id",)) -> DataFrame:
     keys = list(keys)
     ok = fits.where(F.col("status") == "ok")
     return ok.groupBy(*keys).agg(
-        F.min_by("model", F.struct(F.col("metrics.rmse"), F.col("model"))).alias("best_model"),
+        F.min_by("model", F.struct(_rmse_key(F.col("metrics.rmse")), F.col("model"))).alias("best_model"),
         F.min("metrics.rmse").alias("best_rmse"),
         F.count(F.lit(1)).alias("n_models"))
 
