@@ -66,13 +66,6 @@ def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optim
     grid_col = F.transform(F.sequence(F.lit(0), F.lit(N_CELLS - 1)), grid_cell)
     per_series = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("year", "rho", "population", "actual"))).alias("_rows"))
-    # Squared error of every (cell, row), once per series: array<array<double>>.
-    def sq_err(x, cell):
-        e = x["actual"] - x["population"] * C.saturation(x["rho"], a, b, cell["k1"], cell["k2"])
-        return e * e
-
-    e2 = F.transform(grid_col, lambda cell: F.transform(F.col("_rows"), lambda x: sq_err(x, cell)))
-    matrix = per_series.select(*keys, e2.alias("_e2"))
     # Draws: one hash per (series, sim, slot), computed once and collected per
     # (series, block of simulations); groups are bounded by n and SIM_BLOCK.
     draws = per_series.select(*keys, F.size("_rows").alias("_n"),
@@ -84,20 +77,34 @@ def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optim
         F.transform(F.sort_array(F.collect_list(F.struct("slot", "idx"))), lambda x: x["idx"]).alias("idxs"))
     blocks = per_sim.groupBy(*keys, F.floor((F.col("sim") - F.lit(1)) / F.lit(SIM_BLOCK)).alias("_blk")).agg(
         F.collect_list(F.struct("sim", "idxs")).alias("_sims"))
-    # Compute-heavy rows: spread them over every core with an explicit
+    # Only small rows move: the block's draws and the series' n training rows.
+    # The compute-heavy rows are spread over every core with an explicit
     # partition count (AQE would coalesce the small input into one task).
     parallelism = rows.sparkSession.sparkContext.defaultParallelism
-    joined = blocks.join(matrix, keys).repartition(parallelism, *keys, "_blk")
-    sse = F.transform(F.col("_sims"), lambda sm: F.struct(
-        sm["sim"].alias("sim"),
-        F.transform(F.col("_e2"), lambda row_e2: _round6(
-            F.aggregate(sm["idxs"], F.lit(0.0), lambda acc, i: acc + F.element_at(row_e2, i)))).alias("sse")))
+    work = blocks.join(per_series, keys).repartition(parallelism, *keys, "_blk")
+
+    def sq_err(x, cell):
+        e = x["actual"] - x["population"] * C.saturation(x["rho"], a, b, cell["k1"], cell["k2"])
+        return e * e
+
+    # Squared error of every (cell, row) for this block's series:
+    # array<array<double>>, 1230 x n. It is bound once per row as the lambda
+    # variable ``e2`` of a one-element transform, so the optimiser cannot
+    # inline (and re-evaluate) it inside the per-simulation loop.
+    e2_matrix = F.transform(grid_col, lambda cell: F.transform(F.col("_rows"), lambda x: sq_err(x, cell)))
+
+    def winner(sm, e2):
+        sse = F.transform(e2, lambda row_e2: _round6(
+            F.aggregate(sm["idxs"], F.lit(0.0), lambda acc, i: acc + F.element_at(row_e2, i))))
+        return F.struct(sm["sim"].alias("sim"), sse.alias("sse"))
 
-    def winner(x):
+    def pick(x):
         cell = grid_cell(F.array_position(x["sse"], F.array_min(x["sse"])) - F.lit(1))
         return F.struct(x["sim"].alias("sim"), cell["k1"].alias("k1"), cell["k2"].alias("k2"))
 
-    out = joined.select(*keys, F.explode(F.transform(sse, winner)).alias("_w"))
+    per_block = F.element_at(F.transform(F.array(e2_matrix), lambda e2: F.transform(
+        F.transform(F.col("_sims"), lambda sm: winner(sm, e2)), pick)), 1)
+    out = work.select(*keys, F.explode(per_block).alias("_w"))
     return out.select(*keys, F.col("_w.sim").alias("sim"), F.col("_w.k1").alias("k1"), F.col("_w.k2").alias("k2"))
 
 
