@@ -67,6 +67,15 @@ def main() -> None:
     syn = time.perf_counter() - t0
     times[f"synthetic_{n_series}_series_fit_forecast"] = round(syn, 3)
 
+    from panelcast.operators import bootstrap as B
+    n_boot, sims = int(os.environ.get("BENCH_BOOT_SERIES", "2000")), 100
+    t0 = time.perf_counter()
+    bfits = B.fit_bootstrap_logistic(synthetic_panel(spark, n_boot, n_years=20),
+                                     {"optimize_parameters": True, "n_simulations": sims})
+    B.predict_bootstrap_logistic(bfits, 10).write.format("noop").mode("overwrite").save()
+    boot = time.perf_counter() - t0
+    times[f"synthetic_bootstrap_{n_boot}_series_x{sims}"] = round(boot, 3)
+
     total = round(sum(v for k, v in times.items() if not k.startswith("synthetic")), 3)
     print(json.dumps({
         "metric": "headline_queries_total",
@@ -76,6 +85,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": int(cpus),
         "synthetic_series_per_sec": round(n_series / syn, 1),
+        "bootstrap_series_x_sims_per_sec": round(n_boot * sims / boot, 1),
     }))
 
 

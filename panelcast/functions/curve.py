@@ -134,3 +134,13 @@ def clipped_index(pn) -> Column:
 def demand_per_head(actual, population, eps: float = 1e-8) -> Column:
     """``actual / max(population, eps)``."""
     return _c(actual) / floor_at(population, eps)
+
+
+def saturation_np(r, a, b, c, d):
+    """C1 for numpy arrays inside vectorised task code; must equal
+    :func:`saturation` (tested against it)."""
+    import numpy as np
+    safe_r = np.maximum(np.asarray(r, dtype=np.float64), 1e-8)
+    with np.errstate(over="ignore"):
+        raw = a * (1.0 - 1.0 / (1.0 + np.exp(b + c * np.power(safe_r, d))))
+    return np.minimum(np.maximum(raw, 0.0), 1.0)

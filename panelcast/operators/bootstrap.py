@@ -56,8 +56,13 @@ def _round6(c):
 
 
 def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optimize: bool,
-                      k1_default, k2_default) -> DataFrame:
-    """(keys..., sim, k1, k2): the per-resample grid winners (or the defaults)."""
+                      k1_default, k2_default, engine: str = "numpy") -> DataFrame:
+    """(keys..., sim, k1, k2): the per-resample grid winners (or the defaults).
+
+    ``engine='numpy'`` hands each (series, block) row to a vectorised step
+    (``mapInPandas``): SSE of all resamples x cells is one small matrix
+    product multiplicities @ errors^T. ``engine='jvm'`` evaluates the same sums
+    with array higher-order functions, without Python."""
     keys = list(keys)
     if not optimize:
         base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -102,13 +107,66 @@ def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optim
         cell = grid_cell(F.array_position(x["sse"], F.array_min(x["sse"])) - F.lit(1))
         return F.struct(x["sim"].alias("sim"), cell["k1"].alias("k1"), cell["k2"].alias("k2"))
 
+    if engine == "numpy":
+        return _numpy_winners(work.select(*keys, F.col("_sims").alias("bsims"), F.col("_rows").alias("brows"),
+                                          a.cast("double").alias("ba"), b.cast("double").alias("bb")), keys)
     per_block = F.element_at(F.transform(F.array(e2_matrix), lambda e2: F.transform(
         F.transform(F.col("_sims"), lambda sm: winner(sm, e2)), pick)), 1)
     out = work.select(*keys, F.explode(per_block).alias("_w"))
     return out.select(*keys, F.col("_w.sim").alias("sim"), F.col("_w.k1").alias("k1"), F.col("_w.k2").alias("k2"))
 
 
-def fit_bootstrap_logistic(panel: DataFrame, params: dict | None = None, keys=("series_id",)) -> DataFrame:
+def _numpy_winners(work: DataFrame, keys) -> DataFrame:
+    """Per (series, block) row: squared errors E (cells x n) of the 41 x 30
+    grid on the series' rows, multiplicity matrix M (sims x n) from the drawn
+    indices, SSE = M @ E^T (sims x cells), rounded half-up to 1e-6, first
+    minimum in grid order. A row holds at most SIM_BLOCK sims and n rows, so
+    every batch stays small; Spark partitions and shuffles the rows."""
+    import numpy as np
+
+    key_fields = [work.schema[k] for k in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", sim int, k1 double, k2 double"
+    n2 = K.BOOT_K2_N
+    ci = np.arange(N_CELLS)
+    # Same arithmetic (and order of operations) as ``grid_cell``.
+    gk1 = K.BOOT_K1_LO + ((ci // n2).astype(np.float64) * _SPAN1) / float(K.BOOT_K1_N - 1)
+    gk2 = K.BOOT_K2_LO + ((ci % n2).astype(np.float64) * _SPAN2) / float(K.BOOT_K2_N - 1)
+
+    def winners(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = {k: [] for k in keys}
+            out.update(sim=[], k1=[], k2=[])
+            for row in pdf.to_dict("records"):
+                rws = row["brows"]
+                rho = np.array([x["rho"] for x in rws], dtype=np.float64)
+                pop = np.array([x["population"] for x in rws], dtype=np.float64)
+                act = np.array([x["actual"] for x in rws], dtype=np.float64)
+                n = len(rws)
+                f = C.saturation_np(rho[None, :], row["ba"], row["bb"], gk1[:, None], gk2[:, None])
+                err = act[None, :] - pop[None, :] * f
+                e2 = err * err
+                sims = row["bsims"]
+                m = np.zeros((len(sims), n), dtype=np.float64)
+                ids = []
+                for j, sm in enumerate(sims):
+                    np.add.at(m[j], np.asarray(sm["idxs"], dtype=np.int64) - 1, 1.0)
+                    ids.append(int(sm["sim"]))
+                sse = np.floor((m @ e2.T) * 1e6 + 0.5) / 1e6
+                best = np.argmin(sse, axis=1)
+                for j, c in enumerate(best.tolist()):
+                    for k in keys:
+                        out[k].append(row[k])
+                    out["sim"].append(ids[j])
+                    out["k1"].append(float(gk1[c]))
+                    out["k2"].append(float(gk2[c]))
+            yield pd.DataFrame(out)
+
+    return work.mapInPandas(winners, schema)
+
+
+def fit_bootstrap_logistic(panel: DataFrame, params: dict | None = None, keys=("series_id",),
+                           engine: str = "numpy") -> DataFrame:
     """M8. Returns one fit row per series with mean/std of the resampled
     parameters, the sample arrays (for the forecast), centred residuals,
     continuity and metrics."""
@@ -119,7 +177,7 @@ def fit_bootstrap_logistic(panel: DataFrame, params: dict | None = None, keys=("
     rho = C.income_normalised_price(F.try_divide(F.col("price"), F.col("ref_price")), F.col("gdp"), F.col("ref_gdp"))
     rows = rows.withColumn("rho", rho)
     samples = bootstrap_samples(rows, keys, a, b, int(p["n_simulations"]), int(p["seed"]),
-                                p["optimize_parameters"] is True, p["k1"], p["k2"])
+                                p["optimize_parameters"] is True, p["k1"], p["k2"], engine=engine)
     dist = samples.groupBy(*keys).agg(
         F.avg("k1").alias("k1"), F.avg("k2").alias("k2"),
         F.stddev_samp("k1").alias("k1_std"), F.stddev_samp("k2").alias("k2_std"),

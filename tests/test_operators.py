@@ -183,3 +183,26 @@ def test_model_compatibility_per_series(spark):
     assert out[(2, "linear_price")]["missing_columns"] == "ticket_price"
     assert out[(2, "linear_price")]["compatibility_score"] == 75.0
     assert out[(2, "linear_income_index")]["is_compatible"]
+
+
+def test_numpy_curve_equals_spark_curve(spark):
+    import numpy as np
+    df = spark.range(0, 400).select((F.col("id") / F.lit(97.0)).alias("r"))
+    got = df.select("r", C.saturation(F.col("r"), A, Bc, Cc, D).alias("f")).toPandas()
+    want = C.saturation_np(got["r"].to_numpy(), A, Bc, Cc, D)
+    assert np.allclose(got["f"].to_numpy(), want, rtol=1e-12, atol=1e-13)
+
+
+def test_bootstrap_engines_agree(spark):
+    p = panel(spark, INPUT)
+    params = {"optimize_parameters": True, "n_simulations": 70}
+    a = B.fit_bootstrap_logistic(p, params, engine="numpy").first()
+    b = B.fit_bootstrap_logistic(p, params, engine="jvm").first()
+    assert a["k1"] == pytest.approx(b["k1"], rel=1e-12) and a["k2"] == pytest.approx(b["k2"], rel=1e-12)
+    assert [s["k1"] for s in a["samples"]] == [s["k1"] for s in b["samples"]]
+
+
+def test_logistic_with_calibration_not_worse_than_defaults(spark):
+    p = panel(spark, INPUT)
+    opt = M.fit_logistic_price(p, {"optimize_parameters": True}).first()
+    assert opt["status"] == "ok" and -20 <= opt["k1"] <= 20 and 0.01 <= opt["k2"] <= 5
