@@ -84,7 +84,7 @@ def write_forecast_csv(forecast: DataFrame, path: str, mode: str = "overwrite")
 # --- parameter table (S8) -----------------------------------------------------
 
 def normalise_source(c: Column) -> Column:
-    """Trim and collapse runs of blanks ('Simplified  Kenza' -> 'Simplified Kenza')."""
+    """Trim and collapse runs of blanks ('Simplified  Model' -> 'Simplified Model')."""
     return F.regexp_replace(F.trim(c), r"\s+", " ")
 
 

@@ -41,12 +41,12 @@ def test_empty_forecast_export_refused(spark, tmp_path):
 
 def test_params_table_first_match_and_spaces(spark, tmp_path):
     f = tmp_path / "params.csv"
-    f.write_text("source,name,value\nSimplified  Kenza,linear_a,-0.135\nSimplified Kenza,linear_a,9\n"
-                 "Full Kenza,k1_c,-6.59917386\nFull Kenza,bad,abc\n")
+    f.write_text("source,name,value\nSimplified  Model,linear_a,-0.135\nSimplified Model,linear_a,9\n"
+                 "Full Model,k1_c,-6.59917386\nFull Model,bad,abc\n")
     params = S.read_params(spark, str(f))
-    got = S.param_values(params, "Simplified  Kenza", {"C1": "linear_a", "C2": "linear_b"}, {"C2": 0.5})
+    got = S.param_values(params, "Simplified  Model", {"C1": "linear_a", "C2": "linear_b"}, {"C2": 0.5})
     assert got == {"C1": -0.135, "C2": 0.5}
-    bad = S.param_values(params, "Full Kenza", {"x": "bad"})
+    bad = S.param_values(params, "Full Model", {"x": "bad"})
     assert bad["x"] != bad["x"]  # NaN
 
 
