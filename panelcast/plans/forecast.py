@@ -1,9 +1,11 @@
 """Orchestration (R1–R6): model registry, ``forecast`` for one model,
 ``compare_models`` for several, model catalogue, and the golden comparison job.
 
-Everything returns lazy DataFrames; the caller decides when to act. The panel
-is read once per model branch; callers that run several models on an
-expensive panel should persist it (``panel.persist()``) or write it to a table.
+Everything returns lazy DataFrames; the caller decides when to act.
+``compare_models`` hash-partitions the panel by the series key once; all model
+branches reuse that one exchange. Callers that run many jobs on an expensive
+panel can cut its lineage with ``session.cut_lineage`` (reliable checkpoint in
+the shared checkpoint directory) or write it to a table.
 """
 
 from __future__ import annotations
@@ -100,6 +102,10 @@ def compare_models(panel: DataFrame, models: list[str] | None = None, params: di
     models go on."""
     models = models or [m for m in list_models() if m != "bootstrap_logistic"]
     params = params or {}
+    # One hash partitioning by the group key, shared by every model branch:
+    # each fit's windows and aggregates find their distribution satisfied, so
+    # the models add no shuffle of their own (one exchange, reused).
+    panel = panel.repartition(*keys)
     fits_all, fc_all = None, None
     common = ["series_id", "model", "scenario_id", "year", "population", "gdp", "price", "pred", "lower", "upper",
               "q25", "q75", "growth_rate", "band_type"]
