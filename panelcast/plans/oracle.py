@@ -1234,3 +1234,24 @@ ORACLE.update({
     "grid_calibration_zoom": sql_grid_calibration_zoom(),
     "diagnostics_rows": sql_diagnostics_rows(),
 })
+
+
+def sql_accuracy_metrics() -> str:
+    return _wrap([], f"""{model_fc_ctes('logistic_price', h=2, end=HOLDOUT_END)},
+{panel_cte(None, 'panel_all')},
+pairs AS (SELECT f.series_id, f.model, f.pred, a.actual FROM lg_fc f
+          JOIN panel_all a ON f.series_id = a.series_id AND f.year = a.year)
+SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred')} FROM pairs GROUP BY series_id, model""")
+
+
+def sql_bootstrap_samples() -> str:
+    full = sql_bootstrap_forecast()
+    head = full.split("\nagg AS (")[0]
+    return head.rstrip(",") + f"""
+SELECT series_id, model, scenario_id, sim, year, {r('pred', 'pred')} FROM bsp"""
+
+
+ORACLE.update({
+    "accuracy_metrics": sql_accuracy_metrics(),
+    "bootstrap_samples": sql_bootstrap_samples(),
+})

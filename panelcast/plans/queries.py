@@ -492,3 +492,25 @@ QUERIES.update({
     "comparison_rows": q_comparison_rows,
     "diagnostics_rows": q_diagnostics_rows,
 })
+
+
+def q_accuracy_metrics(spark, sf_dir):
+    """E1 on hold-out pairs of the saturation model (trained to 1998)."""
+    from ..operators import evaluate as E
+    _, fc = _holdout_fc(spark, sf_dir, "logistic_price", 2)
+    pairs = E.holdout_pairs(fc, demand_panel(spark, sf_dir))
+    return rounded(E.accuracy_metrics(pairs))
+
+
+def q_bootstrap_samples(spark, sf_dir):
+    """The long table of simulated paths before aggregation."""
+    from ..operators import bootstrap as B
+    fits = B.fit_bootstrap_logistic(train_panel(spark, sf_dir), dict(BOOT_PARAMS))
+    sims = B.simulate_bootstrap(fits, HORIZON)
+    return rounded(sims.select("series_id", "model", "scenario_id", "sim", "year", "pred"))
+
+
+QUERIES.update({
+    "accuracy_metrics": q_accuracy_metrics,
+    "bootstrap_samples": q_bootstrap_samples,
+})

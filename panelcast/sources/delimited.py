@@ -27,12 +27,12 @@ def _locale_number(c: Column) -> Column:
     return F.when(s == "", None).otherwise(F.regexp_replace(s, ",", ".").try_cast("double"))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path, sep: str | None = None) -> DataFrame:
     """S1 + S2 (+ S4): read a delimited file with delimiter detection and
     per-column type inference. A column is DOUBLE only when every non-blank
     cell parses as a number (decimal comma accepted); otherwise it stays a
     trimmed STRING. Nulls never turn a numeric column into text."""
-    sep = sep or sniff_delimiter(spark, path)
+    sep = sep or sniff_delimiter(spark, path if isinstance(path, str) else path[0])
     raw = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
            .option("inferSchema", False).csv(path))
     names = [n.strip() for n in raw.columns]
@@ -51,6 +51,19 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     return raw.select(*cols)
 
 
+def read_delimited_many(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """S1 for many files: sniff each header, read the files of one delimiter
+    together, and union by column name (missing columns become null)."""
+    by_sep: dict[str, list[str]] = {}
+    for p in paths:
+        by_sep.setdefault(sniff_delimiter(spark, p), []).append(p)
+    out = None
+    for sep, group in by_sep.items():
+        df = read_delimited(spark, group if len(group) > 1 else group[0], sep)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """S3: plain CSV with a declared schema (no inference pass)."""
     return spark.read.option("header", True).option("sep", sep).schema(schema).csv(path)

@@ -108,3 +108,13 @@ def test_streaming_refresh(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 3 and out.agg(F.min("year")).first()[0] == 2018
+
+
+def test_many_files_grouped_by_delimiter(spark, tmp_path):
+    a = tmp_path / "a.csv"
+    b = tmp_path / "b.csv"
+    a.write_text("year,actual\n2001,1.5\n")
+    b.write_text("year;actual;extra\n2002;2,5;x\n")
+    df = S.read_delimited_many(spark, [str(a), str(b)])
+    rows = {r["year"]: (r["actual"], r["extra"]) for r in df.collect()}
+    assert rows == {2001.0: (1.5, None), 2002.0: (2.5, "x")}
