@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import curve as C
+from ..session import cut_lineage
 from .fitting import to_col
 
 
@@ -40,7 +41,8 @@ def _cells(lo1, hi1, n1, lo2, hi2, n2, start1, start2):
 
 
 def calibrate_saturation(panel: DataFrame, params: dict | None = None, keys=("series_id",), rounds: int = 4,
-                         grid=(41, 30), zoom_grid=(11, 11), with_penetration: bool = False) -> DataFrame:
+                         grid=(41, 30), zoom_grid=(11, 11), with_penetration: bool = False,
+                         checkpoint_every: int = 4) -> DataFrame:
     """Best (k1, k2) per series minimising ``sum (actual - pop F(r))^2`` over
     k1 in [-20, 20], k2 in [0.01, 5] (``with_penetration`` multiplies the
     curve by the penetration, the same factor the prediction uses).
@@ -70,7 +72,7 @@ def calibrate_saturation(panel: DataFrame, params: dict | None = None, keys=("se
         (F.col("_act") - F.col("_pop") * C.saturation(F.col("_r"), a, b, start1, start2)) ** 2).alias("sse_start")))
     w1 = (K.CALIB_K1_HI - K.CALIB_K1_LO) / (grid[0] - 1)
     w2 = (K.CALIB_K2_HI - K.CALIB_K2_LO) / (grid[1] - 1)
-    for _ in range(1, rounds):
+    for r in range(1, rounds):
         b1, b2 = F.col("_best.k1"), F.col("_best.k2")
         box = best.select(*keys, "_best",
                           F.greatest(lo1, b1 - F.lit(w1)).alias("_lo1"), F.least(hi1, b1 + F.lit(w1)).alias("_hi1"),
@@ -80,6 +82,10 @@ def calibrate_saturation(panel: DataFrame, params: dict | None = None, keys=("se
             _cells(F.col("_lo1"), F.col("_hi1"), zoom_grid[0], F.col("_lo2"), F.col("_hi2"), zoom_grid[1],
                    b1, b2).alias("_cells"))
         best = sse_of(nxt)
+        if checkpoint_every and r % checkpoint_every == 0 and r < rounds - 1:
+            # Long zoom chains: cut the growing plan with a reliable checkpoint
+            # in the shared checkpoint directory (survives executor loss).
+            best = cut_lineage(best)
         w1 = 2 * w1 / (zoom_grid[0] - 1)
         w2 = 2 * w2 / (zoom_grid[1] - 1)
     return best.join(start_sse, keys).select(*keys, F.col("_best.k1").alias("k1"), F.col("_best.k2").alias("k2"),

@@ -206,3 +206,8 @@ def test_logistic_with_calibration_not_worse_than_defaults(spark):
     p = panel(spark, INPUT)
     opt = M.fit_logistic_price(p, {"optimize_parameters": True}).first()
     assert opt["status"] == "ok" and -20 <= opt["k1"] <= 20 and 0.01 <= opt["k2"] <= 5
+
+
+def test_long_zoom_chain_checkpoints(spark):
+    best = calibrate_saturation(panel(spark, INPUT), rounds=6, checkpoint_every=2).first()
+    assert best["sse"] <= best["sse_start"] + 1e-6
