@@ -199,3 +199,11 @@ def backtest_summary(folds: DataFrame, keys=("series_id",)) -> DataFrame:
                                                 F.stddev_samp("fold_rmse").alias("stability"))
     pooled = folds.groupBy(*keys, "model").agg(*[c for c in metric_aggs("actual", "pred")])
     return pooled.join(stab, keys + ["model"])
+
+
+def best_model_forecast(fits: DataFrame, forecast: DataFrame, keys=("series_id",)) -> DataFrame:
+    """The forecast of each series' winning model (E7 winner), one model per
+    series; a semi-join keeps the forecast's partitioning by series."""
+    keys = list(keys)
+    best = best_model_per_series(fits, keys).select(*keys, F.col("best_model").alias("model"))
+    return forecast.join(best, keys + ["model"], "left_semi")

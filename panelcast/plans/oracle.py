@@ -1255,3 +1255,19 @@ ORACLE.update({
     "accuracy_metrics": sql_accuracy_metrics(),
     "bootstrap_samples": sql_bootstrap_samples(),
 })
+
+
+def sql_best_model_forecast() -> str:
+    fcs = " UNION ALL ".join(
+        f"SELECT series_id, model, scenario_id, year, population, gdp, price, pred, lower, upper, growth_rate, "
+        f"'fixed_20pct' AS band_type FROM {PREFIX[m]}_fc" for m in FIVE)
+    return _wrap(FIVE, f"""{_five_fc()},
+fcall AS ({fcs}),
+best AS (SELECT series_id, arg_min(model, (rmse, model)) AS model FROM allfits WHERE status = 'ok' GROUP BY series_id)
+SELECT f.series_id, f.model, f.scenario_id, f.year, {r('f.population', 'population')}, {r('f.gdp', 'gdp')},
+       {r('f.price', 'price')}, {r('f.pred', 'pred')}, {r('f.lower', 'lower')}, {r('f.upper', 'upper')},
+       {r('f.growth_rate', 'growth_rate')}, f.band_type
+FROM fcall f JOIN best b ON f.series_id = b.series_id AND f.model = b.model""")
+
+
+ORACLE["best_model_forecast"] = sql_best_model_forecast()
