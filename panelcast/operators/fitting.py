@@ -124,8 +124,3 @@ def common_aggs(extra_status: Column | None = None) -> list[Column]:
         F.first("ref_gdp").alias("ref_gdp"),
         F.first("ref_price").alias("ref_price"),
     ]
-
-
-def param_cols(params: dict, names: dict[str, str]) -> list[Column]:
-    """Attach model parameters (literals or per-row columns) under fit names."""
-    return [to_col(params[k]).cast("double").alias(alias) for k, alias in names.items()]

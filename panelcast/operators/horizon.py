@@ -21,10 +21,6 @@ BASE_SCENARIO = {"scenario_id": "base", "gdp_growth": K.DEFAULT_GDP_GROWTH,
                  "pop_growth": K.DEFAULT_POP_GROWTH, "price_inflation": K.DEFAULT_PRICE_INFLATION,
                  "fare_growth": None}
 
-FORECAST_COLUMNS = ["model", "scenario_id", "year", "population", "gdp", "price", "pred", "lower", "upper",
-                    "q25", "q75", "growth_rate", "band_type"]
-
-
 def scenario_array(scenarios: list[dict] | None) -> Column:
     """The scenario list as one literal array of structs."""
     scenarios = scenarios or [BASE_SCENARIO]

@@ -735,15 +735,6 @@ def needs_recursive(models) -> bool:
 FIVE = ["logistic_price", "linear_price", "linear_income_index", "implied_price_logistic", "trend_elasticity_blend"]
 
 
-def fits_union(models=FIVE) -> str:
-    cols = "series_id, model, status, {0}"
-    parts = []
-    for m in models:
-        px = PREFIX[m]
-        parts.append(f"SELECT series_id, model, status, rmse, mae, r2, mape FROM {px}_fit")
-    return " UNION ALL ".join(parts)
-
-
 # --- evaluation -----------------------------------------------------------------------------
 
 SCEN3 = [("base", K.DEFAULT_GDP_GROWTH, K.DEFAULT_POP_GROWTH, K.DEFAULT_PRICE_INFLATION, None),
