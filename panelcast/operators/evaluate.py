@@ -207,3 +207,20 @@ def best_model_forecast(fits: DataFrame, forecast: DataFrame, keys=("series_id",
     keys = list(keys)
     best = best_model_per_series(fits, keys).select(*keys, F.col("best_model").alias("model"))
     return forecast.join(best, keys + ["model"], "left_semi")
+
+
+def backtest_leaderboard(panel: DataFrame, models: list[str], cutoffs: list[int], horizon: int,
+                         params: dict[str, dict] | None = None, keys=("series_id",)) -> DataFrame:
+    """Rank models per series by pooled rolling-origin back-test RMSE (out of
+    sample), ties at 1e-6 by model name. This is the ranking to trust for
+    models whose in-sample fit is exact by construction (implied price)."""
+    keys = list(keys)
+    params = params or {}
+    panel = panel.repartition(*keys)
+    folds = None
+    for m in models:
+        f = rolling_backtest(panel, m, cutoffs, horizon, params.get(m), keys)
+        folds = f if folds is None else folds.unionByName(f)
+    pooled = folds.groupBy(*keys, "model").agg(*metric_aggs("actual", "pred"))
+    w = Window.partitionBy(*keys).orderBy(_rmse_key(F.col("rmse")).asc_nulls_last(), F.col("model").asc())
+    return pooled.withColumn("rank", F.rank().over(w).cast("int"))

@@ -1262,3 +1262,28 @@ FROM fcall f JOIN best b ON f.series_id = b.series_id AND f.model = b.model""")
 
 
 ORACLE["best_model_forecast"] = sql_best_model_forecast()
+
+
+FOLD = 10000   # composite key: series_id * FOLD + cutoff (years < FOLD)
+
+
+def sql_backtest_leaderboard() -> str:
+    cut = ", ".join(f"({c})" for c in BT_CUTOFFS)
+    fits = ",\n".join(model_fc_ctes(m, h=BT_H, base=False) for m in FIVE)
+    fcs = " UNION ALL ".join(f"SELECT series_id, model, year, pred FROM {PREFIX[m]}_fc" for m in FIVE)
+    return _wrap(FIVE, f"""{panel_cte(TRAIN_END, 'praw')},
+panel AS (SELECT p.series_id * {FOLD} + c.cutoff AS series_id, p.year, p.actual, p.population, p.gdp, p.price
+          FROM praw p JOIN (VALUES {cut}) c(cutoff) ON p.year <= c.cutoff),
+{ctx_cte()},
+{fits},
+fcall AS ({fcs}),
+pairs AS (SELECT CAST(f.series_id // {FOLD} AS BIGINT) AS series_id, f.model, f.pred, a.actual
+          FROM fcall f JOIN praw a ON f.series_id // {FOLD} = a.series_id AND f.year = a.year),
+pooled AS (SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred', rounding=False)}
+           FROM pairs GROUP BY series_id, model)
+SELECT series_id, model, n, {r('mae', 'mae')}, {r('rmse', 'rmse')}, {r('mape', 'mape')},
+       CAST(rank() OVER (PARTITION BY series_id ORDER BY round(rmse, 6) ASC NULLS LAST, model ASC) AS INTEGER) AS rank
+FROM pooled""")
+
+
+ORACLE["backtest_leaderboard"] = sql_backtest_leaderboard()

@@ -527,3 +527,14 @@ def q_best_model_forecast(spark, sf_dir):
 
 
 QUERIES["best_model_forecast"] = q_best_model_forecast
+
+
+def q_backtest_leaderboard(spark, sf_dir):
+    """Five models ranked per series by out-of-sample back-test RMSE."""
+    from ..operators import evaluate as E
+    from .oracle import FIVE
+    lb = E.backtest_leaderboard(train_panel(spark, sf_dir), FIVE, BT_CUTOFFS, 2)
+    return rounded(lb.select("series_id", "model", "n", "mae", "rmse", "mape", "rank"))
+
+
+QUERIES["backtest_leaderboard"] = q_backtest_leaderboard
