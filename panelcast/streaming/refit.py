@@ -12,7 +12,7 @@ driver and executor loss).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PANEL_SCHEMA = "series_id BIGINT, year INT, actual DOUBLE, population DOUBLE, gdp DOUBLE, price DOUBLE"
@@ -28,8 +28,11 @@ def refresh_forecasts(spark: SparkSession, incoming_dir: str, history_path: str,
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("series_id").distinct()
-        history = spark.read.parquet(history_path).unionByName(batch)
-        panel = history.join(touched, "series_id", "left_semi").dropDuplicates(["series_id", "year"])
+        hist = spark.read.parquet(history_path).join(touched, "series_id", "left_semi")
+        rows = hist.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+        # A (series, year) present in both: the arriving row replaces the stored one.
+        w = Window.partitionBy("series_id", "year").orderBy(F.col("_new").desc())
+        panel = rows.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk", "_new")
         _, fc = forecast(panel, model, params, horizon)
         fc.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
