@@ -211,3 +211,23 @@ def test_logistic_with_calibration_not_worse_than_defaults(spark):
 def test_long_zoom_chain_checkpoints(spark):
     best = calibrate_saturation(panel(spark, INPUT), rounds=6, checkpoint_every=2).first()
     assert best["sse"] <= best["sse_start"] + 1e-6
+
+
+def test_portable_draw_matches_sql_engine(spark):
+    import duckdb
+    import random
+    from panelcast.functions.draws import uniform
+    rnd = random.Random(7)
+    keys = [(rnd.randrange(10**6), rnd.randrange(1000), rnd.randrange(50)) for _ in range(300)]
+    df = spark.createDataFrame(keys, "s bigint, sim int, slot int")
+    got = {(r["s"], r["sim"], r["slot"]): r["u"] for r in
+           df.select("s", "sim", "slot", uniform(F.col("s"), F.col("sim"), F.col("slot"), 42).alias("u")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE k(s BIGINT, sim INTEGER, slot INTEGER)")
+    con.executemany("INSERT INTO k VALUES (?, ?, ?)", keys)
+    rows = con.execute("SELECT s, sim, slot, CAST(('0x' || substr(md5(concat_ws('|', s, sim, slot, 42)), 1, 8)) AS BIGINT)"
+                       " / 4294967296.0 FROM k").fetchall()
+    for s, sim, slot, u in rows:
+        assert got[(s, sim, slot)] == u
+    vals = list(got.values())
+    assert all(0.0 <= v < 1.0 for v in vals) and 0.4 < sum(vals) / len(vals) < 0.6
