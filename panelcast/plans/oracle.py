@@ -49,11 +49,11 @@ def panel_cte(end: int | None = TRAIN_END, name: str = "panel") -> str:
          CAST(year(o.o_orderdate) AS INTEGER) AS year,
          CAST(count(*) AS DOUBLE) AS actual,
          CAST(count(DISTINCT o.o_custkey) AS DOUBLE) AS population,
-         CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
-         CAST(sum(li.ext) AS DOUBLE) / CAST(sum(li.qty) AS DOUBLE) AS price
+         (CAST(sum(CAST(floor(o.o_totalprice * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
+         (CAST(sum(li.ext) AS DOUBLE) / 100.0) / (CAST(sum(li.qty) AS DOUBLE) / 100.0) AS price
   FROM (SELECT * FROM orders {where}) o
-  LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS ext,
-                    sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty
+  LEFT JOIN (SELECT l_orderkey, sum(CAST(floor(l_extendedprice * 100.0 + 0.5) AS BIGINT)) AS ext,
+                    sum(CAST(floor(l_quantity * 100.0 + 0.5) AS BIGINT)) AS qty
              FROM lineitem GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   GROUP BY 1, 2)"""
@@ -511,11 +511,11 @@ def customer_panel_cte(name: str = "cpanel") -> str:
     return f"""{name} AS (
   SELECT CAST(o.o_custkey AS BIGINT) AS series_id, CAST(year(o.o_orderdate) AS INTEGER) AS year,
          CAST(count(*) AS DOUBLE) AS actual, CAST(coalesce(sum(li.lines), 0) AS DOUBLE) AS population,
-         CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
-         CAST(sum(li.ext) AS DOUBLE) / CAST(sum(li.qty) AS DOUBLE) AS price
+         (CAST(sum(CAST(floor(o.o_totalprice * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
+         (CAST(sum(li.ext) AS DOUBLE) / 100.0) / (CAST(sum(li.qty) AS DOUBLE) / 100.0) AS price
   FROM orders o
-  LEFT JOIN (SELECT l_orderkey, count(*) AS lines, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS ext,
-                    sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty
+  LEFT JOIN (SELECT l_orderkey, count(*) AS lines, sum(CAST(floor(l_extendedprice * 100.0 + 0.5) AS BIGINT)) AS ext,
+                    sum(CAST(floor(l_quantity * 100.0 + 0.5) AS BIGINT)) AS qty
              FROM lineitem GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey
   GROUP BY 1, 2)"""
 

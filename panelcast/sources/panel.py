@@ -17,14 +17,22 @@ from ..functions.draws import uniform
 PANEL_COLUMNS = ["series_id", "year", "actual", "population", "gdp", "price"]
 
 
-MONEY = "decimal(18,2)"
+def cents(c):
+    """A two-decimal amount as integer cents (half-up on the binary value)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * F.lit(100.0) + F.lit(0.5)).cast("long")
 
 
 def money_sum(c):
-    """Exact sum of a cents-valued column (DECIMAL): the result does not depend
-    on partitioning or summation order, so reruns and recomputed tasks agree
-    bit for bit."""
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast(MONEY))
+    """Exact sum of a two-decimal amount, in integer cents (LongType): the
+    result does not depend on partitioning or summation order, so reruns and
+    recomputed tasks agree bit for bit, and it stays on the fast long path."""
+    return F.sum(cents(c))
+
+
+def from_cents(total):
+    """Cents total -> amount as the correctly rounded double."""
+    return total.cast("double") / F.lit(100.0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +84,8 @@ def demand_panel(spark: SparkSession, sf_dir: str, max_year: int | None = None,
                            F.col("year").cast("int").alias("year"))
             .agg(F.sum("n_orders").cast("double").alias("actual"),
                  F.count(F.lit(1)).cast("double").alias("population"),
-                 F.try_divide(F.sum("tp_sum").cast("double"), F.sum("tp_n").cast("double")).alias("gdp"),
-                 F.try_divide(F.sum("ext").cast("double"), F.sum("qty").cast("double")).alias("price")))
+                 F.try_divide(from_cents(F.sum("tp_sum")), F.sum("tp_n").cast("double")).alias("gdp"),
+                 F.try_divide(from_cents(F.sum("ext")), from_cents(F.sum("qty"))).alias("price")))
 
 
 def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +102,8 @@ def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.year("o_orderdate").cast("int").alias("year"))
             .agg(F.count(F.lit(1)).cast("double").alias("actual"),
                  F.coalesce(F.sum("lines"), F.lit(0)).cast("double").alias("population"),
-                 F.try_divide(money_sum("o_totalprice").cast("double"), F.count("o_totalprice").cast("double")).alias("gdp"),
-                 F.try_divide(F.sum("ext").cast("double"), F.sum("qty").cast("double")).alias("price")))
+                 F.try_divide(from_cents(money_sum("o_totalprice")), F.count("o_totalprice").cast("double")).alias("gdp"),
+                 F.try_divide(from_cents(F.sum("ext")), from_cents(F.sum("qty"))).alias("price")))
 
 
 def training_window(panel: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
