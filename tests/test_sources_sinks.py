@@ -118,3 +118,40 @@ def test_many_files_grouped_by_delimiter(spark, tmp_path):
     df = S.read_delimited_many(spark, [str(a), str(b)])
     rows = {r["year"]: (r["actual"], r["extra"]) for r in df.collect()}
     assert rows == {2001.0: (1.5, None), 2002.0: (2.5, "x")}
+
+
+def test_training_window_and_errors(spark):
+    from panelcast.sources.panel import training_window
+    p = panel(spark, INPUT)
+    assert training_window(p, 2007, 2010).count() == 4
+    with pytest.raises(ValueError):
+        training_window(p, 2010, 2007)
+
+
+def test_relabel_years_after_window(spark):
+    from panelcast.operators import horizon as H
+    from panelcast.operators import models as M
+    from panelcast.sources.panel import training_window
+    p = panel(spark, INPUT)
+    fits = M.fit_linear_price(training_window(p, 2005, 2012), dict(LINEAR))
+    fc = H.predict_linear_price(fits, 3)
+    last_input = p.groupBy("series_id").agg(F.max("year").alias("last_input_year"))
+    years = sorted(r["year"] for r in H.relabel_years(fc, last_input).collect())
+    assert years == [2018, 2019, 2020]
+
+
+def test_future_rows_filter(spark):
+    from panelcast.operators import evaluate as E
+    df = spark.createDataFrame([(2017, False), (2018, True), (2049, True), (2050, True)], "year int, is_future boolean")
+    assert [r["year"] for r in E.future_rows(df, 2049).orderBy("year").collect()] == [2018, 2049]
+
+
+def test_typed_csv_and_profile_types(spark, tmp_path):
+    f = tmp_path / "t.csv"
+    f.write_text("series_id,day,label,v\n1,2020-01-05,a,1.5\n1,2020-02-01,b,\n1,2020-03-01,a,3.5\n")
+    df = S.read_csv_typed(spark, str(f), "series_id bigint, day date, label string, v double")
+    prof = {r["column"]: r for r in P.profile(df).collect()}
+    assert prof["v"]["type"] == "numeric" and prof["v"]["n_missing"] == 1 and prof["v"]["mean"] == 2.5
+    assert prof["label"]["type"] == "categorical" and prof["label"]["n_distinct"] == 2
+    assert prof["day"]["type"] == "datetime" and prof["day"]["min_text"] == "2020-01-05"
+    assert P.preview(df, 2).count() == 2
