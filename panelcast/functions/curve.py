@@ -82,19 +82,28 @@ def elasticity_threshold(target, a, b, c, d) -> Column:
     bracket = F.aggregate(F.sequence(F.lit(1), F.lit(K.BISECT_EXPAND_STEPS)),
                           F.struct(hi0.alias("hi"), f(hi0).alias("fhi")), grow)
 
+    def let(value: Column, body):
+        """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
+        (lambda bodies get no common-subexpression elimination)."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def halve(acc, _):
         mid = (acc["lo"] + acc["hi"]) / F.lit(2.0)
-        fm = f(mid)
-        stop = (F.abs(fm) < F.lit(K.BISECT_TOL)) | ((acc["hi"] - acc["lo"]) < F.lit(K.BISECT_TOL))
-        move_lo = _sign(fm) == _sign(acc["flo"])
-        done = acc["done"]
-        return F.struct(
-            F.when(done | stop | ~move_lo, acc["lo"]).otherwise(mid).alias("lo"),
-            F.when(done | stop | move_lo, acc["hi"]).otherwise(mid).alias("hi"),
-            F.when(done | stop | ~move_lo, acc["flo"]).otherwise(fm).alias("flo"),
-            F.when(done, acc["res"]).when(stop, mid).otherwise(acc["res"]).alias("res"),
-            (done | stop).alias("done"),
-        )
+
+        def step(x):
+            m, fm = x["m"], x["fm"]
+            stop = (F.abs(fm) < F.lit(K.BISECT_TOL)) | ((acc["hi"] - acc["lo"]) < F.lit(K.BISECT_TOL))
+            move_lo = _sign(fm) == _sign(acc["flo"])
+            done = acc["done"]
+            return F.struct(
+                F.when(done | stop | ~move_lo, acc["lo"]).otherwise(m).alias("lo"),
+                F.when(done | stop | move_lo, acc["hi"]).otherwise(m).alias("hi"),
+                F.when(done | stop | ~move_lo, acc["flo"]).otherwise(fm).alias("flo"),
+                F.when(done, acc["res"]).when(stop, m).otherwise(acc["res"]).alias("res"),
+                (done | stop).alias("done"),
+            )
+
+        return let(F.struct(mid.alias("m"), f(mid).alias("fm")), step)
 
     start = F.struct(lo0.alias("lo"), bracket["hi"].alias("hi"), flo.alias("flo"),
                      F.lit(None).cast("double").alias("res"), F.lit(False).alias("done"))
