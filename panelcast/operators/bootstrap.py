@@ -28,6 +28,7 @@ from .. import constants as K
 from ..functions import curve as C
 from ..functions.draws import draw_index
 from .fitting import common_aggs, merge_params, metrics_struct, recent_factor, to_col, windows, with_group_context
+from ..session import parallelism
 from .horizon import expand_horizon
 
 SIM_BLOCK = 64
@@ -85,8 +86,7 @@ def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optim
     # Only small rows move: the block's draws and the series' n training rows.
     # The compute-heavy rows are spread over every core with an explicit
     # partition count (AQE would coalesce the small input into one task).
-    parallelism = rows.sparkSession.sparkContext.defaultParallelism
-    work = blocks.join(per_series, keys).repartition(parallelism, *keys, "_blk")
+    work = blocks.join(per_series, keys).repartition(parallelism(rows.sparkSession), *keys, "_blk")
 
     def sq_err(x, cell):
         e = x["actual"] - x["population"] * C.saturation(x["rho"], a, b, cell["k1"], cell["k2"])

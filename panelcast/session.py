@@ -44,7 +44,10 @@ def get_spark(master: str | None = None, app: str = "panelcast",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
     unset (local runs, tests) fall back to a fresh local folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote sessions manage checkpoints server-side)
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -57,6 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (falls back to the shuffle partition count
+    where no SparkContext is exposed, e.g. a remote client session)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint directory.
 
