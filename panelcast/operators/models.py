@@ -32,11 +32,6 @@ def _first_params(names: dict[str, str]):
     return [F.first(f"_p_{a}").alias(a) for a in names.values()]
 
 
-def _ols(y: str, x: str):
-    """M4: least squares of ``y`` on ``x`` with intercept (null slope if x is constant)."""
-    return F.regr_slope(F.col(y), F.col(x)), F.regr_intercept(F.col(y), F.col(x))
-
-
 # --- M1 logistic_price ----------------------------------------------------------
 
 LOGISTIC_NAMES = {"k1": "k1", "k2": "k2", "distribution_a": "a", "distribution_b": "b",
@@ -82,7 +77,7 @@ def _linear_fit(panel, keys, p, model, index_expr, dn_eps):
     optimize = p.get("optimize_parameters") is True
     if optimize:
         # M4: calibrate C1, C2 by OLS of demand per head on the index, per group.
-        w_run, w_all = windows(keys)
+        _, w_all = windows(keys)
         rows = (rows.withColumn("_p_c1", F.regr_slope("dn", "pn").over(w_all))
                 .withColumn("_p_c2", F.regr_intercept("dn", "pn").over(w_all)))
     rows = rows.withColumn("pred", F.greatest(F.lit(0.0), _p("c1") * F.col("pn") + _p("c2")) * F.col("population"))
@@ -213,7 +208,7 @@ def fit_implied_price_logistic(panel: DataFrame, params: dict | None = None, key
     no_threshold = F.when(F.first("calib_k2").isNull(), F.lit("no_threshold"))
     return rows.groupBy(*keys).agg(
         F.lit("implied_price_logistic").alias("model"),
-        *[agg for agg in common_aggs(no_threshold) if agg is not None],
+        *common_aggs(no_threshold),
         F.first("_p_a").alias("a"), F.first("_p_b").alias("b"),
         F.first("_p_k1").alias("k1"), F.first("_p_k2").alias("k2"),
         F.first("_p_ref_elasticity").alias("ref_elasticity"),
