@@ -70,24 +70,37 @@ def with_group_context(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     )
 
 
-def weighted_factor(df: DataFrame, keys, pred: str = "pred") -> Column:
-    """A2: ``sum(w actual) / sum(w pred)`` over the group (1 if not positive)."""
+def _as_col(pred) -> Column:
+    return F.col(pred) if isinstance(pred, str) else pred
+
+
+def weighted_factor(df: DataFrame, keys, pred="pred") -> Column:
+    """A2: ``sum(w actual) / sum(w pred)`` over the group (1 if not positive).
+    ``pred`` is a column name or an expression."""
     _, w_all = windows(keys)
     num = F.sum(F.col("w") * F.col("actual")).over(w_all)
-    den = F.sum(F.col("w") * F.col(pred)).over(w_all)
+    den = F.sum(F.col("w") * _as_col(pred)).over(w_all)
     return F.when(den > 0, num / den).otherwise(F.lit(1.0))
 
 
-def recent_factor(df: DataFrame, keys, pred: str = "pred") -> Column:
-    """A1: over the last ``max(3, floor(0.2 n))`` years, ``sum actual / sum pred``."""
+def recent_factor(df: DataFrame, keys, pred="pred") -> Column:
+    """A1: over the last ``max(3, floor(0.2 n))`` years, ``sum actual / sum pred``.
+    ``pred`` is a column name or an expression."""
     _, w_all = windows(keys)
     k = F.greatest(F.lit(K.RECENT_MIN_YEARS), F.floor(F.col("n") * F.lit(K.RECENT_SHARE)).cast("int"))
     recent = F.col("w") > (F.col("n") - k)
     num = F.sum(F.when(recent, F.col("actual"))).over(w_all)
-    den = F.sum(F.when(recent, F.col(pred))).over(w_all)
+    den = F.sum(F.when(recent, _as_col(pred))).over(w_all)
     return F.when(den > 0, num / den).otherwise(F.lit(1.0))
 
 
+def with_adjusted(rows: DataFrame, keys, pred: Column, factor_fn) -> DataFrame:
+    """One projection: per-row prediction, the group's continuity factor (a
+    window over the prediction) and the adjusted prediction."""
+    factor = factor_fn(rows, keys, pred)
+    return rows.select("*", pred.alias("pred"), factor.alias("factor"), (pred * factor).alias("adj"))
+
+
 def metrics_struct(actual: str = "actual", pred: str = "adj") -> Column:
     """E1 as aggregate expressions: MAE, MSE, RMSE, MAPE, R² (0 without variance)."""
     a, p = F.col(actual), F.col(pred)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import curve as C
 from .fitting import (BASE_COLS, common_aggs, merge_params, metrics_struct, recent_factor, to_col,
-                      weighted_factor, windows, with_group_context)
+                      weighted_factor, windows, with_adjusted, with_group_context)
 
 
 def _prepare(panel: DataFrame, keys, params: dict, names: dict[str, str]) -> DataFrame:
@@ -53,9 +53,7 @@ def fit_logistic_price(panel: DataFrame, params: dict | None = None, keys=("seri
     rows = _prepare(panel, keys, p, LOGISTIC_NAMES)
     r = C.relative_price_index(F.col("price"), F.col("gdp"), _p("scale"))
     f = C.saturation(r, _p("a"), _p("b"), _p("k1"), _p("k2"))
-    rows = rows.withColumn("pred", _p("penetration") * F.col("population") * f)
-    rows = rows.withColumn("factor", recent_factor(rows, keys))
-    rows = rows.withColumn("adj", F.col("pred") * F.col("factor"))
+    rows = with_adjusted(rows, keys, _p("penetration") * F.col("population") * f, recent_factor)
     return rows.groupBy(*keys).agg(
         F.lit("logistic_price").alias("model"),
         *common_aggs(),
@@ -80,9 +78,8 @@ def _linear_fit(panel, keys, p, model, index_expr, dn_eps):
         _, w_all = windows(keys)
         rows = (rows.withColumn("_p_c1", F.regr_slope("dn", "pn").over(w_all))
                 .withColumn("_p_c2", F.regr_intercept("dn", "pn").over(w_all)))
-    rows = rows.withColumn("pred", F.greatest(F.lit(0.0), _p("c1") * F.col("pn") + _p("c2")) * F.col("population"))
-    rows = rows.withColumn("factor", weighted_factor(rows, keys))
-    rows = rows.withColumn("adj", F.col("pred") * F.col("factor"))
+    rows = with_adjusted(rows, keys, F.greatest(F.lit(0.0), _p("c1") * F.col("pn") + _p("c2")) * F.col("population"),
+                         weighted_factor)
     degenerate = F.when(F.first("_p_c1").isNull(), F.lit("degenerate")) if optimize else None
     return rows.groupBy(*keys).agg(
         F.lit(model).alias("model"),
@@ -138,9 +135,7 @@ def fit_trend_elasticity_blend(panel: DataFrame, params: dict | None = None, key
     wt = C.clamp(_p("trend_weight"), 0.0, 1.0)
     blend = (wt * (F.col("trend_slope") * F.col("t") + F.col("trend_intercept"))
              + (F.lit(1.0) - wt) * (F.col("elast_slope") * F.col("pn") + F.col("elast_intercept")))
-    rows = rows.withColumn("pred", F.greatest(F.lit(0.0), blend) * F.col("population"))
-    rows = rows.withColumn("factor", weighted_factor(rows, keys))
-    rows = rows.withColumn("adj", F.col("pred") * F.col("factor"))
+    rows = with_adjusted(rows, keys, F.greatest(F.lit(0.0), blend) * F.col("population"), weighted_factor)
     degenerate = F.when(F.first("trend_slope").isNull() | F.first("elast_slope").isNull(), F.lit("degenerate"))
     return rows.groupBy(*keys).agg(
         F.lit("trend_elasticity_blend").alias("model"),
