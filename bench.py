@@ -22,7 +22,9 @@ HEADLINE = [
     "forecast_implied_price",
     "forecast_blend",
     "leaderboard",
+    "best_model_forecast",
     "rolling_backtest",
+    "backtest_leaderboard",
     "sensitivity_sweep",
     "panel_clean",
     "panel_validation",
