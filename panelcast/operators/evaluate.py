@@ -201,12 +201,15 @@ def backtest_summary(folds: DataFrame, keys=("series_id",)) -> DataFrame:
     return pooled.join(stab, keys + ["model"])
 
 
-def best_model_forecast(fits: DataFrame, forecast: DataFrame, keys=("series_id",)) -> DataFrame:
-    """The forecast of each series' winning model (E7 winner), one model per
-    series; a semi-join keeps the forecast's partitioning by series."""
+def best_model_forecast(forecast: DataFrame, keys=("series_id",)) -> DataFrame:
+    """The forecast of each series' winning model (E7 winner: smallest in-sample
+    RMSE at 1e-6, ties by model name). Forecast rows carry their fit's RMSE
+    (``fit_rmse``) and only ``ok`` fits have rows, so the winner is a window
+    over the forecast itself — no second pass over the fits."""
     keys = list(keys)
-    best = best_model_per_series(fits, keys).select(*keys, F.col("best_model").alias("model"))
-    return forecast.join(best, keys + ["model"], "left_semi")
+    w = Window.partitionBy(*keys)
+    best = F.min(F.struct(_rmse_key(F.col("fit_rmse")).alias("r"), F.col("model").alias("m"))).over(w)
+    return (forecast.withColumn("_best", best["m"]).where(F.col("model") == F.col("_best")).drop("_best"))
 
 
 def backtest_leaderboard(panel: DataFrame, models: list[str], cutoffs: list[int], horizon: int,

@@ -108,7 +108,7 @@ def compare_models(panel: DataFrame, models: list[str] | None = None, params: di
     panel = panel.repartition(*keys)
     fits_all, fc_all = None, None
     common = ["series_id", "model", "scenario_id", "year", "population", "gdp", "price", "pred", "lower", "upper",
-              "q25", "q75", "growth_rate", "band_type"]
+              "q25", "q75", "growth_rate", "band_type", "fit_rmse"]
     for m in models:
         fits, fc = forecast(panel, m, params.get(m), horizon, scenarios, keys=keys)
         fc = fc.select(*[c for c in common if c in fc.columns])

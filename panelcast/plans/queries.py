@@ -520,8 +520,8 @@ def q_best_model_forecast(spark, sf_dir):
     """Flagship: every nation's demand five years out, from the model that
     fits that nation best (five models fitted in one shared partitioning)."""
     from ..operators import evaluate as E
-    fits, fc = _five(spark, sf_dir)
-    out = E.best_model_forecast(fits, fc)
+    _, fc = _five(spark, sf_dir)
+    out = E.best_model_forecast(fc)
     return rounded(out.select("series_id", "model", "scenario_id", "year", "population", "gdp", "price", "pred",
                               "lower", "upper", "growth_rate", "band_type"))
 
