@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    functions handed to them can import it wherever the driver was started."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote sessions: pass the package with --py-files)
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="panelcast-ship-"), "panelcast.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Cores available to the job (falls back to the shuffle partition count
     where no SparkContext is exposed, e.g. a remote client session)."""
