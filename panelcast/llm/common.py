@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYT
     n = batch.num_rows
     if not n:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     lo = 0
     while lo < n:
@@ -84,4 +85,4 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYT
 
 def strings(column: pa.Array) -> pa.Array:
     """A plain string array without nulls."""
-    return pa.compute.fill_null(column.cast(pa.string()), "")
+    return pc.fill_null(column.cast(pa.string()), "")
