@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     owners = found.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).filter("owner < other")
     later = (
         found.join(owners.select("h1", "h2", "owner"), ["h1", "h2"]).filter("doc > owner")
-        .groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("foreign"))
+        .groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__later"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for part in common.by_bytes(batch):
                 rows = [
                     one(t or "", {(x["h1"], x["h2"]) for x in f or ()})
-                    for t, f in zip(part.column("text").to_pylist(), part.column("foreign").to_pylist(), strict=True)
+                    for t, f in zip(part.column("text").to_pylist(), part.column("__later").to_pylist(), strict=True)
                 ]
                 text, n_lines, n_removed, removed = (list(x) for x in zip(*rows, strict=True))
                 kinds = dict(text=(text, pa.string()), n_lines=(n_lines, pa.int64()), n_removed=(n_removed, pa.int64()), removed=(removed, pa.string()))
@@ -110,7 +110,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     keyed = docs.select(*columns).withColumn("text", common.text_or_empty()).withColumn("__doc", order_key())
-    joined = keyed.join(later.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*columns, "foreign")
+    joined = keyed.join(later.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*columns, "__later")
     names = [*columns, "n_lines", "n_removed", "removed"]
-    schema = joined.drop("foreign").schema.add("n_lines", "long").add("n_removed", "long").add("removed", "string")
+    schema = joined.drop("__later").schema.add("n_lines", "long").add("n_removed", "long").add("removed", "string")
     return common.map_arrow(joined, cut, schema)

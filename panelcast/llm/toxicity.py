@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from panelcast.llm import common, linear
 from panelcast.llm.decontam import words
 
-#: Telling words of each category, and the fewest labelled texts that hold one.
-WORDS, LEAST_TEXTS = 192, 3
+#: Telling words of each category at most, the fewest labelled texts that hold one,
+#: and the least z score.
+WORDS, LEAST_TEXTS, LEAST_Z = 192, 3, 3.0
 FOLDS = 3
 STEPS = 8
 RIDGE = 0.1
@@ -77,13 +78,13 @@ def _word_lists(labelled: DataFrame) -> DataFrame:
 
 def telling_words(labelled: DataFrame, category: str, most: int = WORDS) -> list[str]:
     """The words whose share of texts differs most between the two classes, by the
-    z score of two shares; ``labelled`` has ``words`` and the category's 0/1 column."""
+    z score of two shares, which must be at least LEAST_Z; ``labelled`` has ``words`` and the category's 0/1 column."""
     n, ones = labelled.agg(F.count(category), F.sum(category)).first()
     counts = labelled.select(F.explode("words").alias("word"), F.col(category).cast("long").alias("y")).groupBy("word").agg(F.count("y").alias("texts"), F.sum("y").alias("hits"))
     share = F.col("texts") / F.lit(float(n))
     gap = F.col("hits") / F.lit(float(ones)) - (F.col("texts") - F.col("hits")) / F.lit(float(n - ones))
     z = F.abs(gap) / F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / (n - ones)) + F.lit(1e-12))
-    rows = counts.filter(F.col("texts") >= LEAST_TEXTS).orderBy(z.desc(), "word").limit(most).collect()
+    rows = counts.filter(F.col("texts") >= LEAST_TEXTS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(most).collect()
     return [r["word"] for r in rows]
 
 
