@@ -3,19 +3,33 @@
 A text is cut at ASCII white space. Such a tokenizer encodes the pieces
 independently, so the ids of a text are those of its pieces in order. The
 distinct pieces of a batch are found by Arrow, new ones go to the tokenizers
-library in one ``encode_batch`` call, and the ids are put together by numpy.
+library, and the ids are put together by numpy. A new piece of plain letters, with
+or without a full stop or comma behind it, goes straight to the library's model,
+lower-cased and in the byte alphabet, and its two parts are remembered apart; all
+others pass the whole tokenizer in one ``encode_batch`` call.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces remembered by a worker before it starts afresh; bounds memory.
-MAX_PIECES = 300_000
+MAX_PIECES = 500_000
+
+#: Pieces whose letters a lower-casing tokenizer with a byte alphabet handles one
+#: by one: Latin letters that normalisation leaves alone, then perhaps a mark.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: The byte alphabet writes the bytes 0xC3 and 0x80 to 0xBF of those letters thus:
+#: bytes that Latin-1 prints stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+ALPHABET = {c: "".join(_HIDDEN.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -52,24 +66,38 @@ class PieceEncoder:
         probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("a b", "a", "b", "\n a\t")]
         if probe[0] != probe[1] + probe[2] or probe[3] != probe[1]:
             raise ValueError(f"{path}: this tokenizer keeps white space; its texts can't be cut there")
+        self.model, self.parts = self.tok.model, {}
+        probe = ["Ab,", "ÀÖß.", "Ñandú", "x", "É,", "DIE.", "öffnen"]
+        short = [self._plain(m[1].lower()) + (self._plain(m[2]) if m[2] else []) for m in map(PLAIN.fullmatch, probe)]
+        self.lower = short == [x.ids for x in self.tok.encode_batch(probe, add_special_tokens=False)]
         self.max_pieces = max_pieces
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self._clear()
 
     def _clear(self) -> None:
         self.slot: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
+    def _plain(self, text: str) -> list[int]:
+        """Ids of one run of letters, or of one mark."""
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = self.parts[text] = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(ALPHABET))]
+        return ids
+
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        plain = [PLAIN.fullmatch(x) if self.lower else None for x in pieces]
+        others = iter(self.tok.encode_batch_fast([x for x, m in zip(pieces, plain, strict=True) if not m], add_special_tokens=False))
+        found = [(self._plain(m[1].lower()) + self._plain(m[2]) if m[2] else self._plain(m[1].lower())) if m else next(others).ids for m in plain]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         base = len(self.slot)
         self.slot.update(zip(pieces, range(base, base + len(pieces)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
