@@ -25,13 +25,16 @@ def floor_at(x, eps: float) -> Column:
 
 
 def clamp(x, lo, hi) -> Column:
-    return F.least(F.greatest(_c(x), _c(lo)), _c(hi))
+    """``x`` between ``lo`` and ``hi``; a null stays null (Spark's greatest and
+    least skip nulls, which would turn a missing value into a bound)."""
+    x = _c(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, _c(lo)), _c(hi)))
 
 
 def saturation(r, a, b, c, d) -> Column:
     """``clamp(a (1 - 1/(1 + exp(b + c r^d))), 0, 1)`` with ``r >= 1e-8``."""
     r, a, b, c, d = map(_c, (r, a, b, c, d))
-    safe_r = F.greatest(r, F.lit(1e-8))
+    safe_r = floor_at(r, 1e-8)
     expo = b + c * F.pow(safe_r, d)
     raw = a * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(expo)))
     return clamp(raw, 0.0, 1.0)
@@ -41,7 +44,7 @@ def elasticity(r, a, b, c, d) -> Column:
     """Point elasticity of the curve, ``c d (1 - F/max(a,1e-10)) r^d``."""
     r, a, b, c, d = map(_c, (r, a, b, c, d))
     f = saturation(r, a, b, c, d)
-    safe_r = F.greatest(r, F.lit(1e-10))
+    safe_r = floor_at(r, 1e-10)
     return c * d * (F.lit(1.0) - f / F.greatest(a, F.lit(1e-10))) * F.pow(safe_r, d)
 
 
@@ -49,8 +52,8 @@ def inverse_saturation(f_target, a, b, c, d) -> Column:
     """The ``r`` with ``saturation(r) == f_target`` (target clamped into range)."""
     f_target, a, b, c, d = map(_c, (f_target, a, b, c, d))
     ft = clamp(f_target, F.lit(1e-10), a - F.lit(1e-10))
-    inner = F.greatest(F.lit(1.0) / (F.lit(1.0) - ft / a) - F.lit(1.0), F.lit(1e-300))
-    expo = F.greatest((F.log(inner) - b) / c, F.lit(0.0))
+    inner = floor_at(F.lit(1.0) / (F.lit(1.0) - ft / a) - F.lit(1.0), 1e-300)
+    expo = floor_at((F.log(inner) - b) / c, 0.0)
     return F.pow(expo, F.lit(1.0) / d)
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import curve as C
 from ..functions.draws import draw_index
-from .fitting import common_aggs, merge_params, metrics_struct, recent_factor, to_col, windows, with_group_context
-from ..session import parallelism
+from .fitting import blank_invalid, common_aggs, merge_params, metrics_struct, recent_factor, to_col, windows, with_group_context
+from ..session import cut_lineage, parallelism
 from .horizon import expand_horizon
 
 SIM_BLOCK = 64
@@ -84,9 +84,12 @@ def bootstrap_samples(rows: DataFrame, keys, a, b, n_sims: int, seed: int, optim
     blocks = per_sim.groupBy(*keys, F.floor((F.col("sim") - F.lit(1)) / F.lit(SIM_BLOCK)).alias("_blk")).agg(
         F.collect_list(F.struct("sim", "idxs")).alias("_sims"))
     # Only small rows move: the block's draws and the series' n training rows.
-    # The compute-heavy rows are spread over every core with an explicit
-    # partition count (AQE would coalesce the small input into one task).
-    work = blocks.join(per_series, keys).repartition(parallelism(rows.sparkSession), *keys, "_blk")
+    # The compute-heavy rows are spread with an explicit partition count (AQE would
+    # coalesce the small input into one task): the session's shuffle partitions,
+    # which a deployment sizes to its data, and at least one per core.
+    spark = rows.sparkSession
+    spread = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    work = blocks.join(per_series, keys).repartition(spread, *keys, "_blk")
 
     def sq_err(x, cell):
         e = x["actual"] - x["population"] * C.saturation(x["rho"], a, b, cell["k1"], cell["k2"])
@@ -182,20 +185,22 @@ def fit_bootstrap_logistic(panel: DataFrame, params: dict | None = None, keys=("
         F.avg("k1").alias("k1"), F.avg("k2").alias("k2"),
         F.stddev_samp("k1").alias("k1_std"), F.stddev_samp("k2").alias("k2_std"),
         F.sort_array(F.collect_list(F.struct("sim", "k1", "k2"))).alias("samples"))
+    # Joined twice below: written once, so that the resampling stage runs once.
+    dist = cut_lineage(dist)
     rows = rows.join(dist.select(*keys, F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), keys)
     _, w_all = windows(keys)
     rows = rows.withColumn("pred", F.col("population") * C.saturation(F.col("rho"), a, b, F.col("_k1"), F.col("_k2")))
     rows = rows.withColumn("factor", recent_factor(rows, keys))
     rows = rows.withColumn("adj", F.col("pred") * F.col("factor"))
     rows = rows.withColumn("resid", (F.col("actual") - F.col("adj")) - F.avg(F.col("actual") - F.col("adj")).over(w_all))
-    fit = rows.groupBy(*keys).agg(
+    fit = blank_invalid(rows.groupBy(*keys).agg(
         F.lit("bootstrap_logistic").alias("model"),
-        *common_aggs(),
+        *common_aggs(min_years=K.RECENT_MIN_YEARS),
         F.first("factor").alias("continuity"),
         F.transform(F.sort_array(F.collect_list(F.struct("year", "resid"))), lambda x: x["resid"]).alias("residuals"),
         F.stddev_samp(F.col("actual") - F.col("adj")).alias("resid_std"),
         metrics_struct(),
-    )
+    ))
     return fit.join(dist, keys).select(
         "*", a.cast("double").alias("a"), b.cast("double").alias("b"),
         F.lit(int(p["n_simulations"])).alias("n_sims"), F.lit(int(p["seed"])).alias("seed"))
@@ -213,9 +218,9 @@ def simulate_bootstrap(fits: DataFrame, horizon: int, scenarios=None, paths=None
         pred = pred * F.col("continuity")
     n_res = F.size("residuals")
     ridx = draw_index(n_res, *[F.col(k) for k in keys], F.col("_s.sim"), F.col("h"), F.col("seed"), F.lit("resid"))
-    noisy = F.when(n_res > 0, F.greatest(F.lit(0.0), pred + F.element_at("residuals", ridx))).otherwise(pred)
+    noisy = F.when(n_res > 0, C.floor_at(pred + F.element_at("residuals", ridx), 0.0)).otherwise(pred)
     return rows.select(*keys, "model", "scenario_id", F.col("_s.sim").alias("sim"), "year", "h", "population", "gdp",
-                       "price", noisy.alias("pred"))
+                       "price", noisy.alias("pred"), F.col("metrics.rmse").alias("fit_rmse"))
 
 
 def predict_bootstrap_logistic(fits: DataFrame, horizon: int, scenarios=None, paths=None, keys=("series_id",),
@@ -228,11 +233,11 @@ def predict_bootstrap_logistic(fits: DataFrame, horizon: int, scenarios=None, pa
     q = F.percentile(F.col("pred"), F.array(*[F.lit(x) for x in (0.05, 0.25, 0.75, 0.95)]))
     agg = sims.groupBy(*keys, "model", "scenario_id", "year").agg(
         F.first("population").alias("population"), F.first("gdp").alias("gdp"), F.first("price").alias("price"),
-        F.avg("pred").alias("pred"), q.alias("_q"))
+        F.avg("pred").alias("pred"), q.alias("_q"), F.first("fit_rmse").alias("fit_rmse"))
     out = agg.select(*keys, "model", "scenario_id", "year", "population", "gdp", "price", "pred",
                      F.col("_q")[0].alias("lower"), F.col("_q")[3].alias("upper"),
                      F.col("_q")[1].alias("q25"), F.col("_q")[2].alias("q75"),
-                     F.lit("bootstrap_q05_q95").alias("band_type"))
+                     F.lit("bootstrap_q05_q95").alias("band_type"), "fit_rmse")
     w = Window.partitionBy(*keys, "model", "scenario_id").orderBy("year")
     prev = F.lag("pred").over(w)
     growth = F.when(prev.isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("pred") - prev, prev) * F.lit(100.0))

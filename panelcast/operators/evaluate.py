@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import cut_lineage
 
 
 def metric_aggs(actual: str = "actual", pred: str = "pred") -> list[Column]:
@@ -42,6 +43,14 @@ def holdout_pairs(forecast: DataFrame, actuals: DataFrame, keys=("series_id",))
     return forecast.join(a, keys + ["year"], "inner")
 
 
+def without_last_years(panel: DataFrame, years: int, keys=("series_id",)) -> DataFrame:
+    """Each series without its own last ``years`` years. A window over the
+    series, so training rows and held-out rows come from one derivation."""
+    w = Window.partitionBy(*keys)
+    return (panel.withColumn("_last", F.max("year").over(w))
+            .where(F.col("year") <= F.col("_last") - F.lit(int(years))).drop("_last"))
+
+
 def compare_forecast(forecast: DataFrame, expected: DataFrame, expected_col: str = "expected",
                      year_shift: int = 0, keys=("series_id",)) -> DataFrame:
     """Inner join on (series, year) with an optional year shift of the
@@ -100,15 +109,18 @@ def _rmse_key(c: Column) -> Column:
 
 def leaderboard(fits: DataFrame, forecast: DataFrame, keys=("series_id",)) -> DataFrame:
     """Per (series, model): status, rmse, mae, r2, mape, mean interval
-    width, and the rank within the series by (status, rmse, model)."""
+    width, and the rank within the series by (rmse, model) among ``ok`` fits;
+    other fits have no rank."""
     keys = list(keys)
-    width = interval_width(forecast.where(F.col("scenario_id") == "base"), keys).drop("scenario_id")
+    # The first scenario by name stands for the forecast, unless one is called base.
+    named = forecast.groupBy(*keys, "model").agg(F.min(F.struct(F.col("scenario_id") != "base", "scenario_id")).alias("s"))
+    width = interval_width(forecast, keys).join(named.select(*keys, "model", F.col("s.scenario_id")), keys + ["model", "scenario_id"]).drop("scenario_id")
     m = fits.select(*keys, "model", "status", F.col("metrics.rmse").alias("rmse"), F.col("metrics.mae").alias("mae"),
                     F.col("metrics.r2").alias("r2"), F.col("metrics.mape").alias("mape"))
     lb = m.join(width, keys + ["model"], "left")
-    w = Window.partitionBy(*keys).orderBy(F.col("status").asc(), _rmse_key(F.col("rmse")).asc_nulls_last(),
-                                          F.col("model").asc())
-    return lb.withColumn("rank", F.rank().over(w).cast("int"))
+    ok = F.col("status") == "ok"
+    w = Window.partitionBy(*keys).orderBy(ok.desc(), _rmse_key(F.col("rmse")).asc_nulls_last(), F.col("model").asc())
+    return lb.withColumn("rank", F.when(ok, F.rank().over(w).cast("int")))
 
 
 def best_model_per_series(fits: DataFrame, keys=("series_id",)) -> DataFrame:
@@ -116,7 +128,7 @@ def best_model_per_series(fits: DataFrame, keys=("series_id",)) -> DataFrame:
     keys = list(keys)
     ok = fits.where(F.col("status") == "ok")
     return ok.groupBy(*keys).agg(
-        F.min_by("model", F.struct(_rmse_key(F.col("metrics.rmse")), F.col("model"))).alias("best_model"),
+        F.min_by("model", F.struct(F.col("metrics.rmse").isNull(), _rmse_key(F.col("metrics.rmse")), F.col("model"))).alias("best_model"),
         F.min("metrics.rmse").alias("best_rmse"),
         F.count(F.lit(1)).alias("n_models"))
 
@@ -157,33 +169,44 @@ def comparison_rows(nested: DataFrame, keys=("series_id",)) -> DataFrame:
 
 
 def diagnostics_rows(diag_json: DataFrame, keys=("series_id",), col: str = "diagnostics") -> DataFrame:
-    """A JSON object of sections -> {metric: value or list} flattened to
-    (section, metric, value); lists are joined with '; '."""
+    """A JSON object of sections flattened to (section, metric, value). A
+    section is an object of metrics, or a list or scalar, which becomes the one
+    metric ``value``; lists are joined with '; '."""
     keys = list(keys)
-    m = F.from_json(F.col(col), "map<string, map<string, string>>")
-    s = diag_json.select(*keys, F.explode(m).alias("section", "metrics"))
-    s = s.select(*keys, "section", F.explode("metrics").alias("metric", "raw"))
-    arr = F.from_json(F.col("raw"), "array<string>")
-    return s.select(*keys, "section", "metric",
-                    F.when(arr.isNotNull(), F.array_join(arr, "; ")).otherwise(F.col("raw")).alias("value"))
+    sections = F.from_json(F.col(col), "map<string, string>")
+    s = diag_json.select(*keys, F.explode(sections).alias("section", "body"))
+    inner = F.when(F.col("body").startswith("{"), F.from_json("body", "map<string, string>"))
+    inner = F.coalesce(inner, F.create_map(F.lit("value"), F.col("body")))
+    s = s.select(*keys, "section", F.explode(inner).alias("metric", "raw"))
+    arr = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>"))
+    return s.select(*keys, "section", "metric", F.coalesce(F.array_join(arr, "; "), F.col("raw")).alias("value"))
 
 
 # --- rolling-origin backtest (E13) -------------------------------------------------------
 
+class cutoffs_back(list):
+    """Cutoffs counted back from each series' own last year."""
+
+
 def rolling_backtest(panel: DataFrame, model: str, cutoffs: list[int], horizon: int,
                      params: dict | None = None, keys=("series_id",)) -> DataFrame:
     """Fold rows: for each cutoff, fit on ``year <= cutoff`` grouped by
     (series, cutoff) — all folds in one job — forecast ``horizon`` years and
-    pair with the actual later years. Output: keys, model, cutoff, year,
-    actual, pred, error, ape."""
-    from .horizon import PREDICTORS
-    from .models import FITTERS
+    pair with the actual later years. ``cutoffs`` are years, or ``cutoffs_back``
+    numbers of years before each series' last. Any registered model can be
+    tested. Output: keys, model, cutoff, year, actual, pred, error, ape."""
+    from ..plans.forecast import forecast
     keys = list(keys)
-    folds = panel.select("*", F.explode(F.array(*[F.lit(int(c)) for c in cutoffs])).alias("cutoff")) \
-        .where(F.col("year") <= F.col("cutoff"))
+    listed = F.array(*[F.lit(int(c)) for c in cutoffs])
+    if isinstance(cutoffs, cutoffs_back):
+        last = F.max("year").over(Window.partitionBy(*keys))
+        dated = panel.withColumn("_last", last)
+        folds = dated.select(*panel.columns, F.explode(F.transform(listed, lambda c: F.col("_last") - c)).alias("cutoff"))
+    else:
+        folds = panel.select("*", F.explode(listed).alias("cutoff"))
+    folds = folds.where(F.col("year") <= F.col("cutoff"))
     fk = keys + ["cutoff"]
-    fits = FITTERS[model](folds, params, keys=fk)
-    fc = PREDICTORS[model](fits, horizon, keys=fk)
+    _, fc = forecast(folds, model, params, horizon, keys=fk)
     pairs = fc.select(*fk, "model", "year", "pred").join(panel.select(*keys, "year", "actual"), keys + ["year"])
     err = F.col("actual") - F.col("pred")
     return pairs.select(*fk, "model", "year", "actual", "pred", err.alias("error"),
@@ -208,7 +231,7 @@ def best_model_forecast(forecast: DataFrame, keys=("series_id",)) -> DataFrame:
     over the forecast itself — no second pass over the fits."""
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    best = F.min(F.struct(_rmse_key(F.col("fit_rmse")).alias("r"), F.col("model").alias("m"))).over(w)
+    best = F.min(F.struct(F.col("fit_rmse").isNull().alias("u"), _rmse_key(F.col("fit_rmse")).alias("r"), F.col("model").alias("m"))).over(w)
     return (forecast.withColumn("_best", best["m"]).where(F.col("model") == F.col("_best")).drop("_best"))
 
 
@@ -219,7 +242,7 @@ def backtest_leaderboard(panel: DataFrame, models: list[str], cutoffs: list[int]
     models whose in-sample fit is exact by construction (implied price)."""
     keys = list(keys)
     params = params or {}
-    panel = panel.repartition(*keys)
+    panel = cut_lineage(panel.repartition(*keys))
     folds = None
     for m in models:
         f = rolling_backtest(panel, m, cutoffs, horizon, params.get(m), keys)

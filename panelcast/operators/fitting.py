@@ -36,9 +36,15 @@ def to_col(x) -> Column:
     return F.lit(x)
 
 
+#: Models whose fit is closed, whatever ``optimize_parameters`` says.
+UNOPTIMISED = ("implied_price_logistic", "trend_elasticity_blend")
+
+
 def merge_params(defaults: dict, overrides: dict | None, model: str) -> dict:
     """Only known keys may be overridden; unknown keys are rejected."""
     out = dict(defaults)
+    if (overrides or {}).get("optimize_parameters") and model in UNOPTIMISED:
+        raise ValueError(f"model {model!r} has no parameters to optimise")
     for k, v in (overrides or {}).items():
         if k not in defaults:
             raise ValueError(f"unknown parameter {k!r} for model {model!r}")
@@ -117,11 +123,23 @@ def metrics_struct(actual: str = "actual", pred: str = "adj") -> Column:
     ).alias("metrics")
 
 
-def common_aggs(extra_status: Column | None = None) -> list[Column]:
-    """Aggregates shared by every fit: last row values, references, status."""
+PRICED = ("population", "gdp", "price")
+UNPRICED = ("population", "gdp")
+
+
+def common_aggs(extra_status: Column | None = None, drivers=PRICED, min_years: int = 1) -> list[Column]:
+    """Aggregates shared by every fit: last row values, references, status.
+
+    A group with a repeated or missing year, a missing or negative actual, or a
+    missing value of a driver that the model needs is ``invalid``. Only models
+    whose continuity factor looks at the last three years ask for ``min_years``."""
     n = F.count(F.lit(1))
-    status = (F.when(F.max(F.col("dup_year").cast("int")) > 0, F.lit("invalid"))
-              .when(n < F.lit(K.RECENT_MIN_YEARS), F.lit("too_short")))
+    bad = F.col("dup_year") | F.col("year").isNull() | F.col("actual").isNull() | F.coalesce(F.col("actual") < 0, F.lit(False))
+    for c in drivers:
+        bad = bad | F.col(c).isNull()
+    status = F.when(F.bool_or(bad), F.lit("invalid"))
+    if min_years > 1:
+        status = status.when(n < F.lit(min_years), F.lit("too_short"))
     if extra_status is not None:
         status = status.when(extra_status.isNotNull(), extra_status)
     status = status.otherwise(F.lit("ok"))
@@ -137,3 +155,12 @@ def common_aggs(extra_status: Column | None = None) -> list[Column]:
         F.first("ref_gdp").alias("ref_gdp"),
         F.first("ref_price").alias("ref_price"),
     ]
+
+
+ESTIMATES = ("continuity", "resid_std", "metrics")
+
+
+def blank_invalid(fits: DataFrame) -> DataFrame:
+    """Fits of invalid input carry their status and counts, but no estimate."""
+    return fits.select(*[F.when(F.col("status") != "invalid", F.col(c)).alias(c) if c in ESTIMATES else F.col(c)
+                         for c in fits.columns])

@@ -22,16 +22,20 @@ BASE_SCENARIO = {"scenario_id": "base", "gdp_growth": K.DEFAULT_GDP_GROWTH,
                  "fare_growth": None}
 
 def scenario_array(scenarios: list[dict] | None) -> Column:
-    """The scenario list as one literal array of structs."""
+    """The scenario list as one array of structs; rates may be numbers or columns."""
     scenarios = scenarios or [BASE_SCENARIO]
+
+    def rate(x) -> Column:
+        return x if isinstance(x, Column) else F.lit(float(x))
+
     structs = []
     for s in scenarios:
         full = dict(BASE_SCENARIO, **s)
         structs.append(F.struct(
             F.lit(str(full["scenario_id"])).alias("scenario_id"),
-            F.lit(float(full["gdp_growth"])).alias("gdp_growth"),
-            F.lit(float(full["pop_growth"])).alias("pop_growth"),
-            F.lit(float(full["price_inflation"])).alias("price_inflation"),
+            rate(full["gdp_growth"]).alias("gdp_growth"),
+            rate(full["pop_growth"]).alias("pop_growth"),
+            rate(full["price_inflation"]).alias("price_inflation"),
             F.lit(None if full["fare_growth"] is None else float(full["fare_growth"])).cast("double").alias("fare_growth"),
         ))
     return F.array(*structs)
@@ -144,7 +148,7 @@ def predict_linear_price(fits, horizon, scenarios=None, paths=None, keys=("serie
     """Same clipped index as the fit, factor always applied."""
     rows = expand_horizon(fits, horizon, scenarios, paths, keys)
     pn = C.clipped_index(F.try_divide(F.col("price"), F.col("gdp")) * F.try_divide(F.col("ref_gdp"), F.col("ref_price")))
-    pred = F.greatest(F.lit(0.0), F.col("c1") * pn + F.col("c2")) * F.col("population") * F.col("continuity")
+    pred = C.floor_at(F.col("c1") * pn + F.col("c2"), 0.0) * F.col("population") * F.col("continuity")
     return _finish(rows, keys, pred, shared_builder=False)
 
 
@@ -152,7 +156,7 @@ def predict_linear_income_index(fits, horizon, scenarios=None, paths=None, keys=
     """P5: unclipped ``gdp0 / gdp`` index (the fit clips, the prediction does not)."""
     rows = expand_horizon(fits, horizon, scenarios, paths, keys, price_fallback=True)
     pn = F.col("ref_gdp") / C.floor_at(F.col("gdp"), 1e-10)
-    pred = F.greatest(F.lit(0.0), F.col("c1") * pn + F.col("c2")) * F.col("population") * F.col("continuity")
+    pred = C.floor_at(F.col("c1") * pn + F.col("c2"), 0.0) * F.col("population") * F.col("continuity")
     return _finish(rows, keys, pred, shared_builder=True)
 
 
@@ -164,7 +168,7 @@ def predict_trend_elasticity_blend(fits, horizon, scenarios=None, paths=None, ke
     wt = C.clamp(F.col("trend_weight"), 0.0, 1.0)
     blend = (wt * (F.col("trend_slope") * t + F.col("trend_intercept"))
              + (F.lit(1.0) - wt) * (F.col("elast_slope") * pn + F.col("elast_intercept")))
-    pred = F.greatest(F.lit(0.0), blend) * F.col("population") * F.col("continuity")
+    pred = C.floor_at(blend, 0.0) * F.col("population") * F.col("continuity")
     return _finish(rows, keys, pred, shared_builder=True)
 
 

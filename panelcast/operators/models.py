@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import curve as C
-from .fitting import (BASE_COLS, common_aggs, merge_params, metrics_struct, recent_factor, to_col,
+from .fitting import (BASE_COLS, PRICED, UNPRICED, blank_invalid, common_aggs, merge_params, metrics_struct, recent_factor, to_col,
                       weighted_factor, windows, with_adjusted, with_group_context)
 
 
@@ -54,14 +54,14 @@ def fit_logistic_price(panel: DataFrame, params: dict | None = None, keys=("seri
     r = C.relative_price_index(F.col("price"), F.col("gdp"), _p("scale"))
     f = C.saturation(r, _p("a"), _p("b"), _p("k1"), _p("k2"))
     rows = with_adjusted(rows, keys, _p("penetration") * F.col("population") * f, recent_factor)
-    return rows.groupBy(*keys).agg(
+    return blank_invalid(rows.groupBy(*keys).agg(
         F.lit("logistic_price").alias("model"),
-        *common_aggs(),
+        *common_aggs(min_years=K.RECENT_MIN_YEARS),
         *_first_params(LOGISTIC_NAMES),
         F.first("factor").alias("continuity"),
         F.stddev_samp(F.col("actual") - F.col("adj")).alias("resid_std"),
         metrics_struct(),
-    )
+    ))
 
 
 # --- M3 linear_price ------------------------------------------------------------
@@ -69,7 +69,7 @@ def fit_logistic_price(panel: DataFrame, params: dict | None = None, keys=("seri
 LINEAR_NAMES = {"C1": "c1", "C2": "c2"}
 
 
-def _linear_fit(panel, keys, p, model, index_expr, dn_eps):
+def _linear_fit(panel, keys, p, model, index_expr, dn_eps, drivers):
     rows = _prepare(panel, keys, p, LINEAR_NAMES)
     rows = rows.withColumn("pn", index_expr).withColumn("dn", C.demand_per_head(F.col("actual"), F.col("population"), dn_eps))
     optimize = p.get("optimize_parameters") is True
@@ -78,17 +78,17 @@ def _linear_fit(panel, keys, p, model, index_expr, dn_eps):
         _, w_all = windows(keys)
         rows = (rows.withColumn("_p_c1", F.regr_slope("dn", "pn").over(w_all))
                 .withColumn("_p_c2", F.regr_intercept("dn", "pn").over(w_all)))
-    rows = with_adjusted(rows, keys, F.greatest(F.lit(0.0), _p("c1") * F.col("pn") + _p("c2")) * F.col("population"),
+    rows = with_adjusted(rows, keys, C.floor_at(_p("c1") * F.col("pn") + _p("c2"), 0.0) * F.col("population"),
                          weighted_factor)
     degenerate = F.when(F.first("_p_c1").isNull(), F.lit("degenerate")) if optimize else None
-    return rows.groupBy(*keys).agg(
+    return blank_invalid(rows.groupBy(*keys).agg(
         F.lit(model).alias("model"),
-        *common_aggs(degenerate),
+        *common_aggs(degenerate, drivers),
         *_first_params(LINEAR_NAMES),
         F.first("factor").alias("continuity"),
         F.stddev_samp(F.col("actual") - F.col("adj")).alias("resid_std"),
         metrics_struct(),
-    )
+    ))
 
 
 def fit_linear_price(panel: DataFrame, params: dict | None = None, keys=("series_id",)) -> DataFrame:
@@ -97,7 +97,7 @@ def fit_linear_price(panel: DataFrame, params: dict | None = None, keys=("series
     keys = list(keys)
     p = merge_params(K.LINEAR_PRICE_DEFAULTS, params, "linear_price")
     pn = C.clipped_index(F.try_divide(F.col("price"), F.col("gdp")) * F.try_divide(F.col("ref_gdp"), F.col("ref_price")))
-    return _linear_fit(panel, keys, p, "linear_price", pn, 1e-8)
+    return _linear_fit(panel, keys, p, "linear_price", pn, 1e-8, PRICED)
 
 
 def fit_linear_income_index(panel: DataFrame, params: dict | None = None, keys=("series_id",)) -> DataFrame:
@@ -105,7 +105,7 @@ def fit_linear_income_index(panel: DataFrame, params: dict | None = None, keys=(
     keys = list(keys)
     p = merge_params(K.LINEAR_INCOME_INDEX_DEFAULTS, params, "linear_income_index")
     pn = C.clipped_index(F.col("ref_gdp") / C.floor_at(F.col("gdp"), 1e-8))
-    return _linear_fit(panel, keys, p, "linear_income_index", pn, 1e-8)
+    return _linear_fit(panel, keys, p, "linear_income_index", pn, 1e-8, UNPRICED)
 
 
 # --- M6 trend_elasticity_blend --------------------------------------------------
@@ -135,11 +135,11 @@ def fit_trend_elasticity_blend(panel: DataFrame, params: dict | None = None, key
     wt = C.clamp(_p("trend_weight"), 0.0, 1.0)
     blend = (wt * (F.col("trend_slope") * F.col("t") + F.col("trend_intercept"))
              + (F.lit(1.0) - wt) * (F.col("elast_slope") * F.col("pn") + F.col("elast_intercept")))
-    rows = with_adjusted(rows, keys, F.greatest(F.lit(0.0), blend) * F.col("population"), weighted_factor)
+    rows = with_adjusted(rows, keys, C.floor_at(blend, 0.0) * F.col("population"), weighted_factor)
     degenerate = F.when(F.first("trend_slope").isNull() | F.first("elast_slope").isNull(), F.lit("degenerate"))
-    return rows.groupBy(*keys).agg(
+    return blank_invalid(rows.groupBy(*keys).agg(
         F.lit("trend_elasticity_blend").alias("model"),
-        *common_aggs(degenerate),
+        *common_aggs(degenerate, UNPRICED),
         F.first("_p_trend_weight").alias("trend_weight"),
         F.first("trend_slope").alias("trend_slope"),
         F.first("trend_intercept").alias("trend_intercept"),
@@ -148,7 +148,7 @@ def fit_trend_elasticity_blend(panel: DataFrame, params: dict | None = None, key
         F.first("factor").alias("continuity"),
         F.stddev_samp(F.col("actual") - F.col("adj")).alias("resid_std"),
         metrics_struct(),
-    )
+    ))
 
 
 # --- M7 implied_price_logistic --------------------------------------------------
@@ -201,9 +201,9 @@ def fit_implied_price_logistic(panel: DataFrame, params: dict | None = None, key
     rows = rows.withColumn("adj", F.col("calib_k1") * C.saturation(F.col("calib_k2") * F.col("t_implied") * s, a, b, c, d)
                            * F.col("population"))
     no_threshold = F.when(F.first("calib_k2").isNull(), F.lit("no_threshold"))
-    return rows.groupBy(*keys).agg(
+    return blank_invalid(rows.groupBy(*keys).agg(
         F.lit("implied_price_logistic").alias("model"),
-        *common_aggs(no_threshold),
+        *common_aggs(no_threshold, UNPRICED),
         F.first("_p_a").alias("a"), F.first("_p_b").alias("b"),
         F.first("_p_k1").alias("k1"), F.first("_p_k2").alias("k2"),
         F.first("_p_ref_elasticity").alias("ref_elasticity"),
@@ -216,7 +216,7 @@ def fit_implied_price_logistic(panel: DataFrame, params: dict | None = None, key
         F.lit(1.0).alias("continuity"),
         F.stddev_samp(F.col("actual") - F.col("adj")).alias("resid_std"),
         metrics_struct(),
-    )
+    ))
 
 
 FITTERS = {

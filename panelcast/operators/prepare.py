@@ -7,6 +7,8 @@ group is an annual series, so exact percentiles per group stay bounded.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,17 +21,15 @@ NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortTy
 # --- D1 / D2 --------------------------------------------------------------------
 
 def normalise_names(names: list[str]) -> list[str]:
-    """D1 + D2: trim, lower-case, map synonyms, then suffix repeats (_2, _3, ...)."""
-    out: list[str] = []
-    for n in names:
-        m = n.strip().lower()
-        m = K.COLUMN_SYNONYMS.get(m, m)
-        if m in out:
-            i = 2
-            while f"{m}_{i}" in out:
-                i += 1
-            m = f"{m}_{i}"
-        out.append(m)
+    """D1 + D2: trim, lower-case, map synonyms, then number repeats (_2, _3, ...);
+    a number that another column already has is passed over."""
+    canonical = [K.COLUMN_SYNONYMS.get(n, n) for n in (raw.strip().lower() for raw in names)]
+    taken: set[str] = set()
+    out = []
+    for name in canonical:
+        spellings = itertools.chain([name], (f"{name}_{i}" for i in itertools.count(2)))
+        out.append(next(s for s in spellings if s not in taken))
+        taken.add(out[-1])
     return out
 
 
@@ -259,14 +259,19 @@ def model_compatibility(panel: DataFrame, keys=("series_id",)) -> DataFrame:
 
 def load_panel(spark: SparkSession, path: str, series_id: int = 0):
     """Delimited file -> typed -> normalised names -> panel, plus its
-    validation checks and profile. Requires ``year`` and ``actual_passengers``;
-    the full data is returned (no preview cut)."""
+    validation checks and profile. Without ``year`` or ``actual_passengers`` the
+    checks are error rows ``missing_<column>``. The full data is returned (no
+    preview cut)."""
     from ..sources.delimited import read_delimited
     df = normalize_column_names(read_delimited(spark, path))
-    for req in ("year", "actual_passengers"):
-        if req not in df.columns:
-            raise ValueError("data must contain 'year' and 'actual_passengers'")
+    missing = [c for c in ("year", "actual_passengers") if c not in df.columns]
     panel = to_panel(df, series_id)
+    if missing:
+        # The checks say what is missing; rules on other columns can't be asked.
+        rows = F.array(*[F.struct(F.lit(f"missing_{c}").alias("rule"), F.lit("error").alias("severity"),
+                                  F.lit(1).cast("bigint").alias("n")) for c in missing])
+        checks = panel.select("series_id").distinct().select("series_id", F.inline(rows))
+        return panel, checks, profile(panel)
     checks = validate_panel(panel)
     if not isinstance(panel.schema["year"].dataType, (T.IntegerType, T.LongType)):
         panel = panel.withColumn("year", F.when(F.col("year") == F.floor("year"), F.col("year").cast("int")))

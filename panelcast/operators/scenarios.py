@@ -16,19 +16,18 @@ from ..functions.draws import noise_factor
 
 def sensitivity_sweep(panel: DataFrame, model: str, parameter: str, values: list[float],
                       params: dict | None = None, horizon: int = 10, keys=("series_id",)):
-    """One parameter over a list of values, horizon 10 by default.
+    """One parameter, or one growth rate, over a list of values, horizon 10 by default.
     Returns (fits, forecast) keyed by (keys..., value_index, value)."""
-    from ..plans.forecast import get_model
+    from ..plans.forecast import GROWTH_PARAMS, forecast, get_model
     keys = list(keys)
-    spec = get_model(model)
+    if parameter not in GROWTH_PARAMS and isinstance(get_model(model).defaults.get(parameter, 0.0), bool):
+        raise ValueError(f"parameter {parameter!r} is a switch and can't be swept")
     arr = F.array(*[F.lit(float(v)) for v in values])
     fan = panel.select("*", F.posexplode(arr).alias("value_index", "value"))
     p = dict(params or {})
     p[parameter] = F.col("value")
     k = keys + ["value_index", "value"]
-    fits = spec.fit(fan, p, keys=k)
-    fc = spec.predict(fits, horizon, keys=k)
-    return fits, fc
+    return forecast(fan, model, p, horizon, keys=k)
 
 
 def sensitivity_rows(fits: DataFrame, forecast: DataFrame, model: str, parameter: str, keys=("series_id",)) -> DataFrame:
@@ -53,23 +52,19 @@ def param_noise_mc(panel: DataFrame, model: str, params: dict, n_sims: int = 100
     drawn per (series, sim, parameter) by a portable hash; all simulations
     fitted in one grouped job keyed by (series, sim). No cap on ``n_sims``.
     Returns (fits, forecast)."""
-    from ..plans.forecast import get_model
+    from ..plans.forecast import GROWTH_PARAMS, PREDICT_PARAMS, forecast, get_model
     keys = list(keys)
-    spec = get_model(model)
     fan = panel.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(n_sims)))).alias("sim"))
     noisy = {}
-    for name, v in spec.defaults.items():
-        v = params.get(name, v)
+    for name, v in {**get_model(model).defaults, **params}.items():
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             continue
-        if name in ("n_simulations", "seed", "monte_carlo_simulations"):
+        if name in ("n_simulations", "seed", *GROWTH_PARAMS, *PREDICT_PARAMS.get(model, ())):
             continue
         noisy[name] = F.lit(float(v)) * noise_factor(*[F.col(k) for k in keys], F.col("sim"), F.lit(name),
                                                       F.lit(int(seed)), spread=spread)
     k = keys + ["sim"]
-    fits = spec.fit(fan, dict(params, **noisy), keys=k)
-    fc = spec.predict(fits, horizon, keys=k)
-    return fits, fc
+    return forecast(fan, model, dict(params, **noisy), horizon, keys=k)
 
 
 def noise_stats(fits: DataFrame, keys=("series_id",)) -> DataFrame:

@@ -2,8 +2,8 @@
 ``compare_models`` for several, model catalogue, and the golden comparison job.
 
 Everything returns lazy DataFrames; the caller decides when to act.
-``compare_models`` hash-partitions the panel by the series key once; all model
-branches reuse that one exchange. Callers that run many jobs on an expensive
+``compare_models`` hash-partitions the panel by the series key, and each model
+branch fits and forecasts inside that partitioning. Callers that run many jobs on an expensive
 panel can cut its lineage with ``session.cut_lineage`` (reliable checkpoint in
 the shared checkpoint directory) or write it to a table.
 """
@@ -20,6 +20,7 @@ from .. import constants as K
 from ..operators import evaluate as E
 from ..operators import horizon as H
 from ..operators import models as M
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class ModelSpec:
     predict: Callable
     defaults: dict
     category: str = "traditional"
-    best_for: str = "General forecasting"
+    best_for: str = "Any series that holds its drivers"
     time_horizon: str = "Variable"
     complexity: str = "Unknown"
     interpretability: str = "Medium"
@@ -55,19 +56,18 @@ def list_models() -> list[str]:
 
 
 def _register_defaults() -> None:
-    # FIXED VALUES: capability texts of the catalogue (four models carry their
-    # own; the others get the generic answer).
+    # Capability texts of the catalogue; models without their own get the generic ones.
     register_model(ModelSpec("logistic_price", M.fit_logistic_price, H.predict_logistic_price,
-                             K.LOGISTIC_PRICE_DEFAULTS, best_for="Long-term forecasting (5+ years)",
+                             K.LOGISTIC_PRICE_DEFAULTS, best_for="Horizons beyond five years, where demand nears saturation",
                              time_horizon="Long-term", complexity="High", interpretability="Medium",
                              description="Saturation curve of relative price, scaled by population"))
     register_model(ModelSpec("linear_price", M.fit_linear_price, H.predict_linear_price,
-                             K.LINEAR_PRICE_DEFAULTS, best_for="Short to medium-term forecasting (1-5 years)",
+                             K.LINEAR_PRICE_DEFAULTS, best_for="Horizons up to five years with a steady response to price",
                              time_horizon="Medium-term", complexity="Medium", interpretability="High",
                              description="Demand per head linear in the normalised price"))
     register_model(ModelSpec("linear_income_index", M.fit_linear_income_index, H.predict_linear_income_index,
                              K.LINEAR_INCOME_INDEX_DEFAULTS,
-                             best_for="Short to medium-term forecasting (1-5 years) with indexation",
+                             best_for="Horizons up to five years where income drives demand",
                              time_horizon="Medium-term", complexity="Medium", interpretability="High",
                              description="Demand per head linear in an income index, no direct price"))
     register_model(ModelSpec("implied_price_logistic", M.fit_implied_price_logistic,
@@ -79,19 +79,50 @@ def _register_defaults() -> None:
     from ..operators import bootstrap as B
     register_model(ModelSpec("bootstrap_logistic", B.fit_bootstrap_logistic, B.predict_bootstrap_logistic,
                              K.BOOTSTRAP_DEFAULTS,
-                             best_for="Probabilistic forecasting and uncertainty quantification",
+                             best_for="Forecasts that need a distribution, not one path",
                              time_horizon="Variable", complexity="High", interpretability="Medium",
                              description="Saturation curve calibrated by bootstrap resampling"))
 
 
+#: Growth parameters that every model's prediction takes, and their scenario names.
+GROWTH_PARAMS = {"gdp_growth_rate": "gdp_growth", "population_growth_rate": "pop_growth",
+                 "ticket_price_inflation": "price_inflation"}
+#: Parameters that a model's prediction takes, not its fit.
+PREDICT_PARAMS = {"logistic_price": ("apply_continuity_adjustment", "monte_carlo_simulations"),
+                  "bootstrap_logistic": ("apply_continuity_adjustment",)}
+
+
+def split_params(model: str, params: dict | None) -> tuple[dict, dict, dict]:
+    """One parameter dictionary dealt to (fit, growth rates, predict options).
+    The fit rejects names that it does not know."""
+    fit, growth, options = {}, {}, {}
+    for k, v in (params or {}).items():
+        if k in GROWTH_PARAMS:
+            growth[GROWTH_PARAMS[k]] = v
+        elif k in PREDICT_PARAMS.get(model, ()):
+            options[k] = v
+        else:
+            fit[k] = v
+    return fit, growth, options
+
+
+def predict(fits: DataFrame, model: str, params: dict | None, horizon: int, scenarios=None, paths=None,
+            keys=("series_id",), **options) -> DataFrame:
+    """Prediction with the parameters that concern it. Growth rates among them are
+    the base rates of every scenario that does not set its own."""
+    _, growth, own = split_params(model, params)
+    if growth:
+        scenarios = [{**growth, **s} for s in scenarios or [{}]]
+    return get_model(model).predict(fits, horizon, scenarios=scenarios, paths=paths, keys=keys, **{**own, **options})
+
+
 def forecast(panel: DataFrame, model: str, params: dict | None = None, horizon: int = 5,
              scenarios: list[dict] | None = None, paths: DataFrame | None = None,
              keys=("series_id",), **predict_options):
-    """Fit then predict one model for every series; returns (fits, forecast)."""
-    spec = get_model(model)
-    fits = spec.fit(panel, params, keys=keys)
-    fc = spec.predict(fits, horizon, scenarios=scenarios, paths=paths, keys=keys, **predict_options)
-    return fits, fc
+    """Fit then predict one model for every series; returns (fits, forecast).
+    ``params`` may hold parameters of the fit, of the prediction and growth rates."""
+    fits = get_model(model).fit(panel, split_params(model, params)[0], keys=keys)
+    return fits, predict(fits, model, params, horizon, scenarios, paths, keys, **predict_options)
 
 
 def compare_models(panel: DataFrame, models: list[str] | None = None, params: dict[str, dict] | None = None,
@@ -100,17 +131,19 @@ def compare_models(panel: DataFrame, models: list[str] | None = None, params: di
     unioned by name. A series a model cannot fit becomes a status row (its
     ``status`` is not ``ok`` and it has no forecast rows); other series and
     models go on."""
-    models = models or [m for m in list_models() if m != "bootstrap_logistic"]
+    models = models or list_models()
     params = params or {}
-    # One hash partitioning by the group key, shared by every model branch:
-    # each fit's windows and aggregates find their distribution satisfied, so
-    # the models add no shuffle of their own (one exchange, reused).
-    panel = panel.repartition(*keys)
+    # Hash-partitioned by the group key: each fit's windows and aggregates find
+    # their distribution satisfied, so a model adds no shuffle behind it.
+    # The panel and each model's fits are checkpointed, so the panel is derived
+    # once, and forecasts and rankings do not fit again.
+    panel = cut_lineage(panel.repartition(*keys))
     fits_all, fc_all = None, None
-    common = ["series_id", "model", "scenario_id", "year", "population", "gdp", "price", "pred", "lower", "upper",
+    common = [*keys, "model", "scenario_id", "year", "population", "gdp", "price", "pred", "lower", "upper",
               "q25", "q75", "growth_rate", "band_type", "fit_rmse"]
     for m in models:
-        fits, fc = forecast(panel, m, params.get(m), horizon, scenarios, keys=keys)
+        fits = cut_lineage(get_model(m).fit(panel, split_params(m, params.get(m))[0], keys=keys))
+        fc = predict(fits, m, params.get(m), horizon, scenarios, keys=keys)
         fc = fc.select(*[c for c in common if c in fc.columns])
         fits_all = fits if fits_all is None else fits_all.unionByName(fits, allowMissingColumns=True)
         fc_all = fc if fc_all is None else fc_all.unionByName(fc, allowMissingColumns=True)
@@ -121,7 +154,7 @@ def model_catalog(spark: SparkSession) -> DataFrame:
     """R3 + R4: name, category, capabilities, description and default parameters."""
     rows = []
     for name, s in _REGISTRY.items():
-        defaults = {k: float(v) for k, v in s.defaults.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+        defaults = {k: float(v) for k, v in s.defaults.items() if isinstance(v, (int, float))}  # false 0, true 1
         rows.append((name, s.category, s.best_for, s.time_horizon, s.complexity, s.interpretability,
                      s.description, defaults))
     return spark.createDataFrame(rows, "model string, category string, best_for string, time_horizon string, "
@@ -140,8 +173,8 @@ def golden_comparison(panels: dict[str, DataFrame], params: dict[str, dict], exp
     details = None
     for model, col in expected_cols.items():
         spec = get_model(model)
-        fits = spec.fit(panels[model], params.get(model))
-        fc = spec.predict(fits, horizon, paths=paths, **predict_options.get(model, {}))
+        fits = spec.fit(panels[model], split_params(model, params.get(model))[0])
+        fc = predict(fits, model, params.get(model), horizon, paths=paths, **predict_options.get(model, {}))
         d = E.compare_forecast(fc, expected.select("series_id", "year", F.col(col).alias("expected")),
                                year_shift=year_shift.get(model, 0)).withColumn("expected_column", F.lit(col))
         details = d if details is None else details.unionByName(d)

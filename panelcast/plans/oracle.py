@@ -8,7 +8,7 @@ model constants as in ``panelcast.constants``.
 from __future__ import annotations
 
 from .. import constants as K
-from .common import DIGITS, HOLDOUT_END, HORIZON, TRAIN_END
+from .common import DIGITS, HOLDOUT_YEARS, HORIZON
 
 
 def r(expr: str, alias: str, d: int = DIGITS) -> str:
@@ -20,30 +20,40 @@ def gmax(x: str, eps: str) -> str:
     return f"(CASE WHEN ({x}) IS NOT NULL THEN greatest({x}, {eps}) END)"
 
 
+def regr(kind: str, y: str, x: str) -> str:
+    """Slope or intercept over the series; NULL, not NaN, where there is no line."""
+    e = f"regr_{kind}({y}, {x}) OVER {WA}"
+    return f"CASE WHEN NOT isnan({e}) THEN {e} END"
+
+
 def clamp(x: str, lo: str, hi: str) -> str:
-    return f"least(greatest({x}, {lo}), {hi})"
+    """x between lo and hi, keeping NULL."""
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, {lo}), {hi}) END)"
 
 
 def curve(rr: str, a: str, b: str, c: str, d: str) -> str:
     """C1 in SQL."""
-    return clamp(f"({a}) * (1.0 - 1.0 / (1.0 + exp(({b}) + ({c}) * pow(greatest({rr}, 1e-8), {d}))))", "0.0", "1.0")
+    return clamp(f"({a}) * (1.0 - 1.0 / (1.0 + exp(({b}) + ({c}) * pow({gmax(rr, '1e-8')}, {d}))))", "0.0", "1.0")
 
 
 def inv_curve(f: str, a: str, b: str, c: str, d: str) -> str:
     """C3 in SQL."""
     ft = clamp(f, "1e-10", f"({a}) - 1e-10")
-    inner = f"greatest(1.0 / (1.0 - ({ft}) / ({a})) - 1.0, 1e-300)"
-    return f"pow(greatest((ln({inner}) - ({b})) / ({c}), 0.0), 1.0 / ({d}))"
+    inner = gmax(f"1.0 / (1.0 - ({ft}) / ({a})) - 1.0", "1e-300")
+    return f"pow({gmax(f'(ln({inner}) - ({b})) / ({c})', '0.0')}, 1.0 / ({d}))"
 
 
 def elast(rr: str, a: str, b: str, c: str, d: str) -> str:
     """C2 in SQL."""
     return (f"(({c}) * ({d}) * (1.0 - ({curve(rr, a, b, c, d)}) / greatest({a}, 1e-10))"
-            f" * pow(greatest({rr}, 1e-10), {d}))")
+            f" * pow({gmax(rr, '1e-10')}, {d}))")
 
 
-def panel_cte(end: int | None = TRAIN_END, name: str = "panel") -> str:
-    where = f"WHERE o_orderdate < TIMESTAMP '{end + 1}-01-01'" if end is not None else ""
+def panel_cte(hold: int = 0, name: str = "panel") -> str:
+    """The whole panel; ``hold`` leaves out the last years of every series."""
+    if hold:
+        return (f"{panel_cte(0, name + '_whole')},\n{name} AS (SELECT * EXCLUDE (ly) FROM (SELECT *, max(year) OVER "
+                f"(PARTITION BY series_id) AS ly FROM {name}_whole) WHERE year <= ly - {hold})")
     return f"""{name} AS (
   SELECT CAST(c.c_nationkey AS BIGINT) AS series_id,
          CAST(year(o.o_orderdate) AS INTEGER) AS year,
@@ -51,7 +61,7 @@ def panel_cte(end: int | None = TRAIN_END, name: str = "panel") -> str:
          CAST(count(DISTINCT o.o_custkey) AS DOUBLE) AS population,
          (CAST(sum(CAST(floor(o.o_totalprice * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / CAST(count(o.o_totalprice) AS DOUBLE) AS gdp,
          (CAST(sum(li.ext) AS DOUBLE) / 100.0) / (CAST(sum(li.qty) AS DOUBLE) / 100.0) AS price
-  FROM (SELECT * FROM orders {where}) o
+  FROM orders o
   LEFT JOIN (SELECT l_orderkey, sum(CAST(floor(l_extendedprice * 100.0 + 0.5) AS BIGINT)) AS ext,
                     sum(CAST(floor(l_quantity * 100.0 + 0.5) AS BIGINT)) AS qty
              FROM lineitem GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey
@@ -89,10 +99,17 @@ def recent_factor(pred: str = "pred") -> str:
             f"sum(CASE WHEN {rec} THEN actual END) OVER {WA} / sum(CASE WHEN {rec} THEN {pred} END) OVER {WA} ELSE 1.0 END")
 
 
-def status_expr(extra: str | None = None) -> str:
+def status_expr(extra: str | None = None, drivers: tuple = (), min_years: int = 1) -> str:
     mid = f" WHEN {extra} IS NOT NULL THEN {extra}" if extra else ""
-    return (f"CASE WHEN max(CAST(dup_year AS INTEGER)) > 0 THEN 'invalid' "
-            f"WHEN count(*) < {K.RECENT_MIN_YEARS} THEN 'too_short'{mid} ELSE 'ok' END")
+    short = f" WHEN count(*) < {min_years} THEN 'too_short'" if min_years > 1 else ""
+    need = " OR ".join(f"{c} IS NULL" for c in ("year", "actual", *drivers))
+    return (f"CASE WHEN bool_or(dup_year OR {need} OR coalesce(actual < 0, false)) THEN 'invalid'"
+            f"{short}{mid} ELSE 'ok' END")
+
+
+def blank_invalid(cte: str, name: str) -> str:
+    """Rows of invalid input carry no estimate: only key, model, status and counts."""
+    return f"""{name} AS (SELECT * REPLACE ({', '.join(f"CASE WHEN status <> 'invalid' THEN {c} END AS {c}" for c in ('continuity', 'mae', 'mse', 'rmse', 'mape', 'r2'))}) FROM {cte})"""
 
 
 def metric_cols(actual: str = "actual", pred: str = "adj", rounding: bool = True) -> str:
@@ -107,30 +124,35 @@ def metric_cols(actual: str = "actual", pred: str = "adj", rounding: bool = True
     ])
 
 
-def common_fit_cols(extra: str | None = None) -> str:
-    return (f"{status_expr(extra)} AS status, CAST(count(*) AS INTEGER) AS n_years, max(year) AS last_year, "
+PRICED = ("population", "gdp", "price")
+UNPRICED = ("population", "gdp")
+
+
+def common_fit_cols(extra: str | None = None, drivers: tuple = PRICED, min_years: int = 1) -> str:
+    return (f"{status_expr(extra, drivers, min_years)} AS status, CAST(count(*) AS INTEGER) AS n_years, max(year) AS last_year, "
             "arg_max(actual, year) AS last_actual, arg_max(population, year) AS last_pop, "
             "arg_max(gdp, year) AS last_gdp, arg_max(price, year) AS last_price, "
             "any_value(ref_year) AS ref_year, any_value(ref_gdp) AS ref_gdp, any_value(ref_price) AS ref_price")
 
 
-def _base(base: bool, end: int | None) -> str:
-    return f"{panel_cte(end)},\n{ctx_cte()},\n" if base else ""
+def _base(base: bool, hold: int) -> str:
+    return f"{panel_cte(hold)},\n{ctx_cte()},\n" if base else ""
 
 
 # --- linear_price ---------------------------------------------------------------
 
-def linear_price_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, end: int | None = TRAIN_END) -> str:
+def linear_price_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, hold: int = 0) -> str:
     pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
-    return f"""{_base(base, end)}lp_rows AS (SELECT *, greatest(0.0, {c1} * pn + {c2}) * population AS pred
+    return f"""{_base(base, hold)}lp_rows AS (SELECT *, greatest(0.0, {c1} * pn + {c2}) * population AS pred
             FROM (SELECT *, {pn} AS pn FROM ctx)),
 lp_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM lp_rows)),
-lp_fit AS (
-  SELECT series_id, 'linear_price' AS model, {common_fit_cols()},
+lp_fit0 AS (
+  SELECT series_id, 'linear_price' AS model, {common_fit_cols(None, PRICED, 1)},
          CAST({c1} AS DOUBLE) AS c1, CAST({c2} AS DOUBLE) AS c2, any_value(factor) AS continuity,
          stddev_samp(actual - adj) AS resid_std,
          {metric_cols()}
-  FROM lp_rows2 GROUP BY series_id)"""
+  FROM lp_rows2 GROUP BY series_id),
+{blank_invalid('lp_fit0', 'lp_fit')}"""
 
 
 FIT_SELECT = "series_id, model, status, n_years, last_year"
@@ -179,7 +201,7 @@ FROM {src}"""
 # --- queries ----------------------------------------------------------------------
 
 def sql_demand_panel() -> str:
-    return f"""WITH {panel_cte(None)}
+    return f"""WITH {panel_cte()}
 SELECT series_id, year, {r('actual', 'actual')}, {r('population', 'population')}, {r('gdp', 'gdp')},
        {r('price', 'price')} FROM panel"""
 
@@ -214,17 +236,18 @@ def _lg_consts():
             str(LP["full_price_scale"]), str(LP["full_penetration"]))
 
 
-def logistic_fit_ctes(base: bool = True, end: int | None = TRAIN_END) -> str:
+def logistic_fit_ctes(base: bool = True, hold: int = 0) -> str:
     a, b, c, d, scale, pen = _lg_consts()
     pred = f"{pen} * population * {curve(f'{scale} * price / {gmax('gdp', '1e-10')}', a, b, c, d)}"
-    return f"""{_base(base, end)}lg_rows AS (SELECT *, {pred} AS pred FROM ctx),
+    return f"""{_base(base, hold)}lg_rows AS (SELECT *, {pred} AS pred FROM ctx),
 lg_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {recent_factor()} AS factor FROM lg_rows)),
-lg_fit AS (
-  SELECT series_id, 'logistic_price' AS model, {common_fit_cols()},
+lg_fit0 AS (
+  SELECT series_id, 'logistic_price' AS model, {common_fit_cols(None, PRICED, 3)},
          CAST({c} AS DOUBLE) AS k1, CAST({d} AS DOUBLE) AS k2, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b,
          CAST({scale} AS DOUBLE) AS scale, CAST({pen} AS DOUBLE) AS penetration,
          any_value(factor) AS continuity, stddev_samp(actual - adj) AS resid_std, {metric_cols()}
-  FROM lg_rows2 GROUP BY series_id)"""
+  FROM lg_rows2 GROUP BY series_id),
+{blank_invalid('lg_fit0', 'lg_fit')}"""
 
 
 def logistic_forecast_ctes() -> str:
@@ -270,14 +293,15 @@ FROM ok"""
 
 # --- linear_income_index ----------------------------------------------------------
 
-def income_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, end: int | None = TRAIN_END) -> str:
+def income_fit_ctes(c1: float = -0.5, c2: float = 0.5, base: bool = True, hold: int = 0) -> str:
     pn = clamp(f"ref_gdp / {gmax('gdp', '1e-8')}", "0.2", "3.0")
-    return f"""{_base(base, end)}ii_rows AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM ctx),
+    return f"""{_base(base, hold)}ii_rows AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM ctx),
 ii_rows2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM ii_rows)),
-ii_fit AS (
-  SELECT series_id, 'linear_income_index' AS model, {common_fit_cols()},
+ii_fit0 AS (
+  SELECT series_id, 'linear_income_index' AS model, {common_fit_cols(None, UNPRICED, 1)},
          CAST({c1} AS DOUBLE) AS c1, CAST({c2} AS DOUBLE) AS c2, any_value(factor) AS continuity, {metric_cols()}
-  FROM ii_rows2 GROUP BY series_id)"""
+  FROM ii_rows2 GROUP BY series_id),
+{blank_invalid('ii_fit0', 'ii_fit')}"""
 
 
 def sql_fit_income_index() -> str:
@@ -300,14 +324,15 @@ def income_ols_ctes() -> str:
     return f"""{panel_cte()},
 {ctx_cte()},
 io_a AS (SELECT *, {pn} AS pn, {dn} AS dn FROM ctx),
-io_b AS (SELECT *, regr_slope(dn, pn) OVER {WA} AS c1, regr_intercept(dn, pn) OVER {WA} AS c2 FROM io_a),
+io_b AS (SELECT *, {regr('slope', 'dn', 'pn')} AS c1, {regr('intercept', 'dn', 'pn')} AS c2 FROM io_a),
 io_c AS (SELECT *, greatest(0.0, c1 * pn + c2) * population AS pred FROM io_b),
 io_d AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM io_c)),
-io_fit AS (
+io_fit0 AS (
   SELECT series_id, 'linear_income_index' AS model,
-         {common_fit_cols("CASE WHEN any_value(c1) IS NULL THEN 'degenerate' END")},
+         {common_fit_cols("CASE WHEN any_value(c1) IS NULL THEN 'degenerate' END", UNPRICED, 1)},
          any_value(c1) AS c1, any_value(c2) AS c2, any_value(factor) AS continuity, {metric_cols()}
-  FROM io_d GROUP BY series_id)"""
+  FROM io_d GROUP BY series_id),
+{blank_invalid('io_fit0', 'io_fit')}"""
 
 
 def sql_fit_income_index_ols() -> str:
@@ -321,23 +346,24 @@ def _price_ok(p: str) -> str:
     return f"({p} IS NOT NULL AND NOT isnan({p}) AND {p} > 0 AND {p} <> 'inf'::DOUBLE)"
 
 
-def blend_fit_ctes(weight: float = 0.5, base: bool = True, end: int | None = TRAIN_END) -> str:
+def blend_fit_ctes(weight: float = 0.5, base: bool = True, hold: int = 0) -> str:
     dn = f"actual / {gmax('population', '1e-10')}"
     pn = f"(CASE WHEN {_price_ok('price')} THEN price ELSE ref_price END) / ref_price * (ref_gdp / {gmax('gdp', '1e-10')})"
     wt = clamp(str(weight), "0.0", "1.0")
     blend = f"{wt} * (ts * t + ti) + (1.0 - {wt}) * (es * pn + ei)"
-    return f"""{_base(base, end)}bl_a AS (SELECT *, {dn} AS dn, CAST(year - ref_year AS DOUBLE) AS t, {pn} AS pn FROM ctx),
-bl_b AS (SELECT *, regr_slope(dn, t) OVER {WA} AS ts, regr_intercept(dn, t) OVER {WA} AS ti,
-                regr_slope(dn, pn) OVER {WA} AS es, regr_intercept(dn, pn) OVER {WA} AS ei FROM bl_a),
+    return f"""{_base(base, hold)}bl_a AS (SELECT *, {dn} AS dn, CAST(year - ref_year AS DOUBLE) AS t, {pn} AS pn FROM ctx),
+bl_b AS (SELECT *, {regr('slope', 'dn', 't')} AS ts, {regr('intercept', 'dn', 't')} AS ti,
+                {regr('slope', 'dn', 'pn')} AS es, {regr('intercept', 'dn', 'pn')} AS ei FROM bl_a),
 bl_c AS (SELECT *, greatest(0.0, {blend}) * population AS pred FROM bl_b),
 bl_d AS (SELECT *, pred * factor AS adj FROM (SELECT *, {weighted_factor()} AS factor FROM bl_c)),
-bl_fit AS (
+bl_fit0 AS (
   SELECT series_id, 'trend_elasticity_blend' AS model,
-         {common_fit_cols("CASE WHEN any_value(ts) IS NULL OR any_value(es) IS NULL THEN 'degenerate' END")},
+         {common_fit_cols("CASE WHEN any_value(ts) IS NULL OR any_value(es) IS NULL THEN 'degenerate' END", UNPRICED, 1)},
          CAST({weight} AS DOUBLE) AS trend_weight, any_value(ts) AS trend_slope, any_value(ti) AS trend_intercept,
          any_value(es) AS elast_slope, any_value(ei) AS elast_intercept,
          any_value(factor) AS continuity, {metric_cols()}
-  FROM bl_d GROUP BY series_id)"""
+  FROM bl_d GROUP BY series_id),
+{blank_invalid('bl_fit0', 'bl_fit')}"""
 
 
 def sql_fit_blend() -> str:
@@ -407,26 +433,27 @@ def threshold_ctes(target: str, a: str, b: str, c: str, d: str, src: str | None
   FROM {prefix}_bis WHERE i = {K.BISECT_MAX_STEPS})"""
 
 
-def implied_fit_ctes(base: bool = True, end: int | None = TRAIN_END) -> str:
+def implied_fit_ctes(base: bool = True, hold: int = 0) -> str:
     a, b, c, d = str(IP["distribution_a"]), str(IP["distribution_b"]), str(IP["k1"]), str(IP["k2"])
     s = f"(ref_gdp / {gmax('gdp', '1e-10')})"
     pp = f"(actual / {gmax('population', '1e-10')})"
     t = f"({inv_curve(f'{pp} / ck1', a, b, c, d)} / greatest(ck2 * {s}, 1e-12))"
-    return f"""{_base(base, end)}{threshold_ctes(str(IP['ref_elasticity']), a, b, c, d)},
+    return f"""{_base(base, hold)}{threshold_ctes(str(IP['ref_elasticity']), a, b, c, d)},
 ip_k AS (SELECT root AS ck2, {curve('root', a, b, c, d)} AS fk2 FROM th_root),
 ip_a AS (SELECT ctx.*, ip_k.ck2,
                 (ref_actual / {gmax('ref_pop', '1e-10')}) / greatest(ip_k.fk2, 1e-12) AS ck1
          FROM ctx CROSS JOIN ip_k),
 ip_b AS (SELECT *, {t} AS t_implied FROM ip_a),
 ip_c AS (SELECT *, ck1 * {curve(f'ck2 * t_implied * {s}', a, b, c, d)} * population AS adj FROM ip_b),
-ip_fit AS (
+ip_fit0 AS (
   SELECT series_id, 'implied_price_logistic' AS model,
-         {common_fit_cols("CASE WHEN any_value(ck2) IS NULL THEN 'no_threshold' END")},
+         {common_fit_cols("CASE WHEN any_value(ck2) IS NULL THEN 'no_threshold' END", UNPRICED, 1)},
          CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b, CAST({c} AS DOUBLE) AS k1, CAST({d} AS DOUBLE) AS k2,
          CAST({IP['fare_growth_rate']} AS DOUBLE) AS fare_growth,
          any_value(ref_gdp) AS model_ref_gdp, any_value(ck1) AS calib_k1, any_value(ck2) AS calib_k2,
          arg_max(t_implied, year) AS last_t, CAST(1.0 AS DOUBLE) AS continuity, {metric_cols()}
-  FROM ip_c GROUP BY series_id)"""
+  FROM ip_c GROUP BY series_id),
+{blank_invalid('ip_fit0', 'ip_fit')}"""
 
 
 def sql_fit_implied_price() -> str:
@@ -452,7 +479,7 @@ def sql_forecast_implied_price() -> str:
 
 def curve_rows_cte() -> str:
     a, b, c, d, scale, _ = _lg_consts()
-    return f"""{panel_cte(None)},
+    return f"""{panel_cte()},
 cv AS (SELECT series_id, year, {scale} * price / {gmax('gdp', '1e-10')} AS rr FROM panel),
 cv2 AS (SELECT *, {curve('rr', a, b, c, d)} AS f, {elast('rr', a, b, c, d)} AS elasticity FROM cv)"""
 
@@ -543,7 +570,7 @@ def sql_panel_validation() -> str:
     parts = " UNION ALL ".join(
         f"SELECT series_id, '{r_}' AS rule, '{s}' AS severity, CAST({e} AS BIGINT) AS n FROM b GROUP BY series_id"
         for r_, s, e in rules)
-    return f"""WITH {panel_cte(None, 'panel_all')},
+    return f"""WITH {panel_cte(0, 'panel_all')},
 {_quartiles(PANEL_NUM, 'panel_all', 'b', dup)}
 {parts}"""
 
@@ -559,14 +586,14 @@ def _profile_parts(src: str, cols, valid_only: bool = False) -> str:
 
 
 def sql_panel_profile() -> str:
-    return f"""WITH {panel_cte(None, 'panel_all')}
+    return f"""WITH {panel_cte(0, 'panel_all')}
 {_profile_parts('panel_all', PANEL_NUM)}"""
 
 
 def sql_validation_summary() -> str:
     # Every derived series passes the error rules (no nulls, negatives or
     # duplicate years by construction of the panel); checked in the CTE.
-    return f"""WITH {panel_cte(None, 'panel_all')},
+    return f"""WITH {panel_cte(0, 'panel_all')},
 bad AS (SELECT series_id FROM panel_all GROUP BY series_id
         HAVING count_if(year IS NULL) + count_if(actual IS NULL) + count_if(actual < 0)
                + count(*) - count(DISTINCT year) > 0),
@@ -652,13 +679,13 @@ def sql_model_compatibility() -> str:
             f"SELECT series_id, '{m}' AS model, concat_ws(',', {miss}) AS missing_columns, "
             f"round(({len(req)} - ({nmiss})) / {len(req)} * 100.0, 6) AS compatibility_score, "
             f"({nmiss}) = 0 AS is_compatible FROM g")
-    return f"""WITH {panel_cte(None, 'panel_all')},
+    return f"""WITH {panel_cte(0, 'panel_all')},
 g AS (SELECT series_id, {flags} FROM panel_all GROUP BY series_id)
 {' UNION ALL '.join(parts)}"""
 
 
 def sql_year_range() -> str:
-    return f"""WITH {panel_cte(None, 'panel_all')}
+    return f"""WITH {panel_cte(0, 'panel_all')}
 SELECT series_id, CAST(min(year) AS INTEGER) AS first_year, CAST(max(year) AS INTEGER) AS last_year
 FROM panel_all WHERE year IS NOT NULL GROUP BY series_id"""
 
@@ -706,22 +733,22 @@ def _pred_expr(model: str) -> str:
     return f"calib_k1 * population * {curve(f'calib_k2 * {t} * {s_}', 'a', 'b', 'k1', 'k2')}"
 
 
-def _fit_ctes(model: str, base: bool, end: int | None) -> str:
-    return {"linear_price": lambda: linear_price_fit_ctes(base=base, end=end),
-            "logistic_price": lambda: logistic_fit_ctes(base=base, end=end),
-            "linear_income_index": lambda: income_fit_ctes(base=base, end=end),
-            "trend_elasticity_blend": lambda: blend_fit_ctes(base=base, end=end),
-            "implied_price_logistic": lambda: implied_fit_ctes(base=base, end=end)}[model]()
+def _fit_ctes(model: str, base: bool, hold: int) -> str:
+    return {"linear_price": lambda: linear_price_fit_ctes(base=base, hold=hold),
+            "logistic_price": lambda: logistic_fit_ctes(base=base, hold=hold),
+            "linear_income_index": lambda: income_fit_ctes(base=base, hold=hold),
+            "trend_elasticity_blend": lambda: blend_fit_ctes(base=base, hold=hold),
+            "implied_price_logistic": lambda: implied_fit_ctes(base=base, hold=hold)}[model]()
 
 
-def model_fc_ctes(model: str, h: int = HORIZON, base: bool = True, end: int | None = TRAIN_END,
+def model_fc_ctes(model: str, h: int = HORIZON, base: bool = True, hold: int = 0,
                   scenarios: list[tuple] | None = None, with_fit: bool = True) -> str:
     """Fit + forecast CTEs of one model: ``{px}_fit``, ``{px}_hz``, ``{px}_p``, ``{px}_fc``."""
     px = PREFIX[model]
     shared = SHARED[model]
     lower = "greatest(0.0, pred * 0.8)" if shared else "pred * 0.8"
     w = "(PARTITION BY series_id, model, scenario_id ORDER BY year)"
-    fit = _fit_ctes(model, base, end) + ",\n" if with_fit else ""
+    fit = _fit_ctes(model, base, hold) + ",\n" if with_fit else ""
     return f"""{fit}{horizon_cte(f'{px}_fit', name=f'{px}_hz', price_fallback=shared, h=h, scenarios=scenarios)},
 {px}_p AS (SELECT *, {_pred_expr(model)} AS pred FROM {px}_hz),
 {px}_fc AS (SELECT series_id, model, scenario_id, year, h, population, gdp, price, pred, {lower} AS lower,
@@ -747,8 +774,8 @@ def _wrap(models, body: str) -> str:
 
 
 def sql_holdout_accuracy() -> str:
-    return _wrap([], f"""{model_fc_ctes('linear_price', h=2, end=HOLDOUT_END)},
-{panel_cte(None, 'panel_all')},
+    return _wrap([], f"""{model_fc_ctes('linear_price', h=2, hold=HOLDOUT_YEARS)},
+{panel_cte(0, 'panel_all')},
 pairs AS (SELECT f.series_id, f.model, f.pred, a.actual FROM lp_fc f
           JOIN panel_all a ON f.series_id = a.series_id AND f.year = a.year)
 SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred')} FROM pairs GROUP BY series_id, model""")
@@ -756,8 +783,8 @@ SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred')} FROM pai
 
 def _compare_cte(model: str = "logistic_price") -> str:
     px = PREFIX[model]
-    return f"""{model_fc_ctes(model, h=2, end=HOLDOUT_END)},
-{panel_cte(None, 'panel_all')},
+    return f"""{model_fc_ctes(model, h=2, hold=HOLDOUT_YEARS)},
+{panel_cte(0, 'panel_all')},
 cmp AS (SELECT f.series_id, f.model, f.year, f.pred AS prediction, a.actual AS expected,
                f.pred - a.actual AS error, abs(f.pred - a.actual) AS abs_error,
                CASE WHEN a.actual <> 0 THEN 100.0 * (f.pred - a.actual) / a.actual END AS pct_error
@@ -779,8 +806,8 @@ GROUP BY series_id, model""")
 
 
 def _report_cte() -> str:
-    return f"""{model_fc_ctes('linear_price', h=3, end=HOLDOUT_END)},
-{panel_cte(None, 'panel_all')},
+    return f"""{model_fc_ctes('linear_price', h=3, hold=HOLDOUT_YEARS)},
+{panel_cte(0, 'panel_all')},
 rep AS (SELECT a.series_id, a.year, a.actual AS expected, f.pred AS forecast, abs(f.pred - a.actual) AS abs_error
         FROM panel_all a LEFT JOIN lp_fc f ON a.series_id = f.series_id AND a.year = f.year)"""
 
@@ -812,10 +839,17 @@ width AS (SELECT series_id, model, avg(upper - lower) AS interval_width FROM all
 
 
 def sql_leaderboard() -> str:
-    return _wrap(FIVE, f"""{_five_fc()}
+    boot = sql_bootstrap_forecast().removeprefix("WITH ").rpartition("\nSELECT series_id, model, scenario_id, year,")[0]
+    boot = boot.removeprefix(f"{panel_cte()},\n{ctx_cte()},\n").replace("bfit", "boot_fit")
+    return _wrap(FIVE, f"""{_five_fc()},
+{boot},
+six AS (SELECT series_id, model, status, rmse, mae, r2, mape FROM allfits
+        UNION ALL SELECT series_id, model, status, rmse, mae, r2, mape FROM boot_fit),
+six_width AS (SELECT * FROM width UNION ALL SELECT series_id, model, avg(upper - lower) FROM agg GROUP BY series_id, model)
 SELECT f.series_id, f.model, f.status, f.rmse, f.mae, f.r2, f.mape, {r('w.interval_width', 'interval_width')},
-       CAST(rank() OVER (PARTITION BY f.series_id ORDER BY f.status ASC, f.rmse ASC NULLS LAST, f.model ASC) AS INTEGER) AS rank
-FROM allfits f LEFT JOIN width w ON f.series_id = w.series_id AND f.model = w.model""")
+       CASE WHEN f.status = 'ok' THEN CAST(rank() OVER (PARTITION BY f.series_id
+            ORDER BY f.status = 'ok' DESC, f.rmse ASC NULLS LAST, f.model ASC) AS INTEGER) END AS rank
+FROM six f LEFT JOIN six_width w ON f.series_id = w.series_id AND f.model = w.model""")
 
 
 def sql_interval_width() -> str:
@@ -829,18 +863,24 @@ SELECT series_id, arg_min(model, (rmse, model)) AS best_model, min(rmse) AS best
 FROM allfits WHERE status = 'ok' GROUP BY series_id""")
 
 
-BT_CUTOFFS = [1997, 1998, 1999]
+BT_BACK = [4, 3, 2]
 BT_H = 2
 
 
+def _folds(src: str) -> str:
+    """Every row of ``src`` once for each fold that it belongs to, with the fold's cutoff."""
+    back = ", ".join(f"({b})" for b in BT_BACK)
+    return (f"SELECT p.* EXCLUDE (ly), p.ly - c.back AS cutoff FROM (SELECT *, max(year) OVER (PARTITION BY series_id) AS ly "
+            f"FROM {src}) p JOIN (VALUES {back}) c(back) ON p.year <= p.ly - c.back")
+
+
 def _backtest_cte() -> str:
     c1, c2 = -0.5, 0.5
     pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
-    cut = ", ".join(f"({c})" for c in BT_CUTOFFS)
     wa = "(PARTITION BY series_id, cutoff ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     wr = "(PARTITION BY series_id, cutoff ORDER BY year)"
-    return f"""{panel_cte(TRAIN_END)},
-folds AS (SELECT p.*, c.cutoff FROM panel p JOIN (VALUES {cut}) c(cutoff) ON p.year <= c.cutoff),
+    return f"""{panel_cte()},
+folds AS ({_folds('panel')}),
 bctx AS (SELECT *, first_value(gdp) OVER {wa} AS ref_gdp, first_value(price) OVER {wa} AS ref_price,
                 CAST(row_number() OVER {wr} AS INTEGER) AS w FROM folds),
 b1 AS (SELECT *, greatest(0.0, {c1} * ({pn}) + {c2}) * population AS pred FROM bctx),
@@ -850,7 +890,7 @@ bfit AS (SELECT series_id, cutoff, max(year) AS last_year, arg_max(population, y
                 arg_max(gdp, year) AS last_gdp, arg_max(price, year) AS last_price,
                 any_value(ref_gdp) AS ref_gdp, any_value(ref_price) AS ref_price, any_value(factor) AS continuity,
                 count(*) AS n, max(CASE WHEN w > 1 AND 0 = 1 THEN 1 ELSE 0 END) AS dup
-         FROM b2 GROUP BY series_id, cutoff HAVING count(*) >= 3),
+         FROM b2 GROUP BY series_id, cutoff),
 bhz AS (SELECT f.*, hh.h, CAST(f.last_year + hh.h AS INTEGER) AS year,
                f.last_pop * pow(1.01, hh.h) AS fpop, f.last_gdp * pow(1.03, hh.h) AS fgdp,
                f.last_price * pow(1.02, hh.h) AS fprice
@@ -883,7 +923,6 @@ ORACLE.update({
     "comparison_summary": sql_comparison_summary(),
     "left_join_report": sql_left_join_report(),
     "report_summary": sql_report_summary(),
-    "leaderboard": sql_leaderboard(),
     "interval_width": sql_interval_width(),
     "best_model_per_series": sql_best_model_per_series(),
     "rolling_backtest": sql_rolling_backtest(),
@@ -912,8 +951,9 @@ def sql_scenario_drivers() -> str:
 
 def sql_driver_path_override() -> str:
     return f"""WITH RECURSIVE {implied_fit_ctes()},
-{panel_cte(None, 'panel_all')},
-path AS (SELECT series_id, year, population, gdp FROM panel_all WHERE year >= 2001),
+{panel_cte(0, 'panel_all')},
+path AS (SELECT series_id, CAST(year + 3 AS INTEGER) AS year, population, gdp
+         FROM (SELECT *, max(year) OVER (PARTITION BY series_id) AS ly FROM panel_all) WHERE year < ly),
 {horizon_cte('ip_fit', name='hz0', price_fallback=True)},
 hz AS (SELECT hz0.* REPLACE (coalesce(path.population, hz0.population) AS population,
                              coalesce(path.gdp, hz0.gdp) AS gdp)
@@ -1052,9 +1092,10 @@ bf1 AS (SELECT br.*, d.k1m, d.k2m, population * {curve('rho', a, b, 'd.k1m', 'd.
         FROM br JOIN dist d ON br.series_id = d.series_id),
 bf2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, {recent_factor()} AS factor FROM bf1)),
 bf3 AS (SELECT *, (actual - adj) - avg(actual - adj) OVER (PARTITION BY series_id) AS resid FROM bf2),
-bfit AS (SELECT series_id, 'bootstrap_logistic' AS model, {common_fit_cols()},
+bfit0 AS (SELECT series_id, 'bootstrap_logistic' AS model, {common_fit_cols(None, PRICED, 3)},
                 any_value(k1m) AS k1, any_value(k2m) AS k2, any_value(factor) AS continuity, {metric_cols()}
-         FROM bf3 GROUP BY series_id)"""
+         FROM bf3 GROUP BY series_id),
+{blank_invalid('bfit0', 'bfit')}"""
 
 
 def sql_bootstrap_fit() -> str:
@@ -1228,8 +1269,8 @@ ORACLE.update({
 
 
 def sql_accuracy_metrics() -> str:
-    return _wrap([], f"""{model_fc_ctes('logistic_price', h=2, end=HOLDOUT_END)},
-{panel_cte(None, 'panel_all')},
+    return _wrap([], f"""{model_fc_ctes('logistic_price', h=2, hold=HOLDOUT_YEARS)},
+{panel_cte(0, 'panel_all')},
 pairs AS (SELECT f.series_id, f.model, f.pred, a.actual FROM lg_fc f
           JOIN panel_all a ON f.series_id = a.series_id AND f.year = a.year)
 SELECT series_id, model, count(*) AS n, {metric_cols('actual', 'pred')} FROM pairs GROUP BY series_id, model""")
@@ -1268,12 +1309,10 @@ FOLD = 10000   # composite key: series_id * FOLD + cutoff (years < FOLD)
 
 
 def sql_backtest_leaderboard() -> str:
-    cut = ", ".join(f"({c})" for c in BT_CUTOFFS)
     fits = ",\n".join(model_fc_ctes(m, h=BT_H, base=False) for m in FIVE)
     fcs = " UNION ALL ".join(f"SELECT series_id, model, year, pred FROM {PREFIX[m]}_fc" for m in FIVE)
-    return _wrap(FIVE, f"""{panel_cte(TRAIN_END, 'praw')},
-panel AS (SELECT p.series_id * {FOLD} + c.cutoff AS series_id, p.year, p.actual, p.population, p.gdp, p.price
-          FROM praw p JOIN (VALUES {cut}) c(cutoff) ON p.year <= c.cutoff),
+    return _wrap(FIVE, f"""{panel_cte(0, 'praw')},
+panel AS (SELECT series_id * {FOLD} + cutoff AS series_id, year, actual, population, gdp, price FROM ({_folds('praw')})),
 {ctx_cte()},
 {fits},
 fcall AS ({fcs}),
@@ -1287,3 +1326,110 @@ FROM pooled""")
 
 
 ORACLE["backtest_leaderboard"] = sql_backtest_leaderboard()
+
+ORACLE["leaderboard"] = sql_leaderboard()
+
+
+def _dirty_ctes() -> str:
+    parts = [customer_panel_cte(), _complete_years_cte(), ctx_cte("cy")]
+    return ",\n".join(parts + [model_fc_ctes(m, h=2, base=False) for m in FIVE])
+
+
+def sql_fit_status_dirty_panel() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT series_id, model, status, n_years, last_year, {r('continuity', 'continuity', 4)} FROM {PREFIX[m]}_fit" for m in FIVE)
+    return _wrap(FIVE, f"""{_dirty_ctes()}
+{rows}""")
+
+
+def sql_forecast_dirty_panel() -> str:
+    rows = " UNION ALL ".join(f"SELECT series_id, model, year, {r('pred', 'pred', 4)} FROM {PREFIX[m]}_fc" for m in FIVE)
+    return _wrap(FIVE, f"""{_dirty_ctes()}
+{rows}""")
+
+
+def sql_training_window() -> str:
+    return f"""WITH {panel_cte()}
+SELECT series_id, year, {r('actual', 'actual')}, {r('population', 'population')}, {r('gdp', 'gdp')},
+       {r('price', 'price')} FROM panel WHERE year BETWEEN 1997 AND 1999"""
+
+
+def sql_relabelled_years() -> str:
+    return f"""WITH {model_fc_ctes('linear_price', h=2, hold=HOLDOUT_YEARS)},
+{panel_cte(0, 'panel_all')},
+ly AS (SELECT series_id, max(year) AS last_input_year FROM panel_all GROUP BY series_id)
+SELECT f.series_id, f.model, f.scenario_id, CAST(l.last_input_year + f.h AS INTEGER) AS year, {r('f.pred', 'pred')}
+FROM lp_fc f JOIN ly l USING (series_id)"""
+
+
+def sql_future_rows() -> str:
+    return f"""WITH {panel_cte()}
+SELECT series_id, year, {r('actual', 'actual')}
+FROM (SELECT *, max(year) OVER (PARTITION BY series_id) AS ly FROM panel) WHERE year > ly - {HOLDOUT_YEARS} AND year <= 2000"""
+
+
+def sql_diagnostics_sections() -> str:
+    return f"""WITH chk AS ({sql_panel_validation()})
+SELECT series_id, 'counts' AS section, rule AS metric, CAST(n AS VARCHAR) AS value FROM chk
+UNION ALL
+SELECT series_id, 'rules', 'value', string_agg(rule, '; ' ORDER BY rule) FROM chk GROUP BY series_id
+UNION ALL
+SELECT series_id, 'findings', 'value', CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) FROM chk GROUP BY series_id"""
+
+
+ORACLE.update({
+    "fit_status_dirty_panel": sql_fit_status_dirty_panel(),
+    "forecast_dirty_panel": sql_forecast_dirty_panel(),
+    "training_window": sql_training_window(),
+    "relabelled_years": sql_relabelled_years(),
+    "future_rows": sql_future_rows(),
+    "diagnostics_sections": sql_diagnostics_sections(),
+})
+
+
+def sql_forecast_logistic_unadjusted() -> str:
+    pred = f"penetration * population * {curve(f'scale * price / {gmax('gdp', '1e-10')}', 'a', 'b', 'k1', 'k2')}"
+    return f"""WITH {logistic_fit_ctes()},
+{horizon_cte('lg_fit')},
+p AS (SELECT *, {pred} AS pred FROM hz)
+{forecast_select('p', shared=False)}"""
+
+
+def sql_forecast_growth_params() -> str:
+    pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+    return f"""WITH {linear_price_fit_ctes()},
+{horizon_cte('lp_fit', scenarios=[("base", 0.02, 0.005, 0.04, None)])},
+p AS (SELECT *, greatest(0.0, c1 * {pn} + c2) * population * continuity AS pred FROM hz)
+{forecast_select('p', shared=False)}"""
+
+
+GROWTH_VALUES = [0.01, 0.03, 0.05]
+
+
+def sql_sensitivity_growth() -> str:
+    pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+    rates = [(str(v), v, K.DEFAULT_POP_GROWTH, K.DEFAULT_PRICE_INFLATION, None) for v in GROWTH_VALUES]
+    return f"""WITH {linear_price_fit_ctes()},
+{horizon_cte('lp_fit', h=10, scenarios=rates)},
+p AS (SELECT *, greatest(0.0, c1 * {pn} + c2) * population * continuity AS pred FROM hz),
+fin AS (SELECT series_id, CAST(scenario_id AS DOUBLE) AS value, arg_max(pred, year) AS last FROM p GROUP BY series_id, scenario_id),
+imp AS (SELECT *, first_value(last) OVER (PARTITION BY series_id ORDER BY value) AS base FROM fin)
+SELECT series_id, 'linear_price' AS model, 'gdp_growth_rate' AS parameter, {r('value', 'value')}, {r('last', 'final_prediction')},
+       {r('CASE WHEN base <> 0 THEN 100.0 * (last - base) / base END', 'impact_pct')} FROM imp"""
+
+
+def sql_catalog_fit() -> str:
+    defaults = {"logistic_price": 9, "linear_price": 3, "linear_income_index": 3, "implied_price_logistic": 10,
+                "trend_elasticity_blend": 2, "bootstrap_logistic": 8}
+    rows = ", ".join(f"('{m}', {n})" for m, n in defaults.items())
+    return f"""WITH comp AS ({sql_model_compatibility()})
+SELECT c.model, 'traditional' AS category, CAST(v.n AS BIGINT) AS n_defaults, count_if(c.is_compatible)::BIGINT AS n_compatible
+FROM comp c JOIN (VALUES {rows}) v(model, n) USING (model) GROUP BY c.model, v.n"""
+
+
+ORACLE.update({
+    "forecast_logistic_unadjusted": sql_forecast_logistic_unadjusted(),
+    "forecast_growth_params": sql_forecast_growth_params(),
+    "sensitivity_growth": sql_sensitivity_growth(),
+    "catalog_fit": sql_catalog_fit(),
+})

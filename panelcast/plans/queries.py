@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import horizon as H
 from ..operators import models as M
-from .common import HOLDOUT_END, HORIZON, flat_metrics, rounded, train_panel
+from .common import HOLDOUT_YEARS, HORIZON, flat_metrics, rounded, train_panel
 from ..sources.panel import demand_panel
 
 FIT_OUT = ["series_id", "model", "status", "n_years", "last_year", "continuity", "mae", "mse", "rmse", "mape", "r2"]
@@ -233,24 +233,26 @@ QUERIES.update({
 
 # --- evaluation (E1–E13) -------------------------------------------------------------
 
-def _holdout_fc(spark, sf_dir, model, h):
+def _holdout_fc(panel, model, h):
+    """Forecast of each series from all but its last ``HOLDOUT_YEARS`` years."""
+    from ..operators.evaluate import without_last_years
     from .forecast import forecast
-    return forecast(train_panel(spark, sf_dir, end=HOLDOUT_END), model, horizon=h)
+    return forecast(without_last_years(panel, HOLDOUT_YEARS), model, horizon=h)[1]
 
 
 def q_holdout_accuracy(spark, sf_dir):
-    """E2 + E1: linear price model trained to 1998, scored on 1999–2000."""
+    """E2 + E1: linear price model without the last years, scored on the first two of them."""
     from ..operators import evaluate as E
-    _, fc = _holdout_fc(spark, sf_dir, "linear_price", 2)
-    pairs = E.holdout_pairs(fc, demand_panel(spark, sf_dir))
+    panel = demand_panel(spark, sf_dir)
+    pairs = E.holdout_pairs(_holdout_fc(panel, "linear_price", 2), panel)
     return rounded(E.accuracy_metrics(pairs))
 
 
 def _compare(spark, sf_dir):
     from ..operators import evaluate as E
-    _, fc = _holdout_fc(spark, sf_dir, "logistic_price", 2)
-    expected = demand_panel(spark, sf_dir).select("series_id", "year", F.col("actual").alias("expected"))
-    return E.compare_forecast(fc, expected)
+    panel = demand_panel(spark, sf_dir)
+    expected = panel.select("series_id", "year", F.col("actual").alias("expected"))
+    return E.compare_forecast(_holdout_fc(panel, "logistic_price", 2), expected)
 
 
 def q_forecast_vs_expected(spark, sf_dir):
@@ -265,8 +267,8 @@ def q_comparison_summary(spark, sf_dir):
 
 def _report(spark, sf_dir):
     from ..operators import evaluate as E
-    _, fc = _holdout_fc(spark, sf_dir, "linear_price", 3)
-    return E.left_join_report(demand_panel(spark, sf_dir), fc)
+    panel = demand_panel(spark, sf_dir)
+    return E.left_join_report(panel, _holdout_fc(panel, "linear_price", 3))
 
 
 def q_left_join_report(spark, sf_dir):
@@ -280,14 +282,21 @@ def q_report_summary(spark, sf_dir):
 
 
 def _five(spark, sf_dir):
+    """The closed-form models; the leaderboard adds the bootstrap."""
     from .forecast import compare_models
-    return compare_models(train_panel(spark, sf_dir), horizon=HORIZON)
+    from .oracle import FIVE
+    return compare_models(train_panel(spark, sf_dir), FIVE, horizon=HORIZON)
+
+
+def _six(spark, sf_dir):
+    from .forecast import compare_models
+    return compare_models(train_panel(spark, sf_dir), params={"bootstrap_logistic": dict(BOOT_PARAMS)}, horizon=HORIZON)
 
 
 def q_leaderboard(spark, sf_dir):
-    """Five models per series, ranked by (status, rmse, model)."""
+    """All six models per series, ranked by (rmse, model)."""
     from ..operators import evaluate as E
-    fits, fc = _five(spark, sf_dir)
+    fits, fc = _six(spark, sf_dir)
     lb = E.leaderboard(fits, fc)
     return rounded(lb.select("series_id", "model", "status", "rmse", "mae", "r2", "mape", "interval_width", "rank"))
 
@@ -304,18 +313,18 @@ def q_best_model_per_series(spark, sf_dir):
     return rounded(E.best_model_per_series(fits))
 
 
-BT_CUTOFFS = [1997, 1998, 1999]
+BT_BACK = [4, 3, 2]      # the folds end so many years before each series' last
 
 
 def q_rolling_backtest(spark, sf_dir):
     """Rolling-origin backtest, all folds in one grouped job."""
     from ..operators import evaluate as E
-    return rounded(E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", BT_CUTOFFS, 2))
+    return rounded(E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", E.cutoffs_back(BT_BACK), 2))
 
 
 def q_backtest_summary(spark, sf_dir):
     from ..operators import evaluate as E
-    folds = E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", BT_CUTOFFS, 2)
+    folds = E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", E.cutoffs_back(BT_BACK), 2)
     return rounded(E.backtest_summary(folds))
 
 
@@ -356,10 +365,13 @@ def q_scenario_drivers(spark, sf_dir):
 
 
 def q_driver_path_override(spark, sf_dir):
-    """Implied-price forecast whose first year takes the observed (partial)
-    2001 population and GDP from the data instead of the growth assumption."""
-    path = demand_panel(spark, sf_dir, min_year=2001).select("series_id", "year", "population", "gdp")
-    fits = M.fit_implied_price_logistic(train_panel(spark, sf_dir))
+    """Implied-price forecast whose first two years repeat the population and
+    GDP observed three years before instead of the growth assumption."""
+    panel = train_panel(spark, sf_dir)
+    last = panel.groupBy("series_id").agg(F.max("year").alias("last_year"))
+    path = (panel.join(last, "series_id").where(F.col("year") < F.col("last_year"))
+            .select("series_id", (F.col("year") + F.lit(3)).cast("int").alias("year"), "population", "gdp"))
+    fits = M.fit_implied_price_logistic(panel)
     return rounded(H.predict_implied_price_logistic(fits, HORIZON, paths=path).select(*FC_OUT))
 
 
@@ -495,10 +507,10 @@ QUERIES.update({
 
 
 def q_accuracy_metrics(spark, sf_dir):
-    """E1 on hold-out pairs of the saturation model (trained to 1998)."""
+    """E1 on hold-out pairs of the saturation model."""
     from ..operators import evaluate as E
-    _, fc = _holdout_fc(spark, sf_dir, "logistic_price", 2)
-    pairs = E.holdout_pairs(fc, demand_panel(spark, sf_dir))
+    panel = demand_panel(spark, sf_dir)
+    pairs = E.holdout_pairs(_holdout_fc(panel, "logistic_price", 2), panel)
     return rounded(E.accuracy_metrics(pairs))
 
 
@@ -533,8 +545,128 @@ def q_backtest_leaderboard(spark, sf_dir):
     """Five models ranked per series by out-of-sample back-test RMSE."""
     from ..operators import evaluate as E
     from .oracle import FIVE
-    lb = E.backtest_leaderboard(train_panel(spark, sf_dir), FIVE, BT_CUTOFFS, 2)
+    lb = E.backtest_leaderboard(train_panel(spark, sf_dir), FIVE, E.cutoffs_back(BT_BACK), 2)
     return rounded(lb.select("series_id", "model", "n", "mae", "rmse", "mape", "rank"))
 
 
 QUERIES["backtest_leaderboard"] = q_backtest_leaderboard
+
+
+def _dirty_panel(spark, sf_dir):
+    """One series per customer with every year from its first to its last order:
+    years without an order have no values, and many series are a year or two long."""
+    from ..operators import prepare as P
+    from ..sources.panel import customer_panel
+    return P.complete_years(customer_panel(spark, sf_dir))
+
+
+def _each_model(panel, columns, fitted: bool):
+    from .oracle import FIVE
+    from .forecast import forecast
+    out = None
+    for m in FIVE:
+        fits, fc = forecast(panel, m, horizon=2)
+        rows = (flat_metrics(fits) if fitted else fc).select(*columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def q_fit_status_dirty_panel(spark, sf_dir):
+    """M9: the status of every fit on series with missing and too few years."""
+    cols = ["series_id", "model", "status", "n_years", "last_year", "continuity"]
+    return rounded(_each_model(_dirty_panel(spark, sf_dir), cols, True), digits=4)
+
+
+def q_forecast_dirty_panel(spark, sf_dir):
+    """M9 + P1-P7: forecasts exist for the series that could be fitted, and for no other."""
+    cols = ["series_id", "model", "year", "pred"]
+    return rounded(_each_model(_dirty_panel(spark, sf_dir), cols, False), digits=4)
+
+
+def q_training_window(spark, sf_dir):
+    """The rows of the training window, here the middle three order years."""
+    from ..sources.panel import training_window
+    return rounded(training_window(demand_panel(spark, sf_dir), 1997, 1999))
+
+
+def q_relabelled_years(spark, sf_dir):
+    """A hold-out forecast relabelled to follow each series' last input year."""
+    panel = demand_panel(spark, sf_dir)
+    last = panel.groupBy("series_id").agg(F.max("year").alias("last_input_year"))
+    fc = _holdout_fc(panel, "linear_price", 2)
+    return rounded(H.relabel_years(fc, last).select("series_id", "model", "scenario_id", "year", "pred"))
+
+
+def q_future_rows(spark, sf_dir):
+    """Rows marked as future, here the held-out years, up to the first of them."""
+    from ..operators import evaluate as E
+    panel = demand_panel(spark, sf_dir)
+    from pyspark.sql import Window
+    marked = panel.withColumn("is_future", F.col("year") > F.max("year").over(Window.partitionBy("series_id")) - HOLDOUT_YEARS)
+    return rounded(E.future_rows(marked, 2000).select("series_id", "year", "actual"))
+
+
+def q_diagnostics_sections(spark, sf_dir):
+    """Sections that are objects, lists and scalars, built from the panel checks."""
+    from ..operators import evaluate as E
+    from ..operators import prepare as P
+    checks = P.validate_panel(demand_panel(spark, sf_dir))
+    per = checks.groupBy("series_id").agg(
+        F.to_json(F.struct(
+            F.map_from_entries(F.collect_list(F.struct("rule", F.col("n").cast("string")))).alias("counts"),
+            F.sort_array(F.collect_list("rule")).alias("rules"),
+            F.sum("n").cast("string").alias("findings"))).alias("diagnostics"))
+    return E.diagnostics_rows(per)
+
+
+QUERIES.update({
+    "fit_status_dirty_panel": q_fit_status_dirty_panel,
+    "forecast_dirty_panel": q_forecast_dirty_panel,
+    "training_window": q_training_window,
+    "relabelled_years": q_relabelled_years,
+    "future_rows": q_future_rows,
+    "diagnostics_sections": q_diagnostics_sections,
+})
+
+
+def q_forecast_logistic_unadjusted(spark, sf_dir):
+    """R1 + P3: the saturation forecast without its continuity factor, by parameter."""
+    from .forecast import forecast
+    _, fc = forecast(train_panel(spark, sf_dir), "logistic_price", {"apply_continuity_adjustment": False}, HORIZON)
+    return rounded(fc.select(*FC_OUT))
+
+
+def q_forecast_growth_params(spark, sf_dir):
+    """R1 + P2: growth rates given as parameters."""
+    from .forecast import forecast
+    rates = {"gdp_growth_rate": 0.02, "population_growth_rate": 0.005, "ticket_price_inflation": 0.04}
+    _, fc = forecast(train_panel(spark, sf_dir), "linear_price", rates, HORIZON)
+    return rounded(fc.select(*FC_OUT))
+
+
+GROWTH_VALUES = [0.01, 0.03, 0.05]
+
+
+def q_sensitivity_growth(spark, sf_dir):
+    """X1 over the GDP growth rate, horizon 10."""
+    from ..operators import scenarios as X
+    fits, fc = X.sensitivity_sweep(train_panel(spark, sf_dir), "linear_price", "gdp_growth_rate", GROWTH_VALUES)
+    rows = X.sensitivity_rows(fits, fc, "linear_price", "gdp_growth_rate")
+    return rounded(rows.select("series_id", "model", "parameter", "value", "final_prediction", "impact_pct"))
+
+
+def q_catalog_fit(spark, sf_dir):
+    """R3 + R4: the catalogue beside how many series each model is compatible with."""
+    from ..operators import prepare as P
+    from .forecast import model_catalog
+    ok = P.model_compatibility(demand_panel(spark, sf_dir)).groupBy("model").agg(F.count_if("is_compatible").alias("n_compatible"))
+    cat = model_catalog(spark).select("model", "category", F.map_values("default_params").alias("v"))
+    return cat.join(ok, "model").select("model", "category", F.size("v").cast("bigint").alias("n_defaults"), "n_compatible")
+
+
+QUERIES.update({
+    "forecast_logistic_unadjusted": q_forecast_logistic_unadjusted,
+    "forecast_growth_params": q_forecast_growth_params,
+    "sensitivity_growth": q_sensitivity_growth,
+    "catalog_fit": q_catalog_fit,
+})

@@ -44,8 +44,9 @@ def get_spark(master: str | None = None, app: str = "panelcast",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local runs, tests) fall back to a fresh local folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Where it is unset, a local
+    master gets a fresh local folder; a cluster is refused, because its executors
+    would not share such a folder."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (remote sessions manage checkpoints server-side)
@@ -57,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="panelcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local

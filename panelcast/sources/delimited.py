@@ -35,14 +35,18 @@ def read_delimited(spark: SparkSession, path, sep: str | None = None) -> DataFra
     sep = sep or sniff_delimiter(spark, path if isinstance(path, str) else path[0])
     raw = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
            .option("inferSchema", False).csv(path))
-    names = [n.strip() for n in raw.columns]
-    raw = raw.toDF(*names)
-    checks = [F.count_if(F.trim(F.col(f"`{n}`")).__ne__("") & _locale_number(F.col(f"`{n}`")).isNull()).alias(f"c{i}")
-              for i, n in enumerate(names)]
+    # Spark numbers repeated headers by position; the header line has the true names.
+    first = path if isinstance(path, str) else path[0]
+    head = spark.read.option("sep", sep).option("quote", '"').csv(first).first()
+    names = [(n or "").strip() for n in head] if head and len(head) == len(raw.columns) else [n.strip() for n in raw.columns]
+    places = [f"_{i}" for i in range(len(names))]
+    raw = raw.toDF(*places)
+    checks = [F.count_if(F.trim(F.col(p)).__ne__("") & _locale_number(F.col(p)).isNull()).alias(f"c{i}")
+              for i, p in enumerate(places)]
     bad = raw.agg(*checks).first()
     cols = []
     for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
+        c = F.col(places[i])
         if bad[f"c{i}"] == 0:
             cols.append(_locale_number(c).alias(n))
         else:

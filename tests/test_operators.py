@@ -12,6 +12,8 @@ from panelcast.operators import horizon as H
 from panelcast.operators import models as M
 from panelcast.operators import prepare as P
 from panelcast.operators.calibration import calibrate_saturation
+from panelcast.operators.prepare import load_panel
+from panelcast.plans.forecast import compare_models, forecast, list_models
 from tests.fixtures import INPUT, LINEAR, PANEL_SCHEMA, panel
 
 A, Bc, Cc, D = 1.1572, 4.3517429, -6.59917386, 0.39546328
@@ -67,12 +69,85 @@ def test_copies_of_one_series_give_equal_results(spark):
 
 
 def test_too_short_series_has_status_and_no_forecast(spark):
-    rows = [(1, *INPUT[i]) for i in range(13)] + [(9, *INPUT[i]) for i in range(2)]
-    p = _rows(spark, rows)
-    fits = M.fit_linear_price(p)
-    st = {r["series_id"]: r["status"] for r in fits.collect()}
-    assert st == {1: "ok", 9: "too_short"}
-    assert H.predict_linear_price(fits, 3).where("series_id = 9").count() == 0
+    """Only the recent-window factor needs three years; the other models fit two."""
+    p = _rows(spark, [(1, *INPUT[i]) for i in range(13)] + [(9, *INPUT[i]) for i in range(2)])
+    for model, short in (("logistic_price", "too_short"), ("linear_price", "ok"), ("linear_income_index", "ok"),
+                         ("trend_elasticity_blend", "ok"), ("implied_price_logistic", "ok")):
+        fits, fc = forecast(p, model, horizon=3)
+        assert {r["series_id"]: r["status"] for r in fits.collect()} == {1: "ok", 9: short}, model
+        assert fc.where("series_id = 9").count() == (0 if short == "too_short" else 3), model
+
+
+@pytest.mark.parametrize("column, value, spared", [("year", None, ()), ("actual", None, ()), ("actual", -1.0, ()),
+                                                   ("gdp", None, ()), ("population", None, ()),
+                                                   ("price", None, ("linear_income_index", "trend_elasticity_blend",
+                                                                    "implied_price_logistic"))])
+def test_missing_values_make_a_fit_invalid_not_invented(spark, column, value, spared):
+    at = ["year", "actual", "population", "gdp", "price"].index(column)
+    rows = [list(r) for r in INPUT]
+    rows[-1][at] = value
+    p = _rows(spark, [(1, *r) for r in rows] + [(2, *r) for r in INPUT])
+    for model in ("logistic_price", "linear_price", "linear_income_index", "trend_elasticity_blend", "implied_price_logistic",
+                  "bootstrap_logistic"):
+        fits, fc = forecast(p, model, {"n_simulations": 5} if model == "bootstrap_logistic" else None, horizon=2)
+        got = {r["series_id"]: (r["status"], r["metrics"]) for r in fits.collect()}
+        assert got[2][0] == "ok"
+        assert got[1][0] == ("ok" if model in spared else "invalid"), model
+        assert (got[1][1] is None) == (model not in spared)
+        assert fc.where("series_id = 1").count() == (2 if model in spared else 0)
+
+
+def test_curve_functions_keep_nulls(spark):
+    row = spark.range(1).select(F.lit(None).cast("double").alias("x")).select(
+        C.clamp(F.col("x"), 0.0, 1.0), C.saturation(F.col("x"), 1.1, 4.3, -6.5, 0.4), C.elasticity(F.col("x"), 1.1, 4.3, -6.5, 0.4),
+        C.inverse_saturation(F.col("x"), 1.1, 4.3, -6.5, 0.4), C.clipped_index(F.col("x"))).first()
+    assert list(row) == [None] * 5
+
+
+def test_parameters_reach_the_prediction(spark):
+    p = _rows(spark, [(1, *r) for r in INPUT])
+    value = lambda params: [r["pred"] for r in forecast(p, "logistic_price", params, 3)[1].orderBy("year").collect()]
+    assert value({"apply_continuity_adjustment": False}) != value({})
+    assert value({"gdp_growth_rate": 0.0}) != value({"gdp_growth_rate": 0.05})
+    bands = {r["band_type"] for r in forecast(p, "logistic_price", {"monte_carlo_simulations": 500}, 2)[1].collect()}
+    assert bands == {"residual_sigma_95"}
+    with pytest.raises(ValueError, match="unknown parameter"):
+        forecast(p, "linear_price", {"no_such": 1})
+    with pytest.raises(ValueError, match="optimise"):
+        forecast(p, "trend_elasticity_blend", {"optimize_parameters": True})
+
+
+def test_comparison_of_all_models_with_another_key(spark):
+    p = _rows(spark, [(1, *r) for r in INPUT]).withColumnRenamed("series_id", "route")
+    fits, fc = compare_models(p, params={"bootstrap_logistic": {"n_simulations": 5}}, horizon=2, keys=("route",))
+    assert {r["model"] for r in fits.collect()} == set(list_models()) == {r["model"] for r in fc.collect()}
+    assert fc.where("route IS NULL OR fit_rmse IS NULL").count() == 0
+    board = E.leaderboard(fits, fc, keys=("route",)).collect()
+    assert sorted(r["rank"] for r in board) == list(range(1, 7)) and all(r["interval_width"] is not None for r in board)
+
+
+def test_backtest_of_the_bootstrap(spark):
+    p = _rows(spark, [(1, *r) for r in INPUT])
+    rows = E.rolling_backtest(p, "bootstrap_logistic", E.cutoffs_back([3, 2]), 2, {"n_simulations": 5}).collect()
+    last = max(r[0] for r in INPUT)
+    assert {(r["cutoff"], r["year"]) for r in rows} == {(last - 3, last - 2), (last - 3, last - 1), (last - 2, last - 1), (last - 2, last)}
+
+
+def test_diagnostics_of_lists_and_scalars(spark):
+    df = spark.createDataFrame([(1, '{"a":{"x":1,"y":["p","q"]},"warnings":["w1","w2"],"risk":"high","none":null}')], "series_id bigint, diagnostics string")
+    rows = {(r["section"], r["metric"]): r["value"] for r in E.diagnostics_rows(df).collect()}
+    assert rows == {("a", "x"): "1", ("a", "y"): "p; q", ("warnings", "value"): "w1; w2", ("risk", "value"): "high", ("none", "value"): None}
+
+
+def test_repeated_headers_and_missing_columns(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text("year;year;y\n2001;1;5\n2002;2;6\n")
+    panel, checks, _ = load_panel(spark, str(f))
+    assert "year_2" in panel.columns and panel.select("actual").first()[0] == 5.0
+    g = tmp_path / "b.csv"
+    g.write_text("year;prix\n2001;1\n")
+    _, checks, _ = load_panel(spark, str(g))
+    assert [(r["rule"], r["severity"]) for r in checks.collect()] == [("missing_actual_passengers", "error")]
 
 
 def test_constant_index_is_degenerate(spark):

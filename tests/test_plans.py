@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as E
+from panelcast.plans.queries import QUERIES
 from tests.conftest import SF001
 
 BAD = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -12,9 +12,9 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, name):
-    plan = _plan(E.queries()[name](spark, SF001))
+    plan = _plan(QUERIES[name](spark, SF001))
     assert not any(b in plan for b in BAD), name
 
 
@@ -32,3 +32,17 @@ def test_fit_and_forecast_add_no_shuffle_on_partitioned_panel(spark):
     fc = H.predict_logistic_price(M.fit_logistic_price(p), 5)
     plan = _plan(fc)
     assert plan.count("Exchange") == 1, plan   # the explicit repartition only
+
+
+@pytest.mark.parametrize("name", ["best_model_forecast", "backtest_leaderboard", "comparison_rows"])
+def test_comparisons_do_not_derive_the_panel_again(spark, name):
+    """The panel is checkpointed once; what follows reads no source table."""
+    assert "FileScan" not in _plan(QUERIES[name](spark, SF001))
+
+
+def test_the_resampling_stage_runs_once(spark):
+    """Its result is written, so the fit's own plan holds no Python stage."""
+    from panelcast.operators import bootstrap as B
+    from panelcast.sources.panel import synthetic_panel
+    fits = B.fit_bootstrap_logistic(synthetic_panel(spark, 3, n_years=8), {"optimize_parameters": True, "n_simulations": 10})
+    assert "InPandas" not in _plan(fits)

@@ -97,19 +97,6 @@ def test_synthetic_panel_is_deterministic(spark):
     assert a == b and len(a) == 1500 and min(r["actual"] for r in a) >= 50000
 
 
-def test_streaming_refresh(spark, tmp_path):
-    from panelcast.streaming.refit import refresh_forecasts
-    hist = panel(spark, INPUT[:10])
-    hist.write.parquet(str(tmp_path / "history"))
-    inc = str(tmp_path / "incoming")
-    panel(spark, INPUT[10:]).write.parquet(inc)
-    q = refresh_forecasts(spark, inc, str(tmp_path / "history"), str(tmp_path / "out"), str(tmp_path / "ckpt"),
-                          params=dict(LINEAR), horizon=3)
-    q.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 3 and out.agg(F.min("year")).first()[0] == 2018
-
-
 def test_many_files_grouped_by_delimiter(spark, tmp_path):
     a = tmp_path / "a.csv"
     b = tmp_path / "b.csv"
