@@ -4,7 +4,8 @@ read again as the next one's documents.
 1. quality: documents that the classifier rejects go;
 2. lines: later occurrences of repeated three-line windows are cut out of the
    texts; a document of which nothing is left goes;
-3. near_duplicates: one document of each group of near copies stays;
+3. near_duplicates: one document of each group of near copies (five-word shingles, a
+   similarity of 0.8 or more) stays;
 4. decontamination: documents that hold a passage of a test item go;
 5. packing: what is left is packed along the curve; the stage returns the pieces.
 
@@ -42,7 +43,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_ids(docs, minhash.near_duplicates(docs).filter("kept"))
+    return _with_ids(docs, minhash.near_duplicates(docs, percent=80).filter("kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

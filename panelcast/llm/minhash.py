@@ -4,7 +4,7 @@
    its bin, and each bin keeps its least hash. Empty bins borrow from a full one by
    a fixed random order of their own (optimal densification).
 2. Equal sets fall into one class, whose first row stands for it.
-3. Bands of five bins make buckets. In a bucket only the star from one centre to the
+3. Bands of a few bins make buckets. In a bucket only the star from one centre to the
    other members is a candidate. The centre is the member that meets most others in
    all its buckets, which in a group of edited copies is their source. Candidates
    are confirmed on the full sets, and confirmed links give components.
@@ -14,8 +14,8 @@
    blocks of bounded size. The search compares signatures, checks a pair in its
    first common band only, and hands on to the full sets what lies near the limit.
 
-With 25 bands of 5 bins, a pair at the limit of 0.85 meets in no bucket with a
-probability of 4e-7. Copies, common bands and common components are collapsed
+Bands have five bins from a limit of 0.85 on, four below: a pair at 0.85 meets in
+no bucket of 25 with a probability of 4e-7, one at 0.8 in none of 32 with 5e-8. Copies, common bands and common components are collapsed
 before the next step; nothing is capped.
 
 Defined cases: null, empty and white-space texts have the empty set and link with
@@ -39,7 +39,6 @@ from panelcast.session import ship_package
 
 WORDS = 5
 BINS = 128
-ROWS, BANDS = 5, 25
 LAST = (1 << 63) - 1
 #: Members on either side of a block of the search.
 BLOCK = 256
@@ -122,8 +121,12 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    return np.column_stack([chained([sig[:, b * ROWS + i] for i in range(ROWS)], 1000 + b) for b in range(BANDS)]).view(np.int64)
+def bins_per_band(percent: int) -> int:
+    return 5 if percent >= 85 else 4
+
+
+def band_keys(sig: np.ndarray, bins: int) -> np.ndarray:
+    return np.column_stack([chained([sig[:, b * bins + i] for i in range(bins)], 1000 + b) for b in range(BINS // bins)]).view(np.int64)
 
 
 def set_hashes(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +140,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("tx", F.xxhash64("text"))
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, bins: int) -> DataFrame:
     """A written table with one row for each of ``docs``: row (its number), doc, tx
     (hash of the text), n, s1, s2 (size and hash of the set), bands, sig (eight bits
     of each bin)."""
@@ -151,7 +154,8 @@ def _described(docs: DataFrame) -> DataFrame:
                 h, bounds = shingle_sets(common.strings(part.column("text")))
                 sig, (s1, s2) = signatures(h, bounds), set_hashes(h, bounds)
                 count = len(bounds) - 1
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sig).ravel()))
+                keys = band_keys(sig, bins)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 low = (sig & U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + count)), part.column("doc"), part.column("tx"), *map(pa.array, (np.diff(bounds), s1, s2)), bands, pa.array([x.tobytes() for x in low], pa.binary())],
@@ -216,7 +220,7 @@ def _near(blocks: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         is_left = t.column("left").to_numpy().astype(bool)
         row, label, n, small = (t.column(c).to_numpy() for c in ("row", "label", "n", "small"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
         key, a, b = t.column("key")[0].as_py(), np.flatnonzero(is_left), np.flatnonzero(~is_left)
         found: dict[int, list[int]] = {}
         for x in a:
@@ -262,13 +266,13 @@ def _block_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.staged(near.join(sets, "row").groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "minhash-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Every row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id (least
     id of those reachable over links, its own included) and kept (it is that id).
 
     Two documents are linked if their sets share ``percent`` of their union.
     """
-    rows = _described(docs)
+    rows = _described(docs, bins_per_band(percent))
     classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"))
     known = rows.join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "row"))
     is_rep = F.col("row") == F.col("rep")

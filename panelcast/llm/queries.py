@@ -35,7 +35,7 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,10 @@ def copied():
     return docs + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  TWO"), (905, "one two three"), (906, prose(rng, 9000))]
 
 
-def test_near_duplicates_equal_brute_force(make, copied):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(make(copied)).collect()}
-    assert got == brute_components(copied)
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(make, copied, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(make(copied), percent).collect()}
+    assert got == brute_components(copied, percent)
 
 
 def test_links_that_a_star_misses_are_found(make, monkeypatch):
@@ -118,7 +119,7 @@ def test_links_that_a_star_misses_are_found(make, monkeypatch):
         docs.append((i, " ".join(w)))
         for _ in range(3):
             w[(i * 17 + rng.randrange(17)) % len(w)] = f"new{i}{rng.randrange(99)}"
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(make(docs)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(make(docs), 85).collect()}
     assert got == brute_components(docs)
 
 
@@ -127,7 +128,7 @@ def test_near_duplicates_of_ties_null_ids_and_nothing(make, clashing, corpus):
     rows = minhash.near_duplicates(make([(None, text), (None, text), (4, text), (4, text), (9, text + " more"), (None, None)])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (-1, 4, False), (-1, 4, False), (4, 4, True), (4, 4, True), (9, 4, False)]
     assert minhash.near_duplicates(make([])).count() == 0
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(clashing).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(clashing, 85).collect()}
     assert got == brute_components(corpus)
 
 
