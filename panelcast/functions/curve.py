@@ -8,6 +8,8 @@ a higher-order ``aggregate`` evaluated once per fit row, not per data row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +118,38 @@ def elasticity_threshold(target, a, b, c, d) -> Column:
     return F.when(bracketed, root)
 
 
+def threshold_value(target: float, a: float, b: float, c: float, d: float) -> float | None:
+    """C4 for plain numbers, the same steps as :func:`elasticity_threshold`: one
+    parameter tuple is solved once, not once per series."""
+    def f(r: float) -> float:
+        x = max(r, 1e-8) ** d
+        s = min(max(a * (1.0 - 1.0 / (1.0 + math.exp(b + c * x))), 0.0), 1.0)
+        return c * d * (1.0 - s / max(a, 1e-10)) * max(r, 1e-10) ** d - target
+
+    def sign(x: float) -> int:
+        return (x > 0) - (x < 0)
+
+    lo, hi = K.BISECT_LO, K.BISECT_HI
+    flo, fhi = f(lo), f(hi)
+    for _ in range(K.BISECT_EXPAND_STEPS):
+        if sign(flo) != sign(fhi):
+            break
+        hi *= K.BISECT_GROW
+        fhi = f(hi)
+    if sign(flo) == sign(fhi):
+        return None
+    for _ in range(K.BISECT_MAX_STEPS):
+        mid = (lo + hi) / 2.0
+        fm = f(mid)
+        if abs(fm) < K.BISECT_TOL or hi - lo < K.BISECT_TOL:
+            return mid
+        if sign(fm) == sign(flo):
+            lo, flo = mid, fm
+        else:
+            hi = mid
+    return (lo + hi) / 2.0
+
+
 def relative_price_index(price, gdp, scale) -> Column:
     """``scale * price / max(gdp, 1e-10)``."""
     return _c(scale) * _c(price) / floor_at(gdp, 1e-10)

@@ -159,6 +159,19 @@ IMPLIED_NAMES = {"k1": "k1", "k2": "k2", "distribution_a": "a", "distribution_b"
                  "fare_growth_rate": "fare_growth"}
 
 
+def _threshold_per_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """K1 and K2 of groups with parameters of their own (sweeps, simulations): solved
+    on one row per group and joined back by the same keys."""
+    calib = rows.groupBy(*keys).agg(
+        F.first("m_ref_gdp").alias("m_ref_gdp_g"), F.first("m_ref_pax").alias("m_ref_pax_g"),
+        *[F.first(f"_p_{a}").alias(f"g_{a}") for a in ("a", "b", "k1", "k2", "ref_elasticity")])
+    k2 = C.elasticity_threshold(F.col("g_ref_elasticity"), F.col("g_a"), F.col("g_b"), F.col("g_k1"), F.col("g_k2"))
+    calib = calib.withColumn("calib_k2", k2)
+    fk2 = C.saturation(F.col("calib_k2"), F.col("g_a"), F.col("g_b"), F.col("g_k1"), F.col("g_k2"))
+    calib = calib.withColumn("calib_k1", F.col("m_ref_pax_g") / C.floor_at(fk2, 1e-12))
+    return rows.join(calib.select(*keys, "calib_k1", "calib_k2"), keys)
+
+
 def fit_implied_price_logistic(panel: DataFrame, params: dict | None = None, keys=("series_id",)) -> DataFrame:
     """M7: calibrate the curve threshold K2 to a reference elasticity (C4),
     K1 = reference traffic per head / F(K2); the implied price index of each
@@ -166,7 +179,8 @@ def fit_implied_price_logistic(panel: DataFrame, params: dict | None = None, key
 
     The reference row is the row of ``ref_year`` when given and present, else the
     first row; ``ref_gdp_per_capita`` / ``ref_normalized_traffic`` override it
-    when positive. K2 is solved once per group (not per row)."""
+    when positive. K2 is solved once where the parameters are plain numbers, else
+    once per group."""
     keys = list(keys)
     p = merge_params(K.IMPLIED_PRICE_DEFAULTS, params, "implied_price_logistic")
     rows = _prepare(panel, keys, p, IMPLIED_NAMES)
@@ -183,20 +197,19 @@ def fit_implied_price_logistic(panel: DataFrame, params: dict | None = None, key
         F.when(_p("ref_gdp_param") > 0, _p("ref_gdp_param")).otherwise(ref_gdp_row).alias("m_ref_gdp"),
         F.when(_p("ref_traffic_param") > 0, _p("ref_traffic_param")).otherwise(ref_pax_row).alias("m_ref_pax"),
     )
-    # Per-group calibration on one row per group, then joined back to the rows
-    # (same keys, same partitioning: no extra exchange).
-    calib = rows.groupBy(*keys).agg(
-        F.first("m_ref_gdp").alias("m_ref_gdp_g"), F.first("m_ref_pax").alias("m_ref_pax_g"),
-        *[F.first(f"_p_{a}").alias(f"g_{a}") for a in ("a", "b", "k1", "k2", "ref_elasticity")])
-    k2 = C.elasticity_threshold(F.col("g_ref_elasticity"), F.col("g_a"), F.col("g_b"), F.col("g_k1"), F.col("g_k2"))
-    calib = calib.withColumn("calib_k2", k2)
-    fk2 = C.saturation(F.col("calib_k2"), F.col("g_a"), F.col("g_b"), F.col("g_k1"), F.col("g_k2"))
-    calib = calib.withColumn("calib_k1", F.col("m_ref_pax_g") / F.greatest(fk2, F.lit(1e-12)))
-    rows = rows.join(calib.select(*keys, "calib_k1", "calib_k2"), keys)
+    curve_params = [p[k] for k in ("ref_elasticity", "distribution_a", "distribution_b", "k1", "k2")]
+    if all(isinstance(x, (int, float)) for x in curve_params):
+        # One parameter tuple for all groups: solved once, and no join.
+        solved = C.threshold_value(*map(float, curve_params))
+        k2 = F.lit(solved).cast("double")
+        fk2 = C.saturation(k2, _p("a"), _p("b"), _p("k1"), _p("k2"))
+        rows = rows.withColumn("calib_k2", k2).withColumn("calib_k1", F.col("m_ref_pax") / C.floor_at(fk2, 1e-12))
+    else:
+        rows = _threshold_per_group(rows, keys)
     s = F.col("m_ref_gdp") / C.floor_at(F.col("gdp"), 1e-10)
     pp = F.col("actual") / C.floor_at(F.col("population"), 1e-10)
     a, b, c, d = _p("a"), _p("b"), _p("k1"), _p("k2")
-    t = C.inverse_saturation(pp / F.col("calib_k1"), a, b, c, d) / F.greatest(F.col("calib_k2") * s, F.lit(1e-12))
+    t = C.inverse_saturation(pp / F.col("calib_k1"), a, b, c, d) / C.floor_at(F.col("calib_k2") * s, 1e-12)
     rows = rows.withColumn("t_implied", t)
     rows = rows.withColumn("adj", F.col("calib_k1") * C.saturation(F.col("calib_k2") * F.col("t_implied") * s, a, b, c, d)
                            * F.col("population"))

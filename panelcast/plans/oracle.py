@@ -437,7 +437,7 @@ def implied_fit_ctes(base: bool = True, hold: int = 0) -> str:
     a, b, c, d = str(IP["distribution_a"]), str(IP["distribution_b"]), str(IP["k1"]), str(IP["k2"])
     s = f"(ref_gdp / {gmax('gdp', '1e-10')})"
     pp = f"(actual / {gmax('population', '1e-10')})"
-    t = f"({inv_curve(f'{pp} / ck1', a, b, c, d)} / greatest(ck2 * {s}, 1e-12))"
+    t = f"({inv_curve(f'{pp} / ck1', a, b, c, d)} / {gmax(f"ck2 * {s}", "1e-12")})"
     return f"""{_base(base, hold)}{threshold_ctes(str(IP['ref_elasticity']), a, b, c, d)},
 ip_k AS (SELECT root AS ck2, {curve('root', a, b, c, d)} AS fk2 FROM th_root),
 ip_a AS (SELECT ctx.*, ip_k.ck2,
