@@ -79,16 +79,17 @@ def test_golden_comparison_job(spark):
 def test_compare_models_status_rows(spark):
     rows = [(1, *r) for r in INPUT] + [(2, *INPUT[0]), (2, *INPUT[1])]
     p = spark.createDataFrame(rows, "series_id bigint, year int, actual double, population double, gdp double, price double")
-    fits, fc = R.compare_models(p, horizon=2)
+    fits, fc = R.compare_models(p, params={"bootstrap_logistic": {"n_simulations": 10}}, horizon=2)
     st = {(r["series_id"], r["model"]): r["status"] for r in fits.collect()}
-    assert len(st) == 10 and st[(2, "linear_price")] == "too_short" and st[(1, "linear_price")] == "ok"
-    assert fc.where("series_id = 2").count() == 0 and fc.where("series_id = 1").count() == 10
+    assert len(st) == 12 and st[(2, "logistic_price")] == st[(2, "bootstrap_logistic")] == "too_short"
+    assert st[(1, "linear_price")] == st[(2, "linear_price")] == "ok"
+    assert fc.where("series_id = 2").count() == 8 and fc.where("series_id = 1").count() == 12
 
 
 def test_model_catalog(spark):
     cat = {r["model"]: r for r in R.model_catalog(spark).collect()}
     assert set(cat) == set(GOLDEN) | {"bootstrap_logistic"}
-    assert cat["implied_price_logistic"]["best_for"] == "General forecasting"
+    assert cat["implied_price_logistic"]["best_for"] == "Any series that holds its drivers"
 
 
 def test_synthetic_panel_is_deterministic(spark):
