@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from panelcast.llm import common
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _finished(links: DataFrame) -> bool:
+    """Whether all links run from a node, once, to one that has no link of its own.
+    As links run from the greater to the lesser node, each component is then a star
+    around its least node."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionAll(links.select(F.col("b").alias("node"), F.lit(0).alias("out")))
+    open_nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n")).filter("out > 1 OR out = 1 AND n > 1")
+    return open_nodes.isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -33,11 +38,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes but the least of each component; ``label`` is the
     component's least node. ``links`` has two long columns a and b."""
-    now = common.staged(links.filter("a != b").select("a", "b").distinct(), "links")
-    state = _state(now)
-    while state[0]:
-        now = common.staged(_small_star(_large_star(now)), "links")
-        before, state = state, _state(now)
-        if state == before:
-            break
+    now = common.staged(_small_star(_large_star(links.filter("a != b").select("a", "b"))), "links", shrink=8)
+    while not _finished(now):
+        now = common.staged(_small_star(_large_star(now)), "links", shrink=8)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
