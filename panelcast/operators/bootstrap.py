@@ -28,7 +28,7 @@ from .. import constants as K
 from ..functions import curve as C
 from ..functions.draws import draw_index
 from .fitting import blank_invalid, common_aggs, merge_params, metrics_struct, recent_factor, to_col, windows, with_group_context
-from ..session import cut_lineage, parallelism
+from ..session import cut_lineage, parallelism, ship_package
 from .horizon import expand_horizon
 
 SIM_BLOCK = 64
@@ -165,6 +165,7 @@ def _numpy_winners(work: DataFrame, keys) -> DataFrame:
                     out["k2"].append(float(gk2[c]))
             yield pd.DataFrame(out)
 
+    ship_package(work.sparkSession)
     return work.mapInPandas(winners, schema)
 
 
