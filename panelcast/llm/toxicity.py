@@ -7,8 +7,9 @@ row gets them from a model that has not seen its fold. The models are fitted by
 Newton steps whose gradient and curvature each partition sums for its rows.
 
 Defined cases: null and empty texts have no words and get the probability of such
-texts; rows without id or label teach nothing; a category with no labels, or with
-one class only, gets the share of label 1 (0 without labels) everywhere.
+texts; rows without id or label teach nothing; of several labels of an id the
+greatest counts; a category with no labels, or with one class only, gets the share
+of label 1 (0 without labels) everywhere.
 """
 
 from __future__ import annotations
@@ -76,45 +77,56 @@ def _word_lists(labelled: DataFrame) -> DataFrame:
     return common.staged(common.map_arrow(labelled, run, schema), "toxicity-words")
 
 
-def telling_words(labelled: DataFrame, category: str, most: int = WORDS) -> list[str]:
+def word_counts(labelled: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """A written table (word, texts_<c>, hits_<c>): in how many labelled texts of each
+    category a word occurs, and in how many of label 1. One aggregation for all
+    categories; words of fewer than LEAST_TEXTS texts are left out."""
+    rows = labelled.select(F.explode("words").alias("word"), *(F.when(F.col(c).isin(0, 1), F.col(c)).cast("long").alias(c) for c in categories))
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(x for c in categories for x in (F.count(c).alias(f"texts_{c}"), F.coalesce(F.sum(c), F.lit(0)).alias(f"hits_{c}"))))
+    return common.staged(counts.filter(F.col("n") >= LEAST_TEXTS), "toxicity-counts")
+
+
+def telling_words(counts: DataFrame, category: str, n: int, ones: int, most: int = WORDS) -> list[str]:
     """The words whose share of texts differs most between the two classes, by the
-    z score of two shares, which must be at least LEAST_Z; ``labelled`` has ``words`` and the category's 0/1 column."""
-    n, ones = labelled.agg(F.count(category), F.sum(category)).first()
-    counts = labelled.select(F.explode("words").alias("word"), F.col(category).cast("long").alias("y")).groupBy("word").agg(F.count("y").alias("texts"), F.sum("y").alias("hits"))
-    share = F.col("texts") / F.lit(float(n))
-    gap = F.col("hits") / F.lit(float(ones)) - (F.col("texts") - F.col("hits")) / F.lit(float(n - ones))
+    z score of two shares, which must be at least LEAST_Z; ``n`` texts are labelled,
+    ``ones`` of them 1."""
+    texts, hits = F.col(f"texts_{category}"), F.col(f"hits_{category}")
+    share = texts / F.lit(float(n))
+    gap = hits / F.lit(float(ones)) - (texts - hits) / F.lit(float(n - ones))
     z = F.abs(gap) / F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / (n - ones)) + F.lit(1e-12))
-    rows = counts.filter(F.col("texts") >= LEAST_TEXTS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(most).collect()
+    rows = counts.filter(texts >= LEAST_TEXTS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(most).collect()
     return [r["word"] for r in rows]
 
 
-def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
-    out = np.zeros((batch.num_rows, len(names)))
-    for i, c in enumerate(names):
-        out[:, i] = batch.column(c).to_numpy(zero_copy_only=False)
-    return out
-
-
 def _inputs(x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return np.column_stack([x, earlier, np.ones(len(x))])
 
 
-def _fit_link(labelled: DataFrame, category: str, before: Sequence[str]) -> tuple[Link, list[np.ndarray]]:
-    """A category's model, and the models that leave out one fold each. ``before``
-    names the columns with out-of-fold probabilities of earlier categories."""
+def _out_of_fold(chain: list[tuple[Link, np.ndarray]], flat: pa.Array, bounds: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """For each text the probabilities of the fitted categories, each from the model
+    that left the text's fold out."""
+    out = np.zeros((len(fold), len(chain)))
+    for i, (link, held_out) in enumerate(chain):
+        out[:, i] = sigmoid((_inputs(presence(flat, bounds, link.words), out[:, :i]) * held_out[fold]).sum(1)) if len(held_out) else link.base
+    return out
+
+
+def _fit_link(labelled: DataFrame, counts: DataFrame, category: str, chain: list[tuple[Link, np.ndarray]]) -> tuple[Link, np.ndarray]:
+    """A category's model, and the weights of the models that leave out one fold each.
+    ``chain`` holds the same of the earlier categories."""
     known = labelled.filter(F.col(category).isin(0, 1))
     n, ones = known.agg(F.count(category), F.coalesce(F.sum(category), F.lit(0))).first()
     if not 0 < ones < n:
-        return Link([], np.zeros(0), ones / n if n else 0.0), []
-    vocabulary = telling_words(known, category)
-    width = len(vocabulary) + len(before) + 1
+        return Link([], np.zeros(0), ones / n if n else 0.0), np.zeros((0, 0))
+    vocabulary = telling_words(counts, category, n, ones)
+    width = len(vocabulary) + len(chain) + 1
     weights = np.zeros((FOLDS + 1, width))
 
     def newton(batch: pa.RecordBatch) -> np.ndarray:
         lists = batch.column("words")
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        x = _inputs(presence(lists.flatten(), bounds, vocabulary), _columns(batch, before))
+        flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in (category, "fold"))
+        x = _inputs(presence(flat, bounds, vocabulary), _out_of_fold(chain, flat, bounds, fold))
         out = np.zeros((FOLDS + 1, width, width + 1))
         for f in range(FOLDS + 1):  # fold f is left out; the last model sees all
             own, target = x[fold != f], y[fold != f]
@@ -124,46 +136,28 @@ def _fit_link(labelled: DataFrame, category: str, before: Sequence[str]) -> tupl
         return out
 
     for _ in range(STEPS):
-        sums = linear.summed(known.select("words", *before, F.col(category).cast("double").alias(category), "fold"), newton, (FOLDS + 1, width, width + 1))
+        sums = linear.summed(known.select("words", F.col(category).cast("double").alias(category), "fold"), newton, (FOLDS + 1, width, width + 1))
         steps = np.array([np.linalg.solve(s[:, :-1] + RIDGE * np.eye(width), s[:, -1] - RIDGE * w) for s, w in zip(sums, weights, strict=True)])
         weights = weights + steps
         if np.abs(steps).max() < 1e-3:
             break
-    return Link(vocabulary, weights[-1], ones / n), list(weights[:-1])
-
-
-def _with_out_of_fold(labelled: DataFrame, link: Link, held_out: list[np.ndarray], before: Sequence[str], name: str) -> DataFrame:
-    """``labelled`` and a column with the probability from the model that left the row's fold out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = np.full(batch.num_rows, link.base)
-            if held_out:
-                lists = batch.column("words")
-                x = _inputs(presence(lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), link.words), _columns(batch, before))
-                p = sigmoid((x * np.array(held_out)[batch.column("fold").to_numpy(zero_copy_only=False)]).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
-
-    schema = labelled.withColumn(name, F.lit(0.0)).schema
-    return common.staged(common.map_arrow(labelled, run, schema), "toxicity-chain")
+    return Link(vocabulary, weights[-1], ones / n), weights[:-1]
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED) -> list[Link]:
     """The chain over ``categories``: names, in order, and 0/1 columns of ``labels``."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("int").alias(f"y_{k}") for k, c in categories.items())).filter("doc_id IS NOT NULL")
+    taught = taught.groupBy("doc_id").agg(*(F.max(f"y_{k}").alias(f"y_{k}") for k in categories))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    labelled = texts.join(linear.bounded(taught, max_labelled), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    # The labels that are used are bounded by max_labelled, so they may be broadcast,
+    # and no text is shuffled.
+    labelled = texts.join(F.broadcast(linear.bounded(taught, max_labelled)), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     labelled = _word_lists(labelled)
-    links, before = [], []
-    for k in categories:
-        link, held_out = _fit_link(labelled, f"y_{k}", before)
-        links.append(link)
-        if len(links) < len(categories):
-            labelled = _with_out_of_fold(labelled, link, held_out, before, f"p_{k}")
-            before.append(f"p_{k}")
-    return links
+    names = [f"y_{k}" for k in categories]
+    counts, chain = word_counts(labelled, names), []
+    for name in names:
+        chain.append(_fit_link(labelled, counts, name, chain))
+    return [link for link, _ in chain]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED) -> DataFrame:
