@@ -90,7 +90,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = tokens.encoder(tokenizer)
         tables, row = projections(enc.vocab_size), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in common.by_bytes(batch):
+            for part in common.by_bytes(batch, limit=tokens.BATCH_BYTES):
                 plain, lengths = enc.encode(common.strings(part.column("text")))
                 key = hilbert_key(coordinates(plain, lengths, tables))
                 ids, lengths = tokens.with_end_id(plain, lengths, end_id)

@@ -191,7 +191,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             done.append((part, len(done), out.path.rpartition("/")[2], *out.close()))
 
         for batch in batches:
-            for piece in common.by_bytes(batch):
+            for piece in common.by_bytes(batch, limit=tokens.BATCH_BYTES):
                 out = out or TokenFileWriter(folder, f"part-{part:06d}-{len(done):06d}.eftok", width)
                 ids, lengths = tokens.with_end_id(*enc.encode(common.strings(piece.column("text"))), end_id)
                 out.add(piece.column("doc_id").to_pylist(), ids, lengths)

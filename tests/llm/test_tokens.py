@@ -34,7 +34,7 @@ def test_piece_encoder_equals_the_library(word_tok):
     bits = ["a", "Zürich", "É", "été", "l'été.", "Don't", "x.", "x,,", "9a", "ß", "Σς", "İ", "é", "ＡＢ", "<|endoftext|>", "日本", "a.b", "...", "ÿ", "×", "÷", "ÐÞ"]
     gaps = [" ", "  ", "\n", "\t", "　", " ", "", "\x1c", "\x85"]
     texts = ["".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randrange(0, 12))) for _ in range(3000)]
-    enc = tokens.PieceEncoder(tokens.word_tokenizer_path(), max_pieces=500)
+    enc = tokens.PieceEncoder(tokens.word_tokenizer_path(), max_parts=500)
     for lo in range(0, 3000, 300):
         ids, lengths = enc.encode(pa.array(texts[lo : lo + 300]))
         want = [word_tok.encode(t, add_special_tokens=False).ids for t in texts[lo : lo + 300]]
