@@ -8,6 +8,7 @@ so extra columns with clashing names do no harm.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -91,3 +92,17 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYT
 def strings(column: pa.Array) -> pa.Array:
     """A plain string array without nulls."""
     return pc.fill_null(column.cast(pa.string()), "")
+
+
+_WHITE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def slices(text: str, limit: int = BATCH_BYTES) -> Iterator[str]:
+    """Consecutive parts of ``text`` of about ``limit`` characters, cut before ASCII
+    white space; a longer word is not cut."""
+    lo = 0
+    while lo < len(text):
+        cut = _WHITE.search(text, lo + limit)
+        hi = cut.start() if cut else len(text)
+        yield text[lo:hi]
+        lo = hi

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import common, decontam, digest, line_windows, minhash, packing, quality, secret_scan, token_counts, token_files, toxicity
+from panelcast.llm import common, conversation_repair, decontam, digest, line_windows, minhash, packing, pattern_packing, periodic_runs, quality, secret_scan, token_counts, token_files, toxicity
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_columns(periodic_runs.periodic_runs(common.table(spark, sf_dir, "documents"), plant=True))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pattern_packing.pack(common.table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_quartile_digest": op2_quartile_digest,
@@ -72,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_token_files": op9_token_files,
     "op10_fourier_quality": op10_fourier_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_pattern_packing": op13_pattern_packing,
 }
