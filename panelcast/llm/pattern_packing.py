@@ -261,5 +261,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, seq_len
                 )
 
     ranked = along_curve(cut.select("row", "doc_id", F.col("length").alias("key"), F.lit(1).cast("long").alias("n")))
-    placed = cut.join(ranked, "row").select("doc_id", "piece", "start", "length", "at", "ids")
+    placed = cut.join(ranked.hint("merge"), "row").select("doc_id", "piece", "start", "length", "at", "ids")
     return common.map_arrow(placed, place, "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids binary")
