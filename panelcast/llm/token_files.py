@@ -13,7 +13,8 @@ every 64th set bit lies lets ``select`` find any value in constant time. That
 takes about ``2 + log2(universe / n)`` bits a value, and no 64-bit table.
 
 Each task of a range partitioning by id writes its files through a streaming
-writer; a retried task writes the same bytes under the same name. Files are
+writer; each attempt of a task writes under a name of its own and then moves the
+file to the name that all attempts share, with the same bytes. Files are
 reached by pyarrow's file systems, so any folder with a URI of theirs can be used.
 
 Defined cases: a null or empty text gives the end id alone; repeated ids stay
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm import common, tokens
@@ -41,6 +42,8 @@ PART = struct.Struct("<QQQQ")
 SAMPLE = 64
 #: Ids in a file before the next one begins.
 FILE_IDS = 8 << 20
+#: Documents whose boundaries are selected at a time.
+READ_DOCS = 4096
 
 
 class EliasFano:
@@ -80,6 +83,15 @@ class EliasFano:
         bit = [b for b in range(8) if self.high[byte] >> b & 1][left - seen]
         return int(self._low(np.array([i]))[0]) | (byte * 8 + bit - i) << self.low_bits
 
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """Values ``lo`` to ``hi``: the bitmap is read from the sample before the first to the
+        one behind the last."""
+        first, behind = int(self.samples[lo // SAMPLE]), -(-hi // SAMPLE)
+        end = int(self.samples[behind]) if behind < len(self.samples) else len(self.high) * 8
+        at = np.flatnonzero(np.unpackbits(self.high[first >> 3 : (end >> 3) + 1], bitorder="little")) + (first >> 3) * 8
+        i = np.arange(lo, hi)
+        return (at[at >= first][lo % SAMPLE :][: hi - lo] - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
     def select_all(self) -> np.ndarray:
         """All values in order."""
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
@@ -105,9 +117,9 @@ def open_fs(uri: str):
 class TokenFileWriter:
     """Streams ids into a file; only lengths and document ids stay in memory."""
 
-    def __init__(self, folder: str, name: str, width: int):
+    def __init__(self, folder: str, name: str, width: int, attempt: int = 0):
         self.fs, root = open_fs(folder)
-        self.path, self.part, self.width = f"{root}/{name}", f"{root}/.{name}.part", width
+        self.path, self.part, self.width = f"{root}/{name}", f"{root}/.{name}.{attempt}.part", width
         self.out = self.fs.open_output_stream(self.part)
         self.out.write(MAGIC)
         self.lengths: list[np.ndarray] = []
@@ -151,8 +163,11 @@ class TokenFile:
     def _at(self, lo: int, size: int) -> bytes:
         return self.file.read_at(size, lo)
 
-    def doc_ids(self) -> list[int | None]:
-        return [int(x) + self.least for x in self.docs.select_all()] + [None] * self.nulls
+    def doc_ids(self, lo: int, hi: int) -> list[int | None]:
+        """Ids of documents ``lo`` to ``hi`` of the file; those without come last."""
+        known = self.n_docs - self.nulls
+        found = self.docs.select_range(lo, min(hi, known)).tolist() if lo < known else []
+        return [x + self.least for x in found] + [None] * (hi - lo - len(found))
 
     def ids(self, lo: int, hi: int) -> np.ndarray:
         """Ids ``lo`` to ``hi`` of the file's array."""
@@ -184,7 +199,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, done, out = tokens.encoder(tokenizer), TaskContext.get().partitionId(), [], None
+        task = TaskContext.get()
+        enc, part, done, out = tokens.encoder(tokenizer), task.partitionId(), [], None
         width = 2 if enc.vocab_size <= 1 << 16 else 4
 
         def finish() -> None:
@@ -192,7 +208,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
         for batch in batches:
             for piece in common.by_bytes(batch, limit=tokens.BATCH_BYTES):
-                out = out or TokenFileWriter(folder, f"part-{part:06d}-{len(done):06d}.eftok", width)
+                out = out or TokenFileWriter(folder, f"part-{part:06d}-{len(done):06d}.eftok", width, task.taskAttemptId())
                 ids, lengths = tokens.with_end_id(*enc.encode(common.strings(piece.column("text"))), end_id)
                 out.add(piece.column("doc_id").to_pylist(), ids, lengths)
                 if out.n_ids >= file_ids:
@@ -212,36 +228,35 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before
     it), n_tokens and its ids as little-endian 32-bit integers (binary).
 
-    The driver sums one number per written partition; files are read by tasks
-    that each hold one file's coded parts and a few megabytes of ids.
+    The driver sums one number per written partition; the files are dealt to as many
+    tasks as there are files, up to the shuffle partitions, and a task holds one file's
+    coded parts and a few megabytes of ids at a time.
     """
-    spark = manifest.sparkSession
     totals = {r["part"]: r["n"] for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     before, run = {}, 0
     for part in sorted(totals):
         before[part], run = run, run + totals[part]
-    spark_parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * len(totals)))
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                start = before[row["part"]]
-                for file in row["files"]:
-                    yield from documents(TokenFile(folder, file["name"]), start)
-                    start += file["n_ids"]
+                yield from documents(TokenFile(folder, row["name"]), before[row["part"]] + row["earlier"])
 
     def documents(f: TokenFile, start: int) -> Iterator[pa.RecordBatch]:
-        ends, doc_ids = f.bounds.select_all().astype(np.int64), f.doc_ids()
-        lo = 0
-        while lo < f.n_docs:
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + common.BATCH_BYTES // 4, side="right")) - 1)
-            lengths = np.diff(ends[lo : hi + 1])
-            ids = tokens.cut(f.ids(int(ends[lo]), int(ends[hi])), lengths, "<u4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids[lo:hi], pa.int64()), pa.array(ends[lo:hi] + start, pa.int64()), pa.array(lengths, pa.int64()), ids],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
-            lo = hi
-
-    files = manifest.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "name", "n_ids"))), lambda x: F.struct(x["name"], x["n_ids"])).alias("files"))
-    return common.map_arrow(files.repartition(spark_parts, "part"), read, "doc_id long, start long, n_tokens long, ids binary")
+        for block in range(0, f.n_docs, READ_DOCS):
+            n = min(READ_DOCS, f.n_docs - block)
+            ends, doc_ids, lo = f.bounds.select_range(block, block + n + 1).astype(np.int64), f.doc_ids(block, block + n), 0
+            while lo < n:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + common.BATCH_BYTES // 4, side="right")) - 1)
+                lengths = np.diff(ends[lo : hi + 1])
+                ids = tokens.cut(f.ids(int(ends[lo]), int(ends[hi])), lengths, "<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids[lo:hi], pa.int64()), pa.array(ends[lo:hi] + start, pa.int64()), pa.array(lengths, pa.int64()), ids],
+                    names=["doc_id", "start", "n_tokens", "ids"],
+                )
+                lo = hi
+
+    earlier = F.sum("n_ids").over(Window.partitionBy("part").orderBy("file")) - F.col("n_ids")
+    files = manifest.select("part", "file", "name", earlier.alias("earlier"))
+    # Neither adaptive coalescing nor the window's own partitioning may join the readers.
+    dealt = files.repartitionById(common.shuffle_partitions(manifest), (F.col("part") + F.col("file")).cast("int"))
+    return common.map_arrow(dealt, read, "doc_id long, start long, n_tokens long, ids binary")

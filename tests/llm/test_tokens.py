@@ -107,6 +107,27 @@ def test_token_files_of_null_ids_and_ties(make, tmp_path):
     assert [r.n_tokens for r in rows] == [1, 2, 2, 1, 3]
 
 
+def test_token_files_are_read_by_as_many_tasks_as_files(spark, make, tmp_path):
+    docs = make([(i, f"word {i} " * 30) for i in range(400)])
+    manifest = token_files.write_token_files(docs, str(tmp_path / "i"), file_ids=300)
+    files = manifest.count()
+    rows = token_files.read_token_files(manifest, str(tmp_path / "i")).select("doc_id", F.spark_partition_id().alias("task"))
+    tasks = {r.task for r in rows.collect()}
+    assert files == len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 700])
+def test_elias_fano_selects_ranges(n):
+    rng = random.Random(n)
+    for top in (1, 500, 10**9):
+        values = np.sort(np.array([rng.randrange(top) for _ in range(n)], np.uint64))
+        coded = token_files.EliasFano.of(values)
+        for _ in range(40):
+            lo = rng.randrange(n)
+            hi = rng.randrange(lo, n + 1)
+            assert coded.select_range(lo, hi).tolist() == values[lo:hi].tolist()
+
+
 def test_token_files_of_nothing(make, tmp_path):
     manifest = token_files.write_token_files(make([]), str(tmp_path / "h"))
     assert token_files.read_token_files(manifest, str(tmp_path / "h")).count() == 0
