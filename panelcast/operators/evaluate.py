@@ -6,11 +6,14 @@ keyed by ``(series_id, model, ...)``; nothing is collected.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import cut_lineage
+from .backtest import cutoffs_back, fits_of, fold_fits, fold_pairs, is_running
 
 
 def metric_aggs(actual: str = "actual", pred: str = "pred") -> list[Column]:
@@ -184,19 +187,10 @@ def diagnostics_rows(diag_json: DataFrame, keys=("series_id",), col: str = "diag
 
 # --- rolling-origin backtest (E13) -------------------------------------------------------
 
-class cutoffs_back(list):
-    """Cutoffs counted back from each series' own last year."""
-
-
-def rolling_backtest(panel: DataFrame, model: str, cutoffs: list[int], horizon: int,
-                     params: dict | None = None, keys=("series_id",)) -> DataFrame:
-    """Fold rows: for each cutoff, fit on ``year <= cutoff`` grouped by
-    (series, cutoff) — all folds in one job — forecast ``horizon`` years and
-    pair with the actual later years. ``cutoffs`` are years, or ``cutoffs_back``
-    numbers of years before each series' last. Any registered model can be
-    tested. Output: keys, model, cutoff, year, actual, pred, error, ape."""
+def _refitted_folds(panel: DataFrame, model: str, cutoffs: list[int], horizon: int, params: dict | None, keys) -> DataFrame:
+    """Fold rows by fitting anew per (series, cutoff) on copied rows: for models whose
+    fits are no running sums (calibrated curves, resamples, plug-ins)."""
     from ..plans.forecast import forecast
-    keys = list(keys)
     listed = F.array(*[F.lit(int(c)) for c in cutoffs])
     if isinstance(cutoffs, cutoffs_back):
         last = F.max("year").over(Window.partitionBy(*keys))
@@ -213,6 +207,32 @@ def rolling_backtest(panel: DataFrame, model: str, cutoffs: list[int], horizon:
                         F.when(F.col("actual") != 0, F.abs(err / F.col("actual")) * F.lit(100.0)).alias("ape"))
 
 
+def _running_folds(folds: DataFrame, model: str, horizon: int, params: dict | None, keys) -> DataFrame:
+    from ..plans.forecast import predict
+    return fold_pairs(predict(fits_of(folds, model), model, params, horizon, keys=keys + ["cutoff"]), keys)
+
+
+def _split(models: list[str], params: dict[str, dict]) -> tuple[dict[str, dict], list[str]]:
+    """(fit parameters of the models that running sums can fit, the other models)."""
+    from ..plans.forecast import split_params
+    fit = {m: split_params(m, params.get(m))[0] for m in models}
+    return {m: p for m, p in fit.items() if is_running(m, p)}, [m for m in models if not is_running(m, fit[m])]
+
+
+def rolling_backtest(panel: DataFrame, model: str, cutoffs: list[int], horizon: int,
+                     params: dict | None = None, keys=("series_id",)) -> DataFrame:
+    """Fold rows: for each cutoff, the fit on ``year <= cutoff``, its forecast of
+    ``horizon`` years, paired with the actual later years. ``cutoffs`` are years, or
+    ``cutoffs_back`` numbers of years before each series' last. Any registered model can
+    be tested; closed forms are read off running sums (:mod:`.backtest`).
+    Output: keys, model, cutoff, year, actual, pred, error, ape."""
+    keys = list(keys)
+    running, _ = _split([model], {model: params or {}})
+    if not running:
+        return _refitted_folds(panel, model, cutoffs, horizon, params, keys)
+    return _running_folds(fold_fits(panel, running, cutoffs, horizon, keys), model, horizon, params, keys)
+
+
 def backtest_summary(folds: DataFrame, keys=("series_id",)) -> DataFrame:
     """Per (series, model): fold count, pooled RMSE/MAE/MAPE/R², and stability =
     sample std of the per-fold RMSE (null with one fold)."""
@@ -242,11 +262,15 @@ def backtest_leaderboard(panel: DataFrame, models: list[str], cutoffs: list[int]
     models whose in-sample fit is exact by construction (implied price)."""
     keys = list(keys)
     params = params or {}
-    panel = cut_lineage(panel.repartition(*keys))
-    folds = None
-    for m in models:
-        f = rolling_backtest(panel, m, cutoffs, horizon, params.get(m), keys)
-        folds = f if folds is None else folds.unionByName(f)
+    running, others = _split(models, params)
+    if others:  # these fit anew, each from the panel
+        panel = cut_lineage(panel.repartition(*keys))
+    tested = []
+    if running:
+        fits = cut_lineage(fold_fits(panel, running, cutoffs, horizon, keys))
+        tested = [_running_folds(fits, m, horizon, params.get(m), keys) for m in running]
+    tested += [_refitted_folds(panel, m, cutoffs, horizon, params.get(m), keys) for m in others]
+    folds = functools.reduce(DataFrame.unionByName, tested)
     pooled = folds.groupBy(*keys, "model").agg(*metric_aggs("actual", "pred"))
     w = Window.partitionBy(*keys).orderBy(_rmse_key(F.col("rmse")).asc_nulls_last(), F.col("model").asc())
     return pooled.withColumn("rank", F.rank().over(w).cast("int"))

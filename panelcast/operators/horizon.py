@@ -97,7 +97,8 @@ def _finish(rows: DataFrame, keys, pred: Column, shared_builder: bool, band: str
         *keys, "model", "scenario_id", "year", "population", "gdp", "price", "pred",
         lower.alias("lower"), upper.alias("upper"),
         F.lit(None).cast("double").alias("q25"), F.lit(None).cast("double").alias("q75"),
-        F.lit(band_type).alias("band_type"), "last_actual", "h", F.col("metrics.rmse").alias("fit_rmse"))
+        F.lit(band_type).alias("band_type"), "last_actual", "h", F.col("metrics.rmse").alias("fit_rmse"),
+        *[c for c in ("later",) if c in rows.columns])  # a back-test's actual values, see operators/backtest
     return out.withColumn("growth_rate", _growth(keys, plain=not shared_builder))
 
 

@@ -1433,3 +1433,12 @@ ORACLE.update({
     "sensitivity_growth": sql_sensitivity_growth(),
     "catalog_fit": sql_catalog_fit(),
 })
+
+
+def sql_many_files_by_name() -> str:
+    return f"""WITH {panel_cte()}
+SELECT series_id, year, {r('actual', 'actual')}, {r('population', 'population')}, {r('gdp', 'gdp')}, {r('price', 'price')},
+       CASE WHEN series_id % 3 = 2 THEN 'n, ' || year END AS note FROM panel"""
+
+
+ORACLE["many_files_by_name"] = sql_many_files_by_name()

@@ -670,3 +670,23 @@ QUERIES.update({
     "sensitivity_growth": q_sensitivity_growth,
     "catalog_fit": q_catalog_fit,
 })
+
+
+def q_many_files_by_name(spark, sf_dir):
+    """S1 + S2 + S4 + S5: the panel written as delimited files of three layouts (delimiter,
+    decimal mark, order and set of columns) and read back by column name."""
+    from ..session import shared_path
+    from ..sources import delimited as D
+    panel = demand_panel(spark, sf_dir)
+    at = shared_path(spark, "delimited")
+    third = lambda k: panel.where(F.col("series_id") % 3 == k)
+    third(0).write.option("header", True).csv(f"{at}/a")
+    D.write_locale_csv(third(1).select("price", "gdp", "population", "actual", "year", "series_id"), f"{at}/b")
+    noted = third(2).withColumn("note", F.concat(F.lit("n, "), F.col("year")))
+    noted.select("year", "note", "actual", "gdp", "price", "population", "series_id").write.option("header", True).option("quoteAll", True).csv(f"{at}/c")
+    df = D.read_delimited_many(spark, [f"{at}/{x}" for x in "abc"])
+    numbers = {"series_id": F.col("series_id").cast("bigint"), "year": F.col("year").cast("int")}
+    return rounded(df.withColumns(numbers).select("series_id", "year", "actual", "population", "gdp", "price", "note"))
+
+
+QUERIES["many_files_by_name"] = q_many_files_by_name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -102,3 +103,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of iterative jobs such as the zoomed grid calibration."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared directory: cuts the lineage as
+    :func:`cut_lineage` does, and Spark knows the table's size, so a join broadcasts
+    it only below its threshold."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

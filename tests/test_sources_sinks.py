@@ -143,3 +143,60 @@ def test_typed_csv_and_profile_types(spark, tmp_path):
     assert prof["label"]["type"] == "categorical" and prof["label"]["n_distinct"] == 2
     assert prof["day"]["type"] == "datetime" and prof["day"]["min_text"] == "2020-01-05"
     assert P.preview(df, 2).count() == 2
+
+
+def write_files(folder, files):
+    folder.mkdir(exist_ok=True)
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_many_files_are_matched_by_name(spark, tmp_path):
+    """Files of one delimiter whose columns stand in another order."""
+    at = write_files(tmp_path / "m", {
+        "a.csv": "year;pop;gdp\n2001;1;100\n2002;2;200\n",
+        "b.csv": "\ufeffyear;gdp;pop\n2003;300;3\n\n",
+        "c.csv": 'gdp,"pop",note,year\n"4,5",4,"x;y, z",2004\n400, ,,2005\n',
+        "d.csv": "year;note\n",
+    })
+    rows = {r["year"]: (r["pop"], r["gdp"], r["note"]) for r in S.read_delimited_many(spark, at).collect()}
+    assert rows == {2001: (1, 100, None), 2002: (2, 200, None), 2003: (3, 300, None), 2004: (4, 4.5, "x;y, z"), 2005: (None, 400, None)}
+    listed = S.read_delimited(spark, [f"{at}/b.csv", f"{at}/a.csv"])
+    assert listed.where("year = 2003").first().asDict() == {"year": 2003, "pop": 3, "gdp": 300}
+
+
+def test_types_are_merged_over_files(spark, tmp_path):
+    at = write_files(tmp_path / "t", {"a.csv": "v,w,u\n1.5,2,\n", "b.csv": "w;v;u\nabc;2,5;\n"})
+    df = S.read_delimited_many(spark, at, file_column="file")
+    assert dict(df.dtypes) == {"v": "double", "w": "string", "u": "double", "file": "string"}
+    assert sorted((r["v"], r["w"], r["file"][-5:]) for r in df.collect()) == [(1.5, "2", "a.csv"), (2.5, "abc", "b.csv")]
+
+
+def test_awkward_files(spark, tmp_path):
+    at = write_files(tmp_path / "e", {"empty.csv": "", "head.csv": "a,b,a\n", "short.csv": "a,b,a\n1\n1,2,3,4\n"})
+    df = S.read_delimited_many(spark, at)
+    assert df.columns == ["a", "b", "a_2"] and sorted(map(tuple, df.collect()), key=str) == [(1, 2, 3), (1, None, None)]
+    assert S.read_delimited_many(spark, f"{at}/empty.csv").columns == []
+
+
+def test_thousand_files_take_a_few_jobs(spark, tmp_path):
+    heads = [("year;v;w", "{y};{v},5;n{y}"), ("w;year;v", "n{y};{y};{v},5"), ("v,w,year", "{v}.5,n{y},{y}"), ("year,v,w,x", "{y},{v}.5,n{y},1")]
+    files = {f"f{i:04}.csv": heads[i % 4][0] + "\n" + "".join(heads[i % 4][1].format(y=2000 + k, v=i) + "\n" for k in range(3)) for i in range(1000)}
+    at = write_files(tmp_path / "k", files)
+    sc = spark.sparkContext
+    sc.setJobGroup("thousand", "read")
+    df = S.read_delimited_many(spark, [f"{at}/{f}" for f in files])
+    jobs = len(sc.statusTracker().getJobIdsForGroup("thousand"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20
+    got = sorted((r["v"], r["year"], r["w"], r["x"]) for r in df.collect())
+    assert got == sorted((i + 0.5, 2000.0 + k, f"n{2000 + k}", 1.0 if i % 4 == 3 else None) for i in range(1000) for k in range(3))
+
+
+def test_load_panel_by_file(spark, tmp_path):
+    at = write_files(tmp_path / "p", {"a.csv": "Annee;Passagers;Pop\n2001;10;1\n2002;11;1\n", "b.csv": "pop,year,passengers\n2,2001,20\n"})
+    p, checks, _ = P.load_panel(spark, [f"{at}/a.csv", f"{at}/b.csv"], by_file=True)
+    rows = sorted((r["actual"], r["year"], r["population"]) for r in p.collect())
+    assert rows == [(10, 2001, 1), (11, 2002, 1), (20, 2001, 2)]
+    assert p.select("series_id").distinct().count() == 2 and checks.where("n > 0 AND severity = 'error'").count() == 0
