@@ -36,6 +36,18 @@ def format_date(c: Column, style: str = "short") -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd" if style == "iso" else "dd/MM/yyyy"), F.lit(""))
 
 
+def metric_value(df: DataFrame, names: list[str]) -> Column:
+    """The first of the named metrics that is there and not null; NaN if none is."""
+    there = [F.col(f"`{n}`").cast("double") for n in names if n in df.columns]
+    return F.coalesce(*there, F.lit(float("nan")))
+
+
+def display_metric(c: Column, decimals: int = 3) -> Column:
+    """A finite number with three decimals; anything else ``n/a``."""
+    finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    return F.when(finite, F.format_string(f"%.{decimals}f", _round(c, decimals))).otherwise(F.lit("n/a"))
+
+
 def format_columns(df: DataFrame, spec: dict[str, dict]) -> DataFrame:
     """``format_dataframe``: {column: {"type": number|percentage|currency|date, ...}}."""
     out = []

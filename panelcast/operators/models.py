@@ -15,6 +15,8 @@ from .. import constants as K
 from ..functions import curve as C
 from .fitting import (BASE_COLS, PRICED, UNPRICED, blank_invalid, common_aggs, merge_params, metrics_struct, recent_factor, to_col,
                       weighted_factor, windows, with_adjusted, with_group_context)
+from .quantiles import join_null_safe
+from ..session import written
 
 
 def _prepare(panel: DataFrame, keys, params: dict, names: dict[str, str]) -> DataFrame:
@@ -41,14 +43,15 @@ LOGISTIC_NAMES = {"k1": "k1", "k2": "k2", "distribution_a": "a", "distribution_b
 def fit_logistic_price(panel: DataFrame, params: dict | None = None, keys=("series_id",)) -> DataFrame:
     """M1: ``pred = penetration * pop * F(scale * price / gdp)``; recent-window
     continuity factor (A1); metrics on adjusted predictions. With
-    ``optimize_parameters`` the curve's (k1, k2) come from the grid/zoom
-    calibration (M2) per group."""
+    ``optimize_parameters`` the curve's (k1, k2) come from bounded least squares
+    (M2) per group."""
     keys = list(keys)
     p = merge_params(K.LOGISTIC_PRICE_DEFAULTS, params, "logistic_price")
     if p.get("optimize_parameters") is True:
-        from .calibration import calibrate_saturation
-        best = calibrate_saturation(panel, p, keys=keys)
-        panel = panel.join(best.select(*keys, F.col("k1").alias("_cal_k1"), F.col("k2").alias("_cal_k2")), keys)
+        from .least_squares import calibrate_bounded
+        panel = written(panel, "panel")
+        best = calibrate_bounded(panel, p, keys=keys)
+        panel = join_null_safe(panel, best.select(*keys, F.col("k1").alias("_cal_k1"), F.col("k2").alias("_cal_k2")), keys)
         p = dict(p, k1=F.col("_cal_k1"), k2=F.col("_cal_k2"))
     rows = _prepare(panel, keys, p, LOGISTIC_NAMES)
     r = C.relative_price_index(F.col("price"), F.col("gdp"), _p("scale"))

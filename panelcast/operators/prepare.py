@@ -1,19 +1,22 @@
 """Table preparation (D1–D15): names, validation, profile, cleaning.
 
-All statistics are per series (one series of the reference = one group here)
-and computed with windows or grouped aggregates keyed by ``series_id``; a
-group is an annual series, so exact percentiles per group stay bounded.
+All statistics are per series (one series of the reference = one group here). They
+are grouped aggregates keyed by ``series_id`` that meet the rows in a join: partial
+sums before the shuffle, and exact quantiles that split a series of any size
+(:mod:`.quantiles`).
 """
 
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import written
+from .quantiles import HOT_ROWS, group_modes, group_quantiles, join_null_safe
 
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.DecimalType)
 
@@ -54,28 +57,27 @@ def numeric_columns(df: DataFrame, exclude=("series_id",)) -> list[str]:
 
 # --- D3 validation ----------------------------------------------------------------
 
-def iqr_bounds(df: DataFrame, cols: list[str], k: float, keys=("series_id",)) -> DataFrame:
-    """Per-row Q1, Q3 of each column over its series (exact, linear interpolation)."""
-    w = Window.partitionBy(*keys)
-    extra = []
-    for c in cols:
-        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).over(w)
-        extra.append(q.alias(f"_q_{c}"))
-    out = df.select("*", *extra)
+def iqr_bounds(df: DataFrame, cols: list[str], k: float, keys=("series_id",), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Each row with Q1, Q3 (exact, linear interpolation), the fences and the number of
+    values of each column in its series. The rows are written once, since they meet
+    their series' quantiles in a join, which splits a series of any size."""
+    df = written(df, "panel")
+    out = join_null_safe(df, group_quantiles(df, cols, (0.25, 0.75), keys, hot_rows), keys)
     sel = []
     for c in cols:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
-        sel += [q1.alias(f"_q1_{c}"), q3.alias(f"_q3_{c}"),
+        sel += [q1.alias(f"_q1_{c}"), q3.alias(f"_q3_{c}"), F.col(f"_n_{c}"),
                 (q1 - F.lit(k) * (q3 - q1)).alias(f"_lo_{c}"), (q3 + F.lit(k) * (q3 - q1)).alias(f"_hi_{c}")]
-    return out.select(*[c for c in df.columns], *sel)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *sel)
 
 
-def iqr_outliers(panel: DataFrame, cols: list[str] | None = None, k: float = 3.0, keys=("series_id",)) -> DataFrame:
+def iqr_outliers(panel: DataFrame, cols: list[str] | None = None, k: float = 3.0, keys=("series_id",),
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per series and column: Q1, Q3, fences and the number of rows outside
     ``Q1 - k IQR .. Q3 + k IQR`` (nulls ignored). Long output."""
     keys = list(keys)
     cols = cols or numeric_columns(panel, exclude=tuple(keys))
-    b = iqr_bounds(panel, cols, k, keys)
+    b = iqr_bounds(panel, cols, k, keys, hot_rows)
     aggs = []
     for c in cols:
         out = (F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}"))
@@ -86,7 +88,7 @@ def iqr_outliers(panel: DataFrame, cols: list[str] | None = None, k: float = 3.0
     return g.select(*keys, F.inline("_cols"))
 
 
-def validate_panel(panel: DataFrame, keys=("series_id",), iqr_k: float = 3.0) -> DataFrame:
+def validate_panel(panel: DataFrame, keys=("series_id",), iqr_k: float = 3.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """D3: one row per (series, rule) with ``severity`` and count ``n``.
 
     Errors: null_year, null_actual, negative_actual (nulls excluded),
@@ -97,14 +99,12 @@ def validate_panel(panel: DataFrame, keys=("series_id",), iqr_k: float = 3.0) ->
     year_t = panel.schema["year"].dataType
     year_is_int = isinstance(year_t, (T.IntegerType, T.LongType, T.ShortType))
     num = [c for c in numeric_columns(panel, exclude=tuple(keys))]
-    b = iqr_bounds(panel, num, iqr_k, keys)
-    w_run = Window.partitionBy(*keys).orderBy("year")
-    b = b.withColumn("_dup", F.coalesce(F.lag("year").over(w_run) == F.col("year"), F.lit(False)))
+    b = iqr_bounds(panel, num, iqr_k, keys, hot_rows)
     rules = [
         ("null_year", "error", F.count_if(F.col("year").isNull())),
         ("null_actual", "error", F.count_if(F.col("actual").isNull())),
         ("negative_actual", "error", F.count_if(F.coalesce(F.col("actual") < 0, F.lit(False)))),
-        ("duplicate_years", "error", F.count_if(F.col("_dup"))),
+        ("duplicate_years", "error", None),
         ("year_not_integer", "error",
          F.lit(0).cast("bigint") if year_is_int else F.count_if(F.col("year") != F.floor(F.col("year")))),
         ("year_converted", "warning",
@@ -113,9 +113,14 @@ def validate_panel(panel: DataFrame, keys=("series_id",), iqr_k: float = 3.0) ->
     for c in num:
         out = (F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}"))
         rules.append((f"outliers_{c}", "warning", F.count_if(F.coalesce(out, F.lit(False)))))
-    arr = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), e.cast("bigint").alias("n"))
-                    for r, s, e in rules])
-    return b.groupBy(*keys).agg(arr.alias("_r")).select(*keys, F.inline("_r"))
+    counted = b.groupBy(*keys).agg(*[e.cast("bigint").alias(f"_rule_{r}") for r, _, e in rules if e is not None])
+    # Rows of one year are counted before they are shuffled.
+    years = b.where(F.col("year").isNotNull()).groupBy(*keys, "year").agg((F.count(F.lit(1)) - 1).alias("_again"))
+    again = years.groupBy(*keys).agg(F.sum("_again").alias("_rule_duplicate_years"))
+    counted = join_null_safe(counted, again, keys)
+    arr = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.coalesce(F.col(f"_rule_{r}"), F.lit(0)).alias("n"))
+                    for r, s, _ in rules])
+    return counted.select(*keys, F.inline(arr))
 
 
 def series_validity(checks: DataFrame, keys=("series_id",)) -> DataFrame:
@@ -175,21 +180,29 @@ def year_range(panel: DataFrame, keys=("series_id",)) -> DataFrame:
 
 # --- D7 / D8 / D9 / D14 ------------------------------------------------------------------
 
-def impute(panel: DataFrame, keys=("series_id",), exclude=("year",)) -> DataFrame:
+def impute(panel: DataFrame, keys=("series_id",), exclude=("year",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Numeric nulls -> series median; other nulls -> series mode (ties:
-    smallest value). Keys and ``year`` are never imputed."""
+    smallest value). Keys and ``year`` are never imputed. Medians and modes come from
+    grouped aggregates and meet the rows in a join, so no series is a window."""
     keys = list(keys)
-    w = Window.partitionBy(*keys)
+    panel = written(panel, "panel")
+    open_ = [f for f in panel.schema.fields if f.name not in keys and f.name not in exclude]
+    numeric = [f.name for f in open_ if isinstance(f.dataType, NUMERIC_TYPES)]
+    modes = group_modes(panel, [f.name for f in open_ if f.name not in numeric], keys)
+    out = panel
+    if numeric:
+        out = join_null_safe(out, group_quantiles(panel, numeric, (0.5,), keys, hot_rows), keys)
+    if modes is not None:
+        out = join_null_safe(out, modes, keys)
     cols = []
     for f in panel.schema.fields:
         c = F.col(f"`{f.name}`")
-        if f.name in keys or f.name in exclude:
-            cols.append(c)
-        elif isinstance(f.dataType, NUMERIC_TYPES):
-            cols.append(F.coalesce(c, F.median(c).over(w).cast(f.dataType)).alias(f.name))
-        else:
-            cols.append(F.coalesce(c, F.mode(c, deterministic=True).over(w)).alias(f.name))
-    return panel.select(*cols)
+        if f.name in numeric:
+            c = F.coalesce(c, F.col(f"_q_{f.name}")[0].cast(f.dataType)).alias(f.name)
+        elif f in open_:
+            c = F.coalesce(c, F.col(f"_mode_{f.name}")).alias(f.name)
+        cols.append(c)
+    return out.select(*cols)
 
 
 def dedup(df: DataFrame) -> DataFrame:
@@ -199,14 +212,12 @@ def dedup(df: DataFrame) -> DataFrame:
 
 
 def winsorize(panel: DataFrame, keys=("series_id",), k: float = 1.5, min_values: int = 4,
-              exclude=("year",)) -> DataFrame:
+              exclude=("year",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Clamp numeric columns with at least ``min_values`` non-null values in
     the series to ``Q1 - k IQR .. Q3 + k IQR``. The key and ``year`` are never clipped."""
     keys = list(keys)
     num = [c for c in numeric_columns(panel, exclude=tuple(keys) + tuple(exclude))]
-    w = Window.partitionBy(*keys)
-    b = iqr_bounds(panel, num, k, keys)
-    b = b.select("*", *[F.count(F.col(c)).over(w).alias(f"_n_{c}") for c in num])
+    b = iqr_bounds(panel, num, k, keys, hot_rows)
     out = []
     for f in panel.schema.fields:
         if f.name in num:
@@ -219,9 +230,9 @@ def winsorize(panel: DataFrame, keys=("series_id",), k: float = 1.5, min_values:
     return b.select(*out)
 
 
-def clean_panel(panel: DataFrame, keys=("series_id",)) -> DataFrame:
-    """Impute -> de-duplicate -> winsorise, composed lazily."""
-    return winsorize(dedup(impute(panel, keys)), keys)
+def clean_panel(panel: DataFrame, keys=("series_id",), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Impute -> de-duplicate -> winsorise."""
+    return winsorize(dedup(impute(panel, keys, hot_rows=hot_rows)), keys, hot_rows=hot_rows)
 
 
 def complete_years(panel: DataFrame, keys=("series_id",)) -> DataFrame:

@@ -46,6 +46,34 @@ def sensitivity_rows(fits: DataFrame, forecast: DataFrame, model: str, parameter
                        "rmse", "status")
 
 
+def sensitivity_cells(panel: DataFrame, model: str, first: tuple[str, list[float]], second: tuple[str, list[float]],
+                      params: dict | None = None, horizon: int = 10, keys=("series_id",)) -> DataFrame:
+    """X2 in two dimensions: every cell (i, j) of two parameters' values, all fitted in
+    one job keyed by (series, i, j). Parameters may be the fit's or growth rates.
+
+    Per cell: final prediction, RMSE, impact in per cent against cell (0, 0), and
+    ``error``: the status of a fit that failed (its numbers are null), else null."""
+    from ..plans.forecast import GROWTH_PARAMS, forecast, get_model
+    keys = list(keys)
+    (name_a, values_a), (name_b, values_b) = first, second
+    for name in (name_a, name_b):
+        if name not in GROWTH_PARAMS and isinstance(get_model(model).defaults.get(name, 0.0), bool):
+            raise ValueError(f"parameter {name!r} is a switch and can't be swept")
+    listed = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    fan = panel.select("*", F.posexplode(listed(values_a)).alias("i", "value_a")).select("*", F.posexplode(listed(values_b)).alias("j", "value_b"))
+    k = keys + ["i", "j", "value_a", "value_b"]
+    fits, fc = forecast(fan, model, {**(params or {}), name_a: F.col("value_a"), name_b: F.col("value_b")}, horizon, keys=k)
+    final = fc.groupBy(*k).agg(F.max_by("pred", "year").alias("final_prediction"))
+    cells = fits.select(*k, "status", F.col("metrics.rmse").alias("rmse")).join(final, k, "left")
+    whole = Window.partitionBy(*keys).orderBy("i", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = F.first("final_prediction").over(whole)
+    failed = F.col("status") != "ok"
+    return cells.select(*keys, F.lit(model).alias("model"), F.lit(name_a).alias("parameter_a"), F.lit(name_b).alias("parameter_b"), "i", "j",
+                        "value_a", "value_b", "final_prediction",
+                        F.when(base != 0, F.lit(100.0) * (F.col("final_prediction") - base) / base).alias("impact_pct"),
+                        F.when(~failed, F.col("rmse")).alias("rmse"), F.when(failed, F.col("status")).alias("error"))
+
+
 def param_noise_mc(panel: DataFrame, model: str, params: dict, n_sims: int = 100, seed: int = 42,
                    horizon: int = 5, spread: float = 0.1, keys=("series_id",)):
     """Every numeric (non-boolean) parameter times U(1 - spread, 1 + spread),

@@ -36,6 +36,11 @@ class ModelSpec:
     interpretability: str = "Medium"
     description: str = ""
 
+    @property
+    def capability_category(self) -> str:
+        """A model without capability texts of its own gets the generic answer's category."""
+        return "other" if self.best_for == ModelSpec.best_for else self.category
+
 
 _REGISTRY: dict[str, ModelSpec] = {}
 
@@ -151,17 +156,27 @@ def compare_models(panel: DataFrame, models: list[str] | None = None, params: di
 
 
 def model_catalog(spark: SparkSession) -> DataFrame:
-    """R3 + R4: name, category, capabilities, description and default parameters."""
+    """R3 + R4: name, category, capabilities (with a category of their own: ``other`` for
+    the generic answer), description and default parameters."""
     rows = []
     for name, s in _REGISTRY.items():
         defaults = {k: float(v) for k, v in s.defaults.items() if isinstance(v, (int, float))}  # false 0, true 1
-        rows.append((name, s.category, s.best_for, s.time_horizon, s.complexity, s.interpretability,
+        rows.append((name, s.category, s.capability_category, s.best_for, s.time_horizon, s.complexity, s.interpretability,
                      s.description, defaults))
-    return spark.createDataFrame(rows, "model string, category string, best_for string, time_horizon string, "
+    return spark.createDataFrame(rows, "model string, category string, capability_category string, best_for string, time_horizon string, "
                                        "complexity string, interpretability string, description string, "
                                        "default_params map<string,double>")
 
 
+def model_info(spark: SparkSession, fits: DataFrame, keys=("series_id",)) -> DataFrame:
+    """Per series and model of ``fits`` the catalogue's entry, whether the model is
+    fitted, and its metrics (null where it is not)."""
+    keys = list(keys)
+    fitted = F.col("status") == "ok"
+    rows = fits.select(*keys, "model", fitted.alias("is_fitted"), F.when(fitted, F.col("metrics")).alias("metrics"))
+    return rows.join(F.broadcast(model_catalog(spark)), "model", "left")  # one row a registered model
+
+
 def golden_comparison(panels: dict[str, DataFrame], params: dict[str, dict], expected: DataFrame,
                       expected_cols: dict[str, str], horizon: int, year_shift: dict[str, int] | None = None,
                       predict_options: dict[str, dict] | None = None, paths: DataFrame | None = None):

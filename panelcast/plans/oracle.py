@@ -1442,3 +1442,104 @@ SELECT series_id, year, {r('actual', 'actual')}, {r('population', 'population')}
 
 
 ORACLE["many_files_by_name"] = sql_many_files_by_name()
+
+
+def sql_calibration_bounded(rounds: int = 12) -> str:
+    """The least error sum of a grid search that goes on zooming in."""
+    head = sql_grid_calibration_zoom(rounds).rsplit("\nSELECT z.series_id", 1)[0]
+    return (head + f"\nSELECT z.series_id, {r('log10(b[1])', 'log_sse', 4)}, {r('log10(sse_start)', 'log_sse_start', 4)}"
+            f"\nFROM z{rounds - 1} z JOIN st ON z.series_id = st.series_id")
+
+
+def sql_forecast_series_params() -> str:
+    fit = linear_price_fit_ctes("pc1", "pc2", base=False).replace("CAST(pc1 AS DOUBLE)", "any_value(pc1)").replace("CAST(pc2 AS DOUBLE)", "any_value(pc2)")
+    pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+    return f"""WITH {panel_cte(0, 'plain')},
+panel AS (SELECT p.*, CASE WHEN n_nationkey % 6 = 0 THEN -0.3 WHEN n_regionkey > 0 THEN CAST(CAST(-0.5 - n_regionkey * 0.02 AS DECIMAL(9, 3)) AS DOUBLE) ELSE -0.5 END::DOUBLE AS pc1,
+                 CASE WHEN n_nationkey % 4 = 1 THEN CAST(CAST(0.5 + n_nationkey * 0.01 AS DECIMAL(9, 3)) AS DOUBLE) ELSE 0.5 END::DOUBLE AS pc2
+          FROM plain p JOIN nation ON series_id = n_nationkey),
+{ctx_cte()},
+{fit},
+{horizon_cte('lp_fit')},
+p AS (SELECT *, greatest(0.0, c1 * {pn} + c2) * population * continuity AS pred FROM hz)
+{forecast_select('p', shared=False)}"""
+
+
+def sql_training_window_bounds() -> str:
+    return f"""WITH {panel_cte()},
+b AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 3 THEN 2050 WHEN n_nationkey = 4 THEN 2001
+             WHEN n_nationkey % 5 <> 0 THEN 1995 + n_nationkey % 4 END AS lo, CASE WHEN n_nationkey % 7 <> 0 THEN 1998 END AS hi FROM nation WHERE n_nationkey <> 6),
+kept AS (SELECT panel.* FROM panel LEFT JOIN b ON series_id = k WHERE coalesce(year >= lo, true) AND coalesce(year <= hi, true)),
+ids AS (SELECT k AS id FROM b UNION SELECT series_id FROM panel)
+SELECT series_id, year, {r('actual', 'actual')}, {r('population', 'population')}, {r('gdp', 'gdp')}, {r('price', 'price')}, 'ok' AS status FROM kept
+UNION ALL
+SELECT id, 0, NULL, NULL, NULL, NULL, CASE WHEN lo > hi THEN 'bad_bounds' ELSE 'empty_window' END
+FROM ids LEFT JOIN b ON id = k WHERE id NOT IN (SELECT series_id FROM kept)"""
+
+
+CELLS = ([-0.6, -0.5, -0.4], [0.5, 0.7])
+
+
+def sql_sensitivity_cells() -> str:
+    pn = clamp("(price / gdp) * (ref_gdp / ref_price)", "0.2", "3.0")
+    axis = lambda name, values: f"(VALUES {', '.join(f'({i}, CAST({v} AS DOUBLE))' for i, v in enumerate(values))}) {name}(n, v)"
+    part = "PARTITION BY series_id, i, j ORDER BY year"
+    wa = f"({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""WITH {panel_cte()},
+fan AS (SELECT p.*, CAST(a.n AS INTEGER) AS i, CAST(b.n AS INTEGER) AS j, a.v AS va, b.v AS vb FROM panel p CROSS JOIN {axis('a', CELLS[0])} CROSS JOIN {axis('b', CELLS[1])}),
+sx AS (SELECT *, first_value(gdp) OVER {wa} AS ref_gdp, first_value(price) OVER {wa} AS ref_price, CAST(row_number() OVER ({part}) AS INTEGER) AS w FROM fan),
+s1 AS (SELECT *, greatest(0.0, va * {pn} + vb) * population AS pred FROM sx),
+s2 AS (SELECT *, pred * factor AS adj FROM (SELECT *, CASE WHEN sum(w * pred) OVER {wa} > 0 THEN sum(w * actual) OVER {wa} / sum(w * pred) OVER {wa} ELSE 1.0 END AS factor FROM s1)),
+sfit AS (SELECT series_id, i, j, any_value(va) AS va, any_value(vb) AS vb, max(year) AS last_year, arg_max(population, year) AS last_pop, arg_max(gdp, year) AS last_gdp,
+                arg_max(price, year) AS last_price, any_value(ref_gdp) AS ref_gdp, any_value(ref_price) AS ref_price, any_value(factor) AS continuity, {metric_cols(rounding=False)}
+         FROM s2 GROUP BY series_id, i, j),
+sh AS (SELECT *, last_pop * pow(1.01, 10) AS fpop, last_gdp * pow(1.03, 10) AS fgdp, last_price * pow(1.02, 10) AS fprice FROM sfit),
+fin AS (SELECT *, greatest(0.0, va * {clamp('(fprice / fgdp) * (ref_gdp / ref_price)', '0.2', '3.0')} + vb) * fpop * continuity AS final FROM sh),
+imp AS (SELECT *, first_value(final) OVER (PARTITION BY series_id ORDER BY i, j) AS base FROM fin)
+SELECT series_id, 'linear_price' AS model, 'C1' AS parameter_a, 'C2' AS parameter_b, i, j, {r('va', 'value_a')}, {r('vb', 'value_b')}, {r('final', 'final_prediction')},
+       {r('CASE WHEN base <> 0 THEN 100.0 * (final - base) / base END', 'impact_pct')}, {r('rmse', 'rmse')}, CAST(NULL AS VARCHAR) AS error FROM imp"""
+
+
+def sql_metric_display() -> str:
+    shown = lambda c: f"CASE WHEN {c} IS NOT NULL THEN printf('%.3f', round({c}, 3)) ELSE 'n/a' END"
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT series_id, model, {shown('rmse')} AS rmse, {shown('mape')} AS mape, 'n/a' AS wape FROM allfits""")
+
+
+def sql_model_info() -> str:
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT series_id, model, 'traditional' AS category, CASE WHEN model IN ('implied_price_logistic', 'trend_elasticity_blend') THEN 'other' ELSE 'traditional' END AS capability_category,
+       status = 'ok' AS is_fitted, CASE WHEN status = 'ok' THEN rmse END AS rmse FROM allfits""")
+
+
+def sql_comparison_documents() -> str:
+    full = "status = 'ok' AND model LIKE 'linear%'"
+    own = ", ".join(f"CASE WHEN status = 'ok' THEN {m} END AS {m}" for m in ("rmse", "mae", "mape", "r2"))
+    return _wrap(FIVE, f"""{_five_fc()}
+SELECT series_id, model, {own}, {r(f'CASE WHEN {full} THEN r2 * 100 END', 'global_score')}, {r(f'CASE WHEN {full} THEN 100 - mape END', 'continuity_score')},
+       CASE WHEN {full} THEN mae END AS stability_score, CASE WHEN {full} THEN mape END AS continuity_gap_pct,
+       CASE WHEN {full} THEN CASE WHEN mape > 20 THEN 'high' ELSE 'low' END END AS risk, CASE WHEN status <> 'ok' THEN status END AS error FROM allfits""")
+
+
+def sql_backtest_documents() -> str:
+    return f"""WITH s AS ({sql_backtest_summary()}), f AS ({sql_rolling_backtest()}),
+g AS (SELECT series_id, model, max(cutoff) AS cutoff_year, min(year) AS test_start, max(year) AS test_end, count(*) AS folds FROM f GROUP BY 1, 2)
+SELECT g.series_id, g.model, 'rolling' AS mode, CAST(cutoff_year AS INTEGER) AS cutoff_year, test_start, test_end, folds, rmse, mae, mape, r2, stability
+FROM g JOIN s USING (series_id, model)"""
+
+
+def sql_backtest_document_folds() -> str:
+    return f"""SELECT series_id, model, 'rolling' AS mode, CAST(cutoff AS INTEGER) AS cutoff, year, actual, pred FROM ({sql_rolling_backtest()})"""
+
+
+ORACLE.update({
+    "calibration_bounded": sql_calibration_bounded(),
+    "forecast_series_params": sql_forecast_series_params(),
+    "training_window_bounds": sql_training_window_bounds(),
+    "sensitivity_cells": sql_sensitivity_cells(),
+    "metric_display": sql_metric_display(),
+    "model_info": sql_model_info(),
+    "comparison_documents": sql_comparison_documents(),
+    "backtest_documents": sql_backtest_documents(),
+    "backtest_document_folds": sql_backtest_document_folds(),
+})

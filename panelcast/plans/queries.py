@@ -690,3 +690,128 @@ def q_many_files_by_name(spark, sf_dir):
 
 
 QUERIES["many_files_by_name"] = q_many_files_by_name
+
+
+def q_calibration_bounded(spark, sf_dir):
+    """M2 by bounded least squares; the error sums to six significant digits."""
+    from ..operators.least_squares import calibrate_bounded
+    found = calibrate_bounded(train_panel(spark, sf_dir))
+    return rounded(found.select("series_id", F.log10("sse").alias("log_sse"), F.log10("sse_start").alias("log_sse_start")), digits=4)
+
+
+def q_forecast_series_params(spark, sf_dir):
+    """S8 + R5: the linear price model with each nation's own parameters, else its region's,
+    else the defaults; the parameter rows are derived from the two tables."""
+    from ..operators.parameters import resolve_params, with_params
+    from ..sources.panel import read_table
+    from .forecast import forecast
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    key, area = F.col("n_nationkey").cast("bigint"), F.col("r_regionkey").cast("bigint")
+    nobody, decimal = F.lit(None).cast("bigint"), lambda c: c.cast("decimal(9,3)").cast("string")
+    shared = region.where(area > 0).select(nobody.alias("series_id"), F.concat(F.lit(" "), F.regexp_replace("r_name", " ", "  ")).alias("source"),
+                                           F.lit("C1").alias("name"), decimal(F.lit(-0.5) - area * 0.02).alias("value"), (area + 100).alias("ord"))
+    own = lambda rows, name, value, ord_: nation.where(rows).select(key.alias("series_id"), F.lit(None).cast("string").alias("source"),
+                                                                   F.lit(name).alias("name"), decimal(value).alias("value"), F.lit(ord_).cast("bigint").alias("ord"))
+    params = (shared.unionByName(own(key % 4 == 1, "C2", F.lit(0.5) + key * 0.01, 5)).unionByName(own(key % 6 == 0, "C1", F.lit(-0.3), 7))
+              .unionByName(own(key % 6 == 0, "C1", F.lit(-9.0), 8)))
+    series = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(key.alias("series_id"), F.col("r_name").alias("source"))
+    panel, named = with_params(train_panel(spark, sf_dir), resolve_params(series, params, {"C1": -0.5, "C2": 0.5}))
+    _, fc = forecast(panel, "linear_price", named, HORIZON)
+    return rounded(fc.select(*FC_OUT))
+
+
+def q_training_window_bounds(spark, sf_dir):
+    """A training window for each nation, some open at an end, some of them empty;
+    the row that says so has year 0."""
+    from ..sources.panel import read_table, training_window_bounds
+    key = F.col("n_nationkey").cast("bigint")
+    first = F.when(key == 3, 2050).when(key == 4, 2001).when(key % 5 != 0, 1995 + key % 4)
+    bounds = read_table(spark, sf_dir, "nation").where(key != 6).select(key.alias("series_id"), first.cast("int").alias("first_year"),
+                                                                     F.when(key % 7 != 0, 1998).cast("int").alias("last_year"))
+    found = training_window_bounds(demand_panel(spark, sf_dir), bounds)
+    return rounded(found.withColumn("year", F.coalesce("year", F.lit(0))))
+
+
+CELLS = ([-0.6, -0.5, -0.4], [0.5, 0.7])
+
+
+def q_sensitivity_cells(spark, sf_dir):
+    """Cells of slope and intercept of the linear price model."""
+    from ..operators import scenarios as X
+    return rounded(X.sensitivity_cells(train_panel(spark, sf_dir), "linear_price", ("C1", CELLS[0]), ("C2", CELLS[1])))
+
+
+def q_metric_display(spark, sf_dir):
+    """The models' metrics for display, one of them under a name that no fit has."""
+    from ..functions import format as FM
+    fits, _ = _five(spark, sf_dir)
+    flat = flat_metrics(fits).withColumnRenamed("mape", "MAPE")
+    shown = {"rmse": ["rmse", "RMSE"], "mape": ["mape_pct", "MAPE"], "wape": ["wape", "WAPE"]}
+    return flat.select("series_id", "model", *[FM.display_metric(FM.metric_value(flat, n)).alias(a) for a, n in shown.items()])
+
+
+def q_model_info(spark, sf_dir):
+    """The catalogue's categories, the fitted flag and a metric of every fit."""
+    from .forecast import model_info
+    fits, _ = _five(spark, sf_dir)
+    return rounded(model_info(spark, fits).select("series_id", "model", "category", "capability_category", "is_fitted", F.col("metrics.rmse").alias("rmse")))
+
+
+def _comparison_documents(spark, sf_dir):
+    """JSON documents of unlike shapes: metrics in two spellings, diagnostics with some,
+    and the list under one of two names."""
+    fits, _ = _five(spark, sf_dir)
+    flat = rounded(flat_metrics(fits).select("series_id", "model", "status", "rmse", "mae", "mape", "r2"))
+    lower = F.struct("rmse", "mae", "mape", "r2")
+    upper = F.struct(*[F.col(m).alias(m.upper()) for m in ("rmse", "mae", "mape", "r2")])
+    scores = F.struct((F.col("r2") * 100).alias("global"), (100 - F.col("mape")).alias("continuity"), F.col("mae").alias("stability"))
+    diagnostics = F.struct(scores.alias("scores"), F.struct(F.col("mape").alias("gapPct")).alias("continuity"), F.when(F.col("mape") > 20, "high").otherwise("low").alias("risk"))
+    text = (F.when(F.col("status") != "ok", F.to_json(F.struct("model", F.col("status").alias("error"))))
+            .when(F.col("model").startswith("linear"), F.to_json(F.struct("model", lower.alias("metrics"), diagnostics.alias("diagnostics"))))
+            .otherwise(F.to_json(F.struct("model", upper.alias("metrics")))))
+    listed = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(text)), ","), F.lit(', "no object"]'))
+    name = F.when(F.col("series_id") % 2 == 0, "comparison").otherwise("results")
+    return flat.groupBy("series_id").agg(F.concat(F.lit('{"'), F.first(name), F.lit('": '), listed, F.lit("}")).alias("document"))
+
+
+def q_comparison_documents(spark, sf_dir):
+    """E10 + E12: comparison rows out of nested documents."""
+    from ..operators.documents import comparison_records
+    return rounded(comparison_records(_comparison_documents(spark, sf_dir)))
+
+
+def _backtest_documents(spark, sf_dir):
+    from ..operators import evaluate as E
+    from ..session import cut_lineage
+    folds = cut_lineage(E.rolling_backtest(train_panel(spark, sf_dir), "linear_price", E.cutoffs_back(BT_BACK), 2))
+    listed = rounded(folds).groupBy("series_id", "model").agg(
+        F.sort_array(F.collect_list(F.struct("cutoff", "year", "actual", "pred"))).alias("folds"),
+        F.max("cutoff").alias("cutoffYear"), F.min("year").alias("testStart"), F.max("year").alias("testEnd"))
+    summary = rounded(E.backtest_summary(folds)).select("series_id", "model", "stability", F.struct(F.col("rmse").alias("RMSE"), F.col("mae"), F.col("mape").alias("MAPE"), F.col("r2")).alias("summary"))
+    model = F.struct("model", F.lit("rolling").alias("mode"), "cutoffYear", "testStart", "testEnd", "folds", "summary", "stability")
+    return listed.join(summary, ["series_id", "model"]).groupBy("series_id").agg(F.to_json(F.struct(F.collect_list(model).alias("models"))).alias("document"))
+
+
+def q_backtest_documents(spark, sf_dir):
+    """Summaries out of nested back-test documents."""
+    from ..operators.documents import backtest_summaries
+    return rounded(backtest_summaries(_backtest_documents(spark, sf_dir)))
+
+
+def q_backtest_document_folds(spark, sf_dir):
+    """Fold rows out of nested back-test documents."""
+    from ..operators.documents import backtest_folds
+    return rounded(backtest_folds(_backtest_documents(spark, sf_dir), {"cutoff": "int", "year": "int", "actual": "double", "pred": "double"}))
+
+
+QUERIES.update({
+    "calibration_bounded": q_calibration_bounded,
+    "forecast_series_params": q_forecast_series_params,
+    "training_window_bounds": q_training_window_bounds,
+    "sensitivity_cells": q_sensitivity_cells,
+    "metric_display": q_metric_display,
+    "model_info": q_model_info,
+    "comparison_documents": q_comparison_documents,
+    "backtest_documents": q_backtest_documents,
+    "backtest_document_folds": q_backtest_document_folds,
+})

@@ -118,6 +118,25 @@ def training_window(panel: DataFrame, start: int | None = None, end: int | None
     return panel.where(cond)
 
 
+def training_window_bounds(panel: DataFrame, bounds: DataFrame, key: str = "series_id") -> DataFrame:
+    """D11 with a window for each series: ``bounds (series_id, first_year, last_year)``,
+    where a null bound is open and a series without a row keeps all its years.
+
+    Rows inside their window have status ``ok``. A series that keeps none, among those
+    of either table, is one row without year: ``bad_bounds`` (first after last) or
+    ``empty_window``."""
+    limits = bounds.select(F.col(key).alias("_key"), F.col("first_year").alias("_lo"), F.col("last_year").alias("_hi"))
+    dated = panel.where(F.col("year").isNotNull()).join(limits, F.col(key).eqNullSafe(F.col("_key")), "left")
+    inside = dated.where((F.col("_lo").isNull() | (F.col("year") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("year") <= F.col("_hi"))))
+    kept = inside.select(*panel.columns, F.lit("ok").alias("status"))
+    every = panel.select(F.col(key).alias("_all")).unionAll(limits.select("_key")).distinct()
+    having = kept.select(F.col(key).alias("_has")).distinct()
+    empty = (every.join(having, F.col("_all").eqNullSafe(F.col("_has")), "left_anti")
+             .join(limits, F.col("_all").eqNullSafe(F.col("_key")), "left")
+             .select(F.col("_all").alias(key), F.when(F.col("_lo") > F.col("_hi"), "bad_bounds").otherwise("empty_window").alias("status")))
+    return kept.unionByName(empty, allowMissingColumns=True)
+
+
 # --- synthetic panel (S9) -----------------------------------------------------
 
 def _normal(*keys) -> Column:

@@ -90,6 +90,7 @@ def test_model_catalog(spark):
     cat = {r["model"]: r for r in R.model_catalog(spark).collect()}
     assert set(cat) == set(GOLDEN) | {"bootstrap_logistic"}
     assert cat["implied_price_logistic"]["best_for"] == "Any series that holds its drivers"
+    assert {m for m, r in cat.items() if r["capability_category"] == "other"} == {"implied_price_logistic", "trend_elasticity_blend"}
 
 
 def test_synthetic_panel_is_deterministic(spark):
