@@ -46,16 +46,17 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/llm-{what}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, what: str, shrink: int = 1) -> DataFrame:
+def staged(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: cuts
     the lineage, survives lost executors, and lets later jobs prune columns.
 
-    ``shrink`` is for tables much smaller than the documents: so many shuffle
-    partitions are written by one task, which spares the folder many tiny files."""
+    ``small`` is for tables much smaller than the documents: their finished rows are
+    dealt out again, to as many files as their size asks for. The work before that
+    keeps all its tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    if shrink > 1:
-        df = df.coalesce(max(8, shuffle_partitions(df) // shrink))
+    if small:
+        df = df.hint("rebalance")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -38,7 +38,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes but the least of each component; ``label`` is the
     component's least node. ``links`` has two long columns a and b."""
-    now = common.staged(_small_star(_large_star(links.filter("a != b").select("a", "b"))), "links", shrink=8)
+    now = common.staged(_small_star(_large_star(links.filter("a != b").select("a", "b"))), "links", small=True)
     while not _finished(now):
-        now = common.staged(_small_star(_large_star(now)), "links", shrink=8)
+        now = common.staged(_small_star(_large_star(now)), "links", small=True)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

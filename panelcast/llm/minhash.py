@@ -191,7 +191,7 @@ def _star_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     centre = buckets.join(met, "row").groupBy("key").agg(F.max(F.struct("met", (-F.col("row")).alias("r"))).alias("top")).select("key", (-F.col("top.r")).alias("a"))
     star = buckets.join(centre, "key").filter("row != a").select("a", F.col("row").alias("b")).distinct()
     pairs = star.join(sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
-    return common.staged(pairs.filter(_similar("sa", "sb", percent)).select("a", "b"), "minhash-links", shrink=8)
+    return common.staged(pairs.filter(_similar("sa", "sb", percent)).select("a", "b"), "minhash-links", small=True)
 
 
 def _open_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _near(blocks: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
     ship_package(blocks.sparkSession)
     sides = blocks.join(rows.select("row", "n", "bands", "sig"), "row")
-    return common.staged(sides.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, row long, partners array<long>"), "minhash-near", shrink=8)
+    return common.staged(sides.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, row long, partners array<long>"), "minhash-near", small=True)
 
 
 def _block_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +263,7 @@ def _block_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         root[find(x)] = find(y)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return common.staged(near.join(sets, "row").groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "minhash-links", shrink=8)
+    return common.staged(near.join(sets, "row").groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "minhash-links", small=True)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     banded = reps.select("row", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    buckets = common.staged(banded.join(shared, "key"), "minhash-buckets", shrink=8)
+    buckets = common.staged(banded.join(shared, "key"), "minhash-buckets", small=True)
     wanted = reps.select("row", "doc", "tx").join(buckets.select("row").distinct(), "row")
     sets = _full_sets(docs, wanted)
     links = _star_links(buckets, sets, percent)
