@@ -11,7 +11,8 @@ read again as the next one's documents.
 
 All but the last return the columns of ``documents``. Null texts pass through as
 empty ones; rows that repeat an id stand or fall together where a stage decides by
-id. No SQL can express the classifier or the packing, so ``ORACLE_SQL`` is None and
+id, but of rows that repeat id and text near_duplicates keeps one, the one whose
+other columns are least. No SQL can express the classifier or the packing, so ``ORACLE_SQL`` is None and
 the tests hold each stage against a brute-force version.
 """
 
@@ -43,7 +44,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_ids(docs, minhash.near_duplicates(docs, percent=80).filter("kept"))
+    left = _with_ids(docs, minhash.near_duplicates(docs, percent=80).filter("kept"))
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return left
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = left.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("least"))
+    return one.select(*[F.col(f"least.{c}").alias(c) if c in others else c for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
