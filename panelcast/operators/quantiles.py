@@ -43,7 +43,7 @@ def _whole(df: DataFrame, cols, probs, keys) -> DataFrame:
                                  *[F.count(F.col(c)).alias(f"_n_{c}") for c in cols])
 
 
-def _split(df: DataFrame, cols, probs, keys, accuracy: int) -> DataFrame:
+def _split(df: DataFrame, hot: DataFrame, cols, probs, keys, accuracy: int) -> DataFrame:
     by = [*keys, "_column"]
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_m"))
     long = long.select(*keys, F.col("_m.c").alias("_column"), F.col("_m.v").alias("_value")).where(F.col("_value").isNotNull())
@@ -79,9 +79,10 @@ def _split(df: DataFrame, cols, probs, keys, accuracy: int) -> DataFrame:
     placed = counts.select(*by, "_n", "_i", exact.alias("_x"))
     per = [F.array(*[F.max(F.when((F.col("_column") == c) & (F.col("_i") == i), F.col("_x"))) for i in range(len(probs))]) for c in cols]
     out = placed.groupBy(*keys).agg(*[a.alias(f"_q_{c}") for a, c in zip(per, cols)],
-                                    *[F.coalesce(F.max(F.when(F.col("_column") == c, F.col("_n"))), F.lit(0)).alias(f"_n_{c}") for c in cols])
+                                    *[F.max(F.when(F.col("_column") == c, F.col("_n"))).alias(f"_n_{c}") for c in cols])
     # A column without values has no quantiles, as in the plain aggregate.
-    return out.select(*keys, *[F.when(F.col(f"_n_{c}") > 0, F.col(f"_q_{c}")).alias(f"_q_{c}") for c in cols], *[f"_n_{c}" for c in cols])
+    return join_null_safe(hot, out, keys).select(*keys, *[F.when(F.col(f"_n_{c}") > 0, F.col(f"_q_{c}")).alias(f"_q_{c}") for c in cols],
+                                                 *[F.coalesce(F.col(f"_n_{c}"), F.lit(0)).alias(f"_n_{c}") for c in cols])
 
 
 def group_quantiles(df: DataFrame, cols: list[str], probs, keys, hot_rows: int = HOT_ROWS, accuracy: int = ACCURACY) -> DataFrame:
@@ -93,7 +94,7 @@ def group_quantiles(df: DataFrame, cols: list[str], probs, keys, hot_rows: int =
         return _whole(df, cols, probs, keys)
     hot = written(hot, "hot-groups")
     calm = _whole(join_null_safe(df, hot, keys, "left_anti"), cols, probs, keys)
-    return calm.unionByName(_split(join_null_safe(df, hot, keys, "left_semi"), cols, probs, keys, accuracy))
+    return calm.unionByName(_split(join_null_safe(df, hot, keys, "left_semi"), hot, cols, probs, keys, accuracy))
 
 
 def group_modes(df: DataFrame, cols: list[str], keys) -> DataFrame | None:
