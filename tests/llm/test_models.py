@@ -168,3 +168,11 @@ def test_file_footer_is_checked(tmp_path):
     (tmp_path / "bad.eftok").write_bytes(b"x" * 200)
     with pytest.raises(ValueError, match="no token file"):
         token_files.TokenFile(str(tmp_path), "bad.eftok")
+
+
+def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark, make):
+    text = "the river light over stone and paper in a quiet green winter garden by the window of the house "
+    docs = make([(5, text), (5, text), (5, text), (9, text), (7, "an ocean of music that was never like the candle in the mirror at all"), (None, None), (None, None)])
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, text), (7, docs.filter("doc_id = 7").first().text), (None, None)], key=str)
