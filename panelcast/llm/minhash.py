@@ -8,15 +8,20 @@
    other members is a candidate. The centre is the member that meets most others in
    all its buckets, which in a group of edited copies is their source. Candidates
    are confirmed on the full sets, and confirmed links give components.
-4. A star can miss a link between two members that both differ from the centre. So
-   each bucket that still holds several components is searched: the members outside
-   its largest component are compared with all members of other components, in
-   blocks of bounded size. The search compares signatures, checks a pair in its
-   first common band only, and hands on to the full sets what lies near the limit.
+4. A star can miss a link between two members that both differ from the centre. So the
+   members of buckets that still hold several components are joined once more, by an
+   exact prefix filter: shingles are ordered by the number of these members that have
+   them, and two sets as alike as asked for share one of their ``n - ceil(limit * n) + 1``
+   rarest. Only members of different components that share such a shingle, whose sizes
+   allow it and whose common shingle stands early enough, are pairs, and all are
+   confirmed on the full sets. What many texts share, a template or a passage, comes last
+   in that order and makes no pairs.
 
 Bands have five bins from a limit of 0.85 on, four below: a pair at 0.85 meets in
-no bucket of 25 with a probability of 4e-7, one at 0.8 in none of 32 with 5e-8. Copies, common bands and common components are collapsed
-before the next step; nothing is capped.
+no bucket of 25 with a probability of 4e-7, one at 0.8 in none of 32 with 5e-8 (for
+sets that fill the bins; of sets of 5 to 40 shingles the tests measure the recall).
+Copies, common bands and common components are collapsed before the next step; nothing
+is capped.
 
 Defined cases: null, empty and white-space texts have the empty set and link with
 nothing; a text of one to four words has one shingle; rows that repeat an id are
@@ -35,16 +40,10 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import common
 from panelcast.llm.components import components
-from panelcast.session import ship_package
 
 WORDS = 5
 BINS = 128
 LAST = (1 << 63) - 1
-#: Members on either side of a block of the search.
-BLOCK = 256
-#: Share of equal bins from which the search asks the full sets: 4.5 standard
-#: deviations of the estimate below the limit.
-SLACK = 4.5
 U = np.uint64
 
 
@@ -142,8 +141,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _described(docs: DataFrame, bins: int) -> DataFrame:
     """A written table with one row for each of ``docs``: row (its number), doc, tx
-    (hash of the text), n, s1, s2 (size and hash of the set), bands, sig (eight bits
-    of each bin)."""
+    (hash of the text), n, s1, s2 (size and hash of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,14 +154,13 @@ def _described(docs: DataFrame, bins: int) -> DataFrame:
                 count = len(bounds) - 1
                 keys = band_keys(sig, bins)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                low = (sig & U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + count)), part.column("doc"), part.column("tx"), *map(pa.array, (np.diff(bounds), s1, s2)), bands, pa.array([x.tobytes() for x in low], pa.binary())],
-                    names=["row", "doc", "tx", "n", "s1", "s2", "bands", "sig"],
+                    [pa.array(np.arange(row, row + count)), part.column("doc"), part.column("tx"), *map(pa.array, (np.diff(bounds), s1, s2)), bands],
+                    names=["row", "doc", "tx", "n", "s1", "s2", "bands"],
                 )
                 row += count
 
-    return common.staged(common.map_arrow(_texts(docs), run, "row long, doc long, tx long, n long, s1 long, s2 long, bands array<long>, sig binary"), "minhash-rows")
+    return common.staged(common.map_arrow(_texts(docs), run, "row long, doc long, tx long, n long, s1 long, s2 long, bands array<long>"), "minhash-rows")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,76 +191,40 @@ def _star_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.staged(pairs.filter(_similar("sa", "sb", percent)).select("a", "b"), "minhash-links", small=True)
 
 
-def _open_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks of the search: (key, i, j, row, label, small, left). On the left side
-    stand members outside a bucket's largest component, on the right all of them."""
+def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """A written table (row, label) of the members of buckets with several components."""
     members = buckets.select("key", "row").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    per_key = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).filter("all > top.n")
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    rows = members.join(per_key, "key").select(
-        "key", "row", "label", (F.col("label") != F.col("top.label")).alias("small"), blocks(F.col("all") - F.col("top.n")).alias("na"), blocks(F.col("all")).alias("nb")
+    open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    return common.staged(members.join(open_keys, "key").select("row", "label").distinct(), "minhash-open", small=True)
+
+
+def _prefixes(sets: DataFrame, open_rows: DataFrame, percent: int) -> DataFrame:
+    """A written table (token, row, label, n, left): of each open row the rarest shingles
+    that a set as alike as asked for can't all lack, as far as another row has them too;
+    ``left`` counts the shingles from this one on in the order of rarity."""
+    own = sets.join(open_rows, "row")
+    tokens = own.select("row", F.explode("set").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    ordered = tokens.join(shared, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("shared"))
+    sized = ordered.join(own.select("row", "label", F.size("set").alias("n")), "row")
+    # Shingles of one row alone are the rarest; they fill the prefix first.
+    alone = F.col("n") - F.size("shared")
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+    first = F.slice("shared", 1, F.greatest(F.lit(0), prefix - alone))
+    spots = sized.select("row", "label", "n", alone.alias("alone"), F.posexplode(first).alias("at", "t"))
+    return common.staged(spots.select("t.token", "row", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "minhash-prefixes")
+
+
+def _prefix_links(sets: DataFrame, open_rows: DataFrame, percent: int) -> DataFrame:
+    """Links between open rows of different components, all of them."""
+    spots = _prefixes(sets, open_rows, percent)
+    one, two = (spots.select("token", *[F.col(c).alias(c + x) for c in ("row", "label", "n", "left")]) for x in "ab")
+    met = one.join(two, "token").filter(
+        f"rowa < rowb AND labela != labelb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * least(lefta, leftb) >= {percent} * (na + nb)"
     )
-    spot = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-    left = rows.filter("small").select("key", spot("na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "row", "label", "small", F.lit(True).alias("left"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), spot("nb").alias("j"), "row", "label", "small", F.lit(False).alias("left"))
-    return left.unionAll(right.select(left.columns))
-
-
-def _near(blocks: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of each block, the members whose signatures come near the limit with another
-    one's, and on the left side with whose: (key, i, j, row, partners)."""
-    limit = percent / 100
-    least = BINS * limit - SLACK * np.sqrt(BINS * limit * (1 - limit))
-
-    def run(t: pa.Table) -> pa.Table:
-        is_left = t.column("left").to_numpy().astype(bool)
-        row, label, n, small = (t.column(c).to_numpy() for c in ("row", "label", "n", "small"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
-        key, a, b = t.column("key")[0].as_py(), np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        found: dict[int, list[int]] = {}
-        for x in a:
-            y = b[(label[b] != label[x]) & ~(small[b].astype(bool) & (row[b] <= row[x])) & (np.minimum(n[b], n[x]) >= limit * np.maximum(n[b], n[x]))]
-            y = y[(sig[y] == sig[x]).sum(1) >= least]
-            first = (bands[y] == bands[x]).argmax(1)
-            y = y[bands[x][first] == key]
-            if len(y):
-                found[int(row[x])] = row[y].tolist()
-        out = {**{r: [] for y in found.values() for r in y}, **found}
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        return pa.table({"key": pa.array([key] * len(out), pa.int64()), "i": pa.array([i] * len(out), pa.int32()), "j": pa.array([j] * len(out), pa.int32()), "row": pa.array(list(out), pa.int64()), "partners": pa.array(list(out.values()), pa.list_(pa.int64()))})
-
-    ship_package(blocks.sparkSession)
-    sides = blocks.join(rows.select("row", "n", "bands", "sig"), "row")
-    return common.staged(sides.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, row long, partners array<long>"), "minhash-near", small=True)
-
-
-def _block_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the partners of each block, by their full sets; within a block a
-    pair that earlier links already join is passed over."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows, partners = t.column("row").to_pylist(), t.column("partners").to_pylist()
-        sets = dict(zip(rows, (np.asarray(x.values) for x in t.column("set")), strict=True))
-        root = {r: r for r in rows}
-
-        def find(r: int) -> int:
-            while root[r] != r:
-                root[r] = r = root[root[r]]
-            return r
-
-        links = []
-        for x, others in zip(rows, partners, strict=True):
-            for y in others:
-                if find(x) != find(y):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if (100 + percent) * both >= percent * (len(sets[x]) + len(sets[y])):
-                        links.append((x, y))
-                        root[find(x)] = find(y)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return common.staged(near.join(sets, "row").groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "minhash-links", small=True)
+    pairs = met.select(F.col("rowa").alias("a"), F.col("rowb").alias("b")).distinct()
+    full = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
+    return common.staged(full.filter(_similar("sa", "sb", percent)).select("a", "b"), "minhash-links", small=True)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -276,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"))
     known = rows.join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "row"))
     is_rep = F.col("row") == F.col("rep")
-    known = common.staged(known.withColumn("bands", F.when(is_rep, F.col("bands"))).withColumn("sig", F.when(is_rep, F.col("sig"))), "minhash-classes")
+    known = common.staged(known.withColumn("bands", F.when(is_rep, F.col("bands"))), "minhash-classes")
     reps = known.filter(is_rep & (F.col("n") > 0))
 
     banded = reps.select("row", F.explode("bands").alias("key"))
@@ -286,8 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = _full_sets(docs, wanted)
     links = _star_links(buckets, sets, percent)
     labels = components(links)
-    near = _near(_open_blocks(buckets, labels), reps, percent)
-    more = _block_links(near, sets, percent)
+    more = _prefix_links(sets, _open_rows(buckets, labels), percent)
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 

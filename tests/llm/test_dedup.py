@@ -109,10 +109,9 @@ def test_near_duplicates_equal_brute_force(make, copied, percent):
     assert got == brute_components(copied, percent)
 
 
-def test_links_that_a_star_misses_are_found(make, monkeypatch):
+def test_links_that_a_star_misses_are_found(make):
     """Every document differs from the source by more than the limit, but copies of a
-    chain by less; blocks of two members make the search cross blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 2)
+    chain by less."""
     rng = random.Random(2)
     w, docs = prose(rng, 200).split(), []
     for i in range(24):
@@ -123,6 +122,47 @@ def test_links_that_a_star_misses_are_found(make, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_prefixes_hold_every_link(spark):
+    """Any two alike sets of different components share a shingle of their prefixes, and
+    those that are not alike make few pairs."""
+    rng = random.Random(3)
+    shared, rows = list(range(60)), []
+    for i in range(90):
+        own = [1000 * i + k for k in range(rng.randrange(0, 40))]
+        rows.append((i, sorted({x for x in shared + own if rng.random() < 0.93}), i))
+    table = spark.createDataFrame(rows, "row long, set array<long>, label long")
+    links = {(r.a, r.b) for r in minhash._prefix_links(table.select("row", "set"), table.select("row", "label"), 80).collect()}
+    sets = [set(x) for _, x, _ in rows]
+    assert links == {(a, b) for b in range(90) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert 10 < len(links) < 3000
+
+
+def test_a_template_makes_no_pairs(spark):
+    """Pages that share a template are in one bucket; their own words come first."""
+    counts = []
+    for pages in (100, 200, 400):
+        rows = [(i, sorted([*range(70), *(10_000 + 100 * i + k for k in range(29)), 5000 + i // 2]), i) for i in range(pages)]
+        table = spark.createDataFrame(rows, "row long, set array<long>, label long")
+        counts.append(minhash._prefixes(table.select("row", "set"), table.select("row", "label"), 80).groupBy("token").count().selectExpr("sum(count * (count - 1) / 2)").first()[0] or 0)
+    assert counts[1] <= 2.2 * counts[0] + 1 and counts[2] <= 2.2 * counts[1] + 1 and counts[2] < 1000
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("n", [5, 7, 10, 20, 40])
+def test_recall_of_buckets_on_small_sets(n, percent):
+    """Pairs just at the limit meet in a bucket."""
+    rng, missed = np.random.default_rng(n), 0
+    for _ in range(300):
+        union = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        drop = rng.permutation(n)[: n - int(np.ceil(percent * n / 100))]
+        cut = rng.integers(0, len(drop) + 1)
+        a, b = (np.sort(np.delete(union, d)) for d in (drop[:cut], drop[cut:]))
+        sig = minhash.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        keys = minhash.band_keys(sig, minhash.bins_per_band(percent))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 def test_near_duplicates_of_ties_null_ids_and_nothing(make, clashing, corpus):
     text = prose(random.Random(1), 60)
     rows = minhash.near_duplicates(make([(None, text), (None, text), (4, text), (4, text), (9, text + " more"), (None, None)])).collect()
