@@ -100,13 +100,6 @@ def recent_factor(df: DataFrame, keys, pred="pred") -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(1.0))
 
 
-def with_adjusted(rows: DataFrame, keys, pred: Column, factor_fn) -> DataFrame:
-    """One projection: per-row prediction, the group's continuity factor (a
-    window over the prediction) and the adjusted prediction."""
-    factor = factor_fn(rows, keys, pred)
-    return rows.select("*", pred.alias("pred"), factor.alias("factor"), (pred * factor).alias("adj"))
-
-
 def metrics_struct(actual: str = "actual", pred: str = "adj") -> Column:
     """E1 as aggregate expressions: MAE, MSE, RMSE, MAPE, R² (0 without variance)."""
     a, p = F.col(actual), F.col(pred)

@@ -2,8 +2,8 @@
 ``compare_models`` for several, model catalogue, and the golden comparison job.
 
 Everything returns lazy DataFrames; the caller decides when to act.
-``compare_models`` hash-partitions the panel by the series key, and each model
-branch fits and forecasts inside that partitioning. Callers that run many jobs on an expensive
+``compare_models`` fits all closed forms in one pass over the panel; other models
+fit inside its partitioning by the series key. Callers that run many jobs on an expensive
 panel can cut its lineage with ``session.cut_lineage`` (reliable checkpoint in
 the shared checkpoint directory) or write it to a table.
 """
@@ -138,16 +138,19 @@ def compare_models(panel: DataFrame, models: list[str] | None = None, params: di
     models go on."""
     models = models or list_models()
     params = params or {}
-    # Hash-partitioned by the group key: each fit's windows and aggregates find
-    # their distribution satisfied, so a model adds no shuffle behind it.
-    # The panel and each model's fits are checkpointed, so the panel is derived
-    # once, and forecasts and rankings do not fit again.
-    panel = cut_lineage(panel.repartition(*keys))
+    # Closed forms share one pass over the panel; models that fit on their own find it
+    # checkpointed and partitioned by the group key. Fits are checkpointed, so forecasts
+    # and rankings do not fit again.
+    own = {m: split_params(m, params.get(m))[0] for m in models}
+    shared = {m: p for m, p in own.items() if get_model(m).fit is M.FITTERS.get(m) and M.fits_together(m, p)}
+    if len(shared) < len(own):
+        panel = cut_lineage(panel.repartition(*keys))
+    together = cut_lineage(M.fit_together(panel, shared, keys)) if shared else None
     fits_all, fc_all = None, None
     common = [*keys, "model", "scenario_id", "year", "population", "gdp", "price", "pred", "lower", "upper",
               "q25", "q75", "growth_rate", "band_type", "fit_rmse"]
     for m in models:
-        fits = cut_lineage(get_model(m).fit(panel, split_params(m, params.get(m))[0], keys=keys))
+        fits = M.fits_of(together, m) if m in shared else cut_lineage(get_model(m).fit(panel, own[m], keys=keys))
         fc = predict(fits, m, params.get(m), horizon, scenarios, keys=keys)
         fc = fc.select(*[c for c in common if c in fc.columns])
         fits_all = fits if fits_all is None else fits_all.unionByName(fits, allowMissingColumns=True)

@@ -163,3 +163,28 @@ def test_metric_display(spark):
     df = spark.createDataFrame([(1.23456, None), (float("nan"), 2.0), (float("inf"), None), (-0.0005, None)], "rmse double, MAE double")
     shown = df.select(FM.display_metric(FM.metric_value(df, ["rmse"])).alias("a"), FM.display_metric(FM.metric_value(df, ["mae_", "MAE"])).alias("b"), FM.display_metric(FM.metric_value(df, ["x"])).alias("c"))
     assert [tuple(r) for r in shown.collect()] == [("1.235", "n/a", "n/a"), ("n/a", "2.000", "n/a"), ("n/a", "n/a", "n/a"), ("-0.001", "n/a", "n/a")]
+
+
+def test_models_fitted_together_equal_their_own_fits(spark):
+    from panelcast.operators import models as M
+    panel = synthetic_panel(spark, 12, 9)
+    bad = panel.withColumn("actual", F.when((F.col("series_id") == 3) & (F.col("year") % 4 == 0), F.lit(None)).otherwise(F.col("actual")))
+    bad = bad.where((F.col("series_id") != 5) | (F.col("year") == 2000)).repartition(4)
+    asked = {"logistic_price": None, "linear_price": {"optimize_parameters": True}, "linear_income_index": {"C1": 0.3}, "trend_elasticity_blend": None,
+             "implied_price_logistic": {"ref_elasticity": -0.7}}
+    together = M.fit_together(bad, asked)
+    # One shuffle for all five: neither a model's windows nor its aggregate add one.
+    assert together._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for model, params in asked.items():
+        own, read = M.FITTERS[model](bad, params), M.fits_of(together, model)
+        assert own.columns == read.columns
+        a, b = ({r["series_id"]: r.asDict(True) for r in x.collect()} for x in (own, read))
+        assert a.keys() == b.keys()
+        for k in a:
+            for c in own.columns:
+                x, y = a[k][c], b[k][c]
+                xs, ys = (x.values(), y.values()) if isinstance(x, dict) else ([x], [y])
+                for u, v in zip(xs, ys, strict=True):
+                    assert u == v or u != u or abs(u - v) <= 1e-9 * max(1.0, abs(u)), (model, k, c)
+    assert not M.fits_together("implied_price_logistic", {"ref_elasticity": F.lit(-1.0)})
+    assert not M.fits_together("logistic_price", {"optimize_parameters": True})
