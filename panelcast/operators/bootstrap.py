@@ -16,7 +16,7 @@ factor (A1); residuals (centred) are kept for the forecast.
 
 Forecast. Per simulation: the curve with that simulation's (k1, k2), times the
 factor, plus a residual drawn with replacement by a hash of (series, sim, h),
-floored at 0; then mean and q05/q25/q75/q95 per year (exact percentiles).
+floored at 0; then mean and q05/q25/q75/q95 per year (exact percentiles, or sketches).
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from ..functions.draws import draw_index
 from .fitting import blank_invalid, common_aggs, merge_params, metrics_struct, recent_factor, to_col, windows, with_group_context
 from ..session import cut_lineage, parallelism, ship_package
 from .horizon import expand_horizon
+from .quantiles import sketch_quantiles, sketches
 
 SIM_BLOCK = 64
 
@@ -225,16 +226,20 @@ def simulate_bootstrap(fits: DataFrame, horizon: int, scenarios=None, paths=None
 
 
 def predict_bootstrap_logistic(fits: DataFrame, horizon: int, scenarios=None, paths=None, keys=("series_id",),
-                               apply_continuity_adjustment: bool = True) -> DataFrame:
+                               apply_continuity_adjustment: bool = True, sketch: bool = False) -> DataFrame:
     """P8 + B3: mean and empirical quantiles over simulations per year.
     Rows of one series stay in the fit's partition: no exchange before the
-    per-year aggregate."""
+    per-year aggregate. With ``sketch`` the quantiles come from mergeable sketches of
+    bounded size (:func:`.quantiles.rank_error`), for very many simulations."""
     keys = list(keys)
     sims = simulate_bootstrap(fits, horizon, scenarios, paths, keys, apply_continuity_adjustment)
-    q = F.percentile(F.col("pred"), F.array(*[F.lit(x) for x in (0.05, 0.25, 0.75, 0.95)]))
-    agg = sims.groupBy(*keys, "model", "scenario_id", "year").agg(
-        F.first("population").alias("population"), F.first("gdp").alias("gdp"), F.first("price").alias("price"),
-        F.avg("pred").alias("pred"), q.alias("_q"), F.first("fit_rmse").alias("fit_rmse"))
+    by, probs = [*keys, "model", "scenario_id", "year"], (0.05, 0.25, 0.75, 0.95)
+    drivers = {c: F.first(c) for c in ("population", "gdp", "price", "fit_rmse")}
+    if sketch:
+        agg = sketches(sims, by, "pred", others=drivers).select("*", F.col("mean").alias("pred"), sketch_quantiles(probs).alias("_q"))
+    else:
+        q = F.percentile(F.col("pred"), F.array(*[F.lit(x) for x in probs]))
+        agg = sims.groupBy(*by).agg(*[c.alias(n) for n, c in drivers.items()], F.avg("pred").alias("pred"), q.alias("_q"))
     out = agg.select(*keys, "model", "scenario_id", "year", "population", "gdp", "price", "pred",
                      F.col("_q")[0].alias("lower"), F.col("_q")[3].alias("upper"),
                      F.col("_q")[1].alias("q25"), F.col("_q")[2].alias("q75"),

@@ -80,7 +80,7 @@ def _growth(keys, plain: bool) -> Column:
     return F.when(prev.isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("pred") - prev, den) * F.lit(100.0))
 
 
-def _finish(rows: DataFrame, keys, pred: Column, shared_builder: bool, band: str = "fixed") -> DataFrame:
+def finish_forecast(rows: DataFrame, keys, pred: Column, shared_builder: bool, band: str = "fixed") -> DataFrame:
     keys = list(keys)
     rows = rows.withColumn("pred", pred)
     if band == "residual_sigma":
@@ -139,7 +139,7 @@ def predict_logistic_price(fits, horizon, scenarios=None, paths=None, keys=("ser
     if apply_continuity_adjustment:
         pred = pred * F.col("continuity")
     band = "residual_sigma" if monte_carlo_simulations and monte_carlo_simulations > 0 else "fixed"
-    out = _finish(rows, keys, pred, shared_builder=False, band=band)
+    out = finish_forecast(rows, keys, pred, shared_builder=False, band=band)
     if with_anchor is None:
         with_anchor = apply_continuity_adjustment
     return anchor_columns(out, keys) if with_anchor else out
@@ -150,7 +150,7 @@ def predict_linear_price(fits, horizon, scenarios=None, paths=None, keys=("serie
     rows = expand_horizon(fits, horizon, scenarios, paths, keys)
     pn = C.clipped_index(F.try_divide(F.col("price"), F.col("gdp")) * F.try_divide(F.col("ref_gdp"), F.col("ref_price")))
     pred = C.floor_at(F.col("c1") * pn + F.col("c2"), 0.0) * F.col("population") * F.col("continuity")
-    return _finish(rows, keys, pred, shared_builder=False)
+    return finish_forecast(rows, keys, pred, shared_builder=False)
 
 
 def predict_linear_income_index(fits, horizon, scenarios=None, paths=None, keys=("series_id",)) -> DataFrame:
@@ -158,7 +158,7 @@ def predict_linear_income_index(fits, horizon, scenarios=None, paths=None, keys=
     rows = expand_horizon(fits, horizon, scenarios, paths, keys, price_fallback=True)
     pn = F.col("ref_gdp") / C.floor_at(F.col("gdp"), 1e-10)
     pred = C.floor_at(F.col("c1") * pn + F.col("c2"), 0.0) * F.col("population") * F.col("continuity")
-    return _finish(rows, keys, pred, shared_builder=True)
+    return finish_forecast(rows, keys, pred, shared_builder=True)
 
 
 def predict_trend_elasticity_blend(fits, horizon, scenarios=None, paths=None, keys=("series_id",)) -> DataFrame:
@@ -170,7 +170,7 @@ def predict_trend_elasticity_blend(fits, horizon, scenarios=None, paths=None, ke
     blend = (wt * (F.col("trend_slope") * t + F.col("trend_intercept"))
              + (F.lit(1.0) - wt) * (F.col("elast_slope") * pn + F.col("elast_intercept")))
     pred = C.floor_at(blend, 0.0) * F.col("population") * F.col("continuity")
-    return _finish(rows, keys, pred, shared_builder=True)
+    return finish_forecast(rows, keys, pred, shared_builder=True)
 
 
 def predict_implied_price_logistic(fits, horizon, scenarios=None, paths=None, keys=("series_id",)) -> DataFrame:
@@ -182,7 +182,7 @@ def predict_implied_price_logistic(fits, horizon, scenarios=None, paths=None, ke
     s = F.col("model_ref_gdp") / C.floor_at(F.col("gdp"), 1e-10)
     pred = F.col("calib_k1") * F.col("population") * C.saturation(F.col("calib_k2") * t * s, F.col("a"), F.col("b"),
                                                                   F.col("k1"), F.col("k2"))
-    return _finish(rows, keys, pred, shared_builder=True)
+    return finish_forecast(rows, keys, pred, shared_builder=True)
 
 
 PREDICTORS = {

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import noise_factor
+from .quantiles import sketch_quantiles, sketches
 
 
 def sensitivity_sweep(panel: DataFrame, model: str, parameter: str, values: list[float],
@@ -102,13 +103,17 @@ def noise_stats(fits: DataFrame, keys=("series_id",)) -> DataFrame:
                                    F.avg("metrics.r2").alias("mean_r2"), F.avg("metrics.rmse").alias("mean_rmse"))
 
 
-def noise_forecast_quantiles(forecast: DataFrame, keys=("series_id",)) -> DataFrame:
-    """Per (series, year): mean and q05/q50/q95 of the simulated forecasts."""
-    q = F.percentile(F.col("pred"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = forecast.groupBy(*keys, "model", "scenario_id", "year").agg(
-        F.count(F.lit(1)).alias("n_sims"), F.avg("pred").alias("mean_pred"), q.alias("_q"))
-    return g.select(*keys, "model", "scenario_id", "year", "n_sims", "mean_pred",
-                    F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q95"))
+def noise_forecast_quantiles(forecast: DataFrame, keys=("series_id",), sketch: bool = False) -> DataFrame:
+    """Per (series, year): mean and q05/q50/q95 of the simulated forecasts, interpolated;
+    with ``sketch`` order statistics from mergeable sketches of bounded size, which any number
+    of simulations fits (exact up to ``quantiles.SKETCH_K`` of them)."""
+    by, probs = [*keys, "model", "scenario_id", "year"], (0.05, 0.5, 0.95)
+    if sketch:
+        g = sketches(forecast, by, "pred").select(*by, F.col("n").alias("n_sims"), F.col("mean").alias("mean_pred"), sketch_quantiles(probs).alias("_q"))
+    else:
+        q = F.percentile(F.col("pred"), F.array(*[F.lit(p) for p in probs]))
+        g = forecast.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sims"), F.avg("pred").alias("mean_pred"), q.alias("_q"))
+    return g.select(*by, "n_sims", "mean_pred", F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q95"))
 
 
 def scenario_summary(forecast: DataFrame, keys=("series_id",)) -> DataFrame:

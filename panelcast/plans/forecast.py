@@ -10,6 +10,7 @@ the shared checkpoint directory) or write it to a table.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Callable
 
@@ -46,10 +47,25 @@ _REGISTRY: dict[str, ModelSpec] = {}
 
 
 def register_model(spec: ModelSpec) -> None:
-    """R2: plug-in point — a model is a pair of DataFrame functions."""
+    """R2: plug-in point — a model is a pair of DataFrame functions, or of Python functions
+    of a series' years by ``operators.plugin.plugin_model``."""
     _REGISTRY[spec.name] = spec
 
 
+@contextmanager
+def registered(spec: ModelSpec):
+    """R2: ``spec`` is registered while jobs are put together inside the ``with`` block; a
+    model that it hides comes back afterwards."""
+    before = _REGISTRY.get(spec.name)
+    register_model(spec)
+    try:
+        yield spec
+    finally:
+        del _REGISTRY[spec.name]
+        if before:
+            register_model(before)
+
+
 def get_model(name: str) -> ModelSpec:
     if name not in _REGISTRY:
         raise KeyError(f"model {name!r} not found")
@@ -94,7 +110,7 @@ GROWTH_PARAMS = {"gdp_growth_rate": "gdp_growth", "population_growth_rate": "pop
                  "ticket_price_inflation": "price_inflation"}
 #: Parameters that a model's prediction takes, not its fit.
 PREDICT_PARAMS = {"logistic_price": ("apply_continuity_adjustment", "monte_carlo_simulations"),
-                  "bootstrap_logistic": ("apply_continuity_adjustment",)}
+                  "bootstrap_logistic": ("apply_continuity_adjustment", "sketch")}
 
 
 def split_params(model: str, params: dict | None) -> tuple[dict, dict, dict]:

@@ -1181,6 +1181,10 @@ SELECT series_id, 'logistic_price' AS model, 'base' AS scenario_id, year, count(
 FROM np GROUP BY series_id, year"""
 
 
+def sql_param_noise_sketch() -> str:
+    return sql_param_noise_forecast().replace("quantile_cont", "quantile_disc")
+
+
 # --- formatting and flattened results ------------------------------------------------------
 
 def sql_format_report() -> str:
@@ -1213,6 +1217,7 @@ ORACLE.update({
     "bootstrap_forecast": sql_bootstrap_forecast(),
     "param_noise_mc": sql_param_noise_mc(),
     "param_noise_forecast": sql_param_noise_forecast(),
+    "param_noise_sketch": sql_param_noise_sketch(),
     "format_report": sql_format_report(),
     "comparison_rows": sql_comparison_rows(),
 })
@@ -1543,3 +1548,51 @@ ORACLE.update({
     "backtest_documents": sql_backtest_documents(),
     "backtest_document_folds": sql_backtest_document_folds(),
 })
+
+
+# --- plug-in models (R2) -------------------------------------------------------------------
+
+def _rising_ctes(src: str, by: str, name: str) -> str:
+    """Fits of the rising share per ``by``: a line of demand per head, refused where it falls."""
+    wa = f"(PARTITION BY {by} ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    line = lambda kind: f"regr_{kind}(dn, t) OVER {wa}"
+    known = lambda kind, other: f"CASE WHEN count(*) OVER {wa} > 1 THEN {line(kind)} ELSE {other} END"
+    return f"""{name}0 AS (SELECT *, CAST(year - first_value(year) OVER {wa} AS DOUBLE) AS t, first_value(year) OVER {wa} AS first_year,
+             actual / greatest(population, 1e-8) AS dn, CAST(row_number() OVER (PARTITION BY {by} ORDER BY year) AS INTEGER) AS pos FROM {src}),
+{name}1 AS (SELECT *, {known('slope', '0.0')} AS rise, {known('intercept', f'avg(dn) OVER {wa}')} AS level FROM {name}0),
+{name}2 AS (SELECT *, greatest(0.0, level + rise * t) * population AS pred FROM {name}1),
+{name}3 AS (SELECT *, CASE WHEN sum(pos * pred) OVER {wa} > 0 THEN sum(pos * actual) OVER {wa} / sum(pos * pred) OVER {wa} ELSE 1.0 END AS factor FROM {name}2),
+{name}4 AS (SELECT *, pred * factor AS adj FROM {name}3),
+{name} AS (SELECT {by}, any_value(rise) < -1e-9 AS falls, CAST(count(*) AS INTEGER) AS n_years, any_value(level) AS level, any_value(rise) AS rise,
+           any_value(factor) AS continuity, max(year) AS last_year, any_value(first_year) AS first_year, arg_max(population, year) AS last_pop,
+           {metric_cols()} FROM {name}4 GROUP BY {by})"""
+
+
+def sql_plugin_comparison() -> str:
+    of_ok = lambda c: f"CASE WHEN NOT falls THEN {c} END AS {c}"
+    last = f"greatest(0.0, level + rise * (last_year + {HORIZON} - first_year)) * last_pop * pow(1.0 + {K.DEFAULT_POP_GROWTH}, {HORIZON}) * continuity"
+    return f"""WITH {model_fc_ctes('linear_price')},
+{_rising_ctes('panel', 'series_id', 'rs')},
+ends AS (SELECT series_id, arg_max(pred, year) AS last_pred FROM lp_fc GROUP BY series_id)
+SELECT series_id, model, status, CAST(NULL AS VARCHAR) AS error, n_years, CAST(NULL AS DOUBLE) AS level, CAST(NULL AS DOUBLE) AS rise,
+       round(continuity, 6) AS continuity, mae, rmse, mape, r2, {r('last_pred', 'last_pred')} FROM lp_fit LEFT JOIN ends USING (series_id)
+UNION ALL
+SELECT series_id, 'rising_share', CASE WHEN falls THEN 'error' ELSE 'ok' END, CASE WHEN falls THEN 'ValueError: demand per head falls' END, n_years,
+       {', '.join(f"CASE WHEN NOT falls THEN round({c}, 6) END" for c in ('level', 'rise', 'continuity'))},
+       {', '.join(of_ok(c) for c in ('mae', 'rmse', 'mape', 'r2'))}, CASE WHEN NOT falls THEN round({last}, 6) END
+FROM rs"""
+
+
+def sql_plugin_backtest() -> str:
+    return f"""WITH {panel_cte()},
+folds AS ({_folds('panel')}),
+{_rising_ctes('folds', 'series_id, cutoff', 'rs')},
+hz AS (SELECT series_id, cutoff, CAST(last_year + h AS INTEGER) AS year,
+              greatest(0.0, level + rise * (last_year + h - first_year)) * last_pop * pow(1.0 + {K.DEFAULT_POP_GROWTH}, h) * continuity AS pred
+       FROM rs CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(1, {BT_H + 1})) WHERE NOT falls)
+SELECT p.series_id, 'rising_share' AS model, p.cutoff, p.year, {r('a.actual', 'actual')}, {r('p.pred', 'pred')}, {r('a.actual - p.pred', 'error')},
+       {r('CASE WHEN a.actual <> 0 THEN abs((a.actual - p.pred) / a.actual) * 100.0 END', 'ape')}
+FROM hz p JOIN panel a ON p.series_id = a.series_id AND p.year = a.year"""
+
+
+ORACLE.update({"plugin_comparison": sql_plugin_comparison(), "plugin_backtest": sql_plugin_backtest()})

@@ -453,6 +453,18 @@ def q_param_noise_forecast(spark, sf_dir):
     return rounded(X.noise_forecast_quantiles(fc))
 
 
+def q_param_noise_sketch(spark, sf_dir):
+    """Order statistics of the simulated forecasts from mergeable sketches; two halves of
+    the simulations are sketched apart and merged."""
+    from ..operators import quantiles as Q
+    from ..operators import scenarios as X
+    _, fc = X.param_noise_mc(train_panel(spark, sf_dir), "logistic_price", {}, n_sims=NOISE_SIMS, horizon=HORIZON)
+    by = ["series_id", "model", "scenario_id", "year"]
+    halves = Q.sketches(fc.withColumn("half", F.col("sim") % 2), [*by, "half"], "pred")
+    both = Q.merge_sketches(halves, by).withColumn("q", Q.sketch_quantiles((0.05, 0.5, 0.95)))
+    return rounded(both.select(*by, F.col("n").alias("n_sims"), F.col("mean").alias("mean_pred"), *[F.col("q")[i].alias(c) for i, c in enumerate(("q05", "q50", "q95"))]))
+
+
 def q_format_report(spark, sf_dir):
     """The linear price forecast formatted for a report."""
     from ..functions import format as FM
@@ -500,6 +512,7 @@ QUERIES.update({
     "bootstrap_forecast": q_bootstrap_forecast,
     "param_noise_mc": q_param_noise_mc,
     "param_noise_forecast": q_param_noise_forecast,
+    "param_noise_sketch": q_param_noise_sketch,
     "format_report": q_format_report,
     "comparison_rows": q_comparison_rows,
     "diagnostics_rows": q_diagnostics_rows,
@@ -815,3 +828,27 @@ QUERIES.update({
     "backtest_documents": q_backtest_documents,
     "backtest_document_folds": q_backtest_document_folds,
 })
+
+
+def q_plugin_comparison(spark, sf_dir):
+    """R2 + E6: a model given as two Python functions beside a built-in one; series that
+    it refuses carry its message."""
+    from ..operators import plugin as PL
+    from .forecast import compare_models, registered
+    with registered(PL.rising_share()):
+        fits, fc = compare_models(train_panel(spark, sf_dir), ["linear_price", "rising_share"], horizon=HORIZON)
+    ends = fc.groupBy("series_id", "model").agg(F.max_by("pred", "year").alias("last_pred"))
+    rows = flat_metrics(fits).join(ends, ["series_id", "model"], "left")
+    return rounded(rows.select("series_id", "model", "status", "error", "n_years", "level", "rise", "continuity", "mae", "rmse", "mape", "r2", "last_pred"))
+
+
+def q_plugin_backtest(spark, sf_dir):
+    """R2 + E13: the back-test of a model given as two Python functions."""
+    from ..operators import evaluate as E
+    from ..operators import plugin as PL
+    from .forecast import registered
+    with registered(PL.rising_share()):
+        return rounded(E.rolling_backtest(train_panel(spark, sf_dir), "rising_share", E.cutoffs_back(BT_BACK), 2))
+
+
+QUERIES.update({"plugin_comparison": q_plugin_comparison, "plugin_backtest": q_plugin_backtest})

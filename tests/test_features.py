@@ -188,3 +188,36 @@ def test_models_fitted_together_equal_their_own_fits(spark):
                     assert u == v or u != u or abs(u - v) <= 1e-9 * max(1.0, abs(u)), (model, k, c)
     assert not M.fits_together("implied_price_logistic", {"ref_elasticity": F.lit(-1.0)})
     assert not M.fits_together("logistic_price", {"optimize_parameters": True})
+
+
+def test_sketched_quantiles_of_a_million_simulations_keep_their_rank_error(spark):
+    n, probs = 1_000_000, [0.05, 0.25, 0.5, 0.75, 0.95]
+    value = F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double")
+    sims = spark.range(n, numPartitions=8).select(F.lit(1).alias("series_id"), (F.col("id") % 2).alias("run"), (value * value).alias("pred"))
+    one = Q.sketches(sims, ["series_id"], "pred")
+    two = Q.merge_sketches(Q.sketches(sims, ["series_id", "run"], "pred"), ["series_id"])
+    exact = np.sort(sims.select("pred").toPandas()["pred"].to_numpy())
+    for found in (one, two):
+        row = found.select("n", "mean", F.octet_length("sketch").alias("size"), Q.sketch_quantiles(probs).alias("q")).first()
+        assert row["n"] == n and math.isclose(row["mean"], exact.mean(), rel_tol=1e-9)
+        assert row["size"] < 32_000  # bounded whatever the number of simulations
+        for p, q in zip(probs, row["q"], strict=True):
+            assert abs(np.searchsorted(exact, q) / n - p) <= 2 * Q.rank_error()
+
+
+def test_sketched_quantiles_of_few_values_are_exact(spark):
+    rows = [(1, float(v)) for v in range(1, 101)] + [(2, 5.0), (2, 5.0), (2, None), (3, None), (None, 7.0), (4, float("nan"))]
+    found = Q.sketches(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").select("k", "n", Q.sketch_quantiles([0.05, 0.5, 1.0]).alias("q"))
+    assert {r["k"]: (r["n"], r["q"]) for r in found.collect()} == {1: (100, [5.0, 50.0, 100.0]), 2: (2, [5.0, 5.0, 5.0]), None: (1, [7.0, 7.0, 7.0])}
+
+
+def test_bootstrap_bands_from_sketches(spark):
+    params = {"n_simulations": 60}
+    exact = forecast(synthetic_panel(spark, 1, 12), "bootstrap_logistic", params, 2)[1]
+    sketched = forecast(synthetic_panel(spark, 1, 12), "bootstrap_logistic", {**params, "sketch": True}, 2)[1]
+    assert exact.columns == sketched.columns
+    for a, b in zip(exact.orderBy("year").collect(), sketched.orderBy("year").collect(), strict=True):
+        assert math.isclose(a["pred"], b["pred"], rel_tol=1e-12) and a["population"] == b["population"]
+        width = a["upper"] - a["lower"]
+        for c in ("lower", "q25", "q75", "upper"):  # an order statistic beside an interpolated one
+            assert abs(a[c] - b[c]) <= 0.25 * width
