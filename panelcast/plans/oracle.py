@@ -838,14 +838,18 @@ width AS (SELECT series_id, model, avg(upper - lower) AS interval_width FROM all
           GROUP BY series_id, model)"""
 
 
-def sql_leaderboard() -> str:
+def _six_fc() -> str:
     boot = sql_bootstrap_forecast().removeprefix("WITH ").rpartition("\nSELECT series_id, model, scenario_id, year,")[0]
     boot = boot.removeprefix(f"{panel_cte()},\n{ctx_cte()},\n").replace("bfit", "boot_fit")
-    return _wrap(FIVE, f"""{_five_fc()},
+    return f"""{_five_fc()},
 {boot},
 six AS (SELECT series_id, model, status, rmse, mae, r2, mape FROM allfits
         UNION ALL SELECT series_id, model, status, rmse, mae, r2, mape FROM boot_fit),
-six_width AS (SELECT * FROM width UNION ALL SELECT series_id, model, avg(upper - lower) FROM agg GROUP BY series_id, model)
+six_width AS (SELECT * FROM width UNION ALL SELECT series_id, model, avg(upper - lower) FROM agg GROUP BY series_id, model)"""
+
+
+def sql_leaderboard() -> str:
+    return _wrap(FIVE, f"""{_six_fc()}
 SELECT f.series_id, f.model, f.status, f.rmse, f.mae, f.r2, f.mape, {r('w.interval_width', 'interval_width')},
        CASE WHEN f.status = 'ok' THEN CAST(rank() OVER (PARTITION BY f.series_id
             ORDER BY f.status = 'ok' DESC, f.rmse ASC NULLS LAST, f.model ASC) AS INTEGER) END AS rank
@@ -853,14 +857,14 @@ FROM six f LEFT JOIN six_width w ON f.series_id = w.series_id AND f.model = w.mo
 
 
 def sql_interval_width() -> str:
-    return _wrap(FIVE, f"""{_five_fc()}
-SELECT series_id, model, 'base' AS scenario_id, {r('interval_width', 'interval_width')} FROM width""")
+    return _wrap(FIVE, f"""{_six_fc()}
+SELECT series_id, model, 'base' AS scenario_id, {r('interval_width', 'interval_width')} FROM six_width""")
 
 
 def sql_best_model_per_series() -> str:
-    return _wrap(FIVE, f"""{_five_fc()}
+    return _wrap(FIVE, f"""{_six_fc()}
 SELECT series_id, arg_min(model, (rmse, model)) AS best_model, min(rmse) AS best_rmse, count(*) AS n_models
-FROM allfits WHERE status = 'ok' GROUP BY series_id""")
+FROM six WHERE status = 'ok' GROUP BY series_id""")
 
 
 BT_BACK = [4, 3, 2]
@@ -923,8 +927,6 @@ ORACLE.update({
     "comparison_summary": sql_comparison_summary(),
     "left_join_report": sql_left_join_report(),
     "report_summary": sql_report_summary(),
-    "interval_width": sql_interval_width(),
-    "best_model_per_series": sql_best_model_per_series(),
     "rolling_backtest": sql_rolling_backtest(),
     "backtest_summary": sql_backtest_summary(),
 })
@@ -1332,7 +1334,7 @@ FROM pooled""")
 
 ORACLE["backtest_leaderboard"] = sql_backtest_leaderboard()
 
-ORACLE["leaderboard"] = sql_leaderboard()
+ORACLE.update({"leaderboard": sql_leaderboard(), "interval_width": sql_interval_width(), "best_model_per_series": sql_best_model_per_series()})
 
 
 def _dirty_ctes() -> str:

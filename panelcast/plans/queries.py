@@ -233,6 +233,12 @@ QUERIES.update({
 
 # --- evaluation (E1–E13) -------------------------------------------------------------
 
+def _holdout_panel(spark, sf_dir):
+    """The panel, derived once for training rows and held-out rows."""
+    from ..session import cut_lineage
+    return cut_lineage(demand_panel(spark, sf_dir))
+
+
 def _holdout_fc(panel, model, h):
     """Forecast of each series from all but its last ``HOLDOUT_YEARS`` years."""
     from ..operators.evaluate import without_last_years
@@ -243,14 +249,14 @@ def _holdout_fc(panel, model, h):
 def q_holdout_accuracy(spark, sf_dir):
     """E2 + E1: linear price model without the last years, scored on the first two of them."""
     from ..operators import evaluate as E
-    panel = demand_panel(spark, sf_dir)
+    panel = _holdout_panel(spark, sf_dir)
     pairs = E.holdout_pairs(_holdout_fc(panel, "linear_price", 2), panel)
     return rounded(E.accuracy_metrics(pairs))
 
 
 def _compare(spark, sf_dir):
     from ..operators import evaluate as E
-    panel = demand_panel(spark, sf_dir)
+    panel = _holdout_panel(spark, sf_dir)
     expected = panel.select("series_id", "year", F.col("actual").alias("expected"))
     return E.compare_forecast(_holdout_fc(panel, "logistic_price", 2), expected)
 
@@ -267,7 +273,7 @@ def q_comparison_summary(spark, sf_dir):
 
 def _report(spark, sf_dir):
     from ..operators import evaluate as E
-    panel = demand_panel(spark, sf_dir)
+    panel = _holdout_panel(spark, sf_dir)
     return E.left_join_report(panel, _holdout_fc(panel, "linear_price", 3))
 
 
@@ -282,7 +288,7 @@ def q_report_summary(spark, sf_dir):
 
 
 def _five(spark, sf_dir):
-    """The closed-form models; the leaderboard adds the bootstrap."""
+    """The closed-form models."""
     from .forecast import compare_models
     from .oracle import FIVE
     return compare_models(train_panel(spark, sf_dir), FIVE, horizon=HORIZON)
@@ -303,13 +309,13 @@ def q_leaderboard(spark, sf_dir):
 
 def q_interval_width(spark, sf_dir):
     from ..operators import evaluate as E
-    _, fc = _five(spark, sf_dir)
+    _, fc = _six(spark, sf_dir)
     return rounded(E.interval_width(fc.where(F.col("scenario_id") == "base")))
 
 
 def q_best_model_per_series(spark, sf_dir):
     from ..operators import evaluate as E
-    fits, _ = _five(spark, sf_dir)
+    fits, _ = _six(spark, sf_dir)
     return rounded(E.best_model_per_series(fits))
 
 
@@ -575,13 +581,9 @@ def _dirty_panel(spark, sf_dir):
 
 def _each_model(panel, columns, fitted: bool):
     from .oracle import FIVE
-    from .forecast import forecast
-    out = None
-    for m in FIVE:
-        fits, fc = forecast(panel, m, horizon=2)
-        rows = (flat_metrics(fits) if fitted else fc).select(*columns)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    from .forecast import compare_models
+    fits, fc = compare_models(panel, FIVE, horizon=2)
+    return (flat_metrics(fits) if fitted else fc).select(*columns)
 
 
 def q_fit_status_dirty_panel(spark, sf_dir):
@@ -604,7 +606,7 @@ def q_training_window(spark, sf_dir):
 
 def q_relabelled_years(spark, sf_dir):
     """A hold-out forecast relabelled to follow each series' last input year."""
-    panel = demand_panel(spark, sf_dir)
+    panel = _holdout_panel(spark, sf_dir)
     last = panel.groupBy("series_id").agg(F.max("year").alias("last_input_year"))
     fc = _holdout_fc(panel, "linear_price", 2)
     return rounded(H.relabel_years(fc, last).select("series_id", "model", "scenario_id", "year", "pred"))
