@@ -46,6 +46,13 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/llm-{what}-{uuid.uuid4().hex}"
 
 
+def open_fs(uri: str):
+    """(file system, path) of a folder that Python tasks read or write themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def staged(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: cuts
     the lineage, survives lost executors, and lets later jobs prune columns.
@@ -107,3 +114,18 @@ def slices(text: str, limit: int = BATCH_BYTES) -> Iterator[str]:
         hi = cut.start() if cut else len(text)
         yield text[lo:hi]
         lo = hi
+
+
+def parts(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """``texts`` as they are; of a single text beyond ``limit`` bytes its ``slices``, one
+    at a time, so that what is counted along a text takes bounded memory."""
+    if is_long(texts, limit):
+        for part in slices(texts[0].as_py(), limit // 2):
+            yield pa.array([part], pa.string())
+    else:
+        yield texts
+
+
+def is_long(texts: pa.Array, limit: int = BATCH_BYTES) -> bool:
+    """Whether ``texts`` is a slice of ``by_bytes`` that one text beyond ``limit`` fills."""
+    return len(texts) == 1 and texts.nbytes > limit

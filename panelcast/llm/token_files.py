@@ -108,17 +108,11 @@ class EliasFano:
         return cls(n, low_bits, part(PART.size, low), part(PART.size + low, high), part(PART.size + low + high, -(-n // SAMPLE), "<u4"))
 
 
-def open_fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class TokenFileWriter:
     """Streams ids into a file; only lengths and document ids stay in memory."""
 
     def __init__(self, folder: str, name: str, width: int, attempt: int = 0):
-        self.fs, root = open_fs(folder)
+        self.fs, root = common.open_fs(folder)
         self.path, self.part, self.width = f"{root}/{name}", f"{root}/.{name}.{attempt}.part", width
         self.out = self.fs.open_output_stream(self.part)
         self.out.write(MAGIC)
@@ -150,7 +144,7 @@ class TokenFile:
     """Reads a file's coded parts; ids are read by range."""
 
     def __init__(self, folder: str, name: str):
-        fs, root = open_fs(folder)
+        fs, root = common.open_fs(folder)
         self.file = fs.open_input_file(f"{root}/{name}")
         size = self.file.size()
         tail = self._at(size - HEAD.size - len(MAGIC), HEAD.size + len(MAGIC))
@@ -193,7 +187,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         .repartitionByRange(common.shuffle_partitions(docs), F.col("doc_id").asc_nulls_last())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     )
-    fs, root = open_fs(folder)
+    fs, root = common.open_fs(folder)
     fs.create_dir(root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
