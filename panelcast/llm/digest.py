@@ -32,15 +32,18 @@ TRIPLETS = (((0, 1, 2), 3), ((0, 1, 3), 5), ((0, 2, 3), 7), ((0, 1, 4), 11), ((0
 #: bucket that moves from the first to the last quartile.
 MOST_LENGTH, MOST_RATIO, FAR_BUCKET = 24, 8, 6
 HEADER = 3
+#: Bytes whose triplets are counted at a time; bounds the memory of long texts.
+STRETCH = 2 << 20
 
 
 def bucket_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of the hashed triplets: a row of BUCKETS numbers for each text."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    joined = np.frombuffer(b"".join(texts), np.uint8)
     out = np.zeros(len(texts) * BUCKETS, np.int64)
-    if len(data) >= 5:
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    for lo in range(0, len(joined) - 4, STRETCH):  # a stretch sees the four bytes behind it
+        data = joined[lo : lo + STRETCH + 4].astype(np.uint32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.clip(bounds, lo, lo + len(data))))
         inside = doc[:-4] == doc[4:]
         base = doc[:-4][inside] * BUCKETS
         for spots, salt in TRIPLETS:

@@ -62,18 +62,41 @@ def chained(columns: list[np.ndarray], seed: int) -> np.ndarray:
     return h
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all texts in a row, rising within each text,
-    and the bounds of each text's."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts in a row, and the bounds of each text's."""
     import xxhash
 
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    parts = pc.ascii_split_whitespace(texts)
     flat = parts.flatten()
     coded = pc.dictionary_encode(flat)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], U)
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     word = hashes[coded.indices.to_numpy()[full]] if len(flat) else np.zeros(0, U)
-    bounds = np.concatenate([[0], np.cumsum(full)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    return word, np.concatenate([[0], np.cumsum(full)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+
+
+def _long_set(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The set of a single long text, part by part; a part begins with the last words
+    of the one before."""
+    tail, found = np.zeros(0, U), []
+    for part in common.parts(texts):
+        word = np.concatenate([tail, word_hashes(pc.ascii_lower(part))[0]])
+        many = len(word) - WORDS + 1
+        if many > 0:
+            found.append(np.unique(chained([word[i : i + many] for i in range(WORDS)], WORDS)))
+        tail = word[-(WORDS - 1) :]
+    if not found and len(tail):  # fewer words than a shingle
+        found = [chained([tail[i : i + 1] for i in range(len(tail))], len(tail))]
+    h = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
+    return h, np.array([0, len(h)])
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts in a row, rising within each text,
+    and the bounds of each text's."""
+    if common.is_long(texts):
+        return _long_set(texts)
+    word, bounds = word_hashes(pc.ascii_lower(texts))
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
     many = max(0, len(word) - WORDS + 1)

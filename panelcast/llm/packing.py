@@ -29,6 +29,8 @@ HASHED = 256
 DIMS = 4
 BITS = 15
 SEED = 20240229
+#: Ids that are counted at a time; bounds the memory of long texts.
+STRETCH = 4 << 20
 
 
 def projections(vocab_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,8 +48,13 @@ def coordinates(ids: np.ndarray, lengths: np.ndarray, tables: tuple[np.ndarray,
     """A grid cell of DIMS numbers below 2**BITS for each document."""
     slot, sign, matrix = tables
     n = len(lengths)
-    doc = np.repeat(np.arange(n), lengths)
-    counts = np.bincount(doc * HASHED + slot[ids], weights=sign[ids], minlength=n * HASHED).reshape(n, HASHED)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    counts = np.zeros(n * HASHED)
+    for lo in range(0, len(ids), STRETCH):
+        some = ids[lo : lo + STRETCH]
+        doc = np.repeat(np.arange(n), np.diff(np.clip(bounds, lo, lo + len(some))))
+        counts += np.bincount(doc * HASHED + slot[some], weights=sign[some], minlength=n * HASHED)
+    counts = counts.reshape(n, HASHED)
     damped = np.sign(counts) * np.sqrt(np.abs(counts))
     norm = np.linalg.norm(damped, axis=1, keepdims=True)
     spot = damped @ matrix / np.where(norm > 0, norm, 1)

@@ -42,24 +42,22 @@ def _share(count: np.ndarray, of: np.ndarray) -> np.ndarray:
     return count / np.maximum(of, 1)
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
-    """A row of STATISTICS numbers for each text."""
+def byte_counts(texts: pa.Array) -> np.ndarray:
+    """How often each byte occurs: a row of 256 numbers for each text."""
     n = len(texts)
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if raw else np.zeros(0, np.uint8)
-    size = np.diff(offsets).astype(np.float64)
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    histogram = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float64)
-    of = lambda chars: histogram[:, [ord(c) for c in chars]].sum(1)
-    upper, lower, digits = histogram[:, 65:91].sum(1), histogram[:, 97:123].sum(1), histogram[:, 48:58].sum(1)
-    lead = histogram[:, 192:].sum(1)  # first bytes of non-ASCII characters
-    common_marks = of(".,")
-    symbols = of("!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~")
-    p = histogram / np.maximum(size, 1)[:, None]
-    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
+    return np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float64)
 
+
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Columns for each text: words, distinct words, words that come once, the most
+    frequent word's count, words that repeat the one before, distinct pairs of
+    neighbours."""
+    n = len(texts)
     parts = pc.ascii_split_whitespace(texts)
     flat = parts.flatten()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -77,7 +75,40 @@ def statistics(texts: pa.Array) -> np.ndarray:
     again = np.bincount(of_word[1:][beside & (codes[1:] == codes[:-1])], minlength=n)
     pairs = np.unique(np.column_stack([of_word[1:][beside], codes[:-1][beside] * span + codes[1:][beside]]), axis=0)
     distinct_pairs = np.bincount(pairs[:, 0], minlength=n) if len(pairs) else np.zeros(n)
+    return np.column_stack([words, distinct, once, most, again, distinct_pairs])
+
+
+def long_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``byte_counts`` and ``word_counts`` of a single long text, part by part; words
+    are numbered as they come."""
+    code: dict[str, int] = {}
+    times, bytes_seen, pairs = np.zeros(0, np.int64), np.zeros((1, 256)), np.zeros(0, np.int64)
+    last, again = np.zeros(0, np.int64), 0
+    for part in common.parts(texts):
+        bytes_seen += byte_counts(part)
+        flat = pc.ascii_split_whitespace(part).flatten()
+        coded = pc.dictionary_encode(flat.filter(pc.not_equal(flat, "")))
+        own = np.fromiter((code.setdefault(w, len(code)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        words = np.concatenate([last, own[coded.indices.to_numpy()]])
+        times = np.pad(times, (0, len(code) - len(times))) + np.bincount(words[len(last) :], minlength=len(code))
+        again += int((words[1:] == words[:-1]).sum())
+        pairs = np.union1d(pairs, words[:-1] << 32 | words[1:])
+        last = words[-1:]
+    return bytes_seen, np.array([[times.sum(), len(times), (times == 1).sum(), times.max(initial=0), again, len(pairs)]], np.float64)
 
+
+def statistics(texts: pa.Array) -> np.ndarray:
+    """A row of STATISTICS numbers for each text."""
+    histogram, counts = long_counts(texts) if common.is_long(texts) else (byte_counts(texts), word_counts(texts))
+    words, distinct, once, most, again, distinct_pairs = counts.T
+    size = histogram.sum(1)
+    of = lambda chars: histogram[:, [ord(c) for c in chars]].sum(1)
+    upper, lower, digits = histogram[:, 65:91].sum(1), histogram[:, 97:123].sum(1), histogram[:, 48:58].sum(1)
+    lead = histogram[:, 192:].sum(1)  # first bytes of non-ASCII characters
+    common_marks = of(".,")
+    symbols = of("!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~")
+    p = histogram / np.maximum(size, 1)[:, None]
+    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
     lines = of("\n") + 1
     return np.column_stack([
         np.log1p(size), np.log1p(words), _share(size, words), np.log1p(_share(size, lines)),

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from panelcast.llm import common
+
 #: Distinct parts of pieces that a worker remembers before it starts afresh; bounds
 #: its memory.
 MAX_PARTS = 500_000
@@ -123,7 +125,14 @@ class PieceEncoder:
         return ids[np.repeat(start[slots] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
+        """(ids of all texts in a row, number of ids of each text). A single text beyond a
+        batch is encoded part by part."""
+        if common.is_long(texts, BATCH_BYTES):
+            ids = np.concatenate([self._encode(x)[0] for x in common.parts(texts, BATCH_BYTES)])
+            return ids, np.array([len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(pieces.flatten())
         distinct = coded.dictionary

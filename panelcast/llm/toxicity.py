@@ -50,6 +50,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts and the bounds of each text's; of a single text beyond a
+    batch the distinct ones, gathered part by part."""
+    if not common.is_long(texts):
+        return words(texts)
+    flat = pc.unique(pa.chunked_array([pc.unique(words(part)[0]) for part in common.parts(texts)]))
+    return flat, np.array([0, len(flat)])
+
+
 def presence(flat: pa.Array, bounds: np.ndarray, vocabulary: list[str]) -> np.ndarray:
     """Which words of ``vocabulary`` each text holds: a row of 0 and 1 for each."""
     n = len(bounds) - 1
@@ -69,7 +78,7 @@ def _word_lists(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.by_bytes(batch):
-                flat, bounds = words(common.strings(part.column("text")))
+                flat, bounds = distinct_words(common.strings(part.column("text")))
                 lists = [sorted(set(flat[int(a) : int(b)].to_pylist())) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(lists, pa.list_(pa.string()))], names=[*others, "words"])
 
@@ -168,7 +177,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.by_bytes(batch):
-                flat, bounds = words(common.strings(part.column("text")))
+                flat, bounds = distinct_words(common.strings(part.column("text")))
                 found = np.zeros((part.num_rows, len(links)))
                 for i, link in enumerate(links):
                     found[:, i] = sigmoid(_inputs(presence(flat, bounds, link.words), found[:, :i]) @ link.weights) if len(link.weights) else link.base
