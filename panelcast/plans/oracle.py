@@ -1106,12 +1106,20 @@ SELECT {FIT_SELECT}, {r('k1', 'k1')}, {r('k2', 'k2')}, {r('d.k1_std', 'k1_std')}
 FROM bfit JOIN dist d USING (series_id)"""
 
 
+def boot_fc_select() -> str:
+    w = "(PARTITION BY series_id, model, scenario_id ORDER BY year)"
+    return f"""SELECT series_id, model, scenario_id, year, {r('population', 'population')}, {r('gdp', 'gdp')}, {r('price', 'price')},
+       {r('pred', 'pred')}, {r('lower', 'lower')}, {r('upper', 'upper')}, {r('q25', 'q25')}, {r('q75', 'q75')},
+       {r(f'CASE WHEN lag(pred) OVER {w} IS NULL THEN 0.0 WHEN lag(pred) OVER {w} = 0 THEN NULL ELSE (pred - lag(pred) OVER {w}) / lag(pred) OVER {w} * 100.0 END', 'growth_rate')},
+       'bootstrap_q05_q95' AS band_type
+FROM agg"""
+
+
 def sql_bootstrap_forecast() -> str:
     BP = K.BOOTSTRAP_DEFAULTS
     a, b = str(BP["distribution_a"]), str(BP["distribution_b"])
     rho = f"(price / ref_price) * (ref_gdp / {gmax('gdp', '1e-10')})"
     ridx = f"CAST(floor({_u('s.series_id', 's.sim', 'h', str(BOOT_SEED), chr(39) + 'resid' + chr(39))} * n_years) + 1 AS INTEGER)"
-    w = "(PARTITION BY series_id, model, scenario_id ORDER BY year)"
     return f"""WITH {bootstrap_ctes()},
 {horizon_cte('bfit', name='bhz')},
 bs0 AS (SELECT hz.*, s.sim, s.k1 AS sk1, s.k2 AS sk2, {ridx} AS ridx
@@ -1124,11 +1132,7 @@ agg AS (SELECT series_id, model, scenario_id, year, any_value(population) AS pop
                any_value(price) AS price, avg(pred) AS pred, quantile_cont(pred, 0.05) AS lower,
                quantile_cont(pred, 0.95) AS upper, quantile_cont(pred, 0.25) AS q25, quantile_cont(pred, 0.75) AS q75
         FROM bsp GROUP BY series_id, model, scenario_id, year)
-SELECT series_id, model, scenario_id, year, {r('population', 'population')}, {r('gdp', 'gdp')}, {r('price', 'price')},
-       {r('pred', 'pred')}, {r('lower', 'lower')}, {r('upper', 'upper')}, {r('q25', 'q25')}, {r('q75', 'q75')},
-       {r(f'CASE WHEN lag(pred) OVER {w} IS NULL THEN 0.0 WHEN lag(pred) OVER {w} = 0 THEN NULL ELSE (pred - lag(pred) OVER {w}) / lag(pred) OVER {w} * 100.0 END', 'growth_rate')},
-       'bootstrap_q05_q95' AS band_type
-FROM agg"""
+{boot_fc_select()}"""
 
 
 # --- parameter noise -------------------------------------------------------------------------
@@ -1202,8 +1206,8 @@ FROM lp_fc"""
 
 
 def sql_comparison_rows() -> str:
-    return _wrap(FIVE, f"""{_five_fc()}
-SELECT series_id, model, status, rmse, mae, mape, r2 FROM allfits""")
+    return _wrap(FIVE, f"""{_six_fc()}
+SELECT series_id, model, status, rmse, mae, mape, r2 FROM six""")
 
 
 ORACLE.update({
@@ -1300,9 +1304,11 @@ def sql_best_model_forecast() -> str:
     fcs = " UNION ALL ".join(
         f"SELECT series_id, model, scenario_id, year, population, gdp, price, pred, lower, upper, growth_rate, "
         f"'fixed_20pct' AS band_type FROM {PREFIX[m]}_fc" for m in FIVE)
-    return _wrap(FIVE, f"""{_five_fc()},
-fcall AS ({fcs}),
-best AS (SELECT series_id, arg_min(model, (rmse, model)) AS model FROM allfits WHERE status = 'ok' GROUP BY series_id)
+    columns = "series_id, model, scenario_id, year, population, gdp, price, pred, lower, upper, growth_rate, band_type"
+    return _wrap(FIVE, f"""{_six_fc()},
+boot_rows AS ({boot_fc_select()}),
+fcall AS ({fcs} UNION ALL SELECT {columns} FROM boot_rows),
+best AS (SELECT series_id, arg_min(model, (rmse, model)) AS model FROM six WHERE status = 'ok' GROUP BY series_id)
 SELECT f.series_id, f.model, f.scenario_id, f.year, {r('f.population', 'population')}, {r('f.gdp', 'gdp')},
        {r('f.price', 'price')}, {r('f.pred', 'pred')}, {r('f.lower', 'lower')}, {r('f.upper', 'upper')},
        {r('f.growth_rate', 'growth_rate')}, f.band_type

@@ -486,7 +486,7 @@ def q_format_report(spark, sf_dir):
 def q_comparison_rows(spark, sf_dir):
     """E12 + E10: nested per-series results flattened back to rows."""
     from ..operators import evaluate as E
-    fits, _ = _five(spark, sf_dir)
+    fits, _ = _six(spark, sf_dir)
     return rounded(E.comparison_rows(E.nest_results(fits)))
 
 
@@ -549,9 +549,9 @@ QUERIES.update({
 
 def q_best_model_forecast(spark, sf_dir):
     """Flagship: every nation's demand five years out, from the model that
-    fits that nation best (five models fitted in one shared partitioning)."""
+    fits that nation best, of all six models."""
     from ..operators import evaluate as E
-    _, fc = _five(spark, sf_dir)
+    _, fc = _six(spark, sf_dir)
     out = E.best_model_forecast(fc)
     return rounded(out.select("series_id", "model", "scenario_id", "year", "population", "gdp", "price", "pred",
                               "lower", "upper", "growth_rate", "band_type"))

@@ -2,7 +2,7 @@
 millions of passengers, population in millions), the published parameter
 values, and the stored golden predictions."""
 
-# year, actual, population, gdp, price — the four-model input
+# Fixed values. year, actual, population, gdp, price — the four-model input
 INPUT = [
     (2005, 20.885504, 327.71977, 48616.9998227449, 292.04155113426793),
     (2006, 20.826152, 330.90845, 49430.399858329394, 289.3657355684126),
@@ -45,13 +45,53 @@ INDEXED = {"distribution_a": 1.1572, "distribution_b": 4.3517429, "k1": -6.59917
            "ref_normalized_traffic": 0.0781236379737098, "ref_elasticity": -1.728566864526717,
            "fare_growth_rate": 0.0}
 
-# Golden predictions: (first year, value), (last year, value).
+# The stored golden predictions of every year from 2018 on.
 GOLDEN = {
-    "logistic_price": ((2018, 29.59355076797288), (2049, 41.29571783413066)),
-    "linear_price": ((2018, 35.218976277819635), (2049, 54.57570127776824)),
-    "trend_elasticity_blend": ((2018, 29.856356698631895), (2049, 53.79353338415319)),
-    "linear_income_index": ((2018, 30.045854563536068), (2048, 71.38833275073398)),
-    "implied_price_logistic": ((2018, 31.210817807874637), (2048, 107.72289385778348)),
+    "logistic_price": [
+        29.59355076797288, 29.937566431163717, 30.284975253538306, 30.635811202704694, 30.990108605271875,
+        31.347902150006522, 31.709226891028223, 32.07411825104386, 32.442612024621205, 32.81474438150235,
+        33.19055186995724, 33.5700714201777, 33.95334034771232, 34.34039635694257, 34.73127754460057,
+        35.126022403328776, 35.52466982528207, 35.92574531778027, 36.28500277095806, 36.64785279866765,
+        37.01433132665432, 37.38447463992087, 37.75831938632008, 38.13590258018328, 38.51726160598511,
+        38.90243422204496, 39.291458564265405, 39.68437314990807, 40.08121688140715, 40.48202905022122,
+        40.88684934072344, 41.29571783413066,
+    ],
+    "linear_price": [
+        35.218976277819635, 35.75418205347747, 36.294775423981775, 36.8408102721814, 37.39234101975506,
+        37.94942263259957, 38.51211062627206, 39.0804610714866, 39.654530599665684, 40.234376408547455,
+        40.82005626784866, 41.41162852498469, 42.009152110846344, 42.612686545634695, 43.22229194475416,
+        43.83802902476458, 44.45995910939267, 45.088144135603834, 45.72264665973438, 46.36352986368543,
+        47.01085756117838, 47.66469420407325, 48.32510488874991, 48.992155362553476, 49.66591203030381,
+        50.34644196087028, 51.03381289381238, 51.7280932460865, 52.42935211881992, 53.13765930415258,
+        53.85308529214714, 54.57570127776824,
+    ],
+    "trend_elasticity_blend": [
+        29.856356698631895, 30.47409365318908, 31.100869597117505, 31.736803472409335, 32.38201569598518,
+        33.036628177298475, 33.70076433614444, 34.37454912067601, 35.05810902562891, 35.751572110758595,
+        36.4550680194911, 37.16872799779055, 37.89268491324544, 38.627073274376706, 39.37202925016943,
+        40.12769068983142, 40.89419714278066, 41.67168987886464, 42.460311908814, 43.26020800493317,
+        44.071524722030844, 44.894410418592734, 45.729015278199725, 46.57549133119382, 47.43399247659512,
+        48.304674504272285, 49.18769511736955, 50.0832139549934, 50.9913926151613, 51.912394678016206,
+        52.846385729309084, 53.79353338415319,
+    ],
+    "linear_income_index": [
+        30.045854563536068, 31.492907729347746, 32.932167453610234, 34.36398811206741, 35.78871922984856,
+        37.20670559595974, 38.61828737575508, 40.02380022142925, 41.42357538057148, 42.817939802821094,
+        44.20721624466321, 45.59172337240311, 46.97177586335645, 48.34768450529255, 49.71975629416639,
+        51.0882945301752, 52.45359891217383, 53.815965630483795, 55.1756874581285, 56.53305384052854,
+        57.888350983688106, 59.24186194090541, 60.59386669803702, 61.94464225734726, 63.29446271997237,
+        64.64359936702854, 65.992320739393, 67.3408927161861, 68.68957859198208, 70.03863915277616,
+        71.38833275073398,
+    ],
+    "implied_price_logistic": [
+        31.210817807874637, 33.07607713058012, 35.00667166461876, 37.00155273642787, 39.05946275006801,
+        41.178944841027594, 43.35835459115657, 45.59587362044322, 47.88952483698531, 50.23718909808013,
+        52.63662301361759, 55.08547760839829, 57.58131755281119, 60.121640671420344, 62.70389744608456,
+        65.32551024368996, 67.9838920176472, 70.67646425607099, 73.40067397700263, 76.15400960109838,
+        78.93401556381279, 81.73830556125658, 84.56457435564735, 87.41060809678646, 90.27429314458313,
+        93.15362340374858, 96.04670620500184, 98.95176678717587, 101.86715145137225, 104.79132947175447,
+        107.72289385778348,
+    ],
 }
 
 # Expected file's future drivers and the spreadsheet's implied-price column.
